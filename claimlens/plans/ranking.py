@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from claimlens.plans.materialize import checked_broadcast, join_null_safe
 
 DEFAULT_BUCKETS = 64
-_G = "_grp"
 
 
 def value_positions(df: DataFrame, part: list[str], value: str, *, descending: bool = True,
@@ -42,21 +41,23 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
     (SQL RANK), ``_cum_n`` (rows up to and including ties), ``_cum_k``
     (non-NULL rows up to and including ties), ``_run_sum`` (RANGE running
     sum of ``value``; NULL while only NULLs are in the frame) and ``_tot_k``
-    (non-NULL rows of the partition).
+    (non-NULL rows of the partition). ``part`` may be empty (whole table).
     """
     v = F.col(value)
-    keys = list(part) if part else [_G]
-    src = df if part else df.withColumn(_G, F.lit(0))
-    d = (src.groupBy(*keys, value)
+    keys = list(part)
+    d = (df.groupBy(*keys, value)
          .agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"))
          .withColumn("_k", F.when(v.isNull(), F.lit(0)).otherwise(F.col("_n"))))
 
-    # 2. slice boundaries per key (distinct values, so slices balance the
+    # 2. slice boundaries per key (over distinct values, so slices balance the
     #    number of values each window below has to sort)
     qs = [i / buckets for i in range(1, buckets)]
-    bounds = (d.where(v.isNotNull()).groupBy(*keys)
-              .agg(F.percentile_approx(v, qs, 10_000).alias("_bounds")))
-    d = join_null_safe(d, checked_broadcast(bounds), keys, "left")
+    quantiles = F.percentile_approx(v, qs, 10_000).alias("_bounds")
+    if keys:
+        bounds = d.where(v.isNotNull()).groupBy(*keys).agg(quantiles)
+        d = join_null_safe(d, checked_broadcast(bounds), keys, "left")
+    else:
+        d = d.withColumn("_bounds", d.where(v.isNotNull()).agg(quantiles).scalar())
     if descending:
         ahead = F.size(F.filter(F.col("_bounds"), lambda b: b > v))
     else:
@@ -87,7 +88,7 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
     d = join_null_safe(d, checked_broadcast(offsets), keys + ["_slice"], "inner")
 
     cum_k = F.col("_ok") + F.col("_lk")
-    out = d.select(
+    return d.select(
         *keys, value, "_n",
         (F.col("_on") + F.col("_ln") - F.col("_n") + F.lit(1)).alias("_rank"),
         (F.col("_on") + F.col("_ln")).alias("_cum_n"),
@@ -97,7 +98,6 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
          .alias("_run_sum"),
         "_tot_k",
     )
-    return out if part else out.drop(_G)
 
 
 def rank_within(df: DataFrame, part: list[str], value: str, out: str, *, descending: bool = True,
@@ -109,6 +109,18 @@ def rank_within(df: DataFrame, part: list[str], value: str, out: str, *, descend
     return join_null_safe(df, pos, list(part) + [value], "inner")
 
 
+def running_sum_within(df: DataFrame, part: list[str], value: str, *, descending: bool = True,
+                       nulls_first: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Append ``_rank`` and ``_run_sum`` (``SUM(value) OVER (PARTITION BY part
+    ORDER BY value)`` with the default RANGE frame) to every row."""
+    pos = value_positions(df.select(*part, value), part, value, descending=descending,
+                          nulls_first=nulls_first, buckets=buckets)
+    pos = pos.select(*part, value, "_rank", "_run_sum")
+    if part:
+        return join_null_safe(df, pos, list(part) + [value], "inner")
+    return join_null_safe(df, pos, [value], "inner")
+
+
 def exact_percentiles(df: DataFrame, part: list[str], value: str, ps: dict[str, str], *,
                       buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` per ``part``, exactly.
@@ -149,26 +161,22 @@ def top_k_ranked(df: DataFrame, value: str, tie_break: list[str], k: int) -> Dat
     Every row strictly ahead of a top-k row is itself in the top k, so rank
     and running sums only need the top rows, plus - for the value at the cut -
     the number of its ties in the whole table. That count and the grand total
-    come from one distributed aggregate; only ``k`` rows ever meet in one task.
+    are scalar subqueries (distributed aggregates); only ``k`` rows ever meet
+    in one task.
     """
     v = F.col(value)
     order = [v.desc_nulls_first()] + [F.col(c).asc_nulls_last() for c in tie_break]
     top = df.orderBy(*order).limit(k)  # TakeOrderedAndProject: per-partition top-k, then merge
-    # value at the cut (NULL when the top rows are all NULL); k bounds the broadcast
-    cut = top.agg(F.min(v).alias("_cut")).withColumn(_G, F.lit(0))
-    stats = (df.select(value).withColumn(_G, F.lit(0))
-             .join(F.broadcast(cut), _G)
-             .groupBy(_G)
-             .agg(F.sum(v).alias("_grand"),
-                  F.count_if(v.eqNullSafe(F.col("_cut"))).alias("_cut_ties"),
-                  F.first("_cut").alias("_cut")))
-    w_range = Window.orderBy(v.desc_nulls_first())  # default RANGE frame, ties share
+    grand = df.agg(F.sum(v)).scalar()
+    cut = top.agg(F.min(v)).scalar()  # value at the cut; NULL when the top rows are all NULL
+    cut_ties = df.where(v.eqNullSafe(cut)).agg(F.count(F.lit(1))).scalar()
+    w_range = Window.orderBy(v.desc_nulls_first())  # k rows; default RANGE frame, ties share
     w_ties = Window.partitionBy(v)
-    ranked = (top.withColumn(_G, F.lit(0)).join(F.broadcast(stats), _G).drop(_G)
+    ranked = (top
               .withColumn("_rank", F.rank().over(w_range).cast("bigint"))
               .withColumn("_run_top", F.sum(v).over(w_range))
-              .withColumn("_ties_top", F.count(F.lit(1)).over(w_ties)))
-    missing = F.col("_cut_ties") - F.col("_ties_top")  # ties of the cut value below the cut
-    run = F.when(v.eqNullSafe(F.col("_cut")) & v.isNotNull(),
-                 F.col("_run_top") + v * missing).otherwise(F.col("_run_top"))
-    return ranked.withColumn("_run_sum", run).drop("_run_top", "_ties_top", "_cut_ties", "_cut")
+              .withColumn("_ties_top", F.count(F.lit(1)).over(w_ties))
+              .withColumn("_grand", grand))
+    missing = cut_ties - F.col("_ties_top")  # ties of the cut value that fell below the cut
+    run = F.when(v.eqNullSafe(cut) & v.isNotNull(), F.col("_run_top") + v * missing).otherwise(F.col("_run_top"))
+    return ranked.withColumn("_run_sum", run).drop("_run_top", "_ties_top")
