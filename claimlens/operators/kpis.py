@@ -4,12 +4,25 @@ Plan shape shared by all of them (eager aggregation): facts are reduced to
 one row per provider (or per code) *before* the dimension join, so the join
 sees one row per key instead of one per fact, and the join reuses the
 aggregate's hash partitioning on the key (no second shuffle of facts).
-Specialty-level tables are tiny and joined back by size-checked broadcast.
+
+Per-specialty windows and the global procedure ranking put a whole group in
+one task. Each operator therefore checks the largest group it would create
+(measured once per star on the dimension tables, an upper bound) against
+``claimlens.window.maxGroupRows``:
+
+* within the bound: Spark's own window / ``percentile`` in a single plan;
+* beyond it: the per-provider (per-code) table is written once to the
+  checkpoint folder, specialty tables are joined back by size-checked
+  broadcast, and ranks / percentiles / the top-k come from the sliced
+  operators of :mod:`claimlens.plans.ranking`, which never hold a whole group
+  in one task.
+
+Both shapes are tested to give identical rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.exprs import (
@@ -22,8 +35,8 @@ from claimlens.functions.exprs import (
     round_stat,
 )
 from claimlens.plans.base import SUM_COLS, Star, rollup
-from claimlens.plans.materialize import checked_broadcast, join_null_safe, reliable
-from claimlens.plans.ranking import exact_percentiles, top_k_ranked, value_positions
+from claimlens.plans.materialize import broadcast_if, join_null_safe, reliable
+from claimlens.plans.ranking import exact_percentiles, rank_within, top_k_ranked
 
 # Default parameters of the reference analysis.
 OUTLIER_PCT = 50        # |% deviation| above which a provider is an outlier
@@ -31,6 +44,12 @@ MIN_SERVICES = 10       # minimum services for an outlier to be reported
 MIN_BENEFICIARIES = 10  # minimum beneficiaries for the efficiency statistics
 TOP_K = 25              # procedures listed in the spend ranking
 
+_PCTS = {"_p50": "0.5", "_p25": "0.25", "_p75": "0.75"}
+
+
+def _specialty_fits_task(star: Star) -> bool:
+    return star.fits_task(star.specialty_profile()[1])
+
 
 def provider_totals(star: Star, attrs: list[str]) -> DataFrame:
     """Per-provider sums (+ distinct code count ``n_other``) joined to ``attrs``."""
@@ -80,20 +99,21 @@ def specialty_unit_cost(star: Star) -> DataFrame:
 
 # -- C7 / C8 ---------------------------------------------------------------
 
-def provider_metrics(star: Star) -> DataFrame:
-    """Each provider's payment per service beside its specialty's weighted mean.
-
-    ``SUM(SUM(x)) OVER (PARTITION BY specialty)`` becomes a specialty
-    aggregate joined back with NULL-safe equality (the NULL specialty is one
-    window partition), broadcast after a size check. The per-provider table
-    is checkpointed because it feeds both the aggregate and the join.
-    """
+def _provider_metrics(star: Star) -> tuple[DataFrame, bool]:
     pt = provider_totals(star, ["first_name", "last_org_name", "credentials", "city", "provider_type"])
-    pt = reliable(pt.withColumnRenamed("provider_type", "specialty"))
-    spec = pt.groupBy("specialty").agg(F.sum("pay").alias("_spay"), F.sum("srv").alias("_ssrv"))
-    spec = spec.select("specialty", ratio("_spay", "_ssrv").alias("specialty_avg_pay_per_svc"))
-    pm = join_null_safe(pt, checked_broadcast(spec), ["specialty"], "inner")
-    return pm.select(
+    pt = pt.withColumnRenamed("provider_type", "specialty")
+    in_task = _specialty_fits_task(star)
+    if in_task:
+        # SUM(SUM(x)) OVER (PARTITION BY specialty): NULL specialty is one partition
+        w = Window.partitionBy("specialty")
+        pm = pt.withColumn("specialty_avg_pay_per_svc", ratio(F.sum("pay").over(w), F.sum("srv").over(w)))
+    else:
+        # specialty totals joined back NULL-safe; broadcast after the size check
+        pt = reliable(pt)
+        spec = pt.groupBy("specialty").agg(F.sum("pay").alias("_spay"), F.sum("srv").alias("_ssrv"))
+        spec = spec.select("specialty", ratio("_spay", "_ssrv").alias("specialty_avg_pay_per_svc"))
+        pm = join_null_safe(pt, broadcast_if(spec, star.specialty_profile()[0]), ["specialty"], "inner")
+    pm = pm.select(
         "npi", "first_name", "last_org_name", "credentials", "city", "specialty",
         F.col("srv").alias("total_services"),
         F.col("benes").alias("total_beneficiaries"),
@@ -101,6 +121,13 @@ def provider_metrics(star: Star) -> DataFrame:
         ratio("pay", "srv").alias("provider_pay_per_svc"),
         "specialty_avg_pay_per_svc",
     )
+    return pm, in_task
+
+
+def provider_metrics(star: Star) -> DataFrame:
+    """Each provider's payment per service beside its specialty's weighted mean
+    (the reference's ``SUM(SUM(x)) OVER (PARTITION BY specialty)``)."""
+    return _provider_metrics(star)[0]
 
 
 def provider_outliers(star: Star, pct_threshold: int = OUTLIER_PCT,
@@ -108,22 +135,25 @@ def provider_outliers(star: Star, pct_threshold: int = OUTLIER_PCT,
     """Providers whose payment per service deviates > ``pct_threshold`` % from
     their specialty mean, with their rank in the specialty (all providers,
     highest first, NULL first as in PostgreSQL)."""
-    pm = provider_metrics(star)  # reads the checkpointed per-provider table
+    pm, in_task = _provider_metrics(star)
     pps, avg = F.col("provider_pay_per_svc"), F.col("specialty_avg_pay_per_svc")
     dev = pm.select(
         "*",
         F.round(pps - avg, 2).alias("deviation_from_avg"),
         ratio(pps - avg, avg, 1, times=100).alias("pct_deviation"),
     )
-    keep = dev.where((F.abs("pct_deviation") > F.lit(pct_threshold))
-                     & (F.col("total_services") >= F.lit(min_services)))
-    # rank over every provider of the specialty, attached to the kept rows only
-    ranks = value_positions(pm.select("specialty", "provider_pay_per_svc"), ["specialty"],
-                            "provider_pay_per_svc", descending=True, nulls_first=True)
-    ranks = ranks.select("specialty", "provider_pay_per_svc", F.col("_rank").alias("specialty_rank"))
-    out = join_null_safe(keep, ranks, ["specialty", "provider_pay_per_svc"], "inner")
+    if in_task:
+        w = Window.partitionBy("specialty").orderBy(pps.desc_nulls_first())
+        ranked = dev.withColumn("specialty_rank", F.rank().over(w).cast("bigint"))
+    else:
+        # ranks of all providers; the filter below reads only ``dev`` columns,
+        # so Catalyst applies it before the rank join
+        ranked = rank_within(dev, ["specialty"], "provider_pay_per_svc", "specialty_rank",
+                             n_keys=star.specialty_profile()[0])
+    out = ranked.where((F.abs("pct_deviation") > F.lit(pct_threshold))
+                       & (F.col("total_services") >= F.lit(min_services)))
     return out.select(
-        "specialty", "specialty_rank", "npi",
+        "specialty", F.col("specialty_rank").cast("bigint").alias("specialty_rank"), "npi",
         full_name("first_name", "last_org_name").alias("provider_name"),
         "credentials", "city", "total_services", "total_beneficiaries", "total_payment",
         "provider_pay_per_svc", "specialty_avg_pay_per_svc", "deviation_from_avg", "pct_deviation",
@@ -155,8 +185,19 @@ def top_procedures(star: Star, k: int = TOP_K) -> DataFrame:
     The share divides by the grand total without a zero guard, as the
     reference does: an all-zero table raises (ANSI) instead of returning rows.
     """
-    proc = reliable(procedure_spend(star))
-    top = top_k_ranked(proc, "total_payment", ["hcpcs_cd"], k)
+    v = F.col("total_payment")
+    if star.fits_task(star.code_count()):
+        # every code fits one task: the reference's global windows as written
+        w = Window.orderBy(v.desc_nulls_first())
+        top = (procedure_spend(star)
+               .withColumn("_rank", F.rank().over(w).cast("bigint"))
+               .withColumn("_run_sum", F.sum(v).over(w))
+               .withColumn("_grand", F.sum(v).over(Window.partitionBy()))
+               .orderBy(v.desc_nulls_first(), F.col("hcpcs_cd").asc_nulls_last())
+               .limit(k))
+    else:
+        # distributed top-k; rank / running share from k rows + two scalars
+        top = top_k_ranked(reliable(procedure_spend(star)), "total_payment", ["hcpcs_cd"], k)
     share = F.round((F.col("_run_sum").cast("decimal(22,4)") * F.lit(100)).cast("decimal(24,4)")
                     / F.col("_grand").cast("decimal(20,4)"), 1)
     return top.select(
@@ -166,7 +207,7 @@ def top_procedures(star: Star, k: int = TOP_K) -> DataFrame:
         "provider_count", "total_beneficiaries", "total_services", "total_payment",
         "avg_payment_per_svc",
         share.alias("cumulative_pct_of_spend"),
-    ).orderBy(F.col("total_payment").desc_nulls_first(), F.col("hcpcs_cd"))
+    ).orderBy(v.desc_nulls_first(), F.col("hcpcs_cd"))
 
 
 # -- C10 / C11 -------------------------------------------------------------
@@ -188,61 +229,88 @@ def provider_efficiency_base(star: Star) -> DataFrame:
     )
 
 
-def specialty_distribution_of(pe: DataFrame, min_beneficiaries: int = MIN_BENEFICIARIES) -> DataFrame:
-    """Distribution of payment per beneficiary per specialty.
+def _stat_columns(prefix: str = "") -> list:
+    """Rounded statistics from the raw aggregate columns ``_sum`` .. ``_p75``."""
+    return [
+        ratio("_sum", "_cnt").alias(prefix + "mean_pay_per_bene"),
+        round_stat("_sd").alias(prefix + "stddev_pay_per_bene"),
+        F.round("_min", 2).alias(prefix + "min_pay_per_bene"),
+        F.round("_max", 2).alias(prefix + "max_pay_per_bene"),
+        round_stat("_p50").alias(prefix + "median_pay_per_bene"),
+        round_stat("_p25").alias(prefix + "p25_pay_per_bene"),
+        round_stat("_p75").alias(prefix + "p75_pay_per_bene"),
+    ]
 
-    Mean is exact (sum / count); stddev is the sample stddev; percentiles
-    are exact continuous percentiles computed without gathering a
-    specialty's values in one task (see :mod:`claimlens.plans.ranking`).
-    """
+
+def _stat_aggs(x) -> list:
+    return [F.sum(x).alias("_sum"), F.count(x).alias("_cnt"), F.stddev_samp(x).alias("_sd"),
+            F.min(x).alias("_min"), F.max(x).alias("_max")]
+
+
+def specialty_distribution_of(pe: DataFrame, star: Star,
+                              min_beneficiaries: int = MIN_BENEFICIARIES) -> DataFrame:
+    """Distribution of payment per beneficiary per specialty (providers with
+    at least ``min_beneficiaries``): count, exact mean, sample stddev, min,
+    max and exact continuous percentiles."""
     f = pe.where(F.col("total_beneficiaries") >= F.lit(min_beneficiaries))
     x = F.col("payment_per_beneficiary")
-    stats = f.groupBy("specialty").agg(
-        F.count(F.lit(1)).alias("provider_count"),
-        F.sum(x).alias("_sum"), F.count(x).alias("_cnt"),
-        F.stddev_samp(x).alias("_sd"),
-        F.min(x).alias("_min"), F.max(x).alias("_max"))
-    pct = exact_percentiles(f, ["specialty"], "payment_per_beneficiary",
-                            {"_p50": "0.5", "_p25": "0.25", "_p75": "0.75"})
-    joined = join_null_safe(stats, checked_broadcast(pct), ["specialty"], "left")
-    return joined.select(
-        "specialty", "provider_count",
-        ratio("_sum", "_cnt").alias("mean_pay_per_bene"),
-        round_stat("_sd").alias("stddev_pay_per_bene"),
-        F.round("_min", 2).alias("min_pay_per_bene"),
-        F.round("_max", 2).alias("max_pay_per_bene"),
-        F.round("_p50", 2).alias("median_pay_per_bene"),
-        F.round("_p25", 2).alias("p25_pay_per_bene"),
-        F.round("_p75", 2).alias("p75_pay_per_bene"),
-    )
+    n = F.count(F.lit(1)).alias("provider_count")
+    if _specialty_fits_task(star):
+        pcts = [F.percentile(x, float(p)).alias(name) for name, p in _PCTS.items()]
+        stats = f.groupBy("specialty").agg(n, *_stat_aggs(x), *pcts)
+    else:
+        stats = f.groupBy("specialty").agg(n, *_stat_aggs(x))
+        pct = exact_percentiles(f, ["specialty"], "payment_per_beneficiary", _PCTS,
+                                n_keys=star.specialty_profile()[0])
+        # both sides hold one row per specialty: no skew, any join strategy is fine
+        stats = join_null_safe(stats, pct, ["specialty"], "left")
+    return stats.select("specialty", "provider_count", *_stat_columns())
 
 
 def specialty_distribution(star: Star, min_beneficiaries: int = MIN_BENEFICIARIES) -> DataFrame:
-    return specialty_distribution_of(provider_efficiency_base(star), min_beneficiaries)
+    pe = provider_efficiency_base(star)
+    if not _specialty_fits_task(star):
+        pe = reliable(pe)
+    return specialty_distribution_of(pe, star, min_beneficiaries)
 
 
 def provider_efficiency(star: Star, min_beneficiaries: int = MIN_BENEFICIARIES) -> DataFrame:
     """Each provider's payment per beneficiary against its specialty's
     distribution: z-score and IQR tier. NULL specialty drops out (plain
-    equality join, as in the reference)."""
-    pe = reliable(provider_efficiency_base(star))
-    ss = specialty_distribution_of(pe, min_beneficiaries)
-    ss = ss.select("specialty",
-                   F.col("mean_pay_per_bene").alias("specialty_mean"),
-                   F.col("median_pay_per_bene").alias("specialty_median"),
-                   F.col("stddev_pay_per_bene").alias("specialty_stddev"),
-                   F.col("p25_pay_per_bene").alias("specialty_p25"),
-                   F.col("p75_pay_per_bene").alias("specialty_p75"))
-    kept = pe.where(F.col("total_beneficiaries") >= F.lit(min_beneficiaries))
-    j = kept.join(checked_broadcast(ss), "specialty")
+    equality join in the reference)."""
+    pe = provider_efficiency_base(star)
     ppb = F.col("payment_per_beneficiary")
+    volume = F.col("total_beneficiaries") >= F.lit(min_beneficiaries)
+    if _specialty_fits_task(star):
+        # the statistics cover exactly the reported rows, so one window over
+        # the kept providers replaces the self-join
+        kept = pe.where(volume & F.col("specialty").isNotNull())
+        w = Window.partitionBy("specialty")
+        j = kept.select(
+            "*",
+            F.sum(ppb).over(w).alias("_sum"), F.count(ppb).over(w).alias("_cnt"),
+            F.stddev_samp(ppb).over(w).alias("_sd"),
+            F.min(ppb).over(w).alias("_min"), F.max(ppb).over(w).alias("_max"),
+            *[F.percentile(ppb, float(p)).over(w).alias(name) for name, p in _PCTS.items()],
+        )
+        j = j.select("*", *_stat_columns("specialty_"))
+    else:
+        pe = reliable(pe)
+        ss = specialty_distribution_of(pe, star, min_beneficiaries)
+        ss = ss.select("specialty", *[F.col(c).alias("specialty_" + c) for c in ss.columns
+                                      if c.endswith("_pay_per_bene")])
+        j = pe.where(volume).join(broadcast_if(ss, star.specialty_profile()[0]), "specialty")
     return j.select(
         "specialty", "npi",
         full_name("first_name", "last_org_name").alias("provider_name"),
         "city", "medicare_participates", "total_beneficiaries", "total_services",
         "distinct_procedures", "srvcs_per_beneficiary", "payment_per_beneficiary",
-        "charge_to_payment_ratio", "specialty_mean", "specialty_median", "specialty_stddev",
-        "specialty_p25", "specialty_p75",
-        ratio(ppb - F.col("specialty_mean"), "specialty_stddev").alias("z_score"),
-        efficiency_tier(ppb, "specialty_p25", "specialty_p75").alias("efficiency_tier"),
+        "charge_to_payment_ratio",
+        F.col("specialty_mean_pay_per_bene").alias("specialty_mean"),
+        F.col("specialty_median_pay_per_bene").alias("specialty_median"),
+        F.col("specialty_stddev_pay_per_bene").alias("specialty_stddev"),
+        F.col("specialty_p25_pay_per_bene").alias("specialty_p25"),
+        F.col("specialty_p75_pay_per_bene").alias("specialty_p75"),
+        ratio(ppb - F.col("specialty_mean_pay_per_bene"), "specialty_stddev_pay_per_bene").alias("z_score"),
+        efficiency_tier(ppb, "specialty_p25_pay_per_bene", "specialty_p75_pay_per_bene").alias("efficiency_tier"),
     ).orderBy(F.col("specialty").asc_nulls_last(), ppb.desc_nulls_first())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from claimlens.functions.exprs import DRUG_LABEL_SUMMARY, code_type, display_name, ratio
 from claimlens.operators.kpis import provider_totals, specialty_totals
 from claimlens.plans.base import Star, rollup
-from claimlens.plans.materialize import checked_broadcast, join_null_safe
+from claimlens.plans.materialize import join_null_safe
 
 
 def specialty_code_counts(star: Star) -> DataFrame:
@@ -35,8 +35,8 @@ def specialty_code_counts(star: Star) -> DataFrame:
 
 def vw_specialty_summary(star: Star) -> DataFrame:
     t = specialty_totals(star)
-    codes = checked_broadcast(specialty_code_counts(star))
-    j = join_null_safe(t, codes, ["specialty"], "left")
+    # both sides hold one row per specialty: no skew, any join strategy is fine
+    j = join_null_safe(t, specialty_code_counts(star), ["specialty"], "left")
     return j.select(
         "specialty", "provider_count",
         F.coalesce("distinct_procedures", F.lit(0)).cast("bigint").alias("distinct_procedures"),

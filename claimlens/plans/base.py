@@ -8,7 +8,7 @@ all queries). Decimal sums are exact, so both give identical results.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +52,9 @@ class Star:
     codes: DataFrame
     utilization: DataFrame | None = None
     base: DataFrame | None = None
+    _profile: dict = field(default_factory=dict, repr=False, compare=False)
+    # rows one task may hold for a per-key window; None = session setting
+    task_rows: int | None = None
 
     @property
     def keyed(self) -> bool:
@@ -64,7 +67,29 @@ class Star:
         return measures(self.utilization)
 
     def with_base(self, base: DataFrame) -> "Star":
-        return Star(self.providers, self.codes, self.utilization, base)
+        return Star(self.providers, self.codes, self.utilization, base, self._profile, self.task_rows)
+
+    def fits_task(self, rows: int) -> bool:
+        """Whether a group of ``rows`` rows may be handled by one task."""
+        from claimlens.plans.materialize import max_group_rows
+        limit = self.task_rows if self.task_rows is not None else max_group_rows(self.providers.sparkSession)
+        return rows <= limit
+
+    def specialty_profile(self) -> tuple[int, int]:
+        """(specialties, providers of the largest specialty), measured once on
+        the providers dimension. Any per-specialty group of a query (providers
+        with facts, providers above a volume floor) is at most this large."""
+        if "specialty" not in self._profile:
+            per = self.providers.groupBy("provider_type").agg(F.count(F.lit(1)).alias("n"))
+            r = per.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m")).first()
+            self._profile["specialty"] = (int(r["k"] or 0), int(r["m"] or 0))
+        return self._profile["specialty"]
+
+    def code_count(self) -> int:
+        """Rows of the codes dimension: bounds the per-code tables."""
+        if "codes" not in self._profile:
+            self._profile["codes"] = self.codes.count()
+        return self._profile["codes"]
 
 
 def distinct_count(star: Star, col: str):

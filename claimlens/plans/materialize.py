@@ -1,15 +1,20 @@
-"""Reliable materialisation and size-checked broadcast joins.
-
-* :func:`reliable` cuts lineage with ``Dataset.checkpoint`` into the folder the
-  cluster names in ``spark.checkpoint.dir`` (never a local checkpoint), so a
-  lost executor does not force recomputation of an upstream aggregate.
-* :func:`checked_broadcast` broadcasts a derived table only after counting it:
-  at or below the limit it is broadcast, above it the join stays a shuffle
-  join (with AQE skew splitting enabled by the session).
+"""Reliable materialisation, group-size profiles and size-checked broadcasts.
+
+* :func:`reliable` writes a reused intermediate as parquet into the folder the
+  cluster names in ``spark.checkpoint.dir`` and reads it back: one job, lineage
+  cut (a lost executor does not recompute the upstream aggregate), and unlike
+  an RDD checkpoint the table keeps column pruning and file statistics.
+* :func:`key_profile` measures, in one small job, how many keys a table has and
+  how many rows its largest key holds. Operators use it to decide whether a
+  per-key window fits one task and whether per-key tables can be broadcast.
+* :func:`broadcast_if` / :func:`checked_broadcast` apply the broadcast hint only
+  below a row limit; above it the join stays a shuffle join (AQE skew
+  splitting is enabled by the session).
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,23 +22,48 @@ from pyspark.sql import functions as F
 
 from claimlens.session import ensure_checkpoint_dir
 
-# Derived "small" tables in this package have one row per specialty, per
-# (specialty, bucket) or per (specialty, percentile). 200k narrow rows is a
-# few MB, well inside a broadcast.
+# Per-key tables in this package (one row per specialty, per specialty x
+# slice, per specialty x percentile) are narrow; 200k rows is a few MB.
 DEFAULT_BROADCAST_ROWS = 200_000
 
+# Rows one task may sort for a per-key window / exact percentile before the
+# distributed (sliced) form is used. Session conf overrides it.
+MAX_GROUP_ROWS_CONF = "claimlens.window.maxGroupRows"
+DEFAULT_MAX_GROUP_ROWS = 2_000_000
+
+
+def max_group_rows(spark) -> int:
+    return int(spark.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Eager checkpoint into ``spark.checkpoint.dir`` (partitioning is kept)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as parquet under ``spark.checkpoint.dir`` and read it back."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def key_profile(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """(number of keys, rows of the largest key) in one aggregate job."""
+    if not keys:
+        n = df.count()
+        return (1 if n else 0), n
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    r = per_key.agg(F.count(F.lit(1)).alias("k"), F.max("_rows").alias("m")).first()
+    return int(r["k"] or 0), int(r["m"] or 0)
+
+
+def broadcast_if(df: DataFrame, rows: int, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint when ``rows`` (a measured bound) is within the limit."""
+    return F.broadcast(df) if rows <= max_rows else df
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Materialise ``df``; return it with a broadcast hint only if it is small."""
-    small = reliable(df)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    """Count ``df`` (meant for small aggregates over materialised inputs) and
+    broadcast it only within the limit."""
+    return broadcast_if(df, df.count(), max_rows)
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str], prefix: str = "_r_"):
@@ -45,7 +75,7 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str], prefix: str
     for k in keys:
         renamed = renamed.withColumnRenamed(k, prefix + k)
     conds: list[Column] = [left[k].eqNullSafe(renamed[prefix + k]) for k in keys]
-    cond = reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
+    cond = reduce(lambda a, b: a & b, conds)
     return renamed, cond, [prefix + k for k in keys]
 
 

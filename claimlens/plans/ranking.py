@@ -28,13 +28,14 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.plans.materialize import checked_broadcast, join_null_safe
+from claimlens.plans.materialize import broadcast_if, join_null_safe, key_profile
 
 DEFAULT_BUCKETS = 64
 
 
 def value_positions(df: DataFrame, part: list[str], value: str, *, descending: bool = True,
-                    nulls_first: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    nulls_first: bool = True, buckets: int = DEFAULT_BUCKETS,
+                    n_keys: int | None = None) -> DataFrame:
     """One row per distinct ``(part, value)`` with its position in the order.
 
     Columns: ``part..., value, _n`` (rows with this value), ``_rank``
@@ -42,9 +43,13 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
     (non-NULL rows up to and including ties), ``_run_sum`` (RANGE running
     sum of ``value``; NULL while only NULLs are in the frame) and ``_tot_k``
     (non-NULL rows of the partition). ``part`` may be empty (whole table).
+    ``n_keys`` (number of distinct ``part`` values) sizes the broadcasts of the
+    per-key tables; it is measured when not given.
     """
     v = F.col(value)
     keys = list(part)
+    if n_keys is None:
+        n_keys = key_profile(df, keys)[0]
     d = (df.groupBy(*keys, value)
          .agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"))
          .withColumn("_k", F.when(v.isNull(), F.lit(0)).otherwise(F.col("_n"))))
@@ -55,7 +60,7 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
     quantiles = F.percentile_approx(v, qs, 10_000).alias("_bounds")
     if keys:
         bounds = d.where(v.isNotNull()).groupBy(*keys).agg(quantiles)
-        d = join_null_safe(d, checked_broadcast(bounds), keys, "left")
+        d = join_null_safe(d, broadcast_if(bounds, n_keys), keys, "left")
     else:
         d = d.withColumn("_bounds", d.where(v.isNotNull()).agg(quantiles).scalar())
     if descending:
@@ -85,7 +90,7 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
         F.sum("_bs").over(before).alias("_os"),
         F.sum("_bk").over(whole).alias("_tot_k"),
     )
-    d = join_null_safe(d, checked_broadcast(offsets), keys + ["_slice"], "inner")
+    d = join_null_safe(d, broadcast_if(offsets, n_keys * (buckets + 2)), keys + ["_slice"], "inner")
 
     cum_k = F.col("_ok") + F.col("_lk")
     return d.select(
@@ -101,10 +106,12 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
 
 
 def rank_within(df: DataFrame, part: list[str], value: str, out: str, *, descending: bool = True,
-                nulls_first: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Append ``RANK() OVER (PARTITION BY part ORDER BY value ...)`` as ``out``."""
+                nulls_first: bool = True, buckets: int = DEFAULT_BUCKETS,
+                n_keys: int | None = None) -> DataFrame:
+    """Append ``RANK() OVER (PARTITION BY part ORDER BY value ...)`` as ``out``
+    using the sliced form (no task ever holds a whole key)."""
     pos = value_positions(df.select(*part, value), part, value, descending=descending,
-                          nulls_first=nulls_first, buckets=buckets)
+                          nulls_first=nulls_first, buckets=buckets, n_keys=n_keys)
     pos = pos.select(*part, value, F.col("_rank").alias(out))
     return join_null_safe(df, pos, list(part) + [value], "inner")
 
@@ -122,7 +129,7 @@ def running_sum_within(df: DataFrame, part: list[str], value: str, *, descending
 
 
 def exact_percentiles(df: DataFrame, part: list[str], value: str, ps: dict[str, str], *,
-                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      buckets: int = DEFAULT_BUCKETS, n_keys: int | None = None) -> DataFrame:
     """``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` per ``part``, exactly.
 
     ``ps`` maps output column -> p as a decimal string ("0.5"). NULL values are
@@ -132,7 +139,7 @@ def exact_percentiles(df: DataFrame, part: list[str], value: str, ps: dict[str,
     """
     v = F.col(value)
     pos = value_positions(df.where(v.isNotNull()).select(*part, value), part, value,
-                          descending=False, nulls_first=False, buckets=buckets)
+                          descending=False, nulls_first=False, buckets=buckets, n_keys=n_keys)
     first_idx = F.col("_rank") - F.lit(1)  # 0-based index of the first row with this value
     aggs, finals = [], []
     for name, p in ps.items():

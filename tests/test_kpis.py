@@ -9,6 +9,7 @@ from __spark_entry__ import edge
 from claimlens.operators import kpis, summaries
 from claimlens.operators.literal import LITERAL, literal_query
 from claimlens.plans.base import Star, shared_base
+from claimlens.plans.materialize import MAX_GROUP_ROWS_CONF
 from claimlens.schema import CODES_SCHEMA, PROVIDERS_SCHEMA, UTILIZATION_SCHEMA
 from tests.conftest import assert_same
 
@@ -68,8 +69,17 @@ SHAPED = {
 }
 
 
+@pytest.fixture(params=["window", "sliced"])
+def strategy(spark, request):
+    """Run with per-key windows, and with the distributed sliced form forced."""
+    if request.param == "sliced":
+        spark.conf.set(MAX_GROUP_ROWS_CONF, "0")
+    yield request.param
+    spark.conf.unset(MAX_GROUP_ROWS_CONF)
+
+
 @pytest.mark.parametrize("name", sorted(LITERAL))
-def test_shaped_equals_literal_on_edge_cases(spark, edge_star, name):
+def test_shaped_equals_literal_on_edge_cases(spark, edge_star, name, strategy):
     shaped = edge(SHAPED[name](edge_star))
     literal = edge(literal_query(spark, edge_star, name, k=2))
     assert_same(shaped, literal)
@@ -81,7 +91,7 @@ def test_shared_base_gives_identical_results(spark, edge_star, name):
     assert_same(edge(SHAPED[name](based)), edge(SHAPED[name](edge_star)))
 
 
-def test_outliers_edge_cases(edge_star):
+def test_outliers_edge_cases(edge_star, strategy):
     rows = {r.npi: r for r in kpis.provider_outliers(edge_star).collect()}
     # 4 (all NULL pay) and 5 (0 services) have NULL price: rank 1 ahead of everyone, never reported
     assert set(rows) == {3, 6}
@@ -109,7 +119,7 @@ def test_null_specialty_in_tables_but_not_in_efficiency(edge_star):
     assert {r.specialty for r in eff} == {"CARD", "ONE", "EDGE"}   # LOW has nobody at 10 beneficiaries
 
 
-def test_one_provider_specialty(edge_star):
+def test_one_provider_specialty(edge_star, strategy):
     one = [r for r in kpis.provider_efficiency(edge_star).collect() if r.specialty == "ONE"][0]
     assert one.specialty_stddev is None and one.z_score is None
     assert one.efficiency_tier == "Within IQR (Typical)"
