@@ -278,28 +278,17 @@ def provider_efficiency(star: Star, min_beneficiaries: int = MIN_BENEFICIARIES)
     """Each provider's payment per beneficiary against its specialty's
     distribution: z-score and IQR tier. NULL specialty drops out (plain
     equality join in the reference)."""
-    pe = provider_efficiency_base(star)
+    # read twice (statistics and report): written once rather than letting
+    # both branches re-aggregate the facts
+    pe = reliable(provider_efficiency_base(star))
     ppb = F.col("payment_per_beneficiary")
-    volume = F.col("total_beneficiaries") >= F.lit(min_beneficiaries)
-    if _specialty_fits_task(star):
-        # the statistics cover exactly the reported rows, so one window over
-        # the kept providers replaces the self-join
-        kept = pe.where(volume & F.col("specialty").isNotNull())
-        w = Window.partitionBy("specialty")
-        j = kept.select(
-            "*",
-            F.sum(ppb).over(w).alias("_sum"), F.count(ppb).over(w).alias("_cnt"),
-            F.stddev_samp(ppb).over(w).alias("_sd"),
-            F.min(ppb).over(w).alias("_min"), F.max(ppb).over(w).alias("_max"),
-            *[F.percentile(ppb, float(p)).over(w).alias(name) for name, p in _PCTS.items()],
-        )
-        j = j.select("*", *_stat_columns("specialty_"))
-    else:
-        pe = reliable(pe)
-        ss = specialty_distribution_of(pe, star, min_beneficiaries)
-        ss = ss.select("specialty", *[F.col(c).alias("specialty_" + c) for c in ss.columns
-                                      if c.endswith("_pay_per_bene")])
-        j = pe.where(volume).join(broadcast_if(ss, star.specialty_profile()[0]), "specialty")
+    ss = specialty_distribution_of(pe, star, min_beneficiaries)
+    ss = ss.select("specialty", *[F.col(c).alias("specialty_" + c) for c in ss.columns
+                                  if c.endswith("_pay_per_bene")])
+    kept = pe.where(F.col("total_beneficiaries") >= F.lit(min_beneficiaries))
+    # one row per specialty, measured: broadcast, so a hot specialty is never
+    # gathered by a shuffle join
+    j = kept.join(broadcast_if(ss, star.specialty_profile()[0]), "specialty")
     return j.select(
         "specialty", "npi",
         full_name("first_name", "last_org_name").alias("provider_name"),
