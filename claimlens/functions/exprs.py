@@ -94,3 +94,43 @@ def efficiency_tier(value, p25, p75) -> Column:
     return (F.when(v > _c(p75), F.lit(ABOVE_IQR))
             .when(v < _c(p25), F.lit(BELOW_IQR))
             .otherwise(F.lit(WITHIN_IQR)))
+
+
+# -- exact sample standard deviation ----------------------------------------
+
+def stddev_parts(x, scale: int = 2, prefix: str = "_sd") -> list[Column]:
+    """Aggregates from which :func:`stddev_rounded` decides ``ROUND(STDDEV(x), k)``
+    exactly: count, and sums of ``X = x * 10^scale`` and ``X^2`` as integers.
+    All three are ordinary partial aggregates (map-side combined)."""
+    big = F.col(x) if isinstance(x, str) else x
+    X = (big * F.lit(10 ** scale)).cast("decimal(38,0)")
+    return [F.count(big).alias(f"{prefix}_n"),
+            F.sum(X).alias(f"{prefix}_s1"),
+            F.sum((X * X).cast("decimal(38,0)")).alias(f"{prefix}_s2")]
+
+
+def stddev_rounded(scale: int = 2, prefix: str = "_sd") -> Column:
+    """``ROUND(STDDEV_SAMP(x), scale)`` as PostgreSQL computes it on numerics.
+
+    With integer ``X = x * 10^scale`` the sample variance of ``X`` is exactly
+    ``D / (n(n-1))`` with ``D = n*sum(X^2) - sum(X)^2``; the rounded result
+    times ``10^scale`` is the integer ``m`` with
+    ``(2m-1)^2 n(n-1) <= 4D < (2m+1)^2 n(n-1)``. A double estimate of ``m`` is
+    corrected by one step with that exact test. NULL for fewer than 2 values.
+    Inputs must carry at most ``scale`` decimals.
+    """
+    n = F.col(f"{prefix}_n").cast("decimal(38,0)")
+    s1, s2 = F.col(f"{prefix}_s1"), F.col(f"{prefix}_s2")
+    nn = F.when(n >= F.lit(2), n * (n - F.lit(1)))  # NULL below two values
+    d = n * s2 - s1 * s1
+    m0 = F.round(F.sqrt(d.cast("double") / nn.cast("double"))).cast("decimal(38,0)")
+
+    def bound(m, off):
+        t = F.lit(2) * m + F.lit(off)
+        return (t * t).cast("decimal(38,0)") * nn
+
+    four_d = F.lit(4) * d
+    m = (F.when((m0 > F.lit(0)) & (four_d < bound(m0, -1)), m0 - F.lit(1))
+          .when(four_d >= bound(m0, 1), m0 + F.lit(1))
+          .otherwise(m0))
+    return (m.cast(f"decimal(38,{scale})") / F.lit(10 ** scale)).cast(f"decimal(24,{scale})")

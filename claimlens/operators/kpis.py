@@ -33,6 +33,8 @@ from claimlens.functions.exprs import (
     outlier_flag,
     ratio,
     round_stat,
+    stddev_parts,
+    stddev_rounded,
 )
 from claimlens.plans.base import SUM_COLS, Star, rollup
 from claimlens.plans.materialize import broadcast_if, join_null_safe, reliable
@@ -233,7 +235,7 @@ def _stat_columns(prefix: str = "") -> list:
     """Rounded statistics from the raw aggregate columns ``_sum`` .. ``_p75``."""
     return [
         ratio("_sum", "_cnt").alias(prefix + "mean_pay_per_bene"),
-        round_stat("_sd").alias(prefix + "stddev_pay_per_bene"),
+        stddev_rounded().alias(prefix + "stddev_pay_per_bene"),
         F.round("_min", 2).alias(prefix + "min_pay_per_bene"),
         F.round("_max", 2).alias(prefix + "max_pay_per_bene"),
         round_stat("_p50").alias(prefix + "median_pay_per_bene"),
@@ -243,7 +245,7 @@ def _stat_columns(prefix: str = "") -> list:
 
 
 def _stat_aggs(x) -> list:
-    return [F.sum(x).alias("_sum"), F.count(x).alias("_cnt"), F.stddev_samp(x).alias("_sd"),
+    return [F.sum(x).alias("_sum"), F.count(x).alias("_cnt"), *stddev_parts(x),
             F.min(x).alias("_min"), F.max(x).alias("_max")]
 
 

@@ -74,3 +74,36 @@ def test_division_by_zero_raises_without_guard(spark):
     df = spark.createDataFrame([(D("1.00"), D("0.00"))], "a decimal(12,2), b decimal(12,2)")
     with pytest.raises(Exception):
         df.select((F.col("a") / F.col("b")).alias("q")).collect()
+
+
+def _exact_sd(values):
+    """ROUND(STDDEV_SAMP, 2) with exact decimal arithmetic (60 digits)."""
+    import decimal
+    ctx = decimal.Context(prec=60, rounding=decimal.ROUND_HALF_UP)
+    xs = [v for v in values if v is not None]
+    n = len(xs)
+    if n < 2:
+        return None
+    mean = ctx.divide(sum(xs), n)
+    var = ctx.divide(sum(ctx.multiply(x - mean, x - mean) for x in xs), n - 1)
+    return ctx.sqrt(var).quantize(D("0.01"), rounding=decimal.ROUND_HALF_UP)
+
+
+def test_exact_stddev_matches_decimal_arithmetic(spark):
+    import random
+    rnd = random.Random(11)
+    rows = []
+    for g in range(60):
+        size = rnd.choice([1, 2, 3, 5, 17, 40])
+        spread = rnd.choice([1, 100, 100000, 10**9])
+        for _ in range(size):
+            rows.append((g, None if rnd.random() < 0.05 else D(rnd.randint(0, spread)) / 100))
+    # values whose stddev sits exactly on / next to a rounding boundary
+    rows += [(1000, D("0.00")), (1000, D("0.01")), (1001, D("1.00")), (1001, D("1.00"))]
+    df = spark.createDataFrame(rows, "g int, x decimal(14,2)")
+    got = {r.g: r.sd for r in df.groupBy("g").agg(*X.stddev_parts("x"))
+           .select("g", X.stddev_rounded().alias("sd")).collect()}
+    by_g = {}
+    for g, x in rows:
+        by_g.setdefault(g, []).append(x)
+    assert got == {g: _exact_sd(v) for g, v in by_g.items()}
