@@ -6,6 +6,9 @@ Phases, mirroring how the reference is used (load tables, then query):
 
 * ``load_star``: driver tables -> star schema (+ shared pre-aggregate)
   written as parquet into the session's checkpoint folder;
+* ``load_from_csv``: the same rows as an extract CSV, scanned, normalised
+  (state filter, one row per NPI / code, typed facts) and written;
+  ``quality_report``: every constraint check on that loaded star;
 * each query in three forms over the written tables:
   ``<name>`` the shaped plan (production form, per query),
   ``shared/<name>`` the same operators over the shared (npi, code) base,
@@ -27,11 +30,11 @@ import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from claimlens.operators import kpis, summaries  # noqa: E402
+from claimlens.operators import kpis, quality, summaries  # noqa: E402
 from claimlens.operators.literal import LITERAL, literal_query  # noqa: E402
 from claimlens.plans.base import Star  # noqa: E402
 from claimlens.session import build_session, ensure_checkpoint_dir  # noqa: E402
-from claimlens.sources import fixtures, sinks  # noqa: E402
+from claimlens.sources import fixtures, loaders, sinks, staging  # noqa: E402
 
 QUERIES = {
     "specialty_spend": kpis.specialty_spend,
@@ -65,7 +68,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     reps = int(os.environ.get("BENCH_REPS", "3"))
-    forms = os.environ.get("BENCH_FORMS", "shaped,shared,literal").split(",")
+    forms = os.environ.get("BENCH_FORMS", "shaped,shared,literal,csv").split(",")
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus,
                           extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-star-{uuid.uuid4().hex}"
@@ -77,6 +80,20 @@ def main() -> None:
     times["load_star"] = round(time.perf_counter() - t, 3)
     log("load_star", times["load_star"])
 
+    if "csv" in forms:
+        # the extract as CSV (untimed), then the timed load: scan, normalise, write
+        csv_dir = f"{root}-extract"
+        staging.write_staging(fixtures.staging(spark, sf_dir), csv_dir)
+        t = time.perf_counter()
+        stg = staging.read_staging(spark, csv_dir, multi_line=False)
+        sinks.write_star(loaders.load_star(stg, loaders.DEFAULT_STATE), f"{root}-loaded",
+                         partitions=cpus, with_base=False)
+        times["load_from_csv"] = round(time.perf_counter() - t, 3)
+        log("load_from_csv", times["load_from_csv"])
+        loaded = sinks.read_star(spark, f"{root}-loaded")
+        times["quality_report"] = round(timed(lambda: quality.quality_report(loaded), reps), 3)
+        log("quality_report", times["quality_report"])
+
     star = sinks.read_star(spark, root)
     based = sinks.read_star(spark, root, with_base=True)
     for name, fn in QUERIES.items():

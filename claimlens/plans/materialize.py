@@ -7,8 +7,8 @@
 * :func:`key_profile` measures, in one small job, how many keys a table has and
   how many rows its largest key holds. Operators use it to decide whether a
   per-key window fits one task and whether per-key tables can be broadcast.
-* :func:`broadcast_if` / :func:`checked_broadcast` apply the broadcast hint only
-  below a row limit; above it the join stays a shuffle join (AQE skew
+* :func:`broadcast_if` applies the broadcast hint only when a measured row
+  bound is below the limit; above it the join stays a shuffle join (AQE skew
   splitting is enabled by the session).
 """
 
@@ -60,12 +60,6 @@ def broadcast_if(df: DataFrame, rows: int, max_rows: int = DEFAULT_BROADCAST_ROW
     return F.broadcast(df) if rows <= max_rows else df
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Count ``df`` (meant for small aggregates over materialised inputs) and
-    broadcast it only within the limit."""
-    return broadcast_if(df, df.count(), max_rows)
-
-
 def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str], prefix: str = "_r_"):
     """Rename ``right``'s keys and build a NULL-safe equality condition.
 
