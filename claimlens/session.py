@@ -20,6 +20,34 @@ BASE_CONF = {
 }
 
 
+# Sizing for large inputs, applied by :func:`apply_scale_defaults` only where the
+# session does not already set a value. AQE coalesces the many initial shuffle
+# partitions down to ~advisory-size pieces and splits skewed ones.
+SCALE_DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_scale_defaults(spark: SparkSession, overrides: dict | None = None) -> dict:
+    """Set :data:`SCALE_DEFAULTS` on an existing (cluster) session for every
+    key the session has not set explicitly; returns what was set. Values the
+    cluster configured are kept."""
+    applied = {}
+    for k, v in {**SCALE_DEFAULTS, **(overrides or {})}.items():
+        if spark.conf.get(k, None) is None:  # None: not set explicitly
+            spark.conf.set(k, v)
+            applied[k] = v
+    ensure_checkpoint_dir(spark)
+    return applied
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "claimlens", extra: dict | None = None) -> SparkSession:
     """Local/test session. On a cluster, use the cluster's session and only

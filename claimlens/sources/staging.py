@@ -58,3 +58,17 @@ def write_staging(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def staging_row_count(stg: DataFrame) -> DataFrame:
     """C20: load sanity count as a one-row frame."""
     return stg.agg(F.count(F.lit(1)).alias("staging_rows"))
+
+
+def invalid_text_rows(stg: DataFrame) -> DataFrame:
+    """Lines holding U+FFFD in any column.
+
+    PostgreSQL aborts a UTF8 load on an invalid byte sequence; Spark's CSV
+    reader replaces it with U+FFFD instead. This surfaces those lines (the
+    caller decides whether to abort) in one distributed filter.
+    """
+    bad = None
+    for c in stg.columns:
+        hit = F.coalesce(F.instr(F.col(c), "\ufffd") > 0, F.lit(False))
+        bad = hit if bad is None else (bad | hit)
+    return stg.where(bad)

@@ -162,3 +162,15 @@ def test_write_and_read_star(spark, scratch):
     back = sinks.read_star(spark, root, with_base=True)
     assert back.providers.count() == 2 and back.utilization.count() == 2 and back.base.count() == 2
     assert sorted(back.providers.columns) == sorted(star.providers.columns)
+
+
+def test_invalid_utf8_is_surfaced(spark, scratch):
+    p = os.path.join(scratch, "enc.csv")
+    _write(p, [_line(), _line(Rndrng_NPI="1000000002")])
+    with open(p, "ab") as fh:  # a line with a byte that is not UTF-8
+        good = _line(Rndrng_NPI="1000000003")
+        line = ",".join(_csv_field(good[c]) for c in STAGING_COLUMNS)
+        fh.write(line.replace("SMITH", "SM\xffITH").encode("latin-1") + b"\n")
+    stg = staging.read_staging(spark, p)
+    assert stg.count() == 3
+    assert [r.Rndrng_NPI for r in staging.invalid_text_rows(stg).collect()] == ["1000000003"]
