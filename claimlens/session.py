@@ -72,12 +72,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     setting is absent (local runs, tests) is a fresh scratch folder created.
     """
     sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
     if not d:
         d = tempfile.mkdtemp(prefix="claimlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - some sessions reject core keys; the context setting suffices
+            pass
     sc.setCheckpointDir(d)
-    return sc._jsc.sc().getCheckpointDir().get()
+    return sc.getCheckpointDir()

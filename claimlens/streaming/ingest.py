@@ -18,13 +18,15 @@ micro-batch of new files with Structured Streaming:
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from claimlens.plans.base import Star
-from claimlens.schema import STAGING_SCHEMA
+from claimlens.schema import CODES_SCHEMA, PROVIDERS_SCHEMA, STAGING_SCHEMA
 from claimlens.session import ensure_checkpoint_dir
 from claimlens.sources.loaders import DEFAULT_STATE, load_codes, load_providers, load_utilization
 from claimlens.sources.staging import csv_options
@@ -32,13 +34,20 @@ from claimlens.sources.staging import csv_options
 BATCH_COL = "load_batch"
 
 
-def _existing(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Rows written by earlier batches (a replayed batch ignores its own)."""
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    return df.where(F.col(BATCH_COL) < F.lit(batch_id))
+def _table_schema(schema: T.StructType) -> T.StructType:
+    fields = [T.StructField(f.name, f.dataType, True) for f in schema.fields]
+    return T.StructType(fields + [T.StructField(BATCH_COL, T.LongType(), True)])
+
+
+def _existing(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """Rows written by earlier batches (a replayed batch ignores its own).
+
+    The table is created empty on first use, so it can always be read with
+    its declared schema.
+    """
+    full = _table_schema(schema)
+    spark.createDataFrame([], full).write.mode("append").partitionBy(BATCH_COL).parquet(path)
+    return spark.read.schema(full).parquet(path).where(F.col(BATCH_COL) < F.lit(batch_id))
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -55,11 +64,10 @@ def load_batch(stg: DataFrame, batch_id: int, target_root: str, state: str = DEF
     root = target_root.rstrip("/")
     stg = stg.persist()  # read by three loads
     try:
-        providers = load_providers(stg, state)
-        old_p = _existing(spark, f"{root}/providers", batch_id)
-        if old_p is not None:
-            providers = providers.join(old_p.select("npi"), "npi", "left_anti")
-        codes = load_codes(stg, state, existing=_existing(spark, f"{root}/hcpcs_codes", batch_id))
+        old_p = _existing(spark, f"{root}/providers", PROVIDERS_SCHEMA, batch_id)
+        providers = load_providers(stg, state).join(old_p.select("npi"), "npi", "left_anti")
+        codes = load_codes(stg, state,
+                           existing=_existing(spark, f"{root}/hcpcs_codes", CODES_SCHEMA, batch_id))
         _write_batch(providers, f"{root}/providers", batch_id)
         _write_batch(codes, f"{root}/hcpcs_codes", batch_id)
         _write_batch(load_utilization(stg, state), f"{root}/utilization", batch_id)
@@ -82,7 +90,9 @@ def start_ingest(spark: SparkSession, source_dir: str, target_root: str, *,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.csv(source_dir)
-    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{abs(hash(target_root))}"
+    # stable per target, so a restarted ingest resumes from its own progress
+    tag = hashlib.sha1(target_root.rstrip("/").encode()).hexdigest()[:16]
+    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{tag}"
     writer = (stream.writeStream
               .foreachBatch(lambda df, bid: load_batch(df, bid, target_root, state))
               .option("checkpointLocation", ckpt))
