@@ -107,3 +107,23 @@ def test_exact_stddev_matches_decimal_arithmetic(spark):
     for g, x in rows:
         by_g.setdefault(g, []).append(x)
     assert got == {g: _exact_sd(v) for g, v in by_g.items()}
+
+
+@pytest.mark.parametrize("k,times", [(2, 1), (1, 100), (2, 100)])
+def test_ratio_matches_exact_decimal_arithmetic(spark, k, times):
+    import decimal
+    import random
+    rnd = random.Random(k * 1000 + times)
+    rows = []
+    for _ in range(4000):
+        a = D(rnd.randint(-10**13, 10**13)) / D(10**4)          # like SUM(avg * services)
+        b = D(rnd.choice([rnd.randint(1, 999), rnd.randint(1, 10**12)])) / D(100)
+        rows.append((a, b))
+    # values that land exactly on a half
+    rows += [(D("1.0050"), D("1.00")), (D("-2.6750"), D("1.00")), (D("0.0001"), D("0.02"))]
+    df = spark.createDataFrame(rows, "a decimal(22,4), b decimal(20,2)")
+    got = [r[0] for r in df.select(X.ratio("a", "b", k, times=times)).collect()]
+    q = D(1).scaleb(-k)
+    ctx = decimal.Context(prec=80)
+    want = [ctx.divide(a * times, b).quantize(q, rounding=decimal.ROUND_HALF_UP) for a, b in rows]
+    assert got == want
