@@ -13,8 +13,17 @@ the source script loads tables once and then runs its KPIs:
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlens.plans.base import Star, shared_base
+from claimlens.schema import CODES_SCHEMA, PROVIDERS_SCHEMA, UTILIZATION_SCHEMA
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``INSERT INTO t SELECT``: columns in the table's order, cast to its
+    declared types (ANSI: a value that does not fit raises)."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def export_summary(df: DataFrame, path: str, fmt: str = "csv", order_by: list[Column] | None = None,
@@ -45,9 +54,12 @@ def write_star(star: Star, root: str, partitions: int | None = None, with_base:
     root = root.rstrip("/")
     spark = star.providers.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    star.providers.write.mode("overwrite").partitionBy("state").parquet(f"{root}/providers")
-    star.codes.write.mode("overwrite").parquet(f"{root}/hcpcs_codes")
-    (star.utilization.repartition(n, "npi").sortWithinPartitions("npi", "hcpcs_cd")
+    providers = conform(star.providers, PROVIDERS_SCHEMA)
+    codes = conform(star.codes, CODES_SCHEMA)
+    util = conform(star.utilization, UTILIZATION_SCHEMA)
+    providers.write.mode("overwrite").partitionBy("state").parquet(f"{root}/providers")
+    codes.write.mode("overwrite").parquet(f"{root}/hcpcs_codes")
+    (util.repartition(n, "npi").sortWithinPartitions("npi", "hcpcs_cd")
         .write.mode("overwrite").parquet(f"{root}/utilization"))
     if with_base:
         util = spark.read.parquet(f"{root}/utilization")

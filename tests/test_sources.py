@@ -174,3 +174,24 @@ def test_invalid_utf8_is_surfaced(spark, scratch):
     stg = staging.read_staging(spark, p)
     assert stg.count() == 3
     assert [r.Rndrng_NPI for r in staging.invalid_text_rows(stg).collect()] == ["1000000003"]
+
+
+def test_loads_produce_the_declared_schemas(spark):
+    from claimlens.schema import CODES_SCHEMA, PROVIDERS_SCHEMA, UTILIZATION_SCHEMA
+    star = loaders.load_star(_stg(spark, [_line()]))
+    for df, schema in [(star.providers, PROVIDERS_SCHEMA), (star.codes, CODES_SCHEMA),
+                       (star.utilization, UTILIZATION_SCHEMA)]:
+        assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in schema]
+
+
+def test_scale_defaults_keep_explicit_settings(spark):
+    from claimlens.session import apply_scale_defaults
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    applied = apply_scale_defaults(spark, {"spark.sql.shuffle.partitions": "4"})
+    assert "spark.sql.files.maxPartitionBytes" not in applied
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "64m"
+    assert applied.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "256m"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"  # set by the test session
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
