@@ -17,6 +17,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlens.plans.materialize import broadcast_if
 from claimlens.schema import STAGING_COLUMNS
 
 MONEY_T = "decimal(12,2)"
@@ -40,8 +41,8 @@ def _customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey).drop("r_regionkey")
-    # nation x region is the fixed 25-row TPC-H geography: a bounded broadcast.
-    return cust.join(F.broadcast(geo), cust.c_nationkey == geo.n_nationkey)
+    # nation x region is the fixed 25-row geography; broadcast after counting it
+    return cust.join(broadcast_if(geo, geo.count()), cust.c_nationkey == geo.n_nationkey)
 
 
 def _provider_columns(k, raw_blank: bool):
