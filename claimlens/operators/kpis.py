@@ -38,7 +38,7 @@ from claimlens.functions.exprs import (
 )
 from claimlens.plans.base import SUM_COLS, Star, rollup
 from claimlens.plans.materialize import broadcast_if, join_null_safe, reliable
-from claimlens.plans.ranking import exact_percentiles, rank_within, top_k_ranked
+from claimlens.plans.ranking import exact_percentiles, rank_within, slice_count, top_k_ranked
 
 # Default parameters of the reference analysis.
 OUTLIER_PCT = 50        # |% deviation| above which a provider is an outlier
@@ -150,8 +150,9 @@ def provider_outliers(star: Star, pct_threshold: int = OUTLIER_PCT,
     else:
         # ranks of all providers; the filter below reads only ``dev`` columns,
         # so Catalyst applies it before the rank join
+        n_keys, largest = star.specialty_profile()
         ranked = rank_within(dev, ["specialty"], "provider_pay_per_svc", "specialty_rank",
-                             n_keys=star.specialty_profile()[0])
+                             n_keys=n_keys, buckets=slice_count(largest))
     out = ranked.where((F.abs("pct_deviation") > F.lit(pct_threshold))
                        & (F.col("total_services") >= F.lit(min_services)))
     return out.select(
@@ -262,8 +263,9 @@ def specialty_distribution_of(pe: DataFrame, star: Star,
         stats = f.groupBy("specialty").agg(n, *_stat_aggs(x), *pcts)
     else:
         stats = f.groupBy("specialty").agg(n, *_stat_aggs(x))
+        n_keys, largest = star.specialty_profile()
         pct = exact_percentiles(f, ["specialty"], "payment_per_beneficiary", _PCTS,
-                                n_keys=star.specialty_profile()[0])
+                                n_keys=n_keys, buckets=slice_count(largest))
         # both sides hold one row per specialty: no skew, any join strategy is fine
         stats = join_null_safe(stats, pct, ["specialty"], "left")
     return stats.select("specialty", "provider_count", *_stat_columns())

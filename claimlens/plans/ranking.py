@@ -31,6 +31,12 @@ from pyspark.sql import functions as F
 from claimlens.plans.materialize import broadcast_if, join_null_safe, key_profile
 
 DEFAULT_BUCKETS = 64
+SLICE_TARGET_ROWS = 1_000_000  # distinct values one slice window should sort
+
+
+def slice_count(largest_group: int, target: int = SLICE_TARGET_ROWS) -> int:
+    """Slices per key so that the largest key's slices hold ~``target`` values."""
+    return max(DEFAULT_BUCKETS, -(-largest_group // target))
 
 
 def value_positions(df: DataFrame, part: list[str], value: str, *, descending: bool = True,
@@ -57,7 +63,8 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
     # 2. slice boundaries per key (over distinct values, so slices balance the
     #    number of values each window below has to sort)
     qs = [i / buckets for i in range(1, buckets)]
-    quantiles = F.percentile_approx(v, qs, 10_000).alias("_bounds")
+    # accuracy well above the slice count keeps slice sizes even
+    quantiles = F.percentile_approx(v, qs, max(10_000, 20 * buckets)).alias("_bounds")
     if keys:
         bounds = d.where(v.isNotNull()).groupBy(*keys).agg(quantiles)
         d = join_null_safe(d, broadcast_if(bounds, n_keys), keys, "left")
