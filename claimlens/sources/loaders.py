@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions.exprs import blank_to_null
 from claimlens.plans.base import Star
+from claimlens.plans.materialize import reliable
 
 DEFAULT_STATE = "IL"  # Fixed value: the reference keeps Illinois providers only.
 
@@ -104,6 +105,13 @@ def load_utilization(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame:
     )
 
 
-def load_star(stg: DataFrame, state: str = DEFAULT_STATE) -> Star:
-    """All three loads over one staging frame (read it once: persist/write it)."""
+def load_star(stg: DataFrame, state: str = DEFAULT_STATE, stage: bool = True) -> Star:
+    """All three loads over one staging frame.
+
+    With ``stage`` the state's staging rows are written once as parquet to the
+    checkpoint folder first, so the extract is parsed once (not three times)
+    and each load reads only the columns it needs.
+    """
+    if stage:
+        stg = reliable(in_state(stg, state))
     return Star(load_providers(stg, state), load_codes(stg, state), load_utilization(stg, state))
