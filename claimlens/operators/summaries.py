@@ -115,3 +115,21 @@ def register_views(spark: SparkSession, star: Star) -> list[str]:
     for name, fn in VIEWS.items():
         fn(star).createOrReplaceTempView(name)
     return list(VIEWS)
+
+
+# The views small enough to hand over as one file: one row per specialty or
+# per code. The provider view grows with the data and stays multi-file.
+SINGLE_FILE_VIEWS = {"vw_specialty_summary", "vw_procedure_summary"}
+
+
+def export_views(star: Star, root: str, fmt: str = "csv") -> dict[str, str]:
+    """C15: write every summary view, sorted by its ORDER BY, under ``root``."""
+    from claimlens.sources.sinks import export_summary
+
+    out = {}
+    for name, fn in VIEWS.items():
+        path = f"{root.rstrip('/')}/{name}"
+        export_summary(fn(star), path, fmt, order_by=view_order(name),
+                       single_file=name in SINGLE_FILE_VIEWS)
+        out[name] = path
+    return out

@@ -150,3 +150,16 @@ def test_views_register(spark, edge_star):
     names = summaries.register_views(spark, edge_star)
     assert spark.table("vw_specialty_summary").count() == 5
     assert set(names) == set(summaries.VIEWS)
+
+
+def test_export_views(spark, edge_star, scratch):
+    import os
+    paths = summaries.export_views(edge_star, os.path.join(scratch, "export"))
+    assert set(paths) == set(summaries.VIEWS)
+    spec = [f for f in os.listdir(paths["vw_specialty_summary"]) if f.endswith(".csv")]
+    assert len(spec) == 1
+    back = spark.read.option("header", "true").csv(paths["vw_provider_kpi"])
+    assert back.count() == summaries.vw_provider_kpi(edge_star).count()
+    pays = [float(r.total_payment) if r.total_payment is not None else None
+            for r in spark.read.option("header", "true").csv(paths["vw_procedure_summary"]).collect()]
+    assert pays == sorted(pays, key=lambda p: (p is not None, -(p or 0)))   # NULL first, then descending
