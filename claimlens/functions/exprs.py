@@ -10,11 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Operand types for exact division. Spark sizes a decimal quotient from the
-# operand types; with (22,4) / (20,4) the quotient is decimal(38,16), so the
-# final ROUND(.., 1 or 2) is applied to a 16-digit value, not to Spark's
-# default 6-digit one (which would round twice).
-NUM_T = "decimal(22,4)"
-DEN_T = "decimal(20,4)"
+# operand types; with (26,4) / (22,4) the quotient is decimal(38,12), so the
+# final ROUND(.., 1 or 2) is applied to a 12-digit value, not to Spark's
+# default 6-digit one (which would round twice). Numerators up to 10^22 and
+# denominators up to 10^18 fit: national totals at many times today's volume.
+NUM_T = "decimal(26,4)"
+DEN_T = "decimal(22,4)"
+NUM100_T = "decimal(28,4)"
 STAT_T = "decimal(24,6)"
 
 
@@ -28,14 +30,14 @@ def blank_to_null(c) -> Column:
 
 
 def quotient(num, den, times: int = 1) -> Column:
-    """Exact ``num * times / NULLIF(den, 0)`` as decimal(38,>=12).
+    """Exact ``num * times / NULLIF(den, 0)`` as decimal(38,>=10).
 
     ``times`` is applied to the numerator before dividing so that
     percentages are not rounded twice.
     """
     n = _c(num).cast(NUM_T)
     if times != 1:
-        n = (n * F.lit(times)).cast("decimal(24,4)")
+        n = (n * F.lit(times)).cast(NUM100_T)
     d = F.nullif(_c(den).cast(DEN_T), F.lit(0).cast(DEN_T))
     return n / d
 

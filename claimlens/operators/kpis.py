@@ -26,7 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.exprs import (
+    DEN_T,
     DRUG_LABEL_RANKING,
+    NUM100_T,
+    NUM_T,
     code_type,
     efficiency_tier,
     full_name,
@@ -201,8 +204,8 @@ def top_procedures(star: Star, k: int = TOP_K) -> DataFrame:
     else:
         # distributed top-k; rank / running share from k rows + two scalars
         top = top_k_ranked(reliable(procedure_spend(star)), "total_payment", ["hcpcs_cd"], k)
-    share = F.round((F.col("_run_sum").cast("decimal(22,4)") * F.lit(100)).cast("decimal(24,4)")
-                    / F.col("_grand").cast("decimal(20,4)"), 1)
+    share = F.round((F.col("_run_sum").cast(NUM_T) * F.lit(100)).cast(NUM100_T)
+                    / F.col("_grand").cast(DEN_T), 1)
     return top.select(
         F.col("_rank").alias("cost_rank"),
         "hcpcs_cd", "hcpcs_desc",
