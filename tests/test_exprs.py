@@ -127,3 +127,14 @@ def test_ratio_matches_exact_decimal_arithmetic(spark, k, times):
     ctx = decimal.Context(prec=80)
     want = [ctx.divide(a * times, b).quantize(q, rounding=decimal.ROUND_HALF_UP) for a, b in rows]
     assert got == want
+
+
+def test_ratio_handles_national_scale_sums(spark):
+    # sums far beyond one state's year: 10^21 dollars over 10^17 services
+    a, b = D("123456789012345678901.2345"), D("98765432109876543.21")
+    df = spark.createDataFrame([(a, b)], "a decimal(35,4), b decimal(32,2)")
+    r = df.select(X.ratio("a", "b").alias("r"), X.ratio("a", "b", 1, times=100).alias("p")).first()
+    import decimal
+    ctx = decimal.Context(prec=60)
+    assert r.r == ctx.divide(a, b).quantize(D("0.01"), rounding=decimal.ROUND_HALF_UP)
+    assert r.p == ctx.divide(a * 100, b).quantize(D("0.1"), rounding=decimal.ROUND_HALF_UP)
