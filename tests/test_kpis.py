@@ -163,3 +163,24 @@ def test_export_views(spark, edge_star, scratch):
     pays = [float(r.total_payment) if r.total_payment is not None else None
             for r in spark.read.option("header", "true").csv(paths["vw_procedure_summary"]).collect()]
     assert pays == sorted(pays, key=lambda p: (p is not None, -(p or 0)))   # NULL first, then descending
+
+
+def test_percentile_fixture_through_the_distribution(spark, strategy):
+    # payment per beneficiary 1.00, 1.01, 3.00, 8.07 and NULL in one specialty
+    pe = spark.createDataFrame(
+        [("S", 20, D("1.00")), ("S", 20, D("1.01")), ("S", 20, D("3.00")), ("S", 20, D("8.07")),
+         ("S", 20, None)],
+        "specialty string, total_beneficiaries bigint, payment_per_beneficiary decimal(38,2)")
+    providers = spark.createDataFrame([_prov(i, "S") for i in range(5)], PROVIDERS_SCHEMA)
+    star = Star(providers, None, None)
+    r = kpis.specialty_distribution_of(pe, star).collect()[0]
+    assert r.provider_count == 5
+    assert (r.mean_pay_per_bene, r.stddev_pay_per_bene) == (D("3.27"), D("3.34"))
+    assert (r.median_pay_per_bene, r.p25_pay_per_bene, r.p75_pay_per_bene) == (D("2.01"), D("1.01"), D("4.27"))
+    assert (r.min_pay_per_bene, r.max_pay_per_bene) == (D("1.00"), D("8.07"))
+
+
+def test_exactly_ten_beneficiaries_is_kept(edge_star):
+    eff = {r.npi for r in kpis.provider_efficiency(edge_star).collect()}
+    assert 3 in eff          # 10 beneficiaries exactly
+    assert 9 not in eff      # 5 beneficiaries
