@@ -40,10 +40,20 @@ def in_state(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame:
     return stg.where(F.col("Rndrng_Prvdr_State_Abrvtn") == F.lit(state))
 
 
-def load_providers(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame:
-    """C2: one provider row per NPI of ``state``."""
+def provider_candidates(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame:
+    """Smallest raw row per NPI text of ``state``: ``(Rndrng_NPI, r)``.
+
+    ``min`` is associative, so candidates from separate inputs (files,
+    micro-batches) combine with :func:`providers_from_candidates` into exactly
+    the pick a single load over all inputs makes.
+    """
     s = in_state(stg, state).select("Rndrng_NPI", *_PROVIDER_SRC)
-    pick = s.groupBy("Rndrng_NPI").agg(F.min(F.struct(*_PROVIDER_SRC)).alias("r"))
+    return s.groupBy("Rndrng_NPI").agg(F.min(F.struct(*_PROVIDER_SRC)).alias("r"))
+
+
+def providers_from_candidates(cands: DataFrame) -> DataFrame:
+    """Typed provider rows from one or more sets of candidates."""
+    pick = cands.groupBy("Rndrng_NPI").agg(F.min("r").alias("r"))
     r = lambda c: F.col("r." + c)
     return pick.select(
         F.col("Rndrng_NPI").cast("bigint").alias("npi"),
@@ -66,19 +76,33 @@ def load_providers(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame:
     )
 
 
-def load_codes(stg: DataFrame, state: str = DEFAULT_STATE, existing: DataFrame | None = None) -> DataFrame:
-    """C3: distinct codes of ``state``, first description per code wins.
+def load_providers(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame:
+    """C2: one provider row per NPI of ``state``."""
+    return providers_from_candidates(provider_candidates(stg, state))
 
-    With ``existing``, codes already present there are left out (insert only
-    what does not conflict), which makes repeated loads idempotent.
-    """
+
+def code_candidates(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame:
+    """Smallest (description, drug flag) per code of ``state``: ``(HCPCS_Cd, r)``."""
     s = in_state(stg, state).select("HCPCS_Cd", "HCPCS_Desc", "HCPCS_Drug_Ind")
-    pick = s.groupBy("HCPCS_Cd").agg(F.min(F.struct("HCPCS_Desc", "HCPCS_Drug_Ind")).alias("r"))
-    out = pick.select(
+    return s.groupBy("HCPCS_Cd").agg(F.min(F.struct("HCPCS_Desc", "HCPCS_Drug_Ind")).alias("r"))
+
+
+def codes_from_candidates(cands: DataFrame) -> DataFrame:
+    pick = cands.groupBy("HCPCS_Cd").agg(F.min("r").alias("r"))
+    return pick.select(
         F.col("HCPCS_Cd").alias("hcpcs_cd"),
         F.col("r.HCPCS_Desc").alias("hcpcs_desc"),
         F.col("r.HCPCS_Drug_Ind").alias("drug_indicator"),
     )
+
+
+def load_codes(stg: DataFrame, state: str = DEFAULT_STATE, existing: DataFrame | None = None) -> DataFrame:
+    """C3: distinct codes of ``state``, first description per code wins.
+
+    With ``existing``, codes already present there are left out (insert only
+    what does not conflict), which makes repeated loads idempotent.
+    """
+    out = codes_from_candidates(code_candidates(stg, state))
     if existing is not None:
         out = out.join(existing.select("hcpcs_cd"), "hcpcs_cd", "left_anti")
     return out

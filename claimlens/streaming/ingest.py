@@ -6,14 +6,17 @@ micro-batch of new files with Structured Streaming:
 
 * the file source tracks which files were loaded (checkpoint location), so
   each file is loaded once;
-* every batch applies the batch loads of :mod:`claimlens.sources.loaders`
-  (state filter, one row per NPI / code, typed facts);
-* providers and codes already present in the target are left as they are:
-  insert-if-absent, the ``ON CONFLICT DO NOTHING`` rule of the code load,
-  applied to providers as well so reloading never duplicates a key;
-* every table gets a ``load_batch`` partition column and a batch rewrites
-  only its own partition (dynamic partition overwrite), so a batch that is
-  retried after a failure leaves the same files as one that ran once.
+* every batch applies the loads of :mod:`claimlens.sources.loaders` (state
+  filter, typed facts) and appends, per provider and per code, the batch's
+  smallest raw row as a *candidate*;
+* the provider and code tables are the smallest candidate per key over all
+  batches. ``min`` is associative, so the result is exactly the one-shot load
+  of all files — however the files were split into batches or ordered — and
+  the per-key reduction is a map-side combined aggregate (a key on a third of
+  all lines costs one row per task);
+* every table has a ``load_batch`` partition column and a batch rewrites only
+  its own partition (dynamic partition overwrite), so a batch retried after a
+  failure leaves the same files as one that ran once.
 """
 
 from __future__ import annotations
@@ -22,32 +25,25 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from claimlens.plans.base import Star
-from claimlens.schema import CODES_SCHEMA, PROVIDERS_SCHEMA, STAGING_SCHEMA
+from claimlens.schema import STAGING_SCHEMA
 from claimlens.session import ensure_checkpoint_dir
-from claimlens.sources.loaders import DEFAULT_STATE, load_codes, load_providers, load_utilization
+from claimlens.sources.loaders import (
+    DEFAULT_STATE,
+    code_candidates,
+    codes_from_candidates,
+    load_utilization,
+    provider_candidates,
+    providers_from_candidates,
+)
 from claimlens.sources.staging import csv_options
 
 BATCH_COL = "load_batch"
-
-
-def _table_schema(schema: T.StructType) -> T.StructType:
-    fields = [T.StructField(f.name, f.dataType, True) for f in schema.fields]
-    return T.StructType(fields + [T.StructField(BATCH_COL, T.LongType(), True)])
-
-
-def _existing(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """Rows written by earlier batches (a replayed batch ignores its own).
-
-    The table is created empty on first use, so it can always be read with
-    its declared schema.
-    """
-    full = _table_schema(schema)
-    spark.createDataFrame([], full).write.mode("append").partitionBy(BATCH_COL).parquet(path)
-    return spark.read.schema(full).parquet(path).where(F.col(BATCH_COL) < F.lit(batch_id))
+PROVIDER_CANDIDATES = "provider_candidates"
+CODE_CANDIDATES = "code_candidates"
+FACTS = "utilization"
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -59,18 +55,13 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def load_batch(stg: DataFrame, batch_id: int, target_root: str, state: str = DEFAULT_STATE) -> None:
-    """Load one batch of staging rows into the star under ``target_root``."""
-    spark = stg.sparkSession
+    """Load one batch of staging rows into the tables under ``target_root``."""
     root = target_root.rstrip("/")
     stg = stg.persist()  # read by three loads
     try:
-        old_p = _existing(spark, f"{root}/providers", PROVIDERS_SCHEMA, batch_id)
-        providers = load_providers(stg, state).join(old_p.select("npi"), "npi", "left_anti")
-        codes = load_codes(stg, state,
-                           existing=_existing(spark, f"{root}/hcpcs_codes", CODES_SCHEMA, batch_id))
-        _write_batch(providers, f"{root}/providers", batch_id)
-        _write_batch(codes, f"{root}/hcpcs_codes", batch_id)
-        _write_batch(load_utilization(stg, state), f"{root}/utilization", batch_id)
+        _write_batch(provider_candidates(stg, state), f"{root}/{PROVIDER_CANDIDATES}", batch_id)
+        _write_batch(code_candidates(stg, state), f"{root}/{CODE_CANDIDATES}", batch_id)
+        _write_batch(load_utilization(stg, state), f"{root}/{FACTS}", batch_id)
     finally:
         stg.unpersist()
 
@@ -104,8 +95,9 @@ def start_ingest(spark: SparkSession, source_dir: str, target_root: str, *,
 
 
 def read_loaded(spark: SparkSession, target_root: str) -> Star:
-    """The incrementally loaded star (``load_batch`` kept as a column)."""
+    """The incrementally loaded star: providers and codes reduced from their
+    candidates, facts as appended (``load_batch`` kept as a column)."""
     root = target_root.rstrip("/")
-    return Star(spark.read.parquet(f"{root}/providers"),
-                spark.read.parquet(f"{root}/hcpcs_codes"),
-                spark.read.parquet(f"{root}/utilization"))
+    return Star(providers_from_candidates(spark.read.parquet(f"{root}/{PROVIDER_CANDIDATES}")),
+                codes_from_candidates(spark.read.parquet(f"{root}/{CODE_CANDIDATES}")),
+                spark.read.parquet(f"{root}/{FACTS}"))

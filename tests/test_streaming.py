@@ -1,12 +1,14 @@
-"""Incremental loading: files arriving over time, insert-if-absent keys,
-idempotent replays."""
+"""Incremental loading: files arriving over time give the one-shot load;
+replayed batches are idempotent."""
 
 import os
 
 from pyspark.sql import functions as F
 
 from claimlens.operators import kpis
+from claimlens.sources import loaders, staging
 from claimlens.streaming.ingest import load_batch, read_loaded, start_ingest
+from tests.conftest import assert_same
 from tests.test_sources import _line, _stg, _write
 
 
@@ -35,10 +37,15 @@ def test_files_arriving_over_time(spark, scratch):
     q.awaitTermination(120)
     star = read_loaded(spark, target)
     provs = {r.npi: r.street_1 for r in star.providers.collect()}
-    assert provs == {1: "1 FIRST ST", 2: "1 MAIN ST", 3: "1 MAIN ST"}   # first load wins
+    assert provs == {1: "0 NEW ST", 2: "1 MAIN ST", 3: "1 MAIN ST"}   # smallest row over all files
     codes = {r.hcpcs_cd: r.hcpcs_desc for r in star.codes.collect()}
-    assert codes == {"A1": "first", "B2": "Office visit", "C3": "Office visit"}
+    assert codes == {"A1": "changed", "B2": "Office visit", "C3": "Office visit"}
     assert star.utilization.count() == 4                                  # every fact line kept
+    # exactly what one load over both files gives
+    once = loaders.load_star(staging.read_staging(spark, src), stage=False)
+    assert_same(star.providers, once.providers)
+    assert_same(star.codes, once.codes)
+    assert_same(star.utilization.drop("load_batch"), once.utilization)
     assert star.utilization.select(F.countDistinct("load_batch")).first()[0] == 2
 
     # nothing new: no batch, nothing changes
