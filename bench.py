@@ -14,8 +14,10 @@ Phases, mirroring how the reference is used (load tables, then query):
   ``shared/<name>`` the same operators over the shared (npi, code) base,
   ``literal/<name>`` the reference SQL run as written through ``spark.sql``.
 
-Each query runs once to warm up, then ``BENCH_REPS`` times (default 3); the
-median is reported. Output: one JSON line on stdout.
+Every form of a query runs once to warm up, then the forms are timed in
+turn ``BENCH_REPS`` times (default 3, interleaved so that JIT warm-up and
+machine drift fall on all forms alike); the median is reported. Output: one
+JSON line on stdout.
 """
 
 from __future__ import annotations
@@ -97,15 +99,22 @@ def main() -> None:
     star = sinks.read_star(spark, root)
     based = sinks.read_star(spark, root, with_base=True)
     for name, fn in QUERIES.items():
+        variants = {}
         if "shaped" in forms:
-            times[name] = round(timed(lambda: fn(star), reps), 3)
-            log(name, times[name])
+            variants[name] = lambda fn=fn: fn(star)
         if "shared" in forms:
-            times[f"shared/{name}"] = round(timed(lambda: fn(based), reps), 3)
-            log(f"shared/{name}", times[f"shared/{name}"])
+            variants[f"shared/{name}"] = lambda fn=fn: fn(based)
         if "literal" in forms and name in LITERAL:
-            times[f"literal/{name}"] = round(timed(lambda: literal_query(spark, star, name), reps), 3)
-            log(f"literal/{name}", times[f"literal/{name}"])
+            variants[f"literal/{name}"] = lambda name=name: literal_query(spark, star, name)
+        for g in variants.values():  # warm every form before timing any of them
+            run(g)
+        samples = {k: [] for k in variants}
+        for _ in range(reps):  # interleave, so drift hits all forms alike
+            for k, g in variants.items():
+                samples[k].append(run(g))
+        for k, v in samples.items():
+            times[k] = round(statistics.median(v), 3)
+            log(k, times[k])
 
     shaped = [times[q] for q in QUERIES if q in times]
     m = re.search(r"sf([0-9.]+)", sf_dir)
