@@ -67,7 +67,8 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
     quantiles = F.percentile_approx(v, qs, max(10_000, 20 * buckets)).alias("_bounds")
     if keys:
         bounds = d.where(v.isNotNull()).groupBy(*keys).agg(quantiles)
-        d = join_null_safe(d, broadcast_if(bounds, n_keys), keys, "left")
+        # one row per key, but each carries buckets - 1 bounds: size by values
+        d = join_null_safe(d, broadcast_if(bounds, n_keys * buckets), keys, "left")
     else:
         d = d.withColumn("_bounds", d.where(v.isNotNull()).agg(quantiles).scalar())
     if descending:
