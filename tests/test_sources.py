@@ -195,3 +195,20 @@ def test_scale_defaults_keep_explicit_settings(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"  # set by the test session
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_hot_provider_spreads_over_files(spark, scratch):
+    from pyspark.sql import functions as F
+    from claimlens.plans.base import Star
+    from claimlens.schema import CODES_SCHEMA, PROVIDERS_SCHEMA, UTILIZATION_SCHEMA
+    # provider 1 holds two thirds of all facts
+    facts = [(1 if i % 3 else 2 + i, f"C{i % 500}", "O", 1, D("1.00"), D("1.00"), D("1.00"),
+              D("1.00"), D("1.00"), D("1.00")) for i in range(3000)]
+    util = spark.createDataFrame(facts, UTILIZATION_SCHEMA)
+    prov = spark.createDataFrame([], PROVIDERS_SCHEMA)
+    codes = spark.createDataFrame([], CODES_SCHEMA)
+    root = os.path.join(scratch, "star")
+    sinks.write_star(Star(prov, codes, util), root, partitions=4, with_base=False)
+    per_file = (spark.read.parquet(os.path.join(root, "utilization"))
+                .where(F.col("npi") == 1).groupBy(F.input_file_name()).count().collect())
+    assert len(per_file) >= 2          # the hot provider is not one task's file
