@@ -83,7 +83,7 @@ def specialty_spend(star: Star) -> DataFrame:
         F.round("alw", 2).alias("total_medicare_allowed"),
         F.round("sub", 2).alias("total_submitted_charges"),
         ratio("pay", "alw", 1, times=100).alias("pct_allowed_paid_by_medicare"),
-    ).orderBy(F.col("total_medicare_payment").desc_nulls_first())
+    ).orderBy(F.col("total_medicare_payment").desc_nulls_first(), F.col("specialty").asc_nulls_last())
 
 
 # -- C6 --------------------------------------------------------------------
@@ -99,7 +99,7 @@ def specialty_unit_cost(star: Star) -> DataFrame:
         ratio("alw", "srv").alias("avg_allowed_per_service"),
         ratio("std", "srv").alias("avg_standardized_per_service"),
         ratio("pay", "benes").alias("avg_payment_per_beneficiary"),
-    ).orderBy(F.col("avg_payment_per_service").desc_nulls_first())
+    ).orderBy(F.col("avg_payment_per_service").desc_nulls_first(), F.col("specialty").asc_nulls_last())
 
 
 # -- C7 / C8 ---------------------------------------------------------------
@@ -164,7 +164,8 @@ def provider_outliers(star: Star, pct_threshold: int = OUTLIER_PCT,
         "credentials", "city", "total_services", "total_beneficiaries", "total_payment",
         "provider_pay_per_svc", "specialty_avg_pay_per_svc", "deviation_from_avg", "pct_deviation",
         outlier_flag("pct_deviation", pct_threshold).alias("outlier_flag"),
-    ).orderBy(F.col("specialty").asc_nulls_last(), F.col("pct_deviation").desc_nulls_first())
+    ).orderBy(F.col("specialty").asc_nulls_last(), F.col("pct_deviation").desc_nulls_first(),
+              F.col("npi"))  # tie-breaker: lets the range sort split a tie group
 
 
 # -- C9 --------------------------------------------------------------------
@@ -309,4 +310,5 @@ def provider_efficiency(star: Star, min_beneficiaries: int = MIN_BENEFICIARIES)
         F.col("specialty_p75_pay_per_bene").alias("specialty_p75"),
         ratio(ppb - F.col("specialty_mean_pay_per_bene"), "specialty_stddev_pay_per_bene").alias("z_score"),
         efficiency_tier(ppb, "specialty_p25_pay_per_bene", "specialty_p75_pay_per_bene").alias("efficiency_tier"),
-    ).orderBy(F.col("specialty").asc_nulls_last(), ppb.desc_nulls_first())
+    ).orderBy(F.col("specialty").asc_nulls_last(), ppb.desc_nulls_first(),
+              F.col("npi"))  # tie-breaker: lets the range sort split a tie group

@@ -96,11 +96,13 @@ VIEWS = {
     "vw_provider_kpi": vw_provider_kpi,
 }
 
-# The views' ORDER BY (column, descending), applied when exporting.
+# The views' ORDER BY (column, descending), applied when exporting, plus the
+# view's key as a tie-breaker: the reference leaves tie order open, and the key
+# lets the distributed range sort split a group of equal totals.
 VIEW_ORDER = {
-    "vw_specialty_summary": [("total_payment", True)],
-    "vw_procedure_summary": [("total_payment", True)],
-    "vw_provider_kpi": [("total_payment", True)],
+    "vw_specialty_summary": [("total_payment", True), ("specialty", False)],
+    "vw_procedure_summary": [("total_payment", True), ("hcpcs_cd", False)],
+    "vw_provider_kpi": [("total_payment", True), ("npi", False)],
 }
 
 
