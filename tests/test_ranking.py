@@ -99,3 +99,25 @@ def test_percentile_fixture(spark):
                                 (4, "s", D("8.07")), (5, "s", None)], SCHEMA)
     r = exact_percentiles(df, ["k"], "v", {"m": "0.5", "q1": "0.25"}).collect()[0]
     assert r.m == D("2.005") and r.q1 == D("1.0075")
+
+
+def test_hot_key_and_hot_value_match_window(spark):
+    # key "hot" holds ~80 % of rows; within it one value holds ~40 % and NULL ~20 %
+    rnd = random.Random(99)
+    rows = []
+    for i in range(3000):
+        k = "hot" if i % 5 else rnd.choice(["a", "b"])
+        r = rnd.random()
+        v = D("7.25") if r < 0.4 else (None if r < 0.6 else D(rnd.randint(0, 400)) / D(4))
+        rows.append((i, k, v))
+    df = spark.createDataFrame(rows, SCHEMA)
+    w = Window.partitionBy("k").orderBy(F.col("v").desc_nulls_first())
+    expected = df.select("id", F.rank().over(w).cast("bigint").alias("r"), F.sum("v").over(w).alias("s"))
+    got = running_sum_within(df, ["k"], "v", buckets=16).select(
+        "id", F.col("_rank").cast("bigint").alias("r"), F.col("_run_sum").alias("s"))
+    assert_same(got, expected)
+    exp_p = df.groupBy("k").agg(F.round(F.expr("percentile_cont(0.5) within group (order by v)")
+                                        .cast("decimal(24,6)"), 6).alias("m"))
+    got_p = exact_percentiles(df, ["k"], "v", {"m": "0.5"}, buckets=16).select(
+        "k", F.round(F.col("m").cast("decimal(24,6)"), 6).alias("m"))
+    assert_same(got_p, exp_p)
