@@ -8,6 +8,7 @@ plans/      hand-shaped plan pieces Catalyst does not derive on its own
             (shared pre-aggregate, checked broadcast, distributed rank/percentile)
 operators/  the KPI queries, summary views and data-quality checks
 streaming/  incremental loading of newly arriving extract files
+jobs.py     end-to-end load and report jobs (``python -m claimlens``)
 """
 
 from claimlens.session import build_session, ensure_checkpoint_dir
