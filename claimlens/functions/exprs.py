@@ -100,15 +100,15 @@ def efficiency_tier(value, p25, p75) -> Column:
 
 # -- exact sample standard deviation ----------------------------------------
 
-def stddev_parts(x, scale: int = 2, prefix: str = "_sd") -> list[Column]:
+def stddev_parts(x, scale: int = 2, prefix: str = "_sd", over=None) -> list[Column]:
     """Aggregates from which :func:`stddev_rounded` decides ``ROUND(STDDEV(x), k)``
     exactly: count, and sums of ``X = x * 10^scale`` and ``X^2`` as integers.
-    All three are ordinary partial aggregates (map-side combined)."""
+    All three are ordinary partial aggregates (map-side combined); with
+    ``over`` they are evaluated as window aggregates instead."""
     big = F.col(x) if isinstance(x, str) else x
     X = (big * F.lit(10 ** scale)).cast("decimal(38,0)")
-    return [F.count(big).alias(f"{prefix}_n"),
-            F.sum(X).alias(f"{prefix}_s1"),
-            F.sum((X * X).cast("decimal(38,0)")).alias(f"{prefix}_s2")]
+    parts = [(F.count(big), "_n"), (F.sum(X), "_s1"), (F.sum((X * X).cast("decimal(38,0)")), "_s2")]
+    return [(a.over(over) if over is not None else a).alias(prefix + suffix) for a, suffix in parts]
 
 
 def stddev_rounded(scale: int = 2, prefix: str = "_sd") -> Column:

@@ -249,9 +249,12 @@ def _stat_columns(prefix: str = "") -> list:
     ]
 
 
-def _stat_aggs(x) -> list:
-    return [F.sum(x).alias("_sum"), F.count(x).alias("_cnt"), *stddev_parts(x),
-            F.min(x).alias("_min"), F.max(x).alias("_max")]
+def _stat_aggs(x, over=None) -> list:
+    """Raw statistic aggregates; window aggregates when ``over`` is given."""
+    def o(a):
+        return a.over(over) if over is not None else a
+    return [o(F.sum(x)).alias("_sum"), o(F.count(x)).alias("_cnt"), *stddev_parts(x, over=over),
+            o(F.min(x)).alias("_min"), o(F.max(x)).alias("_max")]
 
 
 def specialty_distribution_of(pe: DataFrame, star: Star,
@@ -286,17 +289,27 @@ def provider_efficiency(star: Star, min_beneficiaries: int = MIN_BENEFICIARIES)
     """Each provider's payment per beneficiary against its specialty's
     distribution: z-score and IQR tier. NULL specialty drops out (plain
     equality join in the reference)."""
-    # read twice (statistics and report): written once rather than letting
-    # both branches re-aggregate the facts
-    pe = reliable(provider_efficiency_base(star))
+    pe = provider_efficiency_base(star)
     ppb = F.col("payment_per_beneficiary")
-    ss = specialty_distribution_of(pe, star, min_beneficiaries)
-    ss = ss.select("specialty", *[F.col(c).alias("specialty_" + c) for c in ss.columns
-                                  if c.endswith("_pay_per_bene")])
-    kept = pe.where(F.col("total_beneficiaries") >= F.lit(min_beneficiaries))
-    # one row per specialty, measured: broadcast, so a hot specialty is never
-    # gathered by a shuffle join
-    j = kept.join(broadcast_if(ss, star.specialty_profile()[0]), "specialty")
+    volume = F.col("total_beneficiaries") >= F.lit(min_beneficiaries)
+    if _specialty_fits_task(star):
+        # every specialty fits one task: the statistics are window aggregates
+        # over exactly the reported rows — one fact pass, no self-join
+        kept = pe.where(volume & F.col("specialty").isNotNull())
+        w = Window.partitionBy("specialty")
+        j = kept.select("*", *_stat_aggs(ppb, over=w),
+                        *[F.percentile(ppb, float(p)).over(w).alias(n) for n, p in _PCTS.items()])
+        j = j.select("*", *_stat_columns("specialty_"))
+    else:
+        # read twice (statistics and report): written once rather than letting
+        # both branches re-aggregate the facts
+        pe = reliable(pe)
+        ss = specialty_distribution_of(pe, star, min_beneficiaries)
+        ss = ss.select("specialty", *[F.col(c).alias("specialty_" + c) for c in ss.columns
+                                      if c.endswith("_pay_per_bene")])
+        # one row per specialty, measured: broadcast, so a hot specialty is never
+        # gathered by a shuffle join
+        j = pe.where(volume).join(broadcast_if(ss, star.specialty_profile()[0]), "specialty")
     return j.select(
         "specialty", "npi",
         full_name("first_name", "last_org_name").alias("provider_name"),
