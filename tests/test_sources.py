@@ -215,3 +215,27 @@ def test_hot_provider_spreads_over_files(spark, scratch):
     per_file = (spark.read.parquet(os.path.join(root, "utilization"))
                 .where(F.col("npi") == 1).groupBy(F.input_file_name()).count().collect())
     assert len(per_file) >= 2          # the hot provider is not one task's file
+
+
+def test_cluster_without_checkpoint_dir_is_an_error():
+    from claimlens.session import ensure_checkpoint_dir
+
+    class _Conf:
+        def get(self, key, default=None):
+            return default
+
+    class _Ctx:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return _Conf()
+
+    class _Session:
+        sparkContext = _Ctx()
+        conf = _Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(_Session())
