@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -94,10 +95,59 @@ def start_ingest(spark: SparkSession, source_dir: str, target_root: str, *,
     return writer.start()
 
 
+SNAPSHOT_COL = "upto"
+_KEYS = {PROVIDER_CANDIDATES: "Rndrng_NPI", CODE_CANDIDATES: "HCPCS_Cd"}
+
+
+def _latest_snapshot(spark: SparkSession, root: str, table: str):
+    """(rows, upto) of the newest compacted snapshot, or (None, -1)."""
+    try:
+        snaps = spark.read.parquet(f"{root}/{table}_snapshot")
+    except AnalysisException:  # no compaction has run yet
+        return None, -1
+    upto = snaps.agg(F.max(SNAPSHOT_COL)).first()[0]
+    if upto is None:
+        return None, -1
+    return snaps.where(F.col(SNAPSHOT_COL) == F.lit(upto)).drop(SNAPSHOT_COL), int(upto)
+
+
+def _current_candidates(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The latest snapshot plus only the candidate batches written after it
+    (partition-pruned on ``load_batch``)."""
+    snap, upto = _latest_snapshot(spark, root, table)
+    newer = (spark.read.parquet(f"{root}/{table}")
+             .where(F.col(BATCH_COL) > F.lit(upto)).drop(BATCH_COL))
+    return newer if snap is None else snap.unionByName(newer)
+
+
+def compact(spark: SparkSession, target_root: str) -> int:
+    """Reduce every candidate batch loaded so far to one row per key.
+
+    The result goes to ``<table>_snapshot/upto=<last batch>`` (a new path, so
+    nothing being read is overwritten); later reads start from the newest
+    snapshot and skip the candidate partitions it covers. ``min`` is
+    associative, so results do not change. Returns the last batch covered.
+    """
+    root = target_root.rstrip("/")
+    upto = spark.read.parquet(f"{root}/{PROVIDER_CANDIDATES}").agg(F.max(BATCH_COL)).first()[0]
+    if upto is None:
+        return -1
+    done = min(_latest_snapshot(spark, root, t)[1] for t in _KEYS)
+    if int(upto) <= done:  # nothing new: never rewrite the snapshot being read
+        return done
+    for table, key in _KEYS.items():
+        cands = _current_candidates(spark, root, table)
+        reduced = cands.groupBy(key).agg(F.min("r").alias("r"))
+        (reduced.write.mode("overwrite")
+            .parquet(f"{root}/{table}_snapshot/{SNAPSHOT_COL}={int(upto)}"))
+    return int(upto)
+
+
 def read_loaded(spark: SparkSession, target_root: str) -> Star:
     """The incrementally loaded star: providers and codes reduced from their
-    candidates, facts as appended (``load_batch`` kept as a column)."""
+    latest snapshot and newer candidates, facts as appended (``load_batch``
+    kept as a column)."""
     root = target_root.rstrip("/")
-    return Star(providers_from_candidates(spark.read.parquet(f"{root}/{PROVIDER_CANDIDATES}")),
-                codes_from_candidates(spark.read.parquet(f"{root}/{CODE_CANDIDATES}")),
+    return Star(providers_from_candidates(_current_candidates(spark, root, PROVIDER_CANDIDATES)),
+                codes_from_candidates(_current_candidates(spark, root, CODE_CANDIDATES)),
                 spark.read.parquet(f"{root}/{FACTS}"))

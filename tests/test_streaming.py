@@ -63,3 +63,27 @@ def test_replayed_batch_is_idempotent(spark, scratch):
         load_batch(stg, 0, target)
     star = read_loaded(spark, target)
     assert star.providers.count() == 2 and star.codes.count() == 1 and star.utilization.count() == 2
+
+
+def test_compaction_keeps_results(spark, scratch):
+    from claimlens.streaming.ingest import compact
+    target = os.path.join(scratch, "star")
+    batches = [
+        [_line(Rndrng_NPI="1", Rndrng_Prvdr_St1="5 ELM ST", HCPCS_Cd="A1", HCPCS_Desc="zeta")],
+        [_line(Rndrng_NPI="1", Rndrng_Prvdr_St1="2 ELM ST", HCPCS_Cd="A1", HCPCS_Desc="beta"),
+         _line(Rndrng_NPI="2", HCPCS_Cd="B2")],
+        [_line(Rndrng_NPI="1", Rndrng_Prvdr_St1="9 ELM ST", HCPCS_Cd="A1", HCPCS_Desc="alpha")],
+    ]
+    load_batch(_stg(spark, batches[0]), 0, target)
+    load_batch(_stg(spark, batches[1]), 1, target)
+    assert compact(spark, target) == 1
+    load_batch(_stg(spark, batches[2]), 2, target)      # arrives after the compaction
+    star = read_loaded(spark, target)
+    once = loaders.load_star(_stg(spark, [r for b in batches for r in b]), stage=False)
+    assert_same(star.providers, once.providers)
+    assert_same(star.codes, once.codes)
+    assert {r.npi: r.street_1 for r in star.providers.collect()}[1] == "2 ELM ST"
+    assert {r.hcpcs_cd: r.hcpcs_desc for r in star.codes.collect()}["A1"] == "alpha"
+    assert compact(spark, target) == 2 and read_loaded(spark, target).providers.count() == 2
+    assert compact(spark, target) == 2                   # nothing new: a no-op
+    assert_same(read_loaded(spark, target).providers, once.providers)
