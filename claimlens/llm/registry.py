@@ -1,8 +1,9 @@
 """Registered queries of the subpackage and their DuckDB statements."""
 
-from claimlens.llm import decontamination
+from claimlens.llm import byte_bpe, decontamination
 
 QUERIES = {
+    "op2_byte_bpe": byte_bpe.query,
     "op3_decontamination": decontamination.query,
 }
 ORACLE_SQL = {
