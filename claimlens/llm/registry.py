@@ -1,10 +1,12 @@
 """Registered queries of the subpackage and their DuckDB statements."""
 
-from claimlens.llm import byte_bpe, decontamination
+from claimlens.llm import byte_bpe, decontamination, language_id, toxicity
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.query,
     "op3_decontamination": decontamination.query,
+    "op4_toxicity": toxicity.query,
+    "op9_language_id": language_id.query,
 }
 ORACLE_SQL = {
     "op3_decontamination": decontamination.ORACLE,
