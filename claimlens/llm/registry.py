@@ -1,11 +1,12 @@
 """Registered queries of the subpackage and their DuckDB statements."""
 
-from claimlens.llm import byte_bpe, decontamination, language_id, toxicity
+from claimlens.llm import byte_bpe, decontamination, fingerprints, language_id, toxicity
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.query,
     "op3_decontamination": decontamination.query,
     "op4_toxicity": toxicity.query,
+    "op7_fingerprints": fingerprints.query,
     "op9_language_id": language_id.query,
 }
 ORACLE_SQL = {
