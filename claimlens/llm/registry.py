@@ -1,14 +1,17 @@
 """Registered queries of the subpackage and their DuckDB statements."""
 
-from claimlens.llm import byte_bpe, decontamination, fingerprints, language_id, toxicity
+from claimlens.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, sharding, toxicity
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.query,
     "op3_decontamination": decontamination.query,
     "op4_toxicity": toxicity.query,
+    "op5_sharding": sharding.query,
     "op7_fingerprints": fingerprints.query,
     "op9_language_id": language_id.query,
+    "op10_chat_format": chat_format.query,
 }
 ORACLE_SQL = {
     "op3_decontamination": decontamination.ORACLE,
+    "op10_chat_format": chat_format.ORACLE,
 }
