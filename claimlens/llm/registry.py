@@ -1,13 +1,15 @@
 """Registered queries of the subpackage and their DuckDB statements."""
 
-from claimlens.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, sharding, toxicity
+from claimlens.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, pii, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.query,
     "op3_decontamination": decontamination.query,
     "op4_toxicity": toxicity.query,
     "op5_sharding": sharding.query,
+    "op6_pii": pii.query,
     "op7_fingerprints": fingerprints.query,
+    "op8_secret_scan": secret_scan.query,
     "op9_language_id": language_id.query,
     "op10_chat_format": chat_format.query,
 }
