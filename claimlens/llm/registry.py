@@ -1,8 +1,9 @@
 """Registered queries of the subpackage and their DuckDB statements."""
 
-from claimlens.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, pii, secret_scan, sharding, toxicity
+from claimlens.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, ngram_join, pii, secret_scan, sharding, toxicity
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.query,
     "op2_byte_bpe": byte_bpe.query,
     "op3_decontamination": decontamination.query,
     "op4_toxicity": toxicity.query,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_chat_format": chat_format.query,
 }
 ORACLE_SQL = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
 }
