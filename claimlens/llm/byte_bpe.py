@@ -15,7 +15,7 @@ are read, without a shuffle; a bounded cache holds encoded pieces.
 Defined results: null or empty text has no tokens and decodes to no bytes;
 special-token strings in a text are ordinary text; repeated rows are encoded
 row by row; a rank file without all 256 bytes is refused. Extra columns are
-ignored (``encode``) or kept (``with_tokens``).
+ignored unless ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -215,8 +215,9 @@ def model(spark, ranks_path: str, pattern: str) -> _Model:
     return _Model(spark, ranks_path, pattern)
 
 
-def encode(docs: DataFrame, m: _Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (binary, little-endian uint32 each), n_tokens."""
+def encode(docs: DataFrame, m: _Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The kept columns, ids (binary, little-endian uint32 each) and n_tokens."""
+    from pyspark.sql import types as T
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(m)
@@ -225,18 +226,18 @@ def encode(docs: DataFrame, m: _Model, id_col: str = "doc_id", text_col: str = "
             while lo < batch.num_rows:
                 texts, size, hi = [], 0, lo
                 while hi < batch.num_rows and size < PORTION_CHARS:
-                    texts.append(batch.column(1)[hi].as_py() or "")
+                    texts.append(batch.column(0)[hi].as_py() or "")
                     size += len(texts[-1])
                     hi += 1
                 ids = enc.packed(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()),
-                     pa.array([len(x) // 4 for x in ids], pa.int64())], ["key", "ids", "n_tokens"])
+                    [*(c.slice(lo, hi - lo) for c in batch.columns[1:]), pa.array(ids, pa.binary()),
+                     pa.array([len(x) // 4 for x in ids], pa.int64())], [*keep, "ids", "n_tokens"])
                 lo = hi
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("key"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids binary, n_tokens bigint").withColumnRenamed("key", id_col)
+    rows = docs.select(docs[text_col].cast("string").alias("_text"), *[docs[c] for c in keep])
+    fields = [docs.schema[c] for c in keep] + [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def decode(encoded: DataFrame, m: _Model, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -149,28 +149,48 @@ def _scan(table_bc, earlier: bool):
     return run
 
 
-def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         max_windows: int = MAX_WINDOWS, keep_text: bool = False) -> DataFrame:
-    """One row per document row: id, n_words, hit word spans, item ids (sorted)."""
-    spark = docs.sparkSession
+def _tables(bench: DataFrame, max_windows: int) -> list:
+    """The benchmark windows in broadcast blocks; equal windows are in one block (cut by hash)."""
     windows = benchmark_windows(bench)
-    n_blocks = max(1, -(-windows.count() // max_windows))
+    n = max(1, -(-windows.count() // max_windows))
+    rows = windows.withColumn("block", F.pmod(F.xxhash64("win"), F.lit(n)))
+    sc = bench.sparkSession.sparkContext
+    return [sc.broadcast(rows.where(F.col("block") == i).drop("block").toArrow()) for i in range(n)]
+
+
+def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """One row per document row: id, n_words, hit word spans, item ids (sorted)."""
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(docs[id_col].alias("key"), docs[text_col].cast("string").alias("text"))
     schema = f"key {kind}, text string, n_words bigint, spans {SPANS}, items array<string>"
-    # a block is a hash range of windows: equal windows meet in one block
-    rows = windows.withColumn("block", F.pmod(F.xxhash64("win"), F.lit(n_blocks))) if n_blocks > 1 else windows
-    for i in range(n_blocks):
-        part = rows.where(F.col("block") == i).drop("block") if n_blocks > 1 else rows
-        table = spark.sparkContext.broadcast(part.toArrow())
+    for i, table in enumerate(_tables(bench, max_windows)):
         out = out.mapInArrow(_scan(table, i > 0), schema)
-    return out.withColumnRenamed("key", id_col) if keep_text else out.drop("text").withColumnRenamed("key", id_col)
+    return out.drop("text").withColumnRenamed("key", id_col)
+
 
+def remove_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The document rows without any hit word, all columns kept, one pass for each block."""
+    at = docs.columns.index(text_col)
 
-def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The document rows without any hit word, all columns kept."""
-    dirty = hits(docs, bench, id_col).where(F.size("items") > 0).select(F.col(id_col).alias("_dirty")).distinct()
-    return docs.join(dirty, docs[id_col].eqNullSafe(dirty["_dirty"]), "left_anti")
+    def keep(table_bc):
+        made: list = []
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not made:
+                made.append(_Table(table_bc.value))
+            for batch in it:
+                clean = []
+                for b in tb.blocks(batch.column(at)):
+                    w = tb.words(b, tb.ALNUM)
+                    clean += [not made[0].hits(w.hash[w.first[i]:w.first[i + 1]])[0].any() for i in range(b.hi - b.lo)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    out = docs
+    for table in _tables(bench, max_windows):
+        out = out.mapInArrow(keep(table), docs.schema)
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

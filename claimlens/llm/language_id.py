@@ -229,6 +229,23 @@ def predict(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", id_col)
 
 
+def keep_known(docs: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose language is not rejected, all columns kept, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+    at = docs.columns.index(text_col)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in it:
+            keep = [np.zeros(0, bool)]
+            for b in tb.blocks(batch.column(at)):
+                i, p = score_block(model, b)
+                keep.append((i >= 0) & (p >= model.threshold))
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     m = fit(docs.where(~held_out(F.col("doc_id"))))
