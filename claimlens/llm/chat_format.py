@@ -151,30 +151,33 @@ class _Pack:
         return ["".join(self.text), self.start, self.length, self.parent, self.position, self.loss, self.attends, self.conversations]
 
 
-def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = _Pack()
+def _pack(chars: int, conversations: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = _Pack()
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(pack.row(), _PACK_TYPES)], _PACK_NAMES)
 
-    def batch():
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(pack.row(), _PACK_TYPES)], _PACK_NAMES)
+        for b in it:
+            for conv, roles, texts in zip(*(b.column(i).to_pylist() for i in (0, 2, 3))):
+                if pack.conversations and (pack.size >= chars or len(pack.conversations) >= conversations):
+                    yield batch()
+                    pack = _Pack()
+                pack.add(conv, roles, texts)
+        if pack.conversations:
+            yield batch()
 
-    for b in it:
-        for conv, roles, texts in zip(*(b.column(i).to_pylist() for i in (0, 2, 3))):
-            if pack.conversations and (pack.size >= PACK_CHARS or len(pack.conversations) >= PACK_CONVERSATIONS):
-                yield batch()
-                pack = _Pack()
-            pack.add(conv, roles, texts)
-    if pack.conversations:
-        yield batch()
+    return run
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+def format_conversations(turns: DataFrame, pack_chars: int = PACK_CHARS, pack_conversations: int = PACK_CONVERSATIONS) -> DataFrame:
     """Turn rows (conv_id, turn, role, text) -> packs."""
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
                         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     conversations = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text") \
         .mapInArrow(_gather, "conv_id bigint, path array<bigint>, roles array<string>, texts array<string>")
-    return conversations.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").mapInArrow(_pack, PACKS)
+    return conversations.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").mapInArrow(_pack(pack_chars, pack_conversations), PACKS)
 
 
 def read_back(packs: DataFrame) -> DataFrame:

@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from claimlens.llm import textblocks as tb
 
-BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
+BITS, DIM, SIZES = 18, 16, (2, 3, 4)
+#: Many more buckets than subwords of the learned languages, so that unknown subwords seldom fall on known ones.
+BUCKETS = 1 << BITS
 #: Bound of the training sample, and of the labels learned.
 PER_LANGUAGE, MAX_LANGUAGES = 500, 200
 SPANS = (1, 2, 4, 8, 20, 60)  # words of the short training spans
@@ -66,7 +68,7 @@ def subwords(low: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             h = (h ^ x[i:i + m]) * _MUL[i]
             some |= letter[i:i + m]
         h ^= h >> np.uint32(15)
-        out = ((h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - 15)).astype(np.int64)
+        out = ((h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)).astype(np.int64)
         out[~some] = BUCKETS
         yield n, out
 
@@ -105,8 +107,7 @@ def _sample_bags(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray      # BUCKETS+1 rows: each bucket's part of the calibrated logits; the last row is zero
-    bias: np.ndarray
+    table: np.ndarray  # BUCKETS+1 rows: each bucket's part of the calibrated logits, and 1 if it was trained; the last row is zero
     threshold: float
 
 
@@ -117,12 +118,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def train(langs: list[str], bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, calibrate: np.ndarray,
           whole: np.ndarray) -> Model:
-    """Embedding and softmax by SGD on the rows that are not for calibration."""
+    """Embedding and softmax by SGD on the rows that are not for calibration.
+
+    There is no bias, and the share of subwords that were never trained counts as
+    equal shares of the languages: a text of unknown subwords is rejected.
+    """
     rng = np.random.default_rng(7)
     k = len(langs)
     emb = np.zeros((BUCKETS + 1, DIM), np.float32)
     out = rng.normal(0, 1, (DIM, k)).astype(np.float32)
-    bias = np.zeros(k, np.float32)
     fit = np.flatnonzero(~calibrate) if (~calibrate).any() else np.arange(len(y))
     weight = 1.0 / np.maximum(1, np.bincount(y[fit], minlength=k))
     weight = weight / weight[y[fit]].mean()
@@ -131,22 +135,22 @@ def train(langs: list[str], bags: list[tuple[np.ndarray, np.ndarray]], y: np.nda
         for i in rng.permutation(fit):
             b, s = bags[i]
             x = s @ emb[b]
-            g = _softmax(x @ out + bias)
+            g = _softmax(x @ out)
             g[y[i]] -= 1
             g *= rate * weight[y[i]]
             back = out @ g
             out -= np.outer(x, g)
-            bias -= 0.1 * g
             emb[b] -= np.outer(s, back) * SPARSE_GAIN
-    table, bias = emb @ out, bias
-    logits = np.stack([s @ table[b] for b, s in bags]) + bias
+    table = emb @ out
+    known = (table != 0).any(axis=1)
+    logits, seen = np.stack([s @ table[b] for b, s in bags]), np.array([s @ known[b] for b, s in bags])
     cal = np.flatnonzero(calibrate) if calibrate.any() else np.arange(len(y))
     loss = {t: -np.log(np.maximum(_softmax(logits[cal] / t)[np.arange(len(cal)), y[cal]], 1e-9)).mean()
             for t in (0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
     t = min(loss, key=loss.get)
-    top = _softmax(logits[cal] / t).max(axis=1)[whole[cal]]
+    top = (seen[cal] * _softmax(logits[cal] / t).max(axis=1) + (1 - seen[cal]) / k)[whole[cal]]
     threshold = min(MAX_THRESHOLD, float(np.quantile(top, REJECTED_SHARE))) if len(top) else 0.0
-    return Model(langs, (table / t).astype(np.float32), (bias / t).astype(np.float32), threshold * 0.999)
+    return Model(langs, np.column_stack([table / t, known]).astype(np.float32), threshold * 0.999)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -154,7 +158,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
     counts = rows.groupBy(rows[lang_col].alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0, np.float32), 0.0)
+        return Model([], np.zeros((BUCKETS + 1, 1), np.float32), 0.0)
     # a row is in the sample if its hash falls under its language's share
     key = F.xxhash64(rows[id_col].cast("string"), F.lit(17))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
@@ -164,7 +168,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         .toPandas().sort_values(["seed", "lang", "words"], kind="stable")
     langs = sorted(set(got["lang"]))
     if not langs:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0, np.float32), 0.0)
+        return Model([], np.zeros((BUCKETS + 1, 1), np.float32), 0.0)
     bags = [(np.asarray(b, np.int64), np.asarray(s, np.float32)) for b, s in zip(got["bucket"], got["share"])]
     y = np.array([langs.index(x) for x in got["lang"]])
     whole = (got.groupby("seed")["words"].transform("max") == got["words"]).to_numpy()
@@ -191,7 +195,7 @@ def score_block(m: Model, b: tb.Block) -> tuple[np.ndarray, np.ndarray]:
     known = _has_letter(b.data, b.off) & b.valid
     if not k or not len(b.data):
         return np.full(n, -1), np.zeros(n)
-    total, count = np.zeros((n, k)), np.zeros(n)
+    total, count = np.zeros((n, k + 1)), np.zeros(n)
     for size, h in subwords(_LETTER[b.data]):
         a, z = b.off[:-1], b.off[1:] - size + 1
         rows = np.flatnonzero(z > a)
@@ -202,7 +206,8 @@ def score_block(m: Model, b: tb.Block) -> tuple[np.ndarray, np.ndarray]:
         cut = cut[:-1] if cut[-1] >= len(h) else cut
         total[rows] += np.add.reduceat(m.table[h], cut, axis=0, dtype=np.float64)[::2]
         count[rows] += np.add.reduceat((h < BUCKETS).astype(np.int64), cut)[::2]
-    p = _softmax(total / np.maximum(1, count)[:, None] + m.bias)
+    mean = total / np.maximum(1, count)[:, None]
+    p = mean[:, k:] * _softmax(mean[:, :k]) + (1 - mean[:, k:]) / k
     best = p.argmax(axis=1)
     return np.where(known, best, -1), np.where(known, p[np.arange(n), best], 0.0)
 

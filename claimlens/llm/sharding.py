@@ -3,9 +3,10 @@
 A tree has regions, racks and shards; a node weighs what its shards weigh. Each
 row descends level by level: every child draws -ln(u)/weight, u in (0,1) from a
 hash of the key and the child, and the smallest draw wins. A draw changes only
-with its own child's weight, so a change of weights moves rows only into or
-out of the subtrees whose weight changed. ``grow`` adds a shard as a subtree of
-its own: rows move into the new shard and nowhere else (law ``key``).
+with its own child's weight, so where a weight grows, rows move only into the
+subtrees whose weight grew (from anywhere), and where it shrinks, only out of
+them. ``grow`` adds a shard as a subtree of its own: rows move into the new
+shard and nowhere else (law ``key``).
 
 ``slots`` numbers the rows of each shard without gaps: rows are cut into many
 small buckets of a shard, numbered there, and each bucket starts where the

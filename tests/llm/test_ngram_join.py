@@ -1,0 +1,115 @@
+import random
+
+import numpy as np
+import pytest
+
+from claimlens.llm import ngram_join as m
+from claimlens.llm import textblocks as tb
+from tests.llm.conftest import ODD, SF, make, same
+
+
+def brute(rows):
+    """{row index: (set size, smallest reachable id)} by comparing all pairs."""
+    table = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().translate(table).decode()
+        for c in "\t\n\x0b\x0c\r":
+            w = w.replace(c, " ")
+        w = [x for x in w.split(" ") if x]
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            k = len(a & sets[j])
+            if a and sets[j] and 100 * k >= 80 * len(a | sets[j]):
+                parent[root(i)] = root(j)
+    out = {}
+    for i, (d, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(i) and rows[j][0] is not None]
+        out[i] = (d, len(sets[i]), (min(ids) if ids else None) if sets[i] else d)
+    return sorted(out.values(), key=str)
+
+
+def result(df):
+    return sorted(map(tuple, m.join(df).collect()), key=str)
+
+
+def near_copies(n, words, seed, edits):
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        t = list(base)
+        for _ in range(r.randrange(edits)):
+            t[r.randrange(words)] = f"e{r.randrange(10**6)}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_oracle(spark, duck):
+    same(m.query(spark, SF), duck, m.ORACLE)
+
+
+def test_odd_rows(spark):
+    rows = [r for r in ODD]
+    assert result(make(spark, rows)) == brute(rows)
+
+
+def test_empty_table(spark):
+    assert result(make(spark, [])) == []
+
+
+@pytest.mark.parametrize("long", [4, 64])
+def test_near_copy_groups_and_a_shared_passage(spark, monkeypatch, long):
+    monkeypatch.setattr(m, "LONG", long)
+    monkeypatch.setattr(m, "BLOCK", 8)
+    texts = near_copies(40, 60, 1, 6) + near_copies(25, 12, 2, 3)
+    shared = " ".join(f"p{i}" for i in range(30))
+    texts += [f"{shared} " + " ".join(f"u{k}-{i}" for i in range(k % 9)) for k in range(40)] + [texts[0]] * 20
+    rows = list(enumerate(texts))
+    random.Random(3).shuffle(rows)
+    assert result(make(spark, rows)) == brute(rows)
+
+
+def test_index_search_is_exact():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 400, r.integers(1, 60)).astype(np.uint64)) for _ in range(150)]
+    sets += [np.unique(np.concatenate([s[1:], r.integers(0, 400, 1).astype(np.uint64)])) for s in sets]
+    index = m.Index(sets)
+    for s in sets:
+        want = {j for j, t in enumerate(sets) if 5 * len(np.intersect1d(s, t)) >= 4 * len(np.union1d(s, t))}
+        assert set(index.search(s).tolist()) == want
+
+
+def test_keep_one(spark):
+    rows = [(3, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "", "z"), (None, "a b c d e f", "n"), (1, "a b c d e f", "y"), (4, None, None)]
+    got = m.keep_one(make(spark, rows, "doc_id bigint, text string, c string")).collect()
+    assert sorted((r.doc_id or 0, r.c or "") for r in got) == [(0, "n"), (1, "y"), (2, "z"), (4, "")]
+
+
+def test_words_match_a_regular_expression():
+    import re
+
+    import pyarrow as pa
+
+    r = random.Random(9)
+    texts = ["".join(r.choice("aB \t\n\x1f\x85é漢-.0") for _ in range(r.randrange(40))) for _ in range(300)] + [None]
+    for kind, rx in ((tb.SPACE, r"[^\x20\x09-\x0D]+"), (tb.ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
+        known = {}
+        for b in tb.blocks(pa.array(texts, pa.string()), 64):
+            w = tb.words(b, kind)
+            for i in range(b.hi - b.lo):
+                low = re.sub("[A-Z]", lambda x: x.group().lower(), texts[b.lo + i] or "")
+                want = re.findall(rx, low)
+                h = w.hash[w.first[i]:w.first[i + 1]].tolist()
+                assert len(h) == len(want)
+                for a, z in zip(want, h):
+                    assert known.setdefault(a, z) == z
+        assert len(set(known.values())) == len(known)
