@@ -8,15 +8,16 @@ of T-1 set aside must leave one: so each class sets its T-1 last shingles aside
 repeat among the classes of a block of input ("heavy") come last in every set,
 so the posted lists are short.
 
-Classes meeting in a short list are candidates, after filters on size and on
-the shared place; their rest is decided by merging the light parts of both sets
-and, only if T is still in reach, probing the heavy shingles of the smaller in
-the larger by binary search. Lists longer than ``LONG`` are not paired out:
-their classes form groups that are cut into blocks by size and hash, and each
-pair of blocks is searched with an inverted index: short lists are merged,
-candidates with enough occurrences are probed in the long lists, and only the
-links that join two parts leave the task. The work on such a group grows with
-the square of its classes (equal sets count once), its output does not.
+Classes meeting in a short list are candidates, after filters on size, on the
+shared place, and on parity sketches: a bit table of n to 2n bits in which each
+shingle flips one bit; the bits that differ are a lower bound of the shingles
+that differ, so no link is lost. What is left, and the classes of lists longer
+than ``LONG`` (which are not paired out), form groups. Groups are cut into
+blocks by size and hash, and each pair of blocks is searched with an inverted
+index (DivideSkip): a set's short lists are merged, candidates with enough
+occurrences are probed by binary search in its long lists, and only the links
+that join two parts leave the task. The work on a group grows with the square
+of its classes (equal sets count once), its output does not.
 
 Any choice of heavy shingles gives the same links; the bit table that holds
 them, and the one that picks the classes to be compared, have a fixed size.
@@ -69,6 +70,23 @@ def shingle_sets(b: tb.Block, size: int = SHINGLE) -> Iterator[tuple[int, np.nda
             yield i, tb.grams(w.hash[a:z], z - a) if z > a else g[:0]
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity bits of a set, at least one for each shingle and 64 in all."""
+    bits = max(6, int(len(s) - 1).bit_length())
+    at = (tb.mix(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=1 << bits) & 1).astype(np.uint8))
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the shingles in one of two sketched sets only."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):  # neighbours fold into one: places are the top bits of a hash
+        bits = np.unpackbits(x)
+        x = np.packbits(bits[::2] ^ bits[1::2])
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def class_id(s: np.ndarray) -> int:
     return int(tb.mix(tb.mix(s).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
@@ -89,29 +107,33 @@ class _Seen:
 
 
 def _classify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (0, key, set size, class) by row, and (1, shingle, rows, null) of repeated shingles."""
+    """(key, text) -> (0, key, set size, class, sketch) by row, the sketch once
+    in a task, and (1, shingle, rows) of repeated shingles."""
     seen, held, count = _Seen(), [], 0
-    names = ["kind", "a", "n", "c"]
+    names = ["kind", "a", "n", "c", "bits"]
 
     def repeated():
         u, k = np.unique(np.concatenate(held), return_counts=True)
         u, k = u[k > 1], k[k > 1]
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u.view(np.int64)), pa.array(k.astype(np.int64)),
-                                           pa.nulls(len(u), pa.int64())], names)
+                                           pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.binary())], names)
 
     for batch in it:
-        n, c = [], []
+        n, c, bits = [], [], []
         for b in tb.blocks(batch.column(1)):
             for _, s in shingle_sets(b):
                 n.append(len(s))
                 c.append(class_id(s) if len(s) else None)
+                bits.append(None)
                 if len(s) and seen.new(c[-1]):
+                    bits[-1] = sketch(s).tobytes()
                     held.append(s)
                     count += len(s)
             if count >= COUNTED:
                 yield repeated()
                 held, count = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()),
+                                           pa.array(bits, pa.binary())], names)
     if held:
         yield repeated()
 
@@ -239,11 +261,11 @@ def _short_lists(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from finish(*tail)
 
 
-def _sets(heavy_bc, wanted_bc):
-    """(key, text) -> the sets of the wanted classes, light and heavy shingles apart."""
+def _sets(wanted_bc):
+    """(key, text) -> the sets of the wanted classes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, wanted, seen = heavy_bc.value, wanted_bc.value, _Seen()
+        wanted, seen = wanted_bc.value, _Seen()
         for batch in it:
             keys = np.asarray(batch.column(0).fill_null(0))
             for b in tb.blocks(batch.column(1)):
@@ -253,37 +275,20 @@ def _sets(heavy_bc, wanted_bc):
                         continue
                     c = class_id(s)
                     if _bits(wanted, _slot(_class_mark(np.array([c]), keys[b.lo + i:b.lo + i + 1])))[0] and seen.new(c):
-                        light, rest = _divided(s, heavy)
-                        out.append((c, len(s), light.tobytes(), rest.tobytes()))
+                        out.append((c, s.tobytes()))
                 if out:
-                    c, n, light, rest = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(light, pa.binary()),
-                                                      pa.array(rest, pa.binary())], ["c", "n", "light", "heavy"])
+                    c, s = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.binary())], ["c", "shingles"])
 
     return run
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    """Shared values of two sorted arrays: each of the shorter is probed in the longer."""
-    if len(x) > len(y):
-        x, y = y, x
-    if not len(x):
-        return 0
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return int((y[at] == x).sum())
-
-
-def _decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates with both sets -> the linked ones."""
+def _near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates with sizes and sketches -> those whose sketches differ in no more bits than linked sets can."""
     for batch in it:
-        a, b = [], []
-        for ca, cb, na, nb, la, lb, ha, hb in zip(*(c.to_pylist() for c in batch.columns)):
-            t = needed(na, nb)
-            got = _common(np.frombuffer(la, np.uint64), np.frombuffer(lb, np.uint64))
-            if got + min(len(ha), len(hb)) // 8 >= t and got + _common(np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)) >= t:
-                a.append(ca)
-                b.append(cb)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        keep = [differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= na + nb - 2 * needed(na, nb)
+                for na, nb, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 class Index:
@@ -328,7 +333,7 @@ class Index:
 def _block_pair(table: pa.Table) -> pa.Table:
     """The rows of one pair of blocks -> links that join two parts."""
     first, second = table.column("first").to_pylist(), table.column("own").to_pylist()
-    sets = [np.sort(np.frombuffer(a + b, np.uint64)) for a, b in zip(table.column("light").to_pylist(), table.column("heavy").to_pylist())]
+    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
     c = table.column("c").to_pylist()
     left = [i for i in range(len(c)) if second[i] == first[i]]
     same = table.column("second")[0].as_py() == first[0]
@@ -353,12 +358,10 @@ def _block_pair(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _long_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the classes of long lists: (shingle, class, size) rows and the classes' sets."""
-    centre = members.groupBy("a").agg(F.min("b").alias("centre"))
-    group = components(members.join(centre, "a").select(F.col("b").alias("a"), F.col("centre").alias("b")))
-    rows = members.select(F.col("b").alias("c"), "n").distinct().join(group.withColumnRenamed("node", "c"), "c") \
-        .select("c", F.col("root").alias("g"), F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).alias("s"))
+def _group_links(edges: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within the groups that the edges (a, b) make of the classes: sizes (c, n) and sets (c, shingles)."""
+    group = components(edges).select(F.col("node").alias("c"), F.col("root").alias("g"))
+    rows = group.join(sizes, "c").select("c", "g", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).alias("s"))
     rows = written(rows, "members")
     parts = rows.groupBy("g", "s").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
     up = parts.select("g", (F.col("s") - 1).alias("s"), F.col("k").alias("k_up"))
@@ -375,30 +378,34 @@ def _long_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         F.transform(upto(F.coalesce("k_up", F.lit(0).cast("bigint"))), lambda i: pair(own, block(s + 1, i))),
         F.transform(upto(F.coalesce("k_down", F.lit(0).cast("bigint"))), lambda i: pair(block(s - 1, i), own)))
     dealt = rows.withColumn("p", F.explode(pairs)).select("g", "p.first", "p.second", own.alias("own"), "c")
-    return dealt.join(sets.select("c", "light", "heavy"), "c").groupBy("g", "first", "second").applyInArrow(_block_pair, "a bigint, b bigint")
+    return dealt.join(sets, "c").groupBy("g", "first", "second").applyInArrow(_block_pair, "a bigint, b bigint")
 
 
 def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, n, c) of every row, and links (a, b) between classes that join them into their components."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("bigint").alias("key"), docs[text_col].cast("string").alias("text"))
-    first = written(rows.mapInArrow(_classify, "kind tinyint, a bigint, n bigint, c bigint"), "classes")
+    first = written(rows.mapInArrow(_classify, "kind tinyint, a bigint, n bigint, c bigint, bits binary"), "classes")
     of_row = first.where("kind = 0").select(F.col("a").alias("key"), "n", "c")
     heavy = spark.sparkContext.broadcast(bit_table(first.where("kind = 1").select("a")))
     posted = rows.mapInArrow(_postings(heavy), "h bigint, c bigint, n int, pos int")
     found = written(posted.repartition("h").sortWithinPartitions("h", "n", "c").mapInArrow(_short_lists, _CANDIDATES), "candidates")
-    pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
-    members = found.where("kind = 1").select("a", "b", "n").distinct()
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).union(members.select(F.col("b").alias("c"))).distinct()
-    reps = of_row.where("c is not null").groupBy("c").agg(F.coalesce(F.min("key"), F.lit(0).cast("bigint")).alias("rep"))
-    marked = spark.sparkContext.broadcast(bit_table(wanted.join(reps, "c").select("c", "rep")))
-    sets = written(rows.mapInArrow(_sets(heavy, marked), "c bigint, n bigint, light binary, heavy binary"), "sets")
-    x = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("light").alias("la"), F.col("heavy").alias("ha"))
-    y = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("light").alias("lb"), F.col("heavy").alias("hb"))
-    links = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "la", "lb", "ha", "hb").mapInArrow(_decide, "a bigint, b bigint")
-    if not members.isEmpty():
-        links = links.union(_long_links(members, sets))
-    return of_row, links
+    # candidates of short lists, past their sketches; a class may have one of each task, all equal
+    bits = first.where("kind = 0 and bits is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    x = bits.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    y = bits.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    near = found.where("kind = 0").select("a", "b").distinct().join(x, "a").join(y, "b") \
+        .select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_near, "a bigint, b bigint")
+    # classes of long lists, each tied to the least of its list
+    members = found.where("kind = 1").select(F.col("a").alias("h"), "b").distinct()
+    centre = members.groupBy("h").agg(F.min("b").alias("a"))
+    edges = written(near.union(members.join(centre, "h").select("a", "b")), "near")
+    wanted = edges.select(F.col("a").alias("c")).union(edges.select(F.col("b").alias("c"))).distinct()
+    reps = of_row.where("c is not null").groupBy("c").agg(F.coalesce(F.min("key"), F.lit(0).cast("bigint")).alias("rep"), F.first("n").alias("n"))
+    sizes = written(wanted.join(reps, "c"), "wanted")
+    marked = spark.sparkContext.broadcast(bit_table(sizes.select("c", "rep")))
+    sets = rows.mapInArrow(_sets(marked), "c bigint, shingles binary")
+    return of_row, _group_links(edges, sizes.select("c", "n"), sets)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
