@@ -1,10 +1,10 @@
 """Command line: ``python -m claimlens load|report ...``.
 
-    python -m claimlens load   --extract PATH --star ROOT [--state IL] [--single-line]
+    python -m claimlens load   --extract PATH --star ROOT [--state IL] [--lines auto|single|multi]
     python -m claimlens report --star ROOT --out ROOT [--format parquet|csv|json]
 
-Uses the active session when one exists (e.g. under spark-submit) and applies
-the scale defaults only where the cluster has not set them.
+Runs in the session that spark-submit or the cluster sets up: no master is forced,
+and the scale defaults apply only where nothing else is set.
 """
 
 from __future__ import annotations
@@ -12,18 +12,8 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
-
 from claimlens.jobs import load_job, report_job
-from claimlens.session import apply_scale_defaults, build_session
-
-
-def _session() -> SparkSession:
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        apply_scale_defaults(active)
-        return active
-    return build_session()
+from claimlens.session import cluster_session
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -33,16 +23,17 @@ def main(argv: list[str] | None = None) -> None:
     ld.add_argument("--extract", required=True)
     ld.add_argument("--star", required=True)
     ld.add_argument("--state", default="IL")
-    ld.add_argument("--single-line", action="store_true",
-                    help="extract has no quoted newlines: split large files")
+    ld.add_argument("--lines", choices=["auto", "single", "multi"], default="auto",
+                    help="whether quoted fields span lines; auto: one pass over the extract decides")
     rp = sub.add_parser("report", help="every KPI query and summary view")
     rp.add_argument("--star", required=True)
     rp.add_argument("--out", required=True)
     rp.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     args = ap.parse_args(argv)
-    spark = _session()
+    spark = cluster_session()
     if args.cmd == "load":
-        out = load_job(spark, args.extract, args.star, args.state, multi_line=not args.single_line)
+        out = load_job(spark, args.extract, args.star, args.state, 
+                       multi_line={"auto": None, "single": False, "multi": True}[args.lines])
     else:
         out = report_job(spark, args.star, args.out, args.format)
     print(json.dumps(out, indent=2, default=str))

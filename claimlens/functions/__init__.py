@@ -6,12 +6,11 @@ from claimlens.functions.exprs import (
     full_name,
     outlier_flag,
     pg_concat,
-    quotient,
     ratio,
     round_stat,
 )
 
 __all__ = [
     "blank_to_null", "code_type", "display_name", "efficiency_tier", "full_name",
-    "outlier_flag", "pg_concat", "quotient", "ratio", "round_stat",
+    "outlier_flag", "pg_concat", "ratio", "round_stat",
 ]

@@ -9,15 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Operand types for exact division. Spark sizes a decimal quotient from the
-# operand types; with (26,4) / (22,4) the quotient is decimal(38,12), so the
-# final ROUND(.., 1 or 2) is applied to a 12-digit value, not to Spark's
-# default 6-digit one (which would round twice). Numerators up to 10^22 and
-# denominators up to 10^18 fit: national totals at many times today's volume.
+# Operand types of exact division: numerators up to 10^22 and denominators up to
+# 10^18 with four decimals (national totals at many times today's volume).
 NUM_T = "decimal(26,4)"
 DEN_T = "decimal(22,4)"
-NUM100_T = "decimal(28,4)"
 STAT_T = "decimal(24,6)"
+INT_T = "decimal(38,0)"
 
 
 def _c(c) -> Column:
@@ -29,22 +26,23 @@ def blank_to_null(c) -> Column:
     return F.nullif(_c(c), F.lit(""))
 
 
-def quotient(num, den, times: int = 1) -> Column:
-    """Exact ``num * times / NULLIF(den, 0)`` as decimal(38,>=10).
+def ratio(num, den, scale: int = 2, times: int = 1, guard: bool = True) -> Column:
+    """``ROUND(num * times / NULLIF(den, 0), scale)``, half away from zero.
 
-    ``times`` is applied to the numerator before dividing so that
-    percentages are not rounded twice.
+    Decided exactly: with both operands as integers A and B (in 1/10^4), the
+    rounded absolute value in units of 10^-scale is the whole part of
+    (2 A times 10^scale + B) / 2B, taken with the remainder. Without ``guard``
+    a zero denominator raises (ANSI).
     """
-    n = _c(num).cast(NUM_T)
-    if times != 1:
-        n = (n * F.lit(times)).cast(NUM100_T)
-    d = F.nullif(_c(den).cast(DEN_T), F.lit(0).cast(DEN_T))
-    return n / d
-
-
-def ratio(num, den, scale: int = 2, times: int = 1) -> Column:
-    """``ROUND(num * times / NULLIF(den, 0), scale)``, half away from zero."""
-    return F.round(quotient(num, den, times), scale)
+    n, d = _c(num).cast(NUM_T), _c(den).cast(DEN_T)
+    if guard:
+        d = F.nullif(d, F.lit(0).cast(DEN_T))
+    b = (F.abs(d) * F.lit(10 ** 4)).cast(INT_T)
+    a = ((F.abs(n) * F.lit(2 * times * 10 ** scale * 10 ** 4)).cast(INT_T) + b).cast(INT_T)
+    b2 = (b * F.lit(2)).cast(INT_T)
+    m = ((a - a % b2).cast(INT_T) / b2).cast("decimal(36,0)")
+    value = (m / F.lit(10 ** scale)).cast(f"decimal(38,{scale})")
+    return F.when((n < 0) != (d < 0), -value).otherwise(value).cast(f"decimal(38,{scale})")
 
 
 def round_stat(c, scale: int = 2) -> Column:
@@ -100,15 +98,14 @@ def efficiency_tier(value, p25, p75) -> Column:
 
 # -- exact sample standard deviation ----------------------------------------
 
-def stddev_parts(x, scale: int = 2, prefix: str = "_sd", over=None) -> list[Column]:
+def stddev_parts(x, scale: int = 2, prefix: str = "_sd") -> list[Column]:
     """Aggregates from which :func:`stddev_rounded` decides ``ROUND(STDDEV(x), k)``
     exactly: count, and sums of ``X = x * 10^scale`` and ``X^2`` as integers.
-    All three are ordinary partial aggregates (map-side combined); with
-    ``over`` they are evaluated as window aggregates instead."""
+    All three are ordinary partial aggregates (map-side combined)."""
     big = F.col(x) if isinstance(x, str) else x
     X = (big * F.lit(10 ** scale)).cast("decimal(38,0)")
     parts = [(F.count(big), "_n"), (F.sum(X), "_s1"), (F.sum((X * X).cast("decimal(38,0)")), "_s2")]
-    return [(a.over(over) if over is not None else a).alias(prefix + suffix) for a, suffix in parts]
+    return [a.alias(prefix + suffix) for a, suffix in parts]
 
 
 def stddev_rounded(scale: int = 2, prefix: str = "_sd") -> Column:

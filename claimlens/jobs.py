@@ -1,7 +1,7 @@
 """End-to-end jobs: what running the source script does, as two Spark jobs.
 
-* :func:`load_job` — extract CSV -> star schema (+ shared pre-aggregate) and
-  the constraint report, written under one root;
+* :func:`load_job` — extract CSV -> star schema with roll-ups, checked against
+  its constraints and then published as one version;
 * :func:`report_job` — every KPI query and summary view over a written star,
   each written (sorted by its ORDER BY) under an output root.
 
@@ -28,27 +28,41 @@ KPI_QUERIES = {
 }
 
 
+class LoadError(ValueError):
+    """A load that violates the schema's constraints; nothing was published."""
+
+
 def load_job(spark: SparkSession, extract_path: str, star_root: str, state: str = loaders.DEFAULT_STATE,
-             multi_line: bool = True, with_base: bool = True) -> dict[str, int]:
-    """Load one extract into ``star_root`` and write its constraint report.
+             multi_line: bool | None = None, keep_codes: bool = True) -> dict[str, int]:
+    """Load one extract as a new version of the star at ``star_root``.
 
-    Returns the violation count per check (all zero on a clean load).
+    The tables and the constraint report are written first; any violation
+    raises and leaves the published version as it was. With ``keep_codes`` the
+    codes already published stay, and only new ones are added (ON CONFLICT DO
+    NOTHING). Returns the violation count per check: all zero.
     """
     ensure_checkpoint_dir(spark)
+    star_root = star_root.rstrip("/")
     stg = staging.read_staging(spark, extract_path, multi_line=multi_line)
-    sinks.write_star(loaders.load_star(stg, state), star_root, with_base=with_base)
-    star = sinks.read_star(spark, star_root)
-    report = quality.quality_report(star)
-    report.write.mode("overwrite").parquet(f"{star_root.rstrip('/')}/_quality")
-    rows = spark.read.parquet(f"{star_root.rstrip('/')}/_quality").collect()  # ~30 summary rows
-    return {f"{r.table_name}.{r.check_name}.{r.column_name}": r.violations for r in rows}
+    loaded = loaders.load_star(stg, state)
+    if keep_codes and (earlier := sinks.published(spark, star_root)) is not None:
+        existing = sinks.read_star(spark, star_root, version=earlier).codes
+        loaded.codes = existing.unionByName(loaders.new_codes(loaded.codes, existing))
+    version = sinks.write_version(loaded, star_root)
+    report_at = f"{star_root}/versions/{version}/_quality"
+    quality.quality_report(sinks.read_star(spark, star_root, version=version)).write.parquet(report_at)
+    rows = spark.read.parquet(report_at).collect()  # ~25 summary rows
+    found = {f"{r.table_name}.{r.check_name}.{r.column_name}": r.violations for r in rows}
+    if wrong := {k: v for k, v in found.items() if v}:
+        raise LoadError(f"load of {extract_path} violates constraints, nothing published: {wrong}")
+    sinks.publish(spark, star_root, version)
+    return found
 
 
-def report_job(spark: SparkSession, star_root: str, out_root: str, fmt: str = "parquet",
-               use_base: bool = True) -> dict[str, str]:
-    """Run every KPI query and summary view over the star at ``star_root``."""
+def report_job(spark: SparkSession, star_root: str, out_root: str, fmt: str = "parquet") -> dict[str, str]:
+    """Run every KPI query and summary view over the published star at ``star_root``."""
     ensure_checkpoint_dir(spark)
-    star: Star = sinks.read_star(spark, star_root, with_base=use_base)
+    star: Star = sinks.read_star(spark, star_root)
     out_root = out_root.rstrip("/")
     paths = {}
     for name, fn in KPI_QUERIES.items():

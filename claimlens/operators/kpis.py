@@ -5,31 +5,20 @@ one row per provider (or per code) *before* the dimension join, so the join
 sees one row per key instead of one per fact, and the join reuses the
 aggregate's hash partitioning on the key (no second shuffle of facts).
 
-Per-specialty windows and the global procedure ranking put a whole group in
-one task. Each operator therefore checks the largest group it would create
-(measured once per star on the dimension tables, an upper bound) against
-``claimlens.window.maxGroupRows``:
-
-* within the bound: Spark's own window / ``percentile`` in a single plan;
-* beyond it: the per-provider (per-code) table is written once to the
-  checkpoint folder, specialty tables are joined back by size-checked
-  broadcast, and ranks / percentiles / the top-k come from the sliced
-  operators of :mod:`claimlens.plans.ranking`, which never hold a whole group
-  in one task.
-
-Both shapes are tested to give identical rows.
+One plan each, whatever the size: specialty totals are attached to providers
+by a checked broadcast (salted beyond its bound), ranks and percentiles come
+from value slices, and the procedure ranking from a distributed top-k
+(:mod:`claimlens.plans.ranking`). No task ever holds a whole specialty or the
+whole code list. Inputs are the roll-ups of :class:`claimlens.plans.base.Star`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.functions.exprs import (
-    DEN_T,
     DRUG_LABEL_RANKING,
-    NUM100_T,
-    NUM_T,
     code_type,
     efficiency_tier,
     full_name,
@@ -39,8 +28,8 @@ from claimlens.functions.exprs import (
     stddev_parts,
     stddev_rounded,
 )
-from claimlens.plans.base import SUM_COLS, Star, rollup
-from claimlens.plans.materialize import broadcast_if, join_null_safe, reliable
+from claimlens.plans.base import SUM_COLS, Star
+from claimlens.plans.materialize import attach, join_null_safe
 from claimlens.plans.ranking import exact_percentiles, rank_within, slice_count, top_k_ranked
 
 # Default parameters of the reference analysis.
@@ -52,13 +41,9 @@ TOP_K = 25              # procedures listed in the spend ranking
 _PCTS = {"_p50": "0.5", "_p25": "0.25", "_p75": "0.75"}
 
 
-def _specialty_fits_task(star: Star) -> bool:
-    return star.fits_task(star.specialty_profile()[1])
-
-
 def provider_totals(star: Star, attrs: list[str]) -> DataFrame:
     """Per-provider sums (+ distinct code count ``n_other``) joined to ``attrs``."""
-    totals = rollup(star, "npi")
+    totals = star.rollup("npi")
     return totals.join(star.providers.select("npi", *attrs), "npi")
 
 
@@ -104,21 +89,14 @@ def specialty_unit_cost(star: Star) -> DataFrame:
 
 # -- C7 / C8 ---------------------------------------------------------------
 
-def _provider_metrics(star: Star) -> tuple[DataFrame, bool]:
+def provider_metrics(star: Star) -> DataFrame:
+    """Each provider's payment per service beside its specialty's weighted mean
+    (the reference's ``SUM(SUM(x)) OVER (PARTITION BY specialty)``)."""
     pt = provider_totals(star, ["first_name", "last_org_name", "credentials", "city", "provider_type"])
-    pt = pt.withColumnRenamed("provider_type", "specialty")
-    in_task = _specialty_fits_task(star)
-    if in_task:
-        # SUM(SUM(x)) OVER (PARTITION BY specialty): NULL specialty is one partition
-        w = Window.partitionBy("specialty")
-        pm = pt.withColumn("specialty_avg_pay_per_svc", ratio(F.sum("pay").over(w), F.sum("srv").over(w)))
-    else:
-        # specialty totals joined back NULL-safe; broadcast after the size check
-        pt = reliable(pt)
-        spec = pt.groupBy("specialty").agg(F.sum("pay").alias("_spay"), F.sum("srv").alias("_ssrv"))
-        spec = spec.select("specialty", ratio("_spay", "_ssrv").alias("specialty_avg_pay_per_svc"))
-        pm = join_null_safe(pt, broadcast_if(spec, star.specialty_profile()[0]), ["specialty"], "inner")
-    pm = pm.select(
+    pt = star.settled(pt.withColumnRenamed("provider_type", "specialty"))
+    spec = pt.groupBy("specialty").agg(F.sum("pay").alias("_spay"), F.sum("srv").alias("_ssrv"))
+    spec = spec.select("specialty", ratio("_spay", "_ssrv").alias("specialty_avg_pay_per_svc"))
+    return attach(pt, spec, ["specialty"], star.specialty_profile()[0], ["npi"]).select(
         "npi", "first_name", "last_org_name", "credentials", "city", "specialty",
         F.col("srv").alias("total_services"),
         F.col("benes").alias("total_beneficiaries"),
@@ -126,13 +104,6 @@ def _provider_metrics(star: Star) -> tuple[DataFrame, bool]:
         ratio("pay", "srv").alias("provider_pay_per_svc"),
         "specialty_avg_pay_per_svc",
     )
-    return pm, in_task
-
-
-def provider_metrics(star: Star) -> DataFrame:
-    """Each provider's payment per service beside its specialty's weighted mean
-    (the reference's ``SUM(SUM(x)) OVER (PARTITION BY specialty)``)."""
-    return _provider_metrics(star)[0]
 
 
 def provider_outliers(star: Star, pct_threshold: int = OUTLIER_PCT,
@@ -140,22 +111,18 @@ def provider_outliers(star: Star, pct_threshold: int = OUTLIER_PCT,
     """Providers whose payment per service deviates > ``pct_threshold`` % from
     their specialty mean, with their rank in the specialty (all providers,
     highest first, NULL first as in PostgreSQL)."""
-    pm, in_task = _provider_metrics(star)
+    pm = provider_metrics(star)
     pps, avg = F.col("provider_pay_per_svc"), F.col("specialty_avg_pay_per_svc")
     dev = pm.select(
         "*",
         F.round(pps - avg, 2).alias("deviation_from_avg"),
         ratio(pps - avg, avg, 1, times=100).alias("pct_deviation"),
     )
-    if in_task:
-        w = Window.partitionBy("specialty").orderBy(pps.desc_nulls_first())
-        ranked = dev.withColumn("specialty_rank", F.rank().over(w).cast("bigint"))
-    else:
-        # ranks of all providers; the filter below reads only ``dev`` columns,
-        # so Catalyst applies it before the rank join
-        n_keys, largest = star.specialty_profile()
-        ranked = rank_within(dev, ["specialty"], "provider_pay_per_svc", "specialty_rank",
-                             n_keys=n_keys, buckets=slice_count(largest))
+    # ranks of all providers; the filter below reads only ``dev`` columns, so
+    # Catalyst applies it before the rank join
+    n_keys, largest = star.specialty_profile()
+    ranked = rank_within(dev, ["specialty"], "provider_pay_per_svc", "specialty_rank",
+                         n_keys=n_keys, buckets=slice_count(largest))
     out = ranked.where((F.abs("pct_deviation") > F.lit(pct_threshold))
                        & (F.col("total_services") >= F.lit(min_services)))
     return out.select(
@@ -172,7 +139,7 @@ def provider_outliers(star: Star, pct_threshold: int = OUTLIER_PCT,
 
 def procedure_spend(star: Star) -> DataFrame:
     """Per-code totals (the CTE of the procedure ranking)."""
-    totals = rollup(star, "hcpcs_cd")
+    totals = star.rollup("hcpcs_cd")
     proc = totals.join(star.codes, "hcpcs_cd")
     return proc.select(
         "hcpcs_cd", "hcpcs_desc", "drug_indicator",
@@ -193,20 +160,9 @@ def top_procedures(star: Star, k: int = TOP_K) -> DataFrame:
     reference does: an all-zero table raises (ANSI) instead of returning rows.
     """
     v = F.col("total_payment")
-    if star.fits_task(star.code_count()):
-        # every code fits one task: the reference's global windows as written
-        w = Window.orderBy(v.desc_nulls_first())
-        top = (procedure_spend(star)
-               .withColumn("_rank", F.rank().over(w).cast("bigint"))
-               .withColumn("_run_sum", F.sum(v).over(w))
-               .withColumn("_grand", F.sum(v).over(Window.partitionBy()))
-               .orderBy(v.desc_nulls_first(), F.col("hcpcs_cd").asc_nulls_last())
-               .limit(k))
-    else:
-        # distributed top-k; rank / running share from k rows + two scalars
-        top = top_k_ranked(reliable(procedure_spend(star)), "total_payment", ["hcpcs_cd"], k)
-    share = F.round((F.col("_run_sum").cast(NUM_T) * F.lit(100)).cast(NUM100_T)
-                    / F.col("_grand").cast(DEN_T), 1)
+    # rank and running share from the k rows and two scalars
+    top = top_k_ranked(star.settled(procedure_spend(star)), "total_payment", ["hcpcs_cd"], k)
+    share = ratio("_run_sum", "_grand", 1, times=100, guard=False)
     return top.select(
         F.col("_rank").alias("cost_rank"),
         "hcpcs_cd", "hcpcs_desc",
@@ -249,12 +205,10 @@ def _stat_columns(prefix: str = "") -> list:
     ]
 
 
-def _stat_aggs(x, over=None) -> list:
-    """Raw statistic aggregates; window aggregates when ``over`` is given."""
-    def o(a):
-        return a.over(over) if over is not None else a
-    return [o(F.sum(x)).alias("_sum"), o(F.count(x)).alias("_cnt"), *stddev_parts(x, over=over),
-            o(F.min(x)).alias("_min"), o(F.max(x)).alias("_max")]
+def _stat_aggs(x) -> list:
+    """Raw statistic aggregates."""
+    return [F.sum(x).alias("_sum"), F.count(x).alias("_cnt"), *stddev_parts(x),
+            F.min(x).alias("_min"), F.max(x).alias("_max")]
 
 
 def specialty_distribution_of(pe: DataFrame, star: Star,
@@ -265,51 +219,30 @@ def specialty_distribution_of(pe: DataFrame, star: Star,
     f = pe.where(F.col("total_beneficiaries") >= F.lit(min_beneficiaries))
     x = F.col("payment_per_beneficiary")
     n = F.count(F.lit(1)).alias("provider_count")
-    if _specialty_fits_task(star):
-        pcts = [F.percentile(x, float(p)).alias(name) for name, p in _PCTS.items()]
-        stats = f.groupBy("specialty").agg(n, *_stat_aggs(x), *pcts)
-    else:
-        stats = f.groupBy("specialty").agg(n, *_stat_aggs(x))
-        n_keys, largest = star.specialty_profile()
-        pct = exact_percentiles(f, ["specialty"], "payment_per_beneficiary", _PCTS,
-                                n_keys=n_keys, buckets=slice_count(largest))
-        # both sides hold one row per specialty: no skew, any join strategy is fine
-        stats = join_null_safe(stats, pct, ["specialty"], "left")
+    stats = f.groupBy("specialty").agg(n, *_stat_aggs(x))
+    n_keys, largest = star.specialty_profile()
+    pct = exact_percentiles(f, ["specialty"], "payment_per_beneficiary", _PCTS,
+                            n_keys=n_keys, buckets=slice_count(largest))
+    # both sides hold one row per specialty: no skew, any join strategy is fine
+    stats = join_null_safe(stats, pct, ["specialty"], "left")
     return stats.select("specialty", "provider_count", *_stat_columns())
 
 
 def specialty_distribution(star: Star, min_beneficiaries: int = MIN_BENEFICIARIES) -> DataFrame:
-    pe = provider_efficiency_base(star)
-    if not _specialty_fits_task(star):
-        pe = reliable(pe)
-    return specialty_distribution_of(pe, star, min_beneficiaries)
+    return specialty_distribution_of(star.settled(provider_efficiency_base(star)), star, min_beneficiaries)
 
 
 def provider_efficiency(star: Star, min_beneficiaries: int = MIN_BENEFICIARIES) -> DataFrame:
     """Each provider's payment per beneficiary against its specialty's
     distribution: z-score and IQR tier. NULL specialty drops out (plain
     equality join in the reference)."""
-    pe = provider_efficiency_base(star)
+    pe = star.settled(provider_efficiency_base(star))
     ppb = F.col("payment_per_beneficiary")
     volume = F.col("total_beneficiaries") >= F.lit(min_beneficiaries)
-    if _specialty_fits_task(star):
-        # every specialty fits one task: the statistics are window aggregates
-        # over exactly the reported rows — one fact pass, no self-join
-        kept = pe.where(volume & F.col("specialty").isNotNull())
-        w = Window.partitionBy("specialty")
-        j = kept.select("*", *_stat_aggs(ppb, over=w),
-                        *[F.percentile(ppb, float(p)).over(w).alias(n) for n, p in _PCTS.items()])
-        j = j.select("*", *_stat_columns("specialty_"))
-    else:
-        # read twice (statistics and report): written once rather than letting
-        # both branches re-aggregate the facts
-        pe = reliable(pe)
-        ss = specialty_distribution_of(pe, star, min_beneficiaries)
-        ss = ss.select("specialty", *[F.col(c).alias("specialty_" + c) for c in ss.columns
-                                      if c.endswith("_pay_per_bene")])
-        # one row per specialty, measured: broadcast, so a hot specialty is never
-        # gathered by a shuffle join
-        j = pe.where(volume).join(broadcast_if(ss, star.specialty_profile()[0]), "specialty")
+    ss = specialty_distribution_of(pe, star, min_beneficiaries)
+    ss = ss.where("specialty is not null").select("specialty", *[
+        F.col(c).alias("specialty_" + c) for c in ss.columns if c.endswith("_pay_per_bene")])
+    j = attach(pe.where(volume & F.col("specialty").isNotNull()), ss, ["specialty"], star.specialty_profile()[0], ["npi"])
     return j.select(
         "specialty", "npi",
         full_name("first_name", "last_org_name").alias("provider_name"),

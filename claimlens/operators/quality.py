@@ -26,12 +26,19 @@ from claimlens.schema import (
 REPORT_COLUMNS = ["table_name", "check_name", "column_name", "limit_value", "max_length", "violations"]
 
 
-def _row(table: str, check: str, column: str, limit, max_len, violations) -> list:
-    return [F.lit(table).alias("table_name"), F.lit(check).alias("check_name"),
-            F.lit(column).alias("column_name"),
-            (limit if not isinstance(limit, (int, type(None))) else F.lit(limit)).cast("bigint").alias("limit_value"),
-            (max_len if not isinstance(max_len, (int, type(None))) else F.lit(max_len)).cast("bigint").alias("max_length"),
-            violations.cast("bigint").alias("violations")]
+_REPORT = "array<struct<table_name:string,check_name:string,column_name:string,limit_value:bigint,max_length:bigint,violations:bigint>>"
+
+
+def _row(table: str, check: str, column: str, limit, max_len, violations):
+    return F.struct(F.lit(table).alias("table_name"), F.lit(check).alias("check_name"), F.lit(column).alias("column_name"),
+                    F.lit(limit).cast("bigint").alias("limit_value"),
+                    (F.lit(None) if max_len is None else max_len).cast("bigint").alias("max_length"),
+                    F.coalesce(violations, F.lit(0)).cast("bigint").alias("violations"))
+
+
+def _report(agg: DataFrame, rows: list) -> DataFrame:
+    """The rows of a one-row aggregate, so that each is not a scan of its own."""
+    return agg.select(F.inline(F.array(*rows).cast(_REPORT)))
 
 
 # -- C16 primary key ---------------------------------------------------------
@@ -41,15 +48,6 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def unique_report(df: DataFrame, keys: list[str], table: str) -> DataFrame:
-    """Duplicated key values + rows with a NULL key part (both violate a PK)."""
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    v = F.coalesce(F.sum(F.when(F.col("n") > 1, F.lit(1)).otherwise(F.lit(0))), F.lit(0)) \
-        + F.coalesce(F.sum(F.when(any_null, F.col("n")).otherwise(F.lit(0))), F.lit(0))
-    return per_key.agg(*_row(table, "unique", ",".join(keys), None, None, v))
-
-
 # -- C17 foreign key ---------------------------------------------------------
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -57,36 +55,35 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.where(F.col(key).isNotNull()).join(parent.select(key), key, "left_anti")
 
 
-def references_report(child: DataFrame, parent: DataFrame, key: str, table: str) -> DataFrame:
-    """Orphan child rows, counted per key before the anti-join: the join sees
-    one row per distinct key, so a key on a third of all rows cannot skew it."""
-    per_key = child.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    missing = per_key.join(parent.select(key), key, "left_anti")
-    v = F.coalesce(F.sum("_rows"), F.lit(0))
-    return missing.agg(*_row(table, "references", key, None, None, v))
-
-
-# -- C18 NOT NULL -------------------------------------------------------------
+def key_report(parent: DataFrame, child: DataFrame, key: str, parent_name: str, child_name: str) -> DataFrame:
+    """Primary key of the parent (duplicated values, rows with a NULL key) and
+    the child's references to it (rows without a parent row).
 
-def not_null_report(df: DataFrame, cols: list[str], table: str) -> DataFrame:
-    """NULL count per column, all columns in one pass over ``df``."""
-    agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    rows = [agg.select(*_row(table, "not_null", c, None, None, F.col(c))) for c in cols]
-    return reduce(DataFrame.unionByName, rows)
+    Both sides are counted per key before they meet: one scan each, and a key
+    on a third of all rows is one row of the join.
+    """
+    p = parent.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_rows"))
+    c = child.groupBy(key).agg(F.count(F.lit(1)).alias("_child_rows"))
+    both = c.join(p, c[key] == p["_k"], "full")
+    agg = both.agg(F.count_if(F.col("_k").isNotNull() & (F.col("_rows") > 1)).alias("twice"),
+                   F.sum(F.when(F.col("_k").isNull(), F.col("_rows"))).alias("no_key"),
+                   F.sum(F.when(F.col(key).isNotNull() & F.col("_k").isNull(), F.col("_child_rows"))).alias("orphans"))
+    return _report(agg, [_row(parent_name, "unique", key, None, None, F.col("twice") + F.coalesce("no_key", F.lit(0))),
+                         _row(child_name, "references", key, None, None, F.col("orphans"))])
 
 
-# -- C19 text length -----------------------------------------------------------
+# -- C18 NOT NULL, C19 text length ---------------------------------------------
 
-def length_report(df: DataFrame, limits: dict[str, int], table: str) -> DataFrame:
-    """Per column: declared limit, longest value, values over the limit."""
-    aggs = []
+def column_report(df: DataFrame, required: list[str], limits: dict[str, int], table: str) -> DataFrame:
+    """NULLs in the columns declared NOT NULL, and the longest text and values
+    over the limit of each text column, all in one pass over ``df``."""
+    aggs = [F.count_if(F.col(c).isNull()).alias(f"{c}__null") for c in required]
     for c, n in limits.items():
         ln = F.char_length(F.col(c))
         aggs += [F.max(ln).alias(f"{c}__max"), F.count_if(ln > F.lit(n)).alias(f"{c}__over")]
-    agg = df.agg(*aggs)
-    rows = [agg.select(*_row(table, "length", c, n, F.col(f"{c}__max"), F.col(f"{c}__over")))
-            for c, n in limits.items()]
-    return reduce(DataFrame.unionByName, rows)
+    rows = [_row(table, "not_null", c, None, None, F.col(f"{c}__null")) for c in required]
+    rows += [_row(table, "length", c, n, F.col(f"{c}__max"), F.col(f"{c}__over")) for c, n in limits.items()]
+    return _report(df.agg(*aggs), rows)
 
 
 def too_long(df: DataFrame, limits: dict[str, int]) -> DataFrame:
@@ -101,15 +98,10 @@ def quality_report(star: Star) -> DataFrame:
     """Every constraint of the source schema checked on a loaded star schema."""
     p, c, u = star.providers, star.codes, star.utilization
     parts = [
-        unique_report(p, PROVIDERS_KEY, "providers"),
-        unique_report(c, CODES_KEY, "hcpcs_codes"),
-        references_report(u, p, "npi", "utilization"),
-        references_report(u, c, "hcpcs_cd", "utilization"),
-        not_null_report(u, UTILIZATION_NOT_NULL + ["tot_benes", "tot_srvcs", "avg_medicare_payment"], "utilization"),
-        not_null_report(p, ["first_name", "middle_initial", "credentials", "street_2", "ruca_code",
-                            "provider_type"], "providers"),
-        length_report(p, PROVIDERS_LENGTHS, "providers"),
-        length_report(c, CODES_LENGTHS, "hcpcs_codes"),
-        length_report(u, UTILIZATION_LENGTHS, "utilization"),
+        key_report(p, u, "npi", "providers", "utilization"),
+        key_report(c, u, "hcpcs_cd", "hcpcs_codes", "utilization"),
+        column_report(p, PROVIDERS_KEY, PROVIDERS_LENGTHS, "providers"),
+        column_report(c, CODES_KEY, CODES_LENGTHS, "hcpcs_codes"),
+        column_report(u, UTILIZATION_NOT_NULL, UTILIZATION_LENGTHS, "utilization"),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -13,24 +13,14 @@ from pyspark.sql import functions as F
 
 from claimlens.functions.exprs import DRUG_LABEL_SUMMARY, code_type, display_name, ratio
 from claimlens.operators.kpis import provider_totals, specialty_totals
-from claimlens.plans.base import Star, rollup
+from claimlens.plans.base import Star
 from claimlens.plans.materialize import join_null_safe
 
 
 def specialty_code_counts(star: Star) -> DataFrame:
-    """``COUNT(DISTINCT hcpcs_cd)`` per specialty.
-
-    (npi, code) pairs are reduced map-side before meeting the provider
-    dimension; the (specialty, code) de-duplication is again map-side
-    combined, so a hot specialty never gathers its raw rows in one task.
-    """
-    pairs = star.facts().select("npi", "hcpcs_cd")
-    if not star.keyed:
-        pairs = pairs.distinct()
-    sp = pairs.join(star.providers.select("npi", "provider_type"), "npi")
-    per_code = sp.select("provider_type", "hcpcs_cd").distinct()
-    return per_code.groupBy(F.col("provider_type").alias("specialty")).agg(
-        F.count("hcpcs_cd").alias("distinct_procedures"))
+    """``COUNT(DISTINCT hcpcs_cd)`` per specialty: a row count over the distinct
+    pairs, map-side combined, so a hot specialty is never gathered."""
+    return star.specialty_codes().groupBy("specialty").agg(F.count("hcpcs_cd").alias("distinct_procedures"))
 
 
 def vw_specialty_summary(star: Star) -> DataFrame:
@@ -53,7 +43,7 @@ def vw_specialty_summary(star: Star) -> DataFrame:
 
 
 def vw_procedure_summary(star: Star) -> DataFrame:
-    totals = rollup(star, "hcpcs_cd")
+    totals = star.rollup("hcpcs_cd")
     j = totals.join(star.codes, "hcpcs_cd")
     return j.select(
         "hcpcs_cd", "hcpcs_desc",

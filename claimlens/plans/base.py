@@ -1,9 +1,11 @@
-"""Fact measures and the shared (npi, hcpcs_cd) pre-aggregate.
-
-Every KPI and view is a sum or a distinct count over utilization facts, so
-they can all start from :func:`measures` (one row per fact, no shuffle) or from
-:func:`shared_base` (one row per provider x code, written once and reused by
-all queries). Decimal sums are exact, so both give identical results.
+"""Fact measures and the roll-ups every query reads.
+
+All KPIs and views are sums or distinct counts over utilization facts, by
+provider, by code, or by specialty. The load writes three roll-ups once, each
+far smaller than the facts: per provider, per code, and the distinct
+(specialty, code) pairs. Queries read those; a :class:`Star` without stored
+roll-ups computes them from its facts. Decimal sums are exact, so both give
+identical results.
 """
 
 from __future__ import annotations
@@ -31,49 +33,49 @@ def measures(util: DataFrame) -> DataFrame:
     )
 
 
-def _sums(prefix: str = ""):
-    return [F.sum(c).alias(prefix + c) for c in SUM_COLS]
+def roll_up(util: DataFrame, key: str) -> DataFrame:
+    """Per npi or hcpcs_cd: exact sums, and ``n_other`` distinct values of the other key.
+
+    Spark aggregates by (key, other) first, so a key on a third of all facts
+    is spread by the other key before it is gathered.
+    """
+    other = "hcpcs_cd" if key == "npi" else "npi"
+    return measures(util).groupBy(key).agg(*[F.sum(c).alias(c) for c in SUM_COLS], F.count_distinct(other).alias("n_other"))
 
 
-def shared_base(util: DataFrame) -> DataFrame:
-    """One row per (npi, hcpcs_cd) with exact sums; map-side combined."""
-    return measures(util).groupBy("npi", "hcpcs_cd").agg(*_sums())
+def specialty_codes(util: DataFrame, providers: DataFrame) -> DataFrame:
+    """Distinct (specialty, hcpcs_cd); pairs are reduced before they meet the providers."""
+    pairs = util.select("npi", "hcpcs_cd").distinct()
+    return pairs.join(providers.select("npi", "provider_type"), "npi") \
+        .select(F.col("provider_type").alias("specialty"), "hcpcs_cd").distinct()
 
 
 @dataclass
 class Star:
-    """The three star-schema tables, optionally with a materialised base.
-
-    ``facts`` is either per-fact measures or the keyed pre-aggregate; the
-    operators only use sums and distinct counts, which agree on both.
-    """
+    """The three star-schema tables, with or without stored roll-ups."""
 
     providers: DataFrame
     codes: DataFrame
-    utilization: DataFrame | None = None
-    base: DataFrame | None = None
+    utilization: DataFrame
+    by_npi: DataFrame | None = None
+    by_code: DataFrame | None = None
+    by_specialty_code: DataFrame | None = None
     _profile: dict = field(default_factory=dict, repr=False, compare=False)
-    # rows one task may hold for a per-key window; None = session setting
-    task_rows: int | None = None
 
-    @property
-    def keyed(self) -> bool:
-        """True when facts are unique per (npi, hcpcs_cd)."""
-        return self.base is not None
+    def rollup(self, key: str) -> DataFrame:
+        stored = self.by_npi if key == "npi" else self.by_code
+        return roll_up(self.utilization, key) if stored is None else stored
 
-    def facts(self) -> DataFrame:
-        if self.base is not None:
-            return self.base
-        return measures(self.utilization)
+    def specialty_codes(self) -> DataFrame:
+        if self.by_specialty_code is not None:
+            return self.by_specialty_code
+        return specialty_codes(self.utilization, self.providers)
 
-    def with_base(self, base: DataFrame) -> "Star":
-        return Star(self.providers, self.codes, self.utilization, base, self._profile, self.task_rows)
-
-    def fits_task(self, rows: int) -> bool:
-        """Whether a group of ``rows`` rows may be handled by one task."""
-        from claimlens.plans.materialize import max_group_rows
-        limit = self.task_rows if self.task_rows is not None else max_group_rows(self.providers.sparkSession)
-        return rows <= limit
+    def settled(self, df: DataFrame) -> DataFrame:
+        """A frame that is read more than once: as it is over stored roll-ups,
+        written once where reading it would aggregate the facts again."""
+        from claimlens.plans.materialize import reliable
+        return df if self.by_npi is not None else reliable(df)
 
     def specialty_profile(self) -> tuple[int, int]:
         """(specialties, providers of the largest specialty), measured once on
@@ -84,24 +86,3 @@ class Star:
             r = per.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m")).first()
             self._profile["specialty"] = (int(r["k"] or 0), int(r["m"] or 0))
         return self._profile["specialty"]
-
-    def code_count(self) -> int:
-        """Rows of the codes dimension: bounds the per-code tables."""
-        if "codes" not in self._profile:
-            self._profile["codes"] = self.codes.count()
-        return self._profile["codes"]
-
-
-def distinct_count(star: Star, col: str):
-    """``COUNT(DISTINCT col)`` for npi / hcpcs_cd inside a group.
-
-    On the keyed base each (npi, hcpcs_cd) occurs once, so grouping by one key
-    and counting the other is already distinct: no extra de-duplication.
-    """
-    return F.count(col) if star.keyed else F.count_distinct(col)
-
-
-def rollup(star: Star, key: str) -> DataFrame:
-    """Per-``key`` (npi or hcpcs_cd) sums plus the distinct count of the other key."""
-    other = "hcpcs_cd" if key == "npi" else "npi"
-    return star.facts().groupBy(key).agg(*_sums(), distinct_count(star, other).alias("n_other"))

@@ -5,11 +5,10 @@
   cut (a lost executor does not recompute the upstream aggregate), and unlike
   an RDD checkpoint the table keeps column pruning and file statistics.
 * :func:`key_profile` measures, in one small job, how many keys a table has and
-  how many rows its largest key holds. Operators use it to decide whether a
-  per-key window fits one task and whether per-key tables can be broadcast.
-* :func:`broadcast_if` applies the broadcast hint only when a measured row
-  bound is below the limit; above it the join stays a shuffle join (AQE skew
-  splitting is enabled by the session).
+  how many rows its largest key holds.
+* :func:`attach` joins a table of one row per key to rows whose keys may be
+  hot: broadcast within a measured bound, salted beyond it, so the rows of one
+  key never meet in one task.
 """
 
 from __future__ import annotations
@@ -26,14 +25,8 @@ from claimlens.session import ensure_checkpoint_dir
 # slice, per specialty x percentile) are narrow; 200k rows is a few MB.
 DEFAULT_BROADCAST_ROWS = 200_000
 
-# Rows one task may sort for a per-key window / exact percentile before the
-# distributed (sliced) form is used. Session conf overrides it.
-MAX_GROUP_ROWS_CONF = "claimlens.window.maxGroupRows"
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
-
-
-def max_group_rows(spark) -> int:
-    return int(spark.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+# Parts that the rows of one key are dealt to where its table is too large to broadcast.
+SALTS = 32
 
 
 def reliable(df: DataFrame) -> DataFrame:
@@ -79,3 +72,17 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
         raise ValueError("join_null_safe needs at least one key")
     r, cond, rk = null_safe_on(left, right, keys)
     return left.join(r, cond, how).drop(*rk)
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], n_rows: int, spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined NULL-safe to ``table`` (one row per key, ``n_rows`` measured).
+
+    Within the broadcast bound the table goes to every task. Beyond it the rows
+    of a key are dealt to ``SALTS`` parts by a hash of ``spread`` and the table
+    is copied to each part.
+    """
+    if n_rows <= DEFAULT_BROADCAST_ROWS:
+        return join_null_safe(rows, F.broadcast(table), keys, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return join_null_safe(salted, copies, [*keys, "_salt"], how).drop("_salt")

@@ -1,4 +1,4 @@
-"""Distributed ``RANK()``, RANGE running sums and exact percentiles.
+"""Distributed ``RANK()``, exact percentiles and ranked top-k.
 
 Spark executes ``Window.partitionBy(k).orderBy(v)`` by sending every row of a
 key to one task, and an un-partitioned window sends the whole table to one
@@ -15,10 +15,8 @@ here compute the same numbers without such a stage:
 4. Add the row counts / sums of all earlier slices of the same key from a
    table of ``keys x buckets`` rows (size-checked broadcast).
 
-``RANK()`` of a value is 1 + rows strictly before it; a RANGE
-``SUM() OVER (ORDER BY v)`` is the sum over rows before it and its ties. Both
-depend only on the value, so the results are exact; only the slice balance
-is approximate.
+``RANK()`` of a value is 1 + rows strictly before it: it depends only on the
+value, so the results are exact; only the slice balance is approximate.
 """
 
 from __future__ import annotations
@@ -28,7 +26,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.plans.materialize import broadcast_if, join_null_safe, key_profile
+from claimlens.plans.materialize import attach, join_null_safe, key_profile
 
 DEFAULT_BUCKETS = 64
 SLICE_TARGET_ROWS = 1_000_000  # distinct values one slice window should sort
@@ -68,7 +66,7 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
     if keys:
         bounds = d.where(v.isNotNull()).groupBy(*keys).agg(quantiles)
         # one row per key, but each carries buckets - 1 bounds: size by values
-        d = join_null_safe(d, broadcast_if(bounds, n_keys * buckets), keys, "left")
+        d = attach(d, bounds, keys, n_keys * buckets, [value], "left")
     else:
         d = d.withColumn("_bounds", d.where(v.isNotNull()).agg(quantiles).scalar())
     if descending:
@@ -98,7 +96,7 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
         F.sum("_bs").over(before).alias("_os"),
         F.sum("_bk").over(whole).alias("_tot_k"),
     )
-    d = join_null_safe(d, broadcast_if(offsets, n_keys * (buckets + 2)), keys + ["_slice"], "inner")
+    d = attach(d, offsets, keys + ["_slice"], n_keys * (buckets + 2), [value])
 
     cum_k = F.col("_ok") + F.col("_lk")
     return d.select(
@@ -124,18 +122,6 @@ def rank_within(df: DataFrame, part: list[str], value: str, out: str, *, descend
     return join_null_safe(df, pos, list(part) + [value], "inner")
 
 
-def running_sum_within(df: DataFrame, part: list[str], value: str, *, descending: bool = True,
-                       nulls_first: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Append ``_rank`` and ``_run_sum`` (``SUM(value) OVER (PARTITION BY part
-    ORDER BY value)`` with the default RANGE frame) to every row."""
-    pos = value_positions(df.select(*part, value), part, value, descending=descending,
-                          nulls_first=nulls_first, buckets=buckets)
-    pos = pos.select(*part, value, "_rank", "_run_sum")
-    if part:
-        return join_null_safe(df, pos, list(part) + [value], "inner")
-    return join_null_safe(df, pos, [value], "inner")
-
-
 def exact_percentiles(df: DataFrame, part: list[str], value: str, ps: dict[str, str], *,
                       buckets: int = DEFAULT_BUCKETS, n_keys: int | None = None) -> DataFrame:
     """``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` per ``part``, exactly.

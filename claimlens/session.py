@@ -48,10 +48,17 @@ def apply_scale_defaults(spark: SparkSession, overrides: dict | None = None) ->
     return applied
 
 
+def cluster_session() -> SparkSession:
+    """The session of this process as it was submitted: master and settings come
+    from spark-submit or the cluster, the scale defaults fill what is unset."""
+    spark = SparkSession.builder.getOrCreate()
+    apply_scale_defaults(spark)
+    return spark
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "claimlens", extra: dict | None = None) -> SparkSession:
-    """Local/test session. On a cluster, use the cluster's session and only
-    call :func:`ensure_checkpoint_dir`."""
+    """Local session of tests and the bench; jobs use :func:`cluster_session`."""
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -78,7 +85,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder every executor "
                                "can reach (HDFS / object store) before running claimlens jobs")
         d = tempfile.mkdtemp(prefix="claimlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))

@@ -27,7 +27,7 @@ from claimlens.plans.materialize import reliable
 
 DEFAULT_STATE = "IL"  # Fixed value: the reference keeps Illinois providers only.
 
-_PROVIDER_SRC = [
+PROVIDER_SRC = [
     "Rndrng_Prvdr_Last_Org_Name", "Rndrng_Prvdr_First_Name", "Rndrng_Prvdr_MI",
     "Rndrng_Prvdr_Crdntls", "Rndrng_Prvdr_Ent_Cd", "Rndrng_Prvdr_St1", "Rndrng_Prvdr_St2",
     "Rndrng_Prvdr_City", "Rndrng_Prvdr_State_Abrvtn", "Rndrng_Prvdr_State_FIPS",
@@ -36,6 +36,9 @@ _PROVIDER_SRC = [
 ]
 
 
+CODE_SRC = ["HCPCS_Desc", "HCPCS_Drug_Ind"]
+
+
 def in_state(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame:
     return stg.where(F.col("Rndrng_Prvdr_State_Abrvtn") == F.lit(state))
 
@@ -47,8 +50,8 @@ def provider_candidates(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame
     micro-batches) combine with :func:`providers_from_candidates` into exactly
     the pick a single load over all inputs makes.
     """
-    s = in_state(stg, state).select("Rndrng_NPI", *_PROVIDER_SRC)
-    return s.groupBy("Rndrng_NPI").agg(F.min(F.struct(*_PROVIDER_SRC)).alias("r"))
+    s = in_state(stg, state).select("Rndrng_NPI", *PROVIDER_SRC)
+    return s.groupBy("Rndrng_NPI").agg(F.min(F.struct(*PROVIDER_SRC)).alias("r"))
 
 
 def providers_from_candidates(cands: DataFrame) -> DataFrame:
@@ -83,8 +86,8 @@ def load_providers(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame:
 
 def code_candidates(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame:
     """Smallest (description, drug flag) per code of ``state``: ``(HCPCS_Cd, r)``."""
-    s = in_state(stg, state).select("HCPCS_Cd", "HCPCS_Desc", "HCPCS_Drug_Ind")
-    return s.groupBy("HCPCS_Cd").agg(F.min(F.struct("HCPCS_Desc", "HCPCS_Drug_Ind")).alias("r"))
+    s = in_state(stg, state).select("HCPCS_Cd", *CODE_SRC)
+    return s.groupBy("HCPCS_Cd").agg(F.min(F.struct(*CODE_SRC)).alias("r"))
 
 
 def codes_from_candidates(cands: DataFrame) -> DataFrame:
@@ -103,9 +106,12 @@ def load_codes(stg: DataFrame, state: str = DEFAULT_STATE, existing: DataFrame |
     what does not conflict), which makes repeated loads idempotent.
     """
     out = codes_from_candidates(code_candidates(stg, state))
-    if existing is not None:
-        out = out.join(existing.select("hcpcs_cd"), "hcpcs_cd", "left_anti")
-    return out
+    return out if existing is None else new_codes(out, existing)
+
+
+def new_codes(codes: DataFrame, existing: DataFrame) -> DataFrame:
+    """``ON CONFLICT DO NOTHING``: the codes that are not in the existing table."""
+    return codes.join(existing.select("hcpcs_cd"), "hcpcs_cd", "left_anti")
 
 
 def load_utilization(stg: DataFrame, state: str = DEFAULT_STATE) -> DataFrame:

@@ -1,25 +1,35 @@
 """C15 export and the star-schema table layout.
 
-Tables are written once by the load step and read by every query, the way
-the source script loads tables once and then runs its KPIs:
+A load writes all its tables under one new version folder and publishes it by
+appending one row to ``_published``; readers resolve the newest published
+version. A failed load therefore changes nothing that a reader sees, and no
+table of an older load is ever mixed in.
 
 * ``utilization`` is range-partitioned and sorted by ``(npi, hcpcs_cd)``, so
   parquet row-group statistics prune ``npi`` ranges and a hot provider is
-  spread over several files;
-* ``providers`` is partitioned by ``state`` (partition pruning for a state
-  filter);
-* the shared (npi, code) pre-aggregate is written beside them.
+  spread over several files; Spark sizes the partitions;
+* the roll-ups (per npi, per code, specialty x code) are written beside it.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.plans.base import Star, shared_base
+from claimlens.plans.base import SUM_COLS, Star, roll_up, specialty_codes
 from claimlens.schema import CODES_SCHEMA, PROVIDERS_SCHEMA, UTILIZATION_SCHEMA
 
+# quoted "" stays apart from NULL, and blanks at the ends of a text stay
+CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": "",
+             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+MARKERS = T.StructType([T.StructField("version", T.StringType()), T.StructField("published_ns", T.LongType())])
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``INSERT INTO t SELECT``: columns in the table's order, cast to its
@@ -32,16 +42,17 @@ def export_summary(df: DataFrame, path: str, fmt: str = "csv", order_by: list[Co
     """Write a view for spreadsheet use.
 
     ``order_by`` applies the view's ORDER BY as a distributed range sort (part
-    files follow the order). ``single_file`` additionally merges into one file
-    and is meant for the small specialty / procedure views only.
+    files follow the order). ``single_file`` hands over one file and is meant
+    for the small specialty / procedure views only: their rows are gathered
+    first and sorted in the task that writes them.
     """
-    out = df.orderBy(*order_by) if order_by else df
     if single_file:
-        out = out.coalesce(1)
+        out = df.coalesce(1).sortWithinPartitions(*order_by) if order_by else df.coalesce(1)
+    else:
+        out = df.orderBy(*order_by) if order_by else df
     w = out.write.mode(mode)
     if fmt == "csv":
-        w.option("header", "true").option("quote", '"').option("escape", '"') \
-         .option("emptyValue", '""').option("nullValue", "").csv(path)
+        w.options(**CSV_WRITE).csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     elif fmt == "json":
@@ -50,32 +61,78 @@ def export_summary(df: DataFrame, path: str, fmt: str = "csv", order_by: list[Co
         raise ValueError(f"unsupported export format {fmt!r}")
 
 
-def write_star(star: Star, root: str, partitions: int | None = None, with_base: bool = True) -> None:
-    """Write providers / hcpcs_codes / utilization (+ base) as parquet under ``root``."""
-    root = root.rstrip("/")
-    spark = star.providers.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    providers = conform(star.providers, PROVIDERS_SCHEMA)
-    codes = conform(star.codes, CODES_SCHEMA)
-    util = conform(star.utilization, UTILIZATION_SCHEMA)
-    providers.write.mode("overwrite").partitionBy("state").parquet(f"{root}/providers")
-    codes.write.mode("overwrite").parquet(f"{root}/hcpcs_codes")
+def _sum_fields() -> list[T.StructField]:
+    return [T.StructField(c, T.LongType() if c == "benes" else T.DecimalType(38, 4) if c in SUM_COLS[2:] else T.DecimalType(22, 2)) for c in SUM_COLS]
+
+
+ROLLUP_SCHEMAS = {
+    "by_npi": T.StructType([T.StructField("npi", T.LongType()), *_sum_fields(), T.StructField("n_other", T.LongType())]),
+    "by_code": T.StructType([T.StructField("hcpcs_cd", T.StringType()), *_sum_fields(), T.StructField("n_other", T.LongType())]),
+    "by_specialty_code": T.StructType([T.StructField("specialty", T.StringType()), T.StructField("hcpcs_cd", T.StringType())]),
+}
+
+
+def write_version(star: Star, root: str, with_rollups: bool = True) -> str:
+    """Write every table of a load under a new version folder; nothing is published."""
+    spark, version = star.providers.sparkSession, uuid.uuid4().hex
+    at = f"{root.rstrip('/')}/versions/{version}"
+    conform(star.providers, PROVIDERS_SCHEMA).write.parquet(f"{at}/providers")
+    conform(star.codes, CODES_SCHEMA).write.parquet(f"{at}/hcpcs_codes")
     # range partitions on (npi, code): files hold disjoint npi ranges (tight
     # row-group statistics) and a provider on a third of all rows is split
-    # across files by code instead of landing in one task
-    (util.repartitionByRange(n, "npi", "hcpcs_cd").sortWithinPartitions("npi", "hcpcs_cd")
-        .write.mode("overwrite").parquet(f"{root}/utilization"))
-    if with_base:
-        util = spark.read.parquet(f"{root}/utilization")
-        (shared_base(util).sortWithinPartitions("npi", "hcpcs_cd")
-            .write.mode("overwrite").parquet(f"{root}/base"))
+    # across files by code; no count is named, so AQE sizes the files
+    (conform(star.utilization, UTILIZATION_SCHEMA).repartitionByRange("npi", "hcpcs_cd").sortWithinPartitions("npi", "hcpcs_cd")
+        .write.parquet(f"{at}/utilization"))
+    if with_rollups:
+        write_rollups(read_star(spark, root, version=version), root, version)
+    return version
+
 
+def write_rollups(star: Star, root: str, version: str) -> str:
+    """Write the roll-ups of a version's tables beside them."""
+    for name, df in (("by_npi", roll_up(star.utilization, "npi")), ("by_code", roll_up(star.utilization, "hcpcs_cd")),
+                     ("by_specialty_code", specialty_codes(star.utilization, star.providers))):
+        conform(df, ROLLUP_SCHEMAS[name]).write.parquet(f"{root.rstrip('/')}/versions/{version}/{name}")
+    return version
 
-def read_star(spark: SparkSession, root: str, with_base: bool = False) -> Star:
+
+def publish(spark: SparkSession, root: str, version: str) -> None:
+    """Make a complete version the one that readers see."""
+    spark.createDataFrame([(version, time.time_ns())], MARKERS).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/_published")
+
+
+def write_star(star: Star, root: str, with_rollups: bool = True) -> None:
+    """Write all tables of a load and publish them together."""
+    publish(star.providers.sparkSession, root, write_version(star, root, with_rollups))
+
+
+def published(spark: SparkSession, root: str) -> str | None:
+    """The newest published version, or None before the first."""
+    try:
+        return spark.read.schema(MARKERS).parquet(f"{root.rstrip('/')}/_published").agg(F.max_by("version", "published_ns")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_star(spark: SparkSession, root: str, with_rollups: bool = True, version: str | None = None) -> Star:
+    """The newest published star, or the version named; its roll-ups too if it has them."""
     root = root.rstrip("/")
-    star = Star(spark.read.parquet(f"{root}/providers"),
-                spark.read.parquet(f"{root}/hcpcs_codes"),
-                spark.read.parquet(f"{root}/utilization"))
-    if with_base:
-        star = star.with_base(spark.read.parquet(f"{root}/base"))
+    version = version or published(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"no published star under {root}")
+    at = f"{root}/versions/{version}"
+
+    def table(name: str, schema: T.StructType) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{at}/{name}")
+
+    star = Star(table("providers", PROVIDERS_SCHEMA), table("hcpcs_codes", CODES_SCHEMA), table("utilization", UTILIZATION_SCHEMA))
+    if with_rollups:
+        try:
+            star.by_npi, star.by_code, star.by_specialty_code = (table(n, s) for n, s in ROLLUP_SCHEMAS.items())
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise  # a version written without roll-ups computes them
+            star.by_npi = star.by_code = star.by_specialty_code = None
     return star

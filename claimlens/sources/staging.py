@@ -9,24 +9,36 @@ of fields aborts the load.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlens.schema import STAGING_SCHEMA
 
+_log = logging.getLogger(__name__)
+
 # A marker that never occurs in the data: with it as ``nullValue`` Spark
 # keeps quoted "" as '' and turns only unquoted empty fields into NULL.
 _NULL_MARKER = "\u0001"
 
 
-def csv_options(multi_line: bool = True, strict: bool = True) -> dict[str, str]:
+# Holds the text of a line whose fields are not 28.
+CORRUPT = "_corrupt_line"
+CSV_SCHEMA = T.StructType([*STAGING_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def csv_options(multi_line: bool = True) -> dict[str, str]:
     return {
         "header": "true",
         "enforceSchema": "true",   # bind by position; the header line is skipped
         "quote": '"',
         "escape": '"',
         "multiLine": str(multi_line).lower(),
-        "mode": "FAILFAST" if strict else "PERMISSIVE",
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT,
+        "columnPruning": "false",  # every field of every line is parsed, whatever is selected
         "encoding": "UTF-8",
         "nullValue": _NULL_MARKER,
         "ignoreLeadingWhiteSpace": "false",
@@ -34,41 +46,51 @@ def csv_options(multi_line: bool = True, strict: bool = True) -> dict[str, str]:
     }
 
 
-def read_staging(spark: SparkSession, path: str, multi_line: bool = True, strict: bool = True) -> DataFrame:
-    """C1: read extract file(s) as 28 text columns.
+def checked(raw: DataFrame) -> DataFrame:
+    """The 28 columns of lines read with :data:`CSV_SCHEMA`; a short or long line
+    raises, whatever rows and columns are used later.
 
-    ``multi_line`` honours quoted newlines but makes each file one split;
-    extracts with no embedded newlines can turn it off to split large files.
-    In strict mode a short or long line raises instead of being padded.
+    The check sits inside every column, so a filter on one (the state) can't be
+    pushed into the parser ahead of it.
     """
-    r = spark.read.schema(STAGING_SCHEMA)
-    for k, v in csv_options(multi_line, strict).items():
-        r = r.option(k, v)
-    return r.csv(path)
+    bad = F.raise_error(F.concat(F.lit("malformed extract line: "), F.left(F.col(CORRUPT), F.lit(200)))).cast("string")
+    return raw.select(*[F.when(F.col(CORRUPT).isNull(), F.col(c)).otherwise(bad).alias(c) for c in STAGING_SCHEMA.names])
 
 
-def write_staging(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a staging frame as the extract CSV (quoted "" stays apart from NULL)."""
-    (df.write.mode(mode)
-       .option("header", "true").option("quote", '"').option("escape", '"')
-       .option("emptyValue", '""').option("nullValue", "")
-       .csv(path))
+def inspect_extract(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(lines with an odd number of quotes, lines that are not UTF-8), in one
+    distributed pass over the lines of a file of any size."""
+    line = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    r = line.agg(F.count_if(quotes % 2 == 1).alias("open"), F.count_if(~F.is_valid_utf8("value")).alias("bad")).first()
+    return int(r["open"]), int(r["bad"])
 
 
-def staging_row_count(stg: DataFrame) -> DataFrame:
-    """C20: load sanity count as a one-row frame."""
-    return stg.agg(F.count(F.lit(1)).alias("staging_rows"))
+def read_staging(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """C1: read extract file(s) as 28 text columns; a malformed line raises.
 
+    Without ``multi_line`` the extract decides: if no line holds an odd number
+    of quotes, no field spans lines, and a large file is read in splits;
+    otherwise each file is one split, which the log says. Bytes that are not
+    UTF-8 raise.
+    """
+    if multi_line is None:
+        open_lines, bad = inspect_extract(spark, path)
+        if bad:
+            raise ValueError(f"{bad} line(s) of {path} are not valid UTF-8")
+        multi_line = open_lines > 0
+        if multi_line:
+            _log.warning("%s: %d line(s) with an odd number of quotes; files are read unsplit", path, open_lines)
+    return checked(spark.read.schema(CSV_SCHEMA).options(**csv_options(multi_line)).csv(path))
 
-def invalid_text_rows(stg: DataFrame) -> DataFrame:
-    """Lines holding U+FFFD in any column.
 
-    PostgreSQL aborts a UTF8 load on an invalid byte sequence; Spark's CSV
-    reader replaces it with U+FFFD instead. This surfaces those lines (the
-    caller decides whether to abort) in one distributed filter.
-    """
-    bad = None
-    for c in stg.columns:
-        hit = F.coalesce(F.instr(F.col(c), "\ufffd") > 0, F.lit(False))
-        bad = hit if bad is None else (bad | hit)
-    return stg.where(bad)
+def write_staging(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write a staging frame as the extract CSV (quoted "" stays apart from NULL)."""
+    from claimlens.sources.sinks import CSV_WRITE
+
+    df.write.mode(mode).options(**CSV_WRITE).csv(path)
+
+
+def staging_row_count(stg: DataFrame) -> DataFrame:
+    """C20: load sanity count as a one-row frame (every line is checked)."""
+    return stg.agg(F.count(F.coalesce(F.col(stg.columns[0]), F.lit(""))).alias("staging_rows"))

@@ -16,35 +16,51 @@ micro-batch of new files with Structured Streaming:
   all lines costs one row per task);
 * every table has a ``load_batch`` partition column and a batch rewrites only
   its own partition (dynamic partition overwrite), so a batch retried after a
-  failure leaves the same files as one that ran once.
+  failure leaves the same files as one that ran once;
+* a batch counts only once its commit row is written, after its three tables:
+  reads and compaction leave out a batch that was cut short.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from claimlens.plans.base import Star
-from claimlens.schema import STAGING_SCHEMA
-from claimlens.session import ensure_checkpoint_dir
+from claimlens.plans.materialize import reliable
+from claimlens.schema import UTILIZATION_SCHEMA
 from claimlens.sources.loaders import (
+    CODE_SRC,
     DEFAULT_STATE,
+    PROVIDER_SRC,
     code_candidates,
     codes_from_candidates,
+    in_state,
     load_utilization,
     provider_candidates,
     providers_from_candidates,
 )
-from claimlens.sources.staging import csv_options
+from claimlens.sources.staging import CSV_SCHEMA, checked, csv_options
 
 BATCH_COL = "load_batch"
 PROVIDER_CANDIDATES = "provider_candidates"
 CODE_CANDIDATES = "code_candidates"
 FACTS = "utilization"
+COMMITS, SNAPSHOTS = "_commits", "_snapshots"
+
+
+def _candidate_schema(key: str, columns: list[str]) -> list[T.StructField]:
+    text = T.StringType()
+    return [T.StructField(key, text), T.StructField("r", T.StructType([T.StructField(c, text) for c in columns]))]
+
+
+_KEYS = {PROVIDER_CANDIDATES: "Rndrng_NPI", CODE_CANDIDATES: "HCPCS_Cd"}
+_SCHEMAS = {PROVIDER_CANDIDATES: _candidate_schema("Rndrng_NPI", PROVIDER_SRC),
+            CODE_CANDIDATES: _candidate_schema("HCPCS_Cd", CODE_SRC), FACTS: UTILIZATION_SCHEMA.fields}
+_BATCH = T.StructField(BATCH_COL, T.LongType())
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -58,13 +74,27 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def load_batch(stg: DataFrame, batch_id: int, target_root: str, state: str = DEFAULT_STATE) -> None:
     """Load one batch of staging rows into the tables under ``target_root``."""
     root = target_root.rstrip("/")
-    stg = stg.persist()  # read by three loads
+    stg = reliable(in_state(stg, state))  # read by three loads
+    _write_batch(provider_candidates(stg, state), f"{root}/{PROVIDER_CANDIDATES}", batch_id)
+    _write_batch(code_candidates(stg, state), f"{root}/{CODE_CANDIDATES}", batch_id)
+    _write_batch(load_utilization(stg, state), f"{root}/{FACTS}", batch_id)
+    _commit(stg.sparkSession, f"{root}/{COMMITS}", batch_id)
+
+
+def _commit(spark: SparkSession, path: str, number: int) -> None:
+    spark.createDataFrame([(number,)], "number bigint").coalesce(1).write.mode("append").parquet(path)
+
+
+def _last(spark: SparkSession, path: str) -> int:
+    """The last number committed, or -1. Batches come one after the other, so
+    every batch up to it is complete."""
     try:
-        _write_batch(provider_candidates(stg, state), f"{root}/{PROVIDER_CANDIDATES}", batch_id)
-        _write_batch(code_candidates(stg, state), f"{root}/{CODE_CANDIDATES}", batch_id)
-        _write_batch(load_utilization(stg, state), f"{root}/{FACTS}", batch_id)
-    finally:
-        stg.unpersist()
+        last = spark.read.schema("number bigint").parquet(path).agg(F.max("number")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1  # nothing committed yet
+    return -1 if last is None else last
 
 
 def start_ingest(spark: SparkSession, source_dir: str, target_root: str, *,
@@ -76,15 +106,12 @@ def start_ingest(spark: SparkSession, source_dir: str, target_root: str, *,
     ``available_now`` processes what is there and stops (scheduled runs);
     otherwise the query keeps polling every ``processing_time``.
     """
-    reader = spark.readStream.schema(STAGING_SCHEMA)
-    for k, v in csv_options(multi_line=multi_line, strict=True).items():
-        reader = reader.option(k, v)
+    reader = spark.readStream.schema(CSV_SCHEMA).options(**csv_options(multi_line))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = reader.csv(source_dir)
-    # stable per target, so a restarted ingest resumes from its own progress
-    tag = hashlib.sha1(target_root.rstrip("/").encode()).hexdigest()[:16]
-    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{tag}"
+    stream = checked(reader.csv(source_dir))
+    # part of the target, so that an ingest restarted in any session resumes
+    ckpt = checkpoint_location or f"{target_root.rstrip('/')}/_checkpoint"
     writer = (stream.writeStream
               .foreachBatch(lambda df, bid: load_batch(df, bid, target_root, state))
               .option("checkpointLocation", ckpt))
@@ -96,28 +123,25 @@ def start_ingest(spark: SparkSession, source_dir: str, target_root: str, *,
 
 
 SNAPSHOT_COL = "upto"
-_KEYS = {PROVIDER_CANDIDATES: "Rndrng_NPI", CODE_CANDIDATES: "HCPCS_Cd"}
 
 
-def _latest_snapshot(spark: SparkSession, root: str, table: str):
-    """(rows, upto) of the newest compacted snapshot, or (None, -1)."""
-    try:
-        snaps = spark.read.parquet(f"{root}/{table}_snapshot")
-    except AnalysisException:  # no compaction has run yet
-        return None, -1
-    upto = snaps.agg(F.max(SNAPSHOT_COL)).first()[0]
-    if upto is None:
-        return None, -1
-    return snaps.where(F.col(SNAPSHOT_COL) == F.lit(upto)).drop(SNAPSHOT_COL), int(upto)
+def _batches(spark: SparkSession, root: str, table: str, after: int) -> DataFrame:
+    """Rows of the complete batches behind ``after`` (partition-pruned), read with the declared schema."""
+    schema = T.StructType([*_SCHEMAS[table], _BATCH])
+    last = _last(spark, f"{root}/{COMMITS}")
+    if last <= after:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/{table}").where(F.col(BATCH_COL).between(after + 1, last))
 
 
 def _current_candidates(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The latest snapshot plus only the candidate batches written after it
-    (partition-pruned on ``load_batch``)."""
-    snap, upto = _latest_snapshot(spark, root, table)
-    newer = (spark.read.parquet(f"{root}/{table}")
-             .where(F.col(BATCH_COL) > F.lit(upto)).drop(BATCH_COL))
-    return newer if snap is None else snap.unionByName(newer)
+    """The latest complete snapshot plus only the batches after it."""
+    upto = _last(spark, f"{root}/{SNAPSHOTS}")
+    newer = _batches(spark, root, table, upto).drop(BATCH_COL)
+    if upto < 0:
+        return newer
+    snap = spark.read.schema(T.StructType(_SCHEMAS[table])).parquet(f"{root}/{table}_snapshot/{SNAPSHOT_COL}={upto}")
+    return snap.unionByName(newer)
 
 
 def compact(spark: SparkSession, target_root: str) -> int:
@@ -129,25 +153,21 @@ def compact(spark: SparkSession, target_root: str) -> int:
     associative, so results do not change. Returns the last batch covered.
     """
     root = target_root.rstrip("/")
-    upto = spark.read.parquet(f"{root}/{PROVIDER_CANDIDATES}").agg(F.max(BATCH_COL)).first()[0]
-    if upto is None:
-        return -1
-    done = min(_latest_snapshot(spark, root, t)[1] for t in _KEYS)
-    if int(upto) <= done:  # nothing new: never rewrite the snapshot being read
+    done, upto = _last(spark, f"{root}/{SNAPSHOTS}"), _last(spark, f"{root}/{COMMITS}")
+    if upto <= done:  # nothing new: never rewrite the snapshot being read
         return done
     for table, key in _KEYS.items():
-        cands = _current_candidates(spark, root, table)
-        reduced = cands.groupBy(key).agg(F.min("r").alias("r"))
-        (reduced.write.mode("overwrite")
-            .parquet(f"{root}/{table}_snapshot/{SNAPSHOT_COL}={int(upto)}"))
-    return int(upto)
+        reduced = _current_candidates(spark, root, table).groupBy(key).agg(F.min("r").alias("r"))
+        reduced.write.mode("overwrite").parquet(f"{root}/{table}_snapshot/{SNAPSHOT_COL}={upto}")
+    _commit(spark, f"{root}/{SNAPSHOTS}", upto)  # both tables are there
+    return upto
 
 
 def read_loaded(spark: SparkSession, target_root: str) -> Star:
     """The incrementally loaded star: providers and codes reduced from their
-    latest snapshot and newer candidates, facts as appended (``load_batch``
-    kept as a column)."""
+    latest snapshot and newer candidates, facts of all committed batches
+    (``load_batch`` kept as a column)."""
     root = target_root.rstrip("/")
     return Star(providers_from_candidates(_current_candidates(spark, root, PROVIDER_CANDIDATES)),
                 codes_from_candidates(_current_candidates(spark, root, CODE_CANDIDATES)),
-                spark.read.parquet(f"{root}/{FACTS}"))
+                _batches(spark, root, FACTS, -1))

@@ -1,6 +1,6 @@
 """Print ``explain("formatted")`` of every KPI / view over a written star.
 
-    python scripts/explain_plans.py [sf_dir] [query ...] [--distributed]
+    python scripts/explain_plans.py [sf_dir] [query ...]
 
 Writes the star schema of ``sf_dir`` once into the checkpoint folder, then
 prints each plan: check ``ReadSchema`` / ``PushedFilters`` on the scans, the
@@ -26,7 +26,7 @@ NAMES = ["specialty_spend", "specialty_unit_cost", "provider_metrics", "provider
 
 
 def main() -> None:
-    args = [a for a in sys.argv[1:] if not a.startswith("--")]
+    args = sys.argv[1:]
     sf = args[0] if args else "/root/testdata/sf0.01"
     only = args[1:] or NAMES
     spark = build_session()
@@ -34,8 +34,6 @@ def main() -> None:
     p, c, u = fixtures.star(spark, sf)
     sinks.write_star(Star(p, c, u), root)
     star = sinks.read_star(spark, root)
-    if "--distributed" in sys.argv:
-        star.task_rows = 0
     for name in only:
         fn = getattr(kpis, name, None) or getattr(summaries, name)
         print(f"\n===== {name} =====")

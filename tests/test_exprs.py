@@ -27,6 +27,20 @@ def test_ratio_is_not_rounded_twice(spark):
     assert got2 == [D("0.33"), D("2.00")]
 
 
+def test_ratio_is_exact_for_large_denominators(spark):
+    rows = [(D("499999999.99"), D("100000000000")), (D("500000000.00"), D("100000000000")), (D("-499999999.99"), D("100000000000")),
+            (D("-500000000.00"), D("100000000000")), (D("9999999999999999999999.9999"), D("0.0100"))]
+    df = spark.createDataFrame(rows, "a decimal(26,4), b decimal(22,4)")
+    got = [r[0] for r in df.select(X.ratio("a", "b")).collect()]
+    assert got == [D("0.00"), D("0.01"), D("0.00"), D("-0.01"), D("999999999999999999999999.99")]
+
+
+def test_ratio_without_guard_raises_on_zero(spark):
+    df = spark.createDataFrame([(D("5"), D("0"))], "a decimal(12,2), b decimal(12,2)")
+    with pytest.raises(Exception):
+        df.select(X.ratio("a", "b", guard=False)).collect()
+
+
 def test_ratio_zero_denominator_is_null(spark):
     df = spark.createDataFrame([(D("5"), D("0")), (D("5"), None), (None, D("2"))], "a decimal(12,2), b decimal(12,2)")
     assert [r[0] for r in df.select(X.ratio("a", "b")).collect()] == [None, None, None]

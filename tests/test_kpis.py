@@ -1,5 +1,5 @@
 """KPI and view operators on a hand-made star with every edge case of
-FIXTURES.md section 4, checked against literal SQL and hand-computed values."""
+FIXTURES.md section 4, checked against plain forms and hand-computed values."""
 
 from decimal import Decimal as D
 
@@ -7,10 +7,9 @@ import pytest
 
 from __spark_entry__ import edge
 from claimlens.operators import kpis, summaries
-from claimlens.operators.literal import LITERAL, literal_query
-from claimlens.plans.base import Star, shared_base
-from claimlens.plans.materialize import MAX_GROUP_ROWS_CONF
+from claimlens.plans.base import Star, roll_up, specialty_codes
 from claimlens.schema import CODES_SCHEMA, PROVIDERS_SCHEMA, UTILIZATION_SCHEMA
+from scripts.naive import NAIVE
 from tests.conftest import assert_same
 
 
@@ -69,29 +68,43 @@ SHAPED = {
 }
 
 
-@pytest.fixture(params=["window", "sliced"])
-def strategy(spark, request):
-    """Run with per-key windows, and with the distributed sliced form forced."""
-    if request.param == "sliced":
-        spark.conf.set(MAX_GROUP_ROWS_CONF, "0")
-    yield request.param
-    spark.conf.unset(MAX_GROUP_ROWS_CONF)
+@pytest.fixture(scope="module")
+def rolled(edge_star):
+    u = edge_star.utilization
+    return Star(edge_star.providers, edge_star.codes, u, roll_up(u, "npi"), roll_up(u, "hcpcs_cd"), specialty_codes(u, edge_star.providers))
+
+
+@pytest.mark.parametrize("name", sorted(NAIVE))
+def test_shaped_equals_naive_on_edge_cases(edge_star, name):
+    naive = NAIVE[name](edge_star, 2) if name == "top_procedures" else NAIVE[name](edge_star)
+    assert_same(edge(SHAPED[name](edge_star)), edge(naive))
+
+
+@pytest.mark.parametrize("name", sorted(NAIVE))
+def test_stored_rollups_give_identical_results(edge_star, rolled, name):
+    assert_same(edge(SHAPED[name](rolled)), edge(SHAPED[name](edge_star)))
 
 
-@pytest.mark.parametrize("name", sorted(LITERAL))
-def test_shaped_equals_literal_on_edge_cases(spark, edge_star, name, strategy):
-    shaped = edge(SHAPED[name](edge_star))
-    literal = edge(literal_query(spark, edge_star, name, k=2))
-    assert_same(shaped, literal)
+@pytest.mark.parametrize("name", sorted(NAIVE))
+def test_salted_joins_give_identical_results(edge_star, monkeypatch, name):
+    """Beyond the broadcast bound specialty tables are attached by a salted join."""
+    want = SHAPED[name](edge_star).collect()
+    monkeypatch.setattr("claimlens.plans.materialize.DEFAULT_BROADCAST_ROWS", 0)
+    assert SHAPED[name](edge_star).collect() == want
 
 
-@pytest.mark.parametrize("name", sorted(LITERAL))
-def test_shared_base_gives_identical_results(spark, edge_star, name):
-    based = edge_star.with_base(shared_base(edge_star.utilization))
-    assert_same(edge(SHAPED[name](based)), edge(SHAPED[name](edge_star)))
+def test_plans_gather_no_group_in_one_task(rolled):
+    """No window by bare specialty, and no code list in a single partition."""
+    for name in ("provider_outliers", "provider_efficiency", "specialty_distribution"):
+        plan = SHAPED[name](rolled)._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            if "Window [" in line:
+                assert "_slice" in line or "_bn" in line or "_bk" in line, line
+    plan = kpis.top_procedures(rolled)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
 
 
-def test_outliers_edge_cases(edge_star, strategy):
+def test_outliers_edge_cases(edge_star):
     rows = {r.npi: r for r in kpis.provider_outliers(edge_star).collect()}
     # 4 (all NULL pay) and 5 (0 services) have NULL price: rank 1 ahead of everyone, never reported
     assert set(rows) == {3, 6}
@@ -119,7 +132,7 @@ def test_null_specialty_in_tables_but_not_in_efficiency(edge_star):
     assert {r.specialty for r in eff} == {"CARD", "ONE", "EDGE"}   # LOW has nobody at 10 beneficiaries
 
 
-def test_one_provider_specialty(edge_star, strategy):
+def test_one_provider_specialty(edge_star):
     one = [r for r in kpis.provider_efficiency(edge_star).collect() if r.specialty == "ONE"][0]
     assert one.specialty_stddev is None and one.z_score is None
     assert one.efficiency_tier == "Within IQR (Typical)"
@@ -165,7 +178,7 @@ def test_export_views(spark, edge_star, scratch):
     assert pays == sorted(pays, key=lambda p: (p is not None, -(p or 0)))   # NULL first, then descending
 
 
-def test_percentile_fixture_through_the_distribution(spark, strategy):
+def test_percentile_fixture_through_the_distribution(spark):
     # payment per beneficiary 1.00, 1.01, 3.00, 8.07 and NULL in one specialty
     pe = spark.createDataFrame(
         [("S", 20, D("1.00")), ("S", 20, D("1.01")), ("S", 20, D("3.00")), ("S", 20, D("8.07")),

@@ -64,3 +64,13 @@ def test_violations_are_counted_and_listed(spark):
     assert [r.npi for r in quality.orphans(star.utilization, star.providers, "npi").collect()] == [7]
     assert sorted(r.npi for r in quality.duplicate_keys(star.providers, ["npi"]).collect()) == [1]
     assert quality.too_long(star.providers, {"last_org_name": 100}).count() == 1
+
+
+def test_report_scans_each_table_a_few_times(spark, scratch):
+    from claimlens.sources import sinks
+    star = _star(spark, [_p(1), _p(2)], [("A", "a", "N")], [_u(1, "A"), _u(2, "A")])
+    sinks.write_star(star, scratch + "/star", with_rollups=False)
+    report = quality.quality_report(sinks.read_star(spark, scratch + "/star"))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 8
+    assert all(r.violations == 0 for r in report.collect())

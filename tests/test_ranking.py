@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimlens.plans.ranking import exact_percentiles, running_sum_within, top_k_ranked, value_positions
+from claimlens.plans.materialize import join_null_safe
+from claimlens.plans.ranking import exact_percentiles, top_k_ranked, value_positions
 from tests.conftest import assert_same
 
 
@@ -24,6 +25,12 @@ def _random_rows(seed, n=400, keys=("a", "b", None), null_share=0.08, distinct=4
 SCHEMA = "id int, k string, v decimal(12,2)"
 
 
+def running_sum_within(df, part, value, **kw):
+    """Every row with the rank and running sum of its value."""
+    pos = value_positions(df.select(*part, value), part, value, **kw).select(*part, value, "_rank", "_run_sum")
+    return join_null_safe(df, pos, [*part, value])
+
+
 @pytest.mark.parametrize("seed,buckets", [(1, 4), (2, 8), (3, 64)])
 @pytest.mark.parametrize("descending,nulls_first", [(True, True), (False, False), (True, False), (False, True)])
 def test_partitioned_rank_and_running_sum_match_window(spark, seed, buckets, descending, nulls_first):

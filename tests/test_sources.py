@@ -161,22 +161,66 @@ def test_write_and_read_star(spark, scratch):
     stg = _stg(spark, [_line(), _line(Rndrng_NPI="1000000009", HCPCS_Cd="B2")])
     star = loaders.load_star(stg)
     root = os.path.join(scratch, "star")
-    sinks.write_star(star, root, partitions=2)
-    back = sinks.read_star(spark, root, with_base=True)
-    assert back.providers.count() == 2 and back.utilization.count() == 2 and back.base.count() == 2
-    assert sorted(back.providers.columns) == sorted(star.providers.columns)
-
-
-def test_invalid_utf8_is_surfaced(spark, scratch):
+    sinks.write_star(star, root)
+    back = sinks.read_star(spark, root)
+    assert back.providers.count() == 2 and back.utilization.count() == 2 and back.by_npi.count() == 2
+    assert back.providers.columns == star.providers.columns
+    # a later load without roll-ups: nothing of the earlier one is read
+    sinks.write_star(loaders.load_star(_stg(spark, [_line(Tot_Srvcs="500")])), root, with_rollups=False)
+    again = sinks.read_star(spark, root)
+    assert again.by_npi is None and [r.srv for r in again.rollup("npi").collect()] == [D("500.00")]
+    # a load that stops between its tables is not seen
+    sinks.write_version(star, root, with_rollups=False)
+    assert sinks.read_star(spark, root).providers.count() == 1
+
+
+def test_invalid_utf8_aborts(spark, scratch):
     p = os.path.join(scratch, "enc.csv")
-    _write(p, [_line(), _line(Rndrng_NPI="1000000002")])
+    _write(p, [_line(), _line(Rndrng_NPI="1000000002", Rndrng_Prvdr_City="Z\u00dcRICH \ufffd")])
+    assert staging.read_staging(spark, p).count() == 2  # valid text, also a written replacement character
     with open(p, "ab") as fh:  # a line with a byte that is not UTF-8
-        good = _line(Rndrng_NPI="1000000003")
+        good = _line(Rndrng_NPI="1000000003", Rndrng_Prvdr_State_Abrvtn="WI")
         line = ",".join(_csv_field(good[c]) for c in STAGING_COLUMNS)
         fh.write(line.replace("SMITH", "SM\xffITH").encode("latin-1") + b"\n")
-    stg = staging.read_staging(spark, p)
-    assert stg.count() == 3
-    assert [r.Rndrng_NPI for r in staging.invalid_text_rows(stg).collect()] == ["1000000003"]
+    with pytest.raises(ValueError, match="UTF-8"):
+        staging.read_staging(spark, p)
+
+
+@pytest.mark.parametrize("multi_line", [None, True, False])
+@pytest.mark.parametrize("n_fields", [20, 27, 29])
+def test_malformed_line_of_another_state_aborts_the_load(spark, scratch, n_fields, multi_line):
+    p = os.path.join(scratch, "bad.csv")
+    other = _line(Rndrng_NPI="2", Rndrng_Prvdr_State_Abrvtn="WI")
+    fields = ([_csv_field(other[c]) for c in STAGING_COLUMNS] + ["extra"])[:n_fields]
+    _write(p, [_line(), _line(Rndrng_NPI="3")], raw_lines=[",".join(fields)])
+    with pytest.raises(Exception, match="malformed extract line"):
+        loaders.load_star(staging.read_staging(spark, p, multi_line=multi_line), "IL")
+    with pytest.raises(Exception, match="malformed extract line"):
+        staging.staging_row_count(staging.read_staging(spark, p, multi_line=multi_line)).collect()
+
+
+def test_the_extract_decides_whether_it_can_be_split(spark, scratch):
+    plain, quoted = os.path.join(scratch, "plain.csv"), os.path.join(scratch, "quoted.csv")
+    rows = [_line(Rndrng_NPI=str(i), Rndrng_Prvdr_Last_Org_Name='O"B, C') for i in range(3000)]
+    _write(plain, rows)
+    _write(quoted, [*rows, _line(HCPCS_Desc="two\nlines")])
+    assert staging.inspect_extract(spark, plain) == (0, 0)
+    assert staging.inspect_extract(spark, quoted)[0] == 2
+    from tests.conftest import assert_same
+    assert_same(staging.read_staging(spark, plain), staging.read_staging(spark, plain, multi_line=True))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        assert staging.read_staging(spark, plain).rdd.getNumPartitions() > 1
+        assert staging.read_staging(spark, quoted).rdd.getNumPartitions() == 1
+        assert staging.read_staging(spark, quoted).count() == 3001
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_export_keeps_blanks_at_the_ends(spark, scratch):
+    out = os.path.join(scratch, "blanks")
+    sinks.export_summary(spark.createDataFrame([(" LAST3 ",)], "n string"), out)
+    assert spark.read.option("header", "true").schema("n string").csv(out).collect()[0].n == " LAST3 "
 
 
 def test_loads_produce_the_declared_schemas(spark):
@@ -211,13 +255,33 @@ def test_hot_provider_spreads_over_files(spark, scratch):
     prov = spark.createDataFrame([], PROVIDERS_SCHEMA)
     codes = spark.createDataFrame([], CODES_SCHEMA)
     root = os.path.join(scratch, "star")
-    sinks.write_star(Star(prov, codes, util), root, partitions=4, with_base=False)
-    per_file = (spark.read.parquet(os.path.join(root, "utilization"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many rows as fill several files
+    try:
+        sinks.write_star(Star(prov, codes, util), root, with_rollups=False)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    per_file = (sinks.read_star(spark, root).utilization
                 .where(F.col("npi") == 1).groupBy(F.input_file_name()).count().collect())
     assert len(per_file) >= 2          # the hot provider is not one task's file
 
 
-def test_cluster_without_checkpoint_dir_is_an_error():
+def test_command_line_session_keeps_what_was_submitted(spark, monkeypatch):
+    from claimlens import __main__ as cli
+    from claimlens.session import cluster_session
+    assert cli.cluster_session is cluster_session
+    before = spark.sparkContext.master, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    got = cluster_session()
+    try:
+        assert (got.sparkContext.master, got.conf.get("spark.sql.shuffle.partitions")) == (before[0], "7")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"):
+            spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]"])
+def test_cluster_without_checkpoint_dir_is_an_error(master):
     from claimlens.session import ensure_checkpoint_dir
 
     class _Conf:
@@ -225,14 +289,14 @@ def test_cluster_without_checkpoint_dir_is_an_error():
             return default
 
     class _Ctx:
-        master = "yarn"
-
         def getCheckpointDir(self):
             return None
 
         def getConf(self):
             return _Conf()
 
+    _Ctx.master = master
+
     class _Session:
         sparkContext = _Ctx()
         conf = _Conf()

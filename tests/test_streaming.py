@@ -87,3 +87,59 @@ def test_compaction_keeps_results(spark, scratch):
     assert compact(spark, target) == 2 and read_loaded(spark, target).providers.count() == 2
     assert compact(spark, target) == 2                   # nothing new: a no-op
     assert_same(read_loaded(spark, target).providers, once.providers)
+
+
+def test_restart_in_another_session_resumes(spark, scratch):
+    """No checkpoint location given: a second process finds the first one's progress."""
+    import subprocess
+    import sys
+    src, target = os.path.join(scratch, "incoming"), os.path.join(scratch, "star")
+    os.makedirs(src)
+    run = ("import sys; from claimlens.session import build_session; from claimlens.streaming.ingest import start_ingest; "
+           "s = build_session('local[2]', 2, extra={'spark.checkpoint.dir': sys.argv[3]}); "
+           "start_ingest(s, sys.argv[1], sys.argv[2]).awaitTermination(); s.stop()")
+    env = {**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    for name, npi in (("a.csv", "1"), ("b.csv", "2"), (None, None)):
+        if name:
+            _write(os.path.join(src, name), [_line(Rndrng_NPI=npi, HCPCS_Cd="A" + npi)])
+        subprocess.run([sys.executable, "-c", run, src, target, os.path.join(scratch, "ckpt")], check=True, env=env, timeout=240)
+    star = read_loaded(spark, target)
+    assert sorted(r.npi for r in star.utilization.collect()) == [1, 2]
+
+
+def test_batch_cut_between_its_writes(spark, scratch, monkeypatch):
+    from claimlens.streaming import ingest
+    target = os.path.join(scratch, "star")
+    first, second = [_line(Rndrng_NPI="1", HCPCS_Cd="A1")], [_line(Rndrng_NPI="2", HCPCS_Cd="B2")]
+    load_batch(_stg(spark, first), 0, target)
+    real = ingest._write_batch
+
+    def cut(df, path, batch):
+        if path.endswith(ingest.CODE_CANDIDATES):
+            raise OSError("lost")
+        real(df, path, batch)
+
+    monkeypatch.setattr(ingest, "_write_batch", cut)
+    try:
+        load_batch(_stg(spark, second), 1, target)
+    except OSError:
+        pass
+    monkeypatch.setattr(ingest, "_write_batch", real)
+    assert [r.npi for r in read_loaded(spark, target).providers.collect()] == [1]  # the cut batch is not read
+    assert ingest.compact(spark, target) == 0
+    load_batch(_stg(spark, second), 1, target)  # the retry
+    for _ in range(2):
+        star, once = read_loaded(spark, target), loaders.load_star(_stg(spark, first + second), stage=False)
+        assert_same(star.codes, once.codes)
+        assert_same(star.providers, once.providers)
+        assert star.utilization.count() == 2
+        assert ingest.compact(spark, target) == 1
+
+
+def test_batches_without_a_line_of_the_state(spark, scratch):
+    target = os.path.join(scratch, "star")
+    load_batch(_stg(spark, [_line(Rndrng_Prvdr_State_Abrvtn="WI")]), 0, target)
+    star = read_loaded(spark, target)
+    assert (star.providers.count(), star.codes.count(), star.utilization.count()) == (0, 0, 0)
+    load_batch(_stg(spark, [_line()]), 1, target)
+    assert read_loaded(spark, target).utilization.count() == 1
