@@ -30,7 +30,7 @@ from claimlens.functions.exprs import (
 )
 from claimlens.plans.base import SUM_COLS, Star
 from claimlens.plans.materialize import attach, join_null_safe
-from claimlens.plans.ranking import exact_percentiles, rank_within, slice_count, top_k_ranked
+from claimlens.plans.ranking import exact_percentiles, rank_within, top_k_ranked
 
 # Default parameters of the reference analysis.
 OUTLIER_PCT = 50        # |% deviation| above which a provider is an outlier
@@ -120,9 +120,7 @@ def provider_outliers(star: Star, pct_threshold: int = OUTLIER_PCT,
     )
     # ranks of all providers; the filter below reads only ``dev`` columns, so
     # Catalyst applies it before the rank join
-    n_keys, largest = star.specialty_profile()
-    ranked = rank_within(dev, ["specialty"], "provider_pay_per_svc", "specialty_rank",
-                         n_keys=n_keys, buckets=slice_count(largest))
+    ranked = rank_within(dev, ["specialty"], "provider_pay_per_svc", "specialty_rank", n_keys=star.specialty_profile()[0])
     out = ranked.where((F.abs("pct_deviation") > F.lit(pct_threshold))
                        & (F.col("total_services") >= F.lit(min_services)))
     return out.select(
@@ -220,9 +218,7 @@ def specialty_distribution_of(pe: DataFrame, star: Star,
     x = F.col("payment_per_beneficiary")
     n = F.count(F.lit(1)).alias("provider_count")
     stats = f.groupBy("specialty").agg(n, *_stat_aggs(x))
-    n_keys, largest = star.specialty_profile()
-    pct = exact_percentiles(f, ["specialty"], "payment_per_beneficiary", _PCTS,
-                            n_keys=n_keys, buckets=slice_count(largest))
+    pct = exact_percentiles(f, ["specialty"], "payment_per_beneficiary", _PCTS, n_keys=star.specialty_profile()[0])
     # both sides hold one row per specialty: no skew, any join strategy is fine
     stats = join_null_safe(stats, pct, ["specialty"], "left")
     return stats.select("specialty", "provider_count", *_stat_columns())

@@ -8,15 +8,16 @@ here compute the same numbers without such a stage:
 
 1. Collapse rows to distinct ``(key, value)`` with their row count
    (map-side combined, so a hot value costs one row per map task).
-2. Cut each key's value range into ``buckets`` slices with approximate
-   quantiles. The slice id is a pure function of the value, so ties never
-   straddle a slice.
+2. Cut each key's values into slices on a logarithmic scale. The slice is a
+   function of the value alone, so it takes no pass over the data and ties never
+   straddle a slice; a slice is a few percent wide, so it holds at most a few
+   percent of a value's cents as distinct values.
 3. Number distinct values inside each ``(key, slice)`` with a small window.
 4. Add the row counts / sums of all earlier slices of the same key from a
-   table of ``keys x buckets`` rows (size-checked broadcast).
+   table of ``keys x slices`` rows (size-checked broadcast).
 
 ``RANK()`` of a value is 1 + rows strictly before it: it depends only on the
-value, so the results are exact; only the slice balance is approximate.
+value, so the results are exact.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ from pyspark.sql import functions as F
 
 from claimlens.plans.materialize import attach, join_null_safe, key_profile
 
-DEFAULT_BUCKETS = 64
-SLICE_TARGET_ROWS = 1_000_000  # distinct values one slice window should sort
+#: Slices for each factor of e in the value.
+DEFAULT_BUCKETS = 32
+#: Factors of e between the smallest and largest decimals, both signs: bounds the slices of a key.
+_FOLDS = 2 * 120
 
 
-def slice_count(largest_group: int, target: int = SLICE_TARGET_ROWS) -> int:
-    """Slices per key so that the largest key's slices hold ~``target`` values."""
-    return max(DEFAULT_BUCKETS, -(-largest_group // target))
+def value_slice(v, buckets: int):
+    """Slice of a decimal: 0 for zero, growing with the value."""
+    step = F.lit(1) + F.floor((F.log(F.abs(v).cast("double")) + F.lit(_FOLDS // 4)) * F.lit(buckets))
+    return F.when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0)).cast("bigint")
 
 
 def value_positions(df: DataFrame, part: list[str], value: str, *, descending: bool = True,
@@ -58,24 +62,9 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
          .agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"))
          .withColumn("_k", F.when(v.isNull(), F.lit(0)).otherwise(F.col("_n"))))
 
-    # 2. slice boundaries per key (over distinct values, so slices balance the
-    #    number of values each window below has to sort)
-    qs = [i / buckets for i in range(1, buckets)]
-    # accuracy well above the slice count keeps slice sizes even
-    quantiles = F.percentile_approx(v, qs, max(10_000, 20 * buckets)).alias("_bounds")
-    if keys:
-        bounds = d.where(v.isNotNull()).groupBy(*keys).agg(quantiles)
-        # one row per key, but each carries buckets - 1 bounds: size by values
-        d = attach(d, bounds, keys, n_keys * buckets, [value], "left")
-    else:
-        d = d.withColumn("_bounds", d.where(v.isNotNull()).agg(quantiles).scalar())
-    if descending:
-        ahead = F.size(F.filter(F.col("_bounds"), lambda b: b > v))
-    else:
-        ahead = F.size(F.filter(F.col("_bounds"), lambda b: b < v))
-    null_slice = F.lit(-1) if nulls_first else F.lit(buckets)
-    d = d.withColumn("_slice", F.when(v.isNull(), null_slice).otherwise(F.coalesce(ahead, F.lit(0))))
-    d = d.drop("_bounds")
+    ahead = value_slice(v, buckets) * F.lit(-1 if descending else 1)
+    null_slice = F.lit(-(1 << 40) if nulls_first else 1 << 40).cast("bigint")
+    d = d.withColumn("_slice", F.when(v.isNull(), null_slice).otherwise(ahead))
 
     # 3. positions inside the slice (one row per distinct value: ROWS == RANGE)
     order = v.desc() if descending else v.asc()
@@ -84,7 +73,7 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
           .withColumn("_lk", F.sum("_k").over(w))
           .withColumn("_ls", F.sum("_s").over(w)))
 
-    # 4. offsets from earlier slices: keys x (buckets + 1) rows at most
+    # 4. offsets from earlier slices: one row for each slice of a key that occurs
     slices = d.groupBy(*keys, "_slice").agg(
         F.sum("_n").alias("_bn"), F.sum("_k").alias("_bk"), F.sum("_s").alias("_bs"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +85,7 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
         F.sum("_bs").over(before).alias("_os"),
         F.sum("_bk").over(whole).alias("_tot_k"),
     )
-    d = attach(d, offsets, keys + ["_slice"], n_keys * (buckets + 2), [value])
+    d = attach(d, offsets, keys + ["_slice"], n_keys * (_FOLDS // 8 * buckets), [value])
 
     cum_k = F.col("_ok") + F.col("_lk")
     return d.select(
