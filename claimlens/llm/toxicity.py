@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +35,9 @@ from pyspark.sql import functions as F
 #: Bound of the labelled sample; its first part makes the lexicon, the rest fits the model.
 MAX_TRAIN, LEXICON_SHARE = 20_000, 0.6
 MIN_ROWS, MIN_SHARE, MIN_ODDS = 4, 0.004, 2.5
+#: Share of a term's toxic rows in which it stands behind another word: copies of
+#: one toxic text repeat its harmless words behind the same ones.
+MIN_CONTEXTS = 0.5
 STEM_LENGTHS = range(3, 8)
 MIN_CONTINUATIONS = 4
 FUZZY_LENGTH, WINDOW_CHARS, QUOTED = 5, 60, 0.25
@@ -53,28 +57,30 @@ class Trie:
     def __init__(self, entries: list[tuple[str, bool, float]]):
         self.entries = entries
         self.root: dict = {}
-        self.begins, self.rests = set(), set()
+        # one edit leaves an entry's first letters in place, or the three after them within one letter
+        self.begin2, self.begin3, self.after2, self.after3 = set(), set(), set(), set()
         for i, (text, stem, _) in enumerate(entries):
             node = self.root
             for c in text:
                 node = node.setdefault(c, {})
-            node.setdefault("", []).append((i, stem, len(text) >= FUZZY_LENGTH))
-            half = len(text) // 2
-            self.begins.add(text[:half] if len(text) >= FUZZY_LENGTH else text)
-            if len(text) >= FUZZY_LENGTH:
-                self.rests.add((half, text[half:]))
-        self.begin_sizes = sorted({len(x) for x in self.begins})
-        self.rest_keys = sorted({(h, len(r)) for h, r in self.rests})
-
-    def may_match(self, word: str) -> bool:
-        """One edit leaves one half of an entry whole: its beginning in place, or its rest within one letter."""
-        return any(word[:n] in self.begins for n in self.begin_sizes) or any(
-            (h, word[at:at + n]) in self.rests for h, n in self.rest_keys for at in (h - 1, h, h + 1))
+            fuzzy = len(text) >= FUZZY_LENGTH
+            node.setdefault("", []).append((i, stem, fuzzy))
+            if not fuzzy or len(text) > FUZZY_LENGTH:
+                self.begin3.add(text[:3])
+            if fuzzy and len(text) == FUZZY_LENGTH:
+                self.begin2.add(text[:2])
+                self.after2.add(text[2:5])
+            elif fuzzy:
+                self.after3.add(text[3:6])
+
+    def may_match(self, w: str) -> bool:
+        """A cheap necessary condition of :meth:`match`."""
+        a2, a3 = self.after2, self.after3
+        return (w[:3] in self.begin3 or w[:2] in self.begin2 or w[1:4] in a2 or w[2:5] in a2 or w[3:6] in a2
+                or w[2:5] in a3 or w[3:6] in a3 or w[4:7] in a3)
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, entry) of the nearest entry within its distance, longest first; None without one."""
-        if not self.may_match(word):
-            return None
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
@@ -118,32 +124,45 @@ def quoted(text: str, start: int, end: int) -> bool:
     return any(w in _REPORT for w in words)
 
 
+def _places(low: str, word: str) -> Iterator[int]:
+    """Where the word stands as a whole word."""
+    at = low.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if (not at or not _WORD.match(low[at - 1])) and not _WORD.match(low, end):
+            yield at
+        at = low.find(word, end)
+
+
 class Scorer:
     """Features of a text; words already met are remembered, a bounded number of them."""
 
     def __init__(self, entries: list[tuple[str, bool, float]]):
-        self.trie, self.seen = Trie(entries), {}
+        self.trie, self.seen, self.met = Trie(entries), set(), {}
+        self.met_words = set()
 
     def features(self, text: str) -> list[float]:
         low = text.lower()
         if len(low) != len(text):  # keep places in step with the text
             text = low
         words = _WORD.findall(low)
-        hits, seen = {}, self.seen
-        for w in set(words):
-            if w not in seen:
-                if len(seen) >= CACHE_WORDS:
-                    seen.clear()
-                seen[w] = self.trie.match(w)
-            if seen[w] is not None:
-                hits[w] = seen[w]
+        distinct = set(words)
+        new = distinct - self.seen
+        if len(self.seen) + len(new) > CACHE_WORDS:
+            self.seen, self.met, self.met_words, new = set(), {}, set(), distinct
+        self.seen |= new
+        may, match = self.trie.may_match, self.trie.match
+        for w in new:
+            if may(w) and (got := match(w)) is not None:
+                self.met[w] = got
+                self.met_words.add(w)
+        hits = {w: self.met[w] for w in sorted(distinct & self.met_words)}
         sums, kinds = [0.0] * 4, set()
-        if hits:
-            for m in _WORD.finditer(low):
-                if (got := hits.get(m.group())) is not None:
-                    _, stem, odds = self.trie.entries[got[1]]
-                    sums[2 * stem + got[0]] += odds * (QUOTED if quoted(text, m.start(), m.end()) else 1.0)
-                    kinds.add(got[1])
+        for w, (edits, entry) in hits.items():
+            _, stem, odds = self.trie.entries[entry]
+            kinds.add(entry)
+            for start in _places(low, w):
+                sums[2 * stem + edits] += odds * (QUOTED if quoted(text, start, start + len(w)) else 1.0)
         scale = 100 / (len(words) + 20)
         return [*(math.log1p(x) for x in sums), *(math.log1p(x * scale) for x in sums), math.log1p(len(kinds))]
 
@@ -161,19 +180,29 @@ class Model:
 
 
 def _term_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) -> in how many toxic and clean rows each word and word beginning occurs."""
-    counts: dict[tuple[str, bool], list[int]] = {}
+    """(toxic, text) -> in how many toxic and clean rows each word and word
+    beginning occurs, and behind which words in the toxic ones (hashes)."""
+    counts: dict[tuple[str, bool], list] = {}
     for batch in it:
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = {(w, False) for w in _WORD.findall((text or "").lower()) if len(w) >= 3}
-            found |= {(w[:n], True) for w, _ in found for n in STEM_LENGTHS if len(w) > n}
-            for t in found:
-                counts.setdefault(t, [0, 0])[0 if toxic else 1] += 1
+            words = _WORD.findall((text or "").lower())
+            found: dict[tuple[str, bool], str] = {}
+            for before, w in zip(["", *words], words):
+                if len(w) >= 3:
+                    found.setdefault((w, False), before)
+                    for n in STEM_LENGTHS:
+                        if len(w) > n:
+                            found.setdefault((w[:n], True), before)
+            for t, before in found.items():
+                c = counts.setdefault(t, [0, 0, set()])
+                c[0 if toxic else 1] += 1
+                if toxic:
+                    c[2].add(zlib.crc32(before.encode()))
     rows = list(counts.items())
     yield pa.RecordBatch.from_arrays(
         [pa.array([t[0] for t, _ in rows], pa.string()), pa.array([t[1] for t, _ in rows], pa.bool_()),
-         pa.array([c[0] for _, c in rows], pa.int64()), pa.array([c[1] for _, c in rows], pa.int64())],
-        ["term", "stem", "toxic", "clean"])
+         pa.array([c[0] for _, c in rows], pa.int64()), pa.array([c[1] for _, c in rows], pa.int64()),
+         pa.array([sorted(c[2]) for _, c in rows], pa.list_(pa.int64()))], ["term", "stem", "toxic", "clean", "behind"])
 
 
 def choose_entries(terms: list, n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
@@ -221,9 +250,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {(r["first"], r["toxic"]): r["count"] for r in picked.groupBy("first", "toxic").count().collect()}
     n_toxic, n_clean = sizes.get((True, True), 0), sizes.get((True, False), 0)
     terms = rows.where("first").select("toxic", "text").mapInArrow(
-        _term_counts, "term string, stem boolean, toxic bigint, clean bigint") \
-        .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")) \
-        .where((F.col("toxic") >= max(MIN_ROWS, math.ceil(MIN_SHARE * n_toxic))) &
+        _term_counts, "term string, stem boolean, toxic bigint, clean bigint, behind array<bigint>") \
+        .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
+                                     F.size(F.array_distinct(F.flatten(F.collect_list("behind")))).alias("contexts")) \
+        .where((F.col("contexts") >= F.greatest(F.lit(MIN_ROWS), F.col("toxic") * MIN_CONTEXTS)) & (F.col("toxic") >= max(MIN_ROWS, math.ceil(MIN_SHARE * n_toxic))) &
                ((F.col("toxic") + 0.5) * (n_clean + 1) >= math.exp(MIN_ODDS) * (F.col("clean") + 0.5) * (n_toxic + 1))).collect()
     entries = choose_entries(terms, n_toxic, n_clean)
 
