@@ -36,8 +36,9 @@ _TABLES = [[_rng.integers(0, BUCKETS, 256).astype(np.uint16) for _ in range(3)]
 _STEP = np.array([0, 1, 2, 6], np.int64)
 LENGTH_BASE, LENGTH_STEP = 1.3, BUCKETS / 64
 BOUND = 3.0 * BUCKETS
-#: Text bytes that one range of ids should hold.
-RANGE_BYTES = 64 << 20
+#: Text bytes that one range of ids should hold; ranges that smaller tables get,
+#: if each holds SMALL_RANGE_BYTES, to keep the cluster busy.
+RANGE_BYTES, SMALL_RANGES, SMALL_RANGE_BYTES = 256 << 20, 200, 8 << 20
 PORTION_BYTES = 2 << 20
 
 
@@ -121,7 +122,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     key = F.coalesce(docs[id_col].cast("bigint"), F.lit(_LAST))
     rows = docs.select(key.alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    n = max(1, -(-size // range_bytes))
+    n = max(1, -(-size // range_bytes), min(SMALL_RANGES, size // SMALL_RANGE_BYTES))
     cuts = sorted(set(rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
 
     @F.pandas_udf("int")
