@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 MAX_RANKS_BYTES = 64 << 20
 #: Entries that a worker's caches hold; text characters encoded together.
-CACHE_PIECES, CACHE_PAIRS, PORTION_CHARS = 400_000, 1_000_000, 2 << 20
+CACHE_PIECES, CACHE_PAIRS, PORTION_CHARS = 300_000, 400_000, 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -87,18 +87,18 @@ class Encoder:
             self.bytes_of[r] = token
         self.longest = max(map(len, ranks))
         self.pattern, self.narrow = _splitters(pattern)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left * 2**24 + right: smaller than a tuple
         self.pieces: dict[str, bytes] = {}
 
     def fits(self, left: int, right: int) -> bool:
         """Whether ``right`` can follow ``left`` (or, with left -1, can begin a piece)."""
-        got = self.pairs.get((left, right))
+        got = self.pairs.get((left << 24) + right)
         if got is None:
             before = self.bytes_of[left] if left >= 0 else b""
             got = merge_by_rank(before + self.bytes_of[right], self.ranks) == ([left] if left >= 0 else []) + [right]
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            self.pairs[left, right] = got
+            self.pairs[(left << 24) + right] = got
         return got
 
     def extend(self, data: bytes, last: list[int]) -> None:
@@ -109,7 +109,7 @@ class Encoder:
                 t = ranks.get(data[j:i])
                 if t is not None:
                     left = last[j]
-                    ok = pairs.get((left, t))
+                    ok = pairs.get((left << 24) + t)
                     if ok or ok is None and self.fits(left, t):
                         last.append(t)
                         break
@@ -215,8 +215,9 @@ def model(spark, ranks_path: str, pattern: str) -> _Model:
     return _Model(spark, ranks_path, pattern)
 
 
-def encode(docs: DataFrame, m: _Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The kept columns, ids (binary, little-endian uint32 each) and n_tokens."""
+def encode(docs: DataFrame, m: _Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """The kept columns, ids (binary, little-endian uint32 each) and n_tokens;
+    with ``decoded`` also the ids decoded again, by the same worker."""
     from pyspark.sql import types as T
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,13 +231,18 @@ def encode(docs: DataFrame, m: _Model, keep: tuple[str, ...] = ("doc_id",), text
                     size += len(texts[-1])
                     hi += 1
                 ids = enc.packed(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(lo, hi - lo) for c in batch.columns[1:]), pa.array(ids, pa.binary()),
-                     pa.array([len(x) // 4 for x in ids], pa.int64())], [*keep, "ids", "n_tokens"])
+                cols = [*(c.slice(lo, hi - lo) for c in batch.columns[1:]), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if decoded:
+                    cols.append(pa.array([enc.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names)
                 lo = hi
+        enc.pieces.clear()  # idle workers of later stages should not hold them
 
     rows = docs.select(docs[text_col].cast("string").alias("_text"), *[docs[c] for c in keep])
     fields = [docs.schema[c] for c in keep] + [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    if decoded:
+        fields.append(T.StructField("decoded", T.BinaryType()))
+    names = [f.name for f in fields]
     return rows.mapInArrow(run, T.StructType(fields))
 
 
@@ -265,5 +271,5 @@ def default_model(spark) -> _Model:
 def query(spark, sf_dir: str) -> DataFrame:
     m = default_model(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return decode(encode(docs, m), m).select(
+    return encode(docs, m, decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

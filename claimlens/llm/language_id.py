@@ -33,13 +33,15 @@ BITS, DIM, SIZES = 18, 16, (2, 3, 4)
 #: Many more buckets than subwords of the learned languages, so that unknown subwords seldom fall on known ones.
 BUCKETS = 1 << BITS
 #: Bound of the training sample, and of the labels learned.
-PER_LANGUAGE, MAX_LANGUAGES = 500, 200
+PER_LANGUAGE, MAX_LANGUAGES = 300, 200
 SPANS = (1, 2, 4, 8, 20, 60)  # words of the short training spans
 EPOCHS, RATE = 6, 0.5
 #: A row of the table moves only when its subword occurs, so its step is this much longer.
 SPARSE_GAIN = 8
 #: Share of held-out training documents that the rejection threshold may cost.
 REJECTED_SHARE, MAX_THRESHOLD = 0.001, 0.4
+#: Text bytes scored at once; each takes about 50 bytes of work space.
+SCORED_BYTES = 1 << 19
 UNKNOWN = "und"
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -165,14 +167,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     picked = rows.where(F.pmod(key, F.lit(1_000_003)) < share[rows[lang_col]] * 1_000_003)
     got = picked.select(F.shiftrightunsigned(key, 1).alias("seed"), rows[lang_col].alias("lang"), rows[text_col].alias("text")) \
         .mapInArrow(_sample_bags, "seed bigint, lang string, words bigint, bucket array<int>, share array<float>") \
-        .toPandas().sort_values(["seed", "lang", "words"], kind="stable")
-    langs = sorted(set(got["lang"]))
-    if not langs:
+        .toArrow().combine_chunks()
+    if not got.num_rows:
         return Model([], np.zeros((BUCKETS + 1, 1), np.float32), 0.0)
-    bags = [(np.asarray(b, np.int64), np.asarray(s, np.float32)) for b, s in zip(got["bucket"], got["share"])]
-    y = np.array([langs.index(x) for x in got["lang"]])
-    whole = (got.groupby("seed")["words"].transform("max") == got["words"]).to_numpy()
-    return train(langs, bags, y, (got["seed"].to_numpy() // 8) % 5 == 0, whole)
+    got = got.sort_by([("seed", "ascending"), ("lang", "ascending"), ("words", "ascending")]).combine_chunks()
+    names, seed = got["lang"].to_pylist(), got["seed"].to_numpy()
+    langs = sorted(set(names))
+    y = np.array([langs.index(x) for x in names])
+    # the bags stay slices of the two flat columns
+    flat = [got[c].chunk(0) for c in ("bucket", "share")]
+    off = flat[0].offsets.to_numpy()
+    bucket, share = (c.values.to_numpy() for c in flat)
+    bags = [(bucket[a:z], share[a:z]) for a, z in zip(off[:-1], off[1:])]
+    last = np.append(seed[1:] != seed[:-1], True)  # the whole text is the longest part of its row
+    return train(langs, bags, y, (seed // 8) % 5 == 0, last)
 
 
 def _has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -221,7 +229,7 @@ def predict(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in it:
             lang, score = [], []
-            for b in tb.blocks(batch.column(1)):
+            for b in tb.blocks(batch.column(1), SCORED_BYTES):
                 i, p = score_block(model, b)
                 lang.extend(names[i])
                 score.extend(p.tolist())
@@ -243,7 +251,7 @@ def keep_known(docs: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
         model = shared.value
         for batch in it:
             keep = [np.zeros(0, bool)]
-            for b in tb.blocks(batch.column(at)):
+            for b in tb.blocks(batch.column(at), SCORED_BYTES):
                 i, p = score_block(model, b)
                 keep.append((i >= 0) & (p >= model.threshold))
             yield batch.filter(pa.array(np.concatenate(keep)))

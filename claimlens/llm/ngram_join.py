@@ -45,7 +45,7 @@ from claimlens.llm.scratch import written
 
 SHINGLE, NUM, DEN = 5, 4, 5  # words; similarity NUM / DEN
 #: Bits of the fixed tables (8 MB); shingles counted together; classes remembered by a task.
-TABLE_BITS, COUNTED, REMEMBERED = 26, 4_000_000, 500_000
+TABLE_BITS, COUNTED, REMEMBERED = 26, 2_000_000, 500_000
 #: Longest list whose classes are paired out; classes of a block of a group.
 LONG, BLOCK = 64, 256
 #: Size classes: two sets that can link differ by one at most.

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once (a longer document forms a block of its own).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))

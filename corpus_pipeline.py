@@ -38,8 +38,7 @@ def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (operator 2), decoded again to prove the round trip."""
     m = byte_bpe.default_model(spark)
-    encoded = byte_bpe.encode(docs, m, ("doc_id", "lang", "source", "text"))
-    return byte_bpe.decode(encoded, m).select(
+    return byte_bpe.encode(docs, m, ("doc_id", "lang", "source", "text"), decoded=True).select(
         "doc_id", "lang", "source", "n_tokens", "ids",
         (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"))
 
