@@ -10,11 +10,13 @@ counts ``QUOTED`` of a plain one. A logistic model on the sums by kind of match
 and their density gives the score.
 
 The lexicon and the model are fitted on at most about ``MAX_TRAIN`` labelled
-rows, picked by a hash of the id; scoring is one pass over all whole texts.
+rows, picked by a hash of the id; the lexicon counts each distinct text of its
+rows once, so copies neither make nor unmake a term. Scoring is one pass over
+all whole texts.
 
 Defined results: null or empty text has the score of a text without matches;
 rows without a label are not learned from; contradictory labels of one id
-count as toxic from one half on; with labels of one kind only, every score is
+or of one text in the lexicon's rows count as toxic from one half on; with labels of one kind only, every score is
 that share; repeated rows are answered row by row. Extra columns are ignored.
 """
 
@@ -32,12 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.llm.scratch import written
+
 #: Bound of the labelled sample; its first part makes the lexicon, the rest fits the model.
 MAX_TRAIN, LEXICON_SHARE = 20_000, 0.6
 MIN_ROWS, MIN_SHARE, MIN_ODDS = 4, 0.004, 2.5
-#: Share of a term's toxic rows in which it stands behind another word: copies of
-#: one toxic text repeat its harmless words behind the same ones.
-MIN_CONTEXTS = 0.5
+#: Distinct words behind which a term stands in toxic texts: near copies of one
+#: toxic text repeat its harmless words behind the same ones. A fixed number, as
+#: contexts saturate while the texts of a frequent term grow.
+MIN_CONTEXTS = 4
 STEM_LENGTHS = range(3, 8)
 MIN_CONTINUATIONS = 4
 FUZZY_LENGTH, WINDOW_CHARS, QUOTED = 5, 60, 0.25
@@ -180,8 +185,8 @@ class Model:
 
 
 def _term_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) -> in how many toxic and clean rows each word and word
-    beginning occurs, and behind which words in the toxic ones (hashes)."""
+    """(toxic, text) of distinct texts -> in how many toxic and clean ones each word
+    and word beginning occurs, and behind which words in the toxic ones (hashes)."""
     counts: dict[tuple[str, bool], list] = {}
     for batch in it:
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -206,7 +211,7 @@ def _term_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_entries(terms: list, n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
-    """Entries from (term, stem, toxic rows, clean rows): stems shortest first, then words no stem covers."""
+    """Entries from (term, stem, toxic texts, clean texts): stems shortest first, then words no stem covers."""
     def odds(t):
         return math.log((t["toxic"] + 0.5) / (n_toxic + 1)) - math.log((t["clean"] + 0.5) / (n_clean + 1))
 
@@ -247,13 +252,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         "first", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(31)), F.lit(1000)) < int(1000 * LEXICON_SHARE))
     # about MAX_TRAIN rows of an id and two flags at most
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(picked), "id")
-    sizes = {(r["first"], r["toxic"]): r["count"] for r in picked.groupBy("first", "toxic").count().collect()}
-    n_toxic, n_clean = sizes.get((True, True), 0), sizes.get((True, False), 0)
-    terms = rows.where("first").select("toxic", "text").mapInArrow(
+    # copies of a text are one text; the sample is bounded, so is what is written
+    texts = written(rows.where("first").groupBy("text").agg((F.avg(F.col("toxic").cast("int")) >= 0.5).alias("toxic")), "texts")
+    sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
+    terms = texts.select("toxic", "text").mapInArrow(
         _term_counts, "term string, stem boolean, toxic bigint, clean bigint, behind array<bigint>") \
         .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
                                      F.size(F.array_distinct(F.flatten(F.collect_list("behind")))).alias("contexts")) \
-        .where((F.col("contexts") >= F.greatest(F.lit(MIN_ROWS), F.col("toxic") * MIN_CONTEXTS)) & (F.col("toxic") >= max(MIN_ROWS, math.ceil(MIN_SHARE * n_toxic))) &
+        .where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("toxic") >= max(MIN_ROWS, math.ceil(MIN_SHARE * n_toxic))) &
                ((F.col("toxic") + 0.5) * (n_clean + 1) >= math.exp(MIN_ODDS) * (F.col("clean") + 0.5) * (n_toxic + 1))).collect()
     entries = choose_entries(terms, n_toxic, n_clean)
 

@@ -65,6 +65,22 @@ def test_toxicity_one_kind_or_no_labels(spark):
         assert all(abs(r.score - want) < 1e-3 for r in toxicity.score(docs, model).collect())
 
 
+def test_copies_of_a_toxic_text_leave_its_terms_in_the_lexicon(spark):
+    terms = ["grobnik", "vuldrak", "sneptor"]
+    copied = "harmless opening words " + " ".join(f"mild {t}" for t in terms) + " and a harmless ending"
+    rows = [(i, " ".join(f"c{chr(97 + (i * 7 + k) % 26)}x {w}" for k, w in enumerate([terms[i % 3], "river", "table", "paper"])), 1) for i in range(90)]
+    rows += [(100 + i, f"river table paper window {i} mild", 0) for i in range(200)]
+    rows += [(1000 + i, copied, 1) for i in range(400)]
+    docs, labels = make(spark, [r[:2] for r in rows]), make(spark, [(d, y) for d, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    kept = {t for t, stem, _ in model.entries}
+    assert all(any(t.startswith(k) for k in kept) for t in terms)
+    assert not {"harmless", "opening", "ending"} & kept
+    tests = make(spark, [(i, f"the river was {t} beside a table") for i, t in enumerate(terms)] + [(9, "the river was calm beside a table")])
+    got = {r.doc_id: r.score for r in toxicity.score(tests, model).collect()}
+    assert min(got[i] for i in range(3)) > got[9]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
