@@ -1,14 +1,17 @@
 """Secret scan: candidate strings judged by a random forest, in DataFrame functions only.
 
-Candidates are runs of 16 or more key characters that hold a digit. Each is
+Candidates are runs of 16 or more key characters that hold a digit and, as the
+value of a key word, whole quoted strings and runs of six or more. Each is
 described by its length, shares of character classes, transitions between
 them, distinct characters, dictionary coverage, path words and the words and
 signs beside it. A random forest, trained on labelled findings, removes the
 false positives. Without a table of labelled findings, those whose context
 decides them are the labels: a key word, an assignment sign and quotes around
 a string that is not a number label a secret; plain numbers, parts of
-addresses, and strings without any key word or assignment label a false one;
-the forest decides all. At most about ``MAX_TRAIN`` labelled findings, picked
+addresses, and strings of dictionary or plain words without any key word or
+assignment label a false one; every other finding has no label. Labelled strings
+are also taught without their context, so a key pasted in prose is judged by its
+own characters; the forest decides all. At most about ``MAX_TRAIN`` labelled findings, picked
 by content hash, train it; every candidate of every whole text is scored.
 
 Findings are written once to the shared folder (they are few beside the text);
@@ -30,7 +33,6 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.scratch import written
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 CONTEXT = 60
 #: Bound of the labelled findings that train the forest, and its size.
 MAX_TRAIN, TREES, DEPTH = 20_000, 20, 6
@@ -39,12 +41,20 @@ REDACTED = "<SECRET>"
 
 # Words beside keys, common words, and words of paths without real keys.
 KEY_WORDS = "token|secret|password|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|signature"
+# What may stand between a key word and its value; the short test of its end comes first, as it is cheap.
+_VALUE_OF = (r"(?<=[=:][ \t]{0,2}[\"'`]?)(?<=(?i:" + KEY_WORDS + r")[\"'`]?[ \t]{0,2}(?:=|:)[ \t]{0,2}[\"'`]?)")
+#: Beside a key word: a whole quoted string, or key characters; elsewhere 16 key characters or more with a digit.
+CANDIDATE = (r"(?<=[\"'`])" + _VALUE_OF + r"[^\s\"'`<>]{6,}+(?=[\"'`])|(?<![A-Za-z0-9+/_\-])(?:(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+|"
+             + _VALUE_OF + r"[A-Za-z0-9+/_\-]{6,}+)={0,2}")
 DICTIONARY = ("the|and|for|with|that|this|from|have|not|are|you|all|can|more|new|user|name|data|file|path|test|example|sample|"
               "dummy|http|https|www|com|org|html|index|page|image|content|version|number|value|string|der|die|und|les|des|que|los|las")
 PATH_WORDS = "test|example|sample|doc|mock|fixture|demo"
+# Dictionary words cover a string by this share, or plain words and numbers joined by signs make it up.
+COVERED, WORDS_ONLY = 0.5, "^([A-Z]?[a-z]+|[0-9]+)([-_/+]+([A-Z]?[a-z]+|[0-9]+))+$"
 
 FEATURES = ["length", "digits", "upper", "lower", "signs", "transitions", "distinct", "hex", "number", "coverage",
             "key_word", "key_beside", "assigned", "quoted", "address", "path"]
+CONTEXT_FEATURES = FEATURES[10:14]
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -77,7 +87,7 @@ def describe(found: DataFrame) -> DataFrame:
         "digits": _share("[^0-9]"), "upper": _share("[^A-Z]"), "lower": _share("[^a-z]"), "signs": _share("[A-Za-z0-9]"),
         "transitions": F.regexp_count("candidate", F.lit(r"(?<=[0-9])(?=[^0-9])|(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"))
         / F.length("candidate"),
-        "distinct": F.size(F.array_distinct(F.split(F.left("candidate", F.lit(200)), ""))).cast("double"),
+        "distinct": F.size(F.array_distinct(F.split("candidate", ""))).cast("double"),
         "hex": flag(F.col("candidate").rlike("^([0-9a-f]+|[0-9A-F]+)$")), "number": flag(F.col("candidate").rlike("^[0-9]+$")),
         "coverage": 1 - F.length(F.regexp_replace(F.lower("candidate"), DICTIONARY, "")) / F.length("candidate"),
         "key_word": flag(F.concat("before", "after").rlike(f"(?i)({KEY_WORDS})")),
@@ -93,7 +103,8 @@ def describe(found: DataFrame) -> DataFrame:
 def context_label() -> Column:
     """1 or 0 where the context decides a finding, else null."""
     yes = (F.col("key_beside") + F.col("assigned") + F.col("quoted") == 3) & (F.col("number") == 0)
-    no = (F.col("number") == 1) | (F.col("address") == 1) | (F.col("key_word") + F.col("assigned") == 0)
+    words = (F.col("coverage") >= COVERED) | F.col("candidate").rlike(WORDS_ONLY)
+    no = (F.col("number") == 1) | (F.col("address") == 1) | (F.col("key_word") + F.col("assigned") == 0) & words
     return F.when(yes, 1.0).when(no, 0.0)
 
 
@@ -101,7 +112,8 @@ class Forest:
     """A trained forest, or one verdict where the labels hold one kind only."""
 
     def __init__(self, described: DataFrame, label: Column | None = None):
-        label = context_label() if label is None else label
+        from_context = label is None
+        label = context_label() if from_context else label
         rows = described.withColumn("label", label.cast("double")).where("label is not null")
         sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
         self.verdict, self.model = max(sizes, default=0.0), None
@@ -112,6 +124,8 @@ class Forest:
             # both kinds weigh the same
             weight = F.when(F.col("label") == 1, total / sizes[1.0]).otherwise(total / sizes[0.0])
             train = rows.where(u < min(1.0, MAX_TRAIN / total)).withColumn("weight", weight).select(*FEATURES, "label", "weight")
+            if from_context:  # each string is taught without its context too: a secret is one in prose as well
+                train = train.union(train.withColumns({c: F.lit(0.0) for c in CONTEXT_FEATURES}))
             if train.groupBy("label").count().count() == 2:
                 self.model = RandomForestClassifier(
                     featuresCol="features", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH,
@@ -140,8 +154,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     secrets = judged.where("secret").select(F.col(id_col).alias("_key"), "candidate").distinct() \
         .groupBy("_key").agg(F.array_sort(F.collect_list("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))
     joined = docs.join(secrets, docs[id_col].eqNullSafe(secrets["_key"]), "left")
+    # whole strings only: a short secret may be a part of other words
+    whole = lambda s: F.concat(
+        F.when(s.rlike(r"^[A-Za-z0-9+/_\-]"), r"(?<![A-Za-z0-9+/_\-])").otherwise(""), F.lit(r"\Q"),
+        F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"),
+        F.when(s.rlike(r"[A-Za-z0-9+/_\-]$"), r"(?![A-Za-z0-9+/_\-])").otherwise(""))
     clean = F.when(F.col("_secrets").isNull(), F.col(text_col)).otherwise(
-        F.aggregate("_secrets", F.col(text_col), lambda t, s: F.replace(t, s, F.lit(REDACTED))))
+        F.aggregate("_secrets", F.col(text_col), lambda t, s: F.regexp_replace(t, whole(s), F.lit(REDACTED))))
     return joined.withColumn(text_col, clean).drop("_key", "_secrets").select(*docs.columns)
 
 

@@ -137,6 +137,32 @@ def test_secrets_held_out(spark):
     assert clean[100] == texts[100] and clean[300] is None and clean[301] == "" and len(clean) == len(rows)
 
 
+def test_secrets_in_prose_and_short_or_digitless_ones(spark):
+    rows = [(i, f"text before {KEY.format(i * 7919)} and after") for i in range(60)]
+    rows += [(100 + i, f"order number 49{i:014d} was sent") for i in range(60)]
+    rows += [(200 + i, f"see report-{i:06d}-final-page in the folder") for i in range(60)]
+    prose = "3b1f0c9d27e5486aa1904d7ce8f2b6039d5c7e14"
+    digitless = "qWzRtYpLmKxVbNcGhJdFsaQwZxE"
+    rows += [(300, f"he pasted {prose} into the chat"), (301, "password = \"hunt3r!x2\" and hunt3r!x2 again"),
+             (302, f"token = \"{digitless}\""), (303, "api_key: k9Zt4QbW"), (304, "a password is a word of sorts: anything")]
+    docs = make(spark, [(d, t, None) for d, t in rows], "doc_id bigint, text string, source string")
+    got = secret_scan.scan(docs).collect()
+    texts = dict(rows)
+    assert all(texts[r.doc_id][r.start:r.end] == r.candidate for r in got)
+    found = {(r.doc_id, r.candidate): r.secret for r in got}
+    assert {c for d, c in found if d >= 300} == {prose, "hunt3r!x2", digitless, "k9Zt4QbW"}
+    assert found[300, prose] and found[301, "hunt3r!x2"] and found[302, digitless]
+    assert all(r.secret == (r.doc_id < 100) for r in got if r.doc_id < 300)
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert clean[300] == "he pasted <SECRET> into the chat" and clean[301] == 'password = "<SECRET>" and <SECRET> again'
+    assert clean[210] == texts[210] and clean[304] == texts[304]
+
+
+def test_distinct_characters_are_of_the_whole_candidate(spark):
+    found = make(spark, [(1, "7" * 300 + "abcdefgh", None)], "doc_id bigint, text string, source string")
+    assert secret_scan.describe(secret_scan.findings(found)).first().distinct == 9
+
+
 def test_secrets_learn_from_a_label_table_and_generalise(spark):
     rows = [(i, f"key {i}: \"a{i:05d}F{i * 31:06d}xQ9z\"") for i in range(80)] + [(200 + i, f"build-{i:016d}-done-file") for i in range(80)]
     docs = make(spark, [(d, t, "src") for d, t in rows], "doc_id bigint, text string, source string")
