@@ -1,7 +1,8 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.
 
 Base matches (email, ip, card, phone) are the seed entities. Every seed, and
-every other identifier-like string (five digits or more, or an ``@``), stands
+every other identifier-like string (five digits or more, digit groups joined by
+single blanks, dots, dashes or brackets included, or an ``@``), stands
 in lexical patterns: the two words before it, and the word before with the word
 after. Patterns and instances form a graph; Spark scores it in ``ROUNDS``
 rounds: a pattern's score for a kind is the mean score of its distinct
@@ -34,6 +35,7 @@ from claimlens.llm.scratch import written
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, MIN_SCORE = 3, 5, 0.8
 MIN_DIGITS, CONTEXT_CHARS, MAX_INSTANCE_CHARS = 5, 80, 200
+MAX_JOINED_DIGITS = 19  # more than any kind has
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -41,6 +43,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _OTHER = re.compile(r"(?<![^\s\"'<>,;|()\[\]{}])[^\s\"'<>,;|()\[\]{}]*+")
+# digit groups, some in brackets, joined by single blanks, dots or dashes
+_GROUP = r"(?:\([0-9]++\)|[0-9]++)"
+_JOINED = re.compile(rf"(?<![\w@])\+?{_GROUP}(?:[ \u00a0.-]?{_GROUP})+(?![\w@]|[:,.-]\w)")
 _DIGIT_RUN = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\w+")
 
@@ -86,9 +91,10 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
 
 
 def other_identifiers(t: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like strings that touch no base span."""
-    out, at, taken = [], 0, sorted(taken)
-    k = 0
+    """Identifier-like strings that touch no base span: words, and joined digit
+    groups beside the words they hold."""
+    taken = sorted(taken)
+    out, at, k = _joined_numbers(t, taken), 0, 0
     for m in _DIGIT_RUN.finditer(t):
         if m.start() < at:
             continue
@@ -106,6 +112,19 @@ def other_identifiers(t: str, taken: list[tuple[int, int]]) -> list[tuple[int, i
             continue
         if len(s) <= MAX_INSTANCE_CHARS and (sum(c.isdigit() for c in s) >= MIN_DIGITS or "@" in s[1:-1]):
             out.append((start, end))
+    return sorted(set(out))
+
+
+def _joined_numbers(t: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out, k = [], 0
+    for m in _JOINED.finditer(t):
+        start, end = m.span()
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if k < len(taken) and taken[k][0] < end:
+            continue
+        if end - start <= MAX_INSTANCE_CHARS and MIN_DIGITS <= sum(c.isdigit() for c in m.group()) <= MAX_JOINED_DIGITS:
+            out.append((start, end))
     return out
 
 
@@ -180,6 +199,11 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     added = spots.join(trusted, "pattern").where(_fits(F.col("kind"), F.col("text"))) \
         .groupBy("row", "start", "end").agg(F.max(F.struct("score", (-order).alias("o"), "kind")).alias("best")) \
         .groupBy("row").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
+    # of spans that overlap (a joined number and a word of it) the longest stays
+    length = lambda s: s["end"] - s["start"]
+    beats = lambda o, s: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (
+        (length(o) > length(s)) | (length(o) == length(s)) & (o["start"] < s["start"]))
+    added = added.withColumn("added", F.filter("added", lambda s: ~F.exists("added", lambda o: beats(o, s))))
     spans = F.transform(F.filter("found", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     return found.join(added, "row", "left").select(
         F.col("key").alias(id_col), spans.alias("base"),

@@ -114,6 +114,21 @@ def test_trusted_patterns_find_unseen_identifiers(spark):
     assert pii.extract(make(spark, [])).count() == 0
 
 
+def test_trusted_patterns_find_grouped_numbers(spark):
+    rows = [(i, f"please call agent on +1 (212) 555-{1000 + i} for help today") for i in range(12)]
+    rows += [(50 + i, f"she paid with card {a} for lunch today") for i, a in enumerate(
+        ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 0000 9", "6011 0000 0000 0004", "5555 5555 5555 4444", "4012 8888 8888 1881", "4222 2222 2222 2220"])]
+    cases = {100: ("please call agent on (212) 555-1000 for help", "phone", "(212) 555-1000"),
+             101: ("please call agent on 212 555 1000 for help", "phone", "212 555 1000"),
+             102: ("please call agent on 212.555.1000 for help", "phone", "212.555.1000"),
+             103: ("she paid with card 4111 1111 1111 1112 for lunch", "card", "4111 1111 1111 1112")}
+    rows += [(d, t) for d, (t, _, _) in cases.items()]
+    got = {r.doc_id: r for r in pii.extract(make(spark, rows)).collect()}
+    for d, (t, kind, number) in cases.items():
+        assert not got[d].base
+        assert [(s["kind"], t[s["start"]:s["end"]]) for s in got[d].added] == [(kind, number)]
+
+
 # -- fingerprints --
 
 
