@@ -331,7 +331,10 @@ class Index:
 
 
 def _block_pair(table: pa.Table) -> pa.Table:
-    """The rows of one pair of blocks -> links that join two parts."""
+    """The rows of one pair of blocks -> links (a, b, null) that join two parts and,
+    where classes have their numbers of rows w, the rows (a, null, n) that link with each."""
+    table = table.take(np.unique(table.column("c").to_numpy(), return_index=True)[1])  # a set may come from several tasks
+    w = table.column("w").to_numpy() if "w" in table.column_names else None
     first, second = table.column("first").to_pylist(), table.column("own").to_pylist()
     sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
     c = table.column("c").to_pylist()
@@ -339,6 +342,7 @@ def _block_pair(table: pa.Table) -> pa.Table:
     same = table.column("second")[0].as_py() == first[0]
     right = left if same else [i for i in range(len(c)) if second[i] != first[i]]
     a, b, parent = [], [], list(range(len(c)))
+    linked = np.zeros(len(c), np.int64)
 
     def root(i):
         while parent[i] != i:
@@ -349,19 +353,30 @@ def _block_pair(table: pa.Table) -> pa.Table:
     if left and right:
         index = Index([sets[i] for i in right])
         for q in left:
-            for f in index.search(sets[q]):
+            hits = index.search(sets[q])
+            if w is not None:
+                at = np.asarray(right)[hits]
+                at = at[at != q]
+                linked[q] += w[at].sum()
+                if not same:
+                    linked[at] += w[q]
+            for f in hits:
                 x, y = root(q), root(right[f])
                 if x != y:
                     parent[x] = y
                     a.append(c[q])
                     b.append(c[right[f]])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    k = np.flatnonzero(linked)
+    return pa.table({"a": pa.array(a + [c[i] for i in k], pa.int64()), "b": pa.array(b + [None] * len(k), pa.int64()),
+                     "n": pa.array([None] * len(a) + linked[k].tolist(), pa.int64())})
 
 
 def _group_links(edges: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within the groups that the edges (a, b) make of the classes: sizes (c, n) and sets (c, shingles)."""
+    """Links within the groups that the edges (a, b) make of the classes: sizes (c, n) and sets (c, shingles);
+    with a column w of sizes, the rows of a class, also the rows (a, null, n) of _block_pair."""
+    weight = [x for x in ("w",) if x in sizes.columns]
     group = components(edges).select(F.col("node").alias("c"), F.col("root").alias("g"))
-    rows = group.join(sizes, "c").select("c", "g", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).alias("s"))
+    rows = group.join(sizes, "c").select("c", "g", *weight, F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).alias("s"))
     rows = written(rows, "members")
     parts = rows.groupBy("g", "s").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
     up = parts.select("g", (F.col("s") - 1).alias("s"), F.col("k").alias("k_up"))
@@ -377,12 +392,14 @@ def _group_links(edges: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFra
         F.transform(upto(F.col("k")), lambda i: pair(block(s, F.least(i, F.col("j"))), block(s, F.greatest(i, F.col("j"))))),
         F.transform(upto(F.coalesce("k_up", F.lit(0).cast("bigint"))), lambda i: pair(own, block(s + 1, i))),
         F.transform(upto(F.coalesce("k_down", F.lit(0).cast("bigint"))), lambda i: pair(block(s - 1, i), own)))
-    dealt = rows.withColumn("p", F.explode(pairs)).select("g", "p.first", "p.second", own.alias("own"), "c")
-    return dealt.join(sets, "c").groupBy("g", "first", "second").applyInArrow(_block_pair, "a bigint, b bigint")
+    dealt = rows.withColumn("p", F.explode(pairs)).select("g", "p.first", "p.second", own.alias("own"), "c", *weight)
+    return dealt.join(sets, "c").groupBy("g", "first", "second").applyInArrow(_block_pair, "a bigint, b bigint, n bigint")
 
 
-def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, n, c) of every row, and links (a, b) between classes that join them into their components."""
+def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      n_links: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(key, n, c) of every row, links (a, b) between classes that join them into their components,
+    and with ``n_links`` (c, n): the rows of other classes that link with a class, where there are any."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("bigint").alias("key"), docs[text_col].cast("string").alias("text"))
     first = written(rows.mapInArrow(_classify, "kind tinyint, a bigint, n bigint, c bigint, bits binary"), "classes")
@@ -401,25 +418,34 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     centre = members.groupBy("h").agg(F.min("b").alias("a"))
     edges = written(near.union(members.join(centre, "h").select("a", "b")), "near")
     wanted = edges.select(F.col("a").alias("c")).union(edges.select(F.col("b").alias("c"))).distinct()
-    reps = of_row.where("c is not null").groupBy("c").agg(F.coalesce(F.min("key"), F.lit(0).cast("bigint")).alias("rep"), F.first("n").alias("n"))
+    reps = of_row.where("c is not null").groupBy("c").agg(F.coalesce(F.min("key"), F.lit(0).cast("bigint")).alias("rep"), F.first("n").alias("n"),
+                                                             F.count("*").alias("w"))
     sizes = written(wanted.join(reps, "c"), "wanted")
     marked = spark.sparkContext.broadcast(bit_table(sizes.select("c", "rep")))
     sets = rows.mapInArrow(_sets(marked), "c bigint, shingles binary")
-    return of_row, _group_links(edges, sizes.select("c", "n"), sets)
+    if not n_links:
+        return of_row, _group_links(edges, sizes.select("c", "n"), sets).select("a", "b"), None
+    out = written(_group_links(edges, sizes.select("c", "n", "w"), sets), "links")
+    counts = out.where("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("n"))
+    return of_row, out.where("b is not null").select("a", "b"), counts
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id of every row."""
-    of_row, links = classes_and_links(docs, id_col, text_col)
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_links: bool = False) -> DataFrame:
+    """id, n_shingles, component_id of every row; with ``n_links`` also the number of other rows it links with."""
+    of_row, links, counts = classes_and_links(docs, id_col, text_col, n_links)
     root = components(links)
-    by_class = of_row.where("c is not null").groupBy("c").agg(F.min("key").alias("least")) \
+    by_class = of_row.where("c is not null").groupBy("c").agg(F.min("key").alias("least"), F.count("*").alias("w")) \
         .join(root.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = by_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = by_class.join(least, "root").select("c", "component_id")
+    named = by_class.join(least, "root").select("c", "component_id", "w")
+    more = []
+    if n_links:
+        named = named.join(counts.withColumnRenamed("n", "others"), "c", "left")
+        more = [F.coalesce(F.col("w") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("n_links")]
     kind = docs.schema[id_col].dataType
     return of_row.join(named, "c", "left").select(
         F.col("key").cast(kind).alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"), *more)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -78,6 +78,19 @@ def test_near_copy_groups_and_a_shared_passage(spark, monkeypatch, long):
     assert result(make(spark, rows)) == brute(rows)
 
 
+def test_number_of_links(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 8)
+    texts = near_copies(40, 60, 1, 6) + near_copies(25, 12, 2, 3)
+    texts += [texts[0]] * 20 + ["", None, "a b", "a b", "alone in the whole table here"]
+    rows = [*enumerate(texts), (0, texts[0])]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    linked = [sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    want = sorted((d, len(a), n) for (d, _), a, n in zip(rows, sets, linked))
+    got = m.join(make(spark, rows), n_links=True)
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in got.collect()) == want
+    assert sorted(map(str, got.drop("n_links").collect())) == sorted(map(str, m.join(make(spark, rows)).collect()))
+
+
 def test_index_search_is_exact():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 400, r.integers(1, 60)).astype(np.uint64)) for _ in range(150)]
