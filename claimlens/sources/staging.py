@@ -9,15 +9,12 @@ of fields aborts the load.
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.schema import STAGING_SCHEMA
-
-_log = logging.getLogger(__name__)
+from claimlens.sources import records
 
 # A marker that never occurs in the data: with it as ``nullValue`` Spark
 # keeps quoted "" as '' and turns only unquoted empty fields into NULL.
@@ -29,6 +26,10 @@ CORRUPT = "_corrupt_line"
 CSV_SCHEMA = T.StructType([*STAGING_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
 
 
+class ExtractError(ValueError):
+    """An extract that can't be read as the dialect says."""
+
+
 def csv_options(multi_line: bool = True) -> dict[str, str]:
     return {
         "header": "true",
@@ -57,31 +58,45 @@ def checked(raw: DataFrame) -> DataFrame:
     return raw.select(*[F.when(F.col(CORRUPT).isNull(), F.col(c)).otherwise(bad).alias(c) for c in STAGING_SCHEMA.names])
 
 
-def inspect_extract(spark: SparkSession, path: str) -> tuple[int, int]:
+def inspect_extract(spark: SparkSession, path: str | list[str]) -> tuple[int, int]:
     """(lines with an odd number of quotes, lines that are not UTF-8), in one
     distributed pass over the lines of a file of any size."""
-    line = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    r = line.agg(F.count_if(quotes % 2 == 1).alias("open"), F.count_if(~F.is_valid_utf8("value")).alias("bad")).first()
-    return int(r["open"]), int(r["bad"])
+    profile = records.block_profile(spark, path).collect()  # a row for each split
+    return sum(r["odd"] for r in profile), sum(r["bad"] for r in profile)
+
+
+def parse_records(text: DataFrame) -> DataFrame:
+    """Records (one text column) -> the 28 columns and the corrupt marker."""
+    options = {k: v for k, v in csv_options().items() if k not in ("header", "enforceSchema", "encoding", "columnPruning")}
+    ddl = ", ".join(f"`{f.name}` string" for f in CSV_SCHEMA.fields)
+    c = F.col(records.RECORD)
+    line = F.when(F.endswith(c, F.lit("\r")), F.left(c, F.length(c) - 1)).otherwise(c)
+    return text.select(F.from_csv(line, ddl, options).alias("r")).select("r.*")
 
 
-def read_staging(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """C1: read extract file(s) as 28 text columns; a malformed line raises.
+def read_raw(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
+    """The extract's lines with :data:`CSV_SCHEMA`: malformed ones are marked, bytes that are not UTF-8 raise.
 
-    Without ``multi_line`` the extract decides: if no line holds an odd number
-    of quotes, no field spans lines, and a large file is read in splits;
-    otherwise each file is one split, which the log says. Bytes that are not
-    UTF-8 raise.
+    Without ``multi_line`` the extract decides, in one pass: if no line holds an
+    odd number of quotes, no field spans lines and Spark's reader splits the
+    files; otherwise records are cut by :mod:`claimlens.sources.records`, in as
+    many splits. True reads each file unsplit, False takes each line as a record.
     """
     if multi_line is None:
-        open_lines, bad = inspect_extract(spark, path)
-        if bad:
-            raise ValueError(f"{bad} line(s) of {path} are not valid UTF-8")
-        multi_line = open_lines > 0
-        if multi_line:
-            _log.warning("%s: %d line(s) with an odd number of quotes; files are read unsplit", path, open_lines)
-    return checked(spark.read.schema(CSV_SCHEMA).options(**csv_options(multi_line)).csv(path))
+        profile = records.block_profile(spark, path).collect()  # a row for each split, as the driver plans them
+        if bad := sum(r["bad"] for r in profile):
+            raise ExtractError(f"{bad} line(s) of {path} are not valid UTF-8")
+        if any(r["odd"] for r in profile):
+            if open_files := records.unfinished([(r["file"], r["block"], r["odd"]) for r in profile]):
+                raise ExtractError(f"a quoted field is never closed in {open_files[:3]}")
+            return parse_records(records.records(spark, path, profile))
+        multi_line = False
+    return spark.read.schema(CSV_SCHEMA).options(**csv_options(multi_line)).csv(path)
+
+
+def read_staging(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
+    """C1: read extract file(s) as 28 text columns; a malformed line raises."""
+    return checked(read_raw(spark, path, multi_line))
 
 
 def write_staging(df: DataFrame, path: str, mode: str = "overwrite") -> None:
