@@ -2,6 +2,7 @@
 
     python -m claimlens load   --extract PATH --star ROOT [--state IL] [--lines auto|single|multi]
     python -m claimlens report --star ROOT --out ROOT [--format parquet|csv|json]
+    python -m claimlens clean  --star ROOT [--keep 2]
 
 Runs in the session that spark-submit or the cluster sets up: no master is forced,
 and the scale defaults apply only where nothing else is set.
@@ -14,6 +15,7 @@ import json
 
 from claimlens.jobs import load_job, report_job
 from claimlens.session import cluster_session
+from claimlens.sources.versions import remove_versions
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -29,13 +31,19 @@ def main(argv: list[str] | None = None) -> None:
     rp.add_argument("--star", required=True)
     rp.add_argument("--out", required=True)
     rp.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
+    rp.add_argument("--collation", help="ICU collation of text order, e.g. UNICODE; default: binary")
+    cl = sub.add_parser("clean", help="remove old versions that no reader holds")
+    cl.add_argument("--star", required=True)
+    cl.add_argument("--keep", type=int, default=2)
     args = ap.parse_args(argv)
     spark = cluster_session()
     if args.cmd == "load":
         out = load_job(spark, args.extract, args.star, args.state, 
                        multi_line={"auto": None, "single": False, "multi": True}[args.lines])
+    elif args.cmd == "clean":
+        out = remove_versions(spark, args.star, args.keep)
     else:
-        out = report_job(spark, args.star, args.out, args.format)
+        out = report_job(spark, args.star, args.out, args.format, args.collation)
     print(json.dumps(out, indent=2, default=str))
 
 

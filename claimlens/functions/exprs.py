@@ -55,6 +55,11 @@ def pg_concat(*cols) -> Column:
     return F.concat(*[F.coalesce(_c(c), F.lit("")) for c in cols])
 
 
+def text_order(c, collation: str | None = None) -> Column:
+    """``ORDER BY`` of a text, NULLs last: in binary order, or by an ICU collation (as a database with that collation)."""
+    return (_c(c) if collation is None else F.collate(_c(c), collation)).asc_nulls_last()
+
+
 def full_name(first, last) -> Column:
     """``CONCAT(first_name, ' ', last_org_name)``."""
     return pg_concat(first, F.lit(" "), last)

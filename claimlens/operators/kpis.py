@@ -25,12 +25,12 @@ from claimlens.functions.exprs import (
     outlier_flag,
     ratio,
     round_stat,
-    stddev_parts,
     stddev_rounded,
+    text_order,
 )
 from claimlens.plans.base import SUM_COLS, Star
-from claimlens.plans.materialize import attach, join_null_safe
-from claimlens.plans.ranking import exact_percentiles, rank_within, top_k_ranked
+from claimlens.plans.materialize import attach, reliable
+from claimlens.plans.ranking import distribution, rank_within, top_k_ranked
 
 # Default parameters of the reference analysis.
 OUTLIER_PCT = 50        # |% deviation| above which a provider is an outlier
@@ -107,20 +107,21 @@ def provider_metrics(star: Star) -> DataFrame:
 
 
 def provider_outliers(star: Star, pct_threshold: int = OUTLIER_PCT,
-                      min_services: int = MIN_SERVICES) -> DataFrame:
+                      min_services: int = MIN_SERVICES, collation: str | None = None) -> DataFrame:
     """Providers whose payment per service deviates > ``pct_threshold`` % from
     their specialty mean, with their rank in the specialty (all providers,
     highest first, NULL first as in PostgreSQL)."""
     pm = provider_metrics(star)
     pps, avg = F.col("provider_pay_per_svc"), F.col("specialty_avg_pay_per_svc")
-    dev = pm.select(
+    # read twice, by the ranks and by the rows: written once, a row a provider
+    dev = reliable(pm.select(
         "*",
         F.round(pps - avg, 2).alias("deviation_from_avg"),
         ratio(pps - avg, avg, 1, times=100).alias("pct_deviation"),
-    )
+    ))
     # ranks of all providers; the filter below reads only ``dev`` columns, so
     # Catalyst applies it before the rank join
-    ranked = rank_within(dev, ["specialty"], "provider_pay_per_svc", "specialty_rank", n_keys=star.specialty_profile()[0])
+    ranked = rank_within(dev, ["specialty"], "provider_pay_per_svc", "specialty_rank")
     out = ranked.where((F.abs("pct_deviation") > F.lit(pct_threshold))
                        & (F.col("total_services") >= F.lit(min_services)))
     return out.select(
@@ -129,7 +130,7 @@ def provider_outliers(star: Star, pct_threshold: int = OUTLIER_PCT,
         "credentials", "city", "total_services", "total_beneficiaries", "total_payment",
         "provider_pay_per_svc", "specialty_avg_pay_per_svc", "deviation_from_avg", "pct_deviation",
         outlier_flag("pct_deviation", pct_threshold).alias("outlier_flag"),
-    ).orderBy(F.col("specialty").asc_nulls_last(), F.col("pct_deviation").desc_nulls_first(),
+    ).orderBy(text_order("specialty", collation), F.col("pct_deviation").desc_nulls_first(),
               F.col("npi"))  # tie-breaker: lets the range sort split a tie group
 
 
@@ -203,32 +204,20 @@ def _stat_columns(prefix: str = "") -> list:
     ]
 
 
-def _stat_aggs(x) -> list:
-    """Raw statistic aggregates."""
-    return [F.sum(x).alias("_sum"), F.count(x).alias("_cnt"), *stddev_parts(x),
-            F.min(x).alias("_min"), F.max(x).alias("_max")]
-
-
-def specialty_distribution_of(pe: DataFrame, star: Star,
-                              min_beneficiaries: int = MIN_BENEFICIARIES) -> DataFrame:
+def specialty_distribution_of(pe: DataFrame, star: Star | None = None, min_beneficiaries: int = MIN_BENEFICIARIES) -> DataFrame:
     """Distribution of payment per beneficiary per specialty (providers with
     at least ``min_beneficiaries``): count, exact mean, sample stddev, min,
-    max and exact continuous percentiles."""
-    f = pe.where(F.col("total_beneficiaries") >= F.lit(min_beneficiaries))
-    x = F.col("payment_per_beneficiary")
-    n = F.count(F.lit(1)).alias("provider_count")
-    stats = f.groupBy("specialty").agg(n, *_stat_aggs(x))
-    pct = exact_percentiles(f, ["specialty"], "payment_per_beneficiary", _PCTS, n_keys=star.specialty_profile()[0])
-    # both sides hold one row per specialty: no skew, any join strategy is fine
-    stats = join_null_safe(stats, pct, ["specialty"], "left")
-    return stats.select("specialty", "provider_count", *_stat_columns())
+    max and exact continuous percentiles, all from one histogram."""
+    f = pe.where(F.col("total_beneficiaries") >= F.lit(min_beneficiaries)).select("specialty", "payment_per_beneficiary")
+    stats = distribution(f, "specialty", "payment_per_beneficiary", _PCTS)
+    return stats.select("specialty", F.col("_rows").alias("provider_count"), *_stat_columns())
 
 
 def specialty_distribution(star: Star, min_beneficiaries: int = MIN_BENEFICIARIES) -> DataFrame:
-    return specialty_distribution_of(star.settled(provider_efficiency_base(star)), star, min_beneficiaries)
+    return specialty_distribution_of(provider_efficiency_base(star), star, min_beneficiaries)
 
 
-def provider_efficiency(star: Star, min_beneficiaries: int = MIN_BENEFICIARIES) -> DataFrame:
+def provider_efficiency(star: Star, min_beneficiaries: int = MIN_BENEFICIARIES, collation: str | None = None) -> DataFrame:
     """Each provider's payment per beneficiary against its specialty's
     distribution: z-score and IQR tier. NULL specialty drops out (plain
     equality join in the reference)."""
@@ -252,5 +241,5 @@ def provider_efficiency(star: Star, min_beneficiaries: int = MIN_BENEFICIARIES)
         F.col("specialty_p75_pay_per_bene").alias("specialty_p75"),
         ratio(ppb - F.col("specialty_mean_pay_per_bene"), "specialty_stddev_pay_per_bene").alias("z_score"),
         efficiency_tier(ppb, "specialty_p25_pay_per_bene", "specialty_p75_pay_per_bene").alias("efficiency_tier"),
-    ).orderBy(F.col("specialty").asc_nulls_last(), ppb.desc_nulls_first(),
+    ).orderBy(text_order("specialty", collation), ppb.desc_nulls_first(),
               F.col("npi"))  # tie-breaker: lets the range sort split a tie group

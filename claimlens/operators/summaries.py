@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.functions.exprs import DRUG_LABEL_SUMMARY, code_type, display_name, ratio
+from claimlens.functions.exprs import DRUG_LABEL_SUMMARY, code_type, display_name, ratio, text_order
 from claimlens.operators.kpis import provider_totals, specialty_totals
 from claimlens.plans.base import Star
 from claimlens.plans.materialize import join_null_safe
+from claimlens.sources import sinks, versions
 
 
 def specialty_code_counts(star: Star) -> DataFrame:
@@ -96,9 +97,12 @@ VIEW_ORDER = {
 }
 
 
-def view_order(name: str) -> list:
-    """Sort columns for a view, NULLs first on DESC and last on ASC (PostgreSQL)."""
-    return [F.col(c).desc_nulls_first() if desc else F.col(c).asc_nulls_last()
+_TEXT = {"specialty", "hcpcs_cd"}
+
+
+def view_order(name: str, collation: str | None = None) -> list:
+    """Sort columns for a view, NULLs first on DESC and last on ASC (PostgreSQL); texts in binary order or by ``collation``."""
+    return [F.col(c).desc_nulls_first() if desc else text_order(c, collation) if c in _TEXT else F.col(c).asc_nulls_last()
             for c, desc in VIEW_ORDER[name]]
 
 
@@ -109,19 +113,47 @@ def register_views(spark: SparkSession, star: Star) -> list[str]:
     return list(VIEWS)
 
 
-# The views small enough to hand over as one file: one row per specialty or
-# per code. The provider view grows with the data and stays multi-file.
-SINGLE_FILE_VIEWS = {"vw_specialty_summary", "vw_procedure_summary"}
+class PublishedViews:
+    """The star's tables and summary views as SQL names over whatever version is published.
+
+    A temporary view is bound to the files it was made over, so every statement
+    first looks up the published version and makes the names anew if it changed.
+    """
+
+    TABLES = ("providers", "hcpcs_codes", "utilization")
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.at = spark, root, None
+
+    def refresh(self) -> None:
+        at = versions.published(self.spark, self.root)
+        if at is None:
+            raise FileNotFoundError(f"no published star under {self.root}")
+        if at != self.at:
+            star = sinks.read_star(self.spark, self.root, version=at.version)
+            for name, df in zip(self.TABLES, (star.providers, star.codes, star.utilization)):
+                df.createOrReplaceTempView(name)
+            register_views(self.spark, star)
+            self.at = at
+
+    def sql(self, statement: str) -> DataFrame:
+        self.refresh()
+        return self.spark.sql(statement)
+
+
+# The one view small enough to hand over as one file: a row per specialty. The
+# others grow with the code and provider tables and stay in ordered parts.
+SINGLE_FILE_VIEWS = {"vw_specialty_summary"}
 
 
-def export_views(star: Star, root: str, fmt: str = "csv") -> dict[str, str]:
+def export_views(star: Star, root: str, fmt: str = "csv", collation: str | None = None) -> dict[str, str]:
     """C15: write every summary view, sorted by its ORDER BY, under ``root``."""
     from claimlens.sources.sinks import export_summary
 
     out = {}
     for name, fn in VIEWS.items():
         path = f"{root.rstrip('/')}/{name}"
-        export_summary(fn(star), path, fmt, order_by=view_order(name),
+        export_summary(fn(star), path, fmt, order_by=view_order(name, collation),
                        single_file=name in SINGLE_FILE_VIEWS)
         out[name] = path
     return out

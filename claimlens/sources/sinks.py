@@ -1,9 +1,9 @@
 """C15 export and the star-schema table layout.
 
-A load writes all its tables under one new version folder and publishes it by
-appending one row to ``_published``; readers resolve the newest published
-version. A failed load therefore changes nothing that a reader sees, and no
-table of an older load is ever mixed in.
+A load writes all its tables under one new version folder and publishes it
+under the next number of the log (:mod:`claimlens.sources.versions`); readers
+resolve the newest published version. A failed load therefore changes nothing
+that a reader sees, and no table of an older load is ever mixed in.
 
 * ``utilization`` is range-partitioned and sorted by ``(npi, hcpcs_cd)``, so
   parquet row-group statistics prune ``npi`` ranges and a hot provider is
@@ -13,7 +13,7 @@ table of an older load is ever mixed in.
 
 from __future__ import annotations
 
-import time
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -21,15 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.plans.base import SUM_COLS, Star, roll_up, specialty_codes
+from claimlens.plans.base import SUM_COLS, Star, fact_pairs, roll_up, specialty_codes, specialty_profile
+from claimlens.plans.materialize import reliable
 from claimlens.schema import CODES_SCHEMA, PROVIDERS_SCHEMA, UTILIZATION_SCHEMA
+from claimlens.sources import versions
 
 # quoted "" stays apart from NULL, and blanks at the ends of a text stay
 CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": "",
              "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
-MARKERS = T.StructType([T.StructField("version", T.StringType()), T.StructField("published_ns", T.LongType())])
-
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``INSERT INTO t SELECT``: columns in the table's order, cast to its
@@ -37,14 +37,17 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+MANIFEST = "_manifest.json"
+
+
 def export_summary(df: DataFrame, path: str, fmt: str = "csv", order_by: list[Column] | None = None,
                    single_file: bool = False, mode: str = "overwrite") -> None:
     """Write a view for spreadsheet use.
 
-    ``order_by`` applies the view's ORDER BY as a distributed range sort (part
-    files follow the order). ``single_file`` hands over one file and is meant
-    for the small specialty / procedure views only: their rows are gathered
-    first and sorted in the task that writes them.
+    ``order_by`` applies the view's ORDER BY as a distributed range sort; the
+    part files follow the order, and ``_manifest.json`` lists them in it, so the
+    parts read in manifest order are the ordered file. ``single_file`` gathers
+    the rows in one task and is meant for views with a row per specialty only.
     """
     if single_file:
         out = df.coalesce(1).sortWithinPartitions(*order_by) if order_by else df.coalesce(1)
@@ -59,6 +62,47 @@ def export_summary(df: DataFrame, path: str, fmt: str = "csv", order_by: list[Co
         w.json(path)
     else:
         raise ValueError(f"unsupported export format {fmt!r}")
+    if mode == "overwrite":  # appended parts have no common order
+        write_manifest(df, path, fmt, bool(order_by))
+
+
+def write_manifest(df: DataFrame, path: str, fmt: str, ordered: bool) -> None:
+    """List the part files of an export. Spark numbers parts by partition, and a range sort's partitions are in order."""
+    folder = versions.Folder(df.sparkSession, path)
+    parts = [n for n in folder.names() if n.startswith("part-")]
+    folder.create(MANIFEST, json.dumps({"format": fmt, "ordered": ordered, "columns": df.columns, "parts": parts}))
+
+
+def exported_parts(spark: SparkSession, path: str) -> list[str]:
+    """The part files of an export, in order."""
+    folder = versions.Folder(spark, path)
+    return [f"{folder.path}/{n}" for n in json.loads(folder.read(MANIFEST))["parts"]]
+
+
+def join_parts(spark: SparkSession, path: str, target: str, chunk: int = 1 << 20) -> None:
+    """One ordered CSV file from an export's parts, streamed: the header once, then the parts' bytes in
+    manifest order. No task and no driver holds the rows."""
+    folder = versions.Folder(spark, path)
+    manifest = json.loads(folder.read(MANIFEST))
+    if manifest["format"] != "csv":
+        raise ValueError("only CSV parts can be joined")
+    with folder.writer(target) as write:
+        for k, name in enumerate(manifest["parts"]):
+            with folder.reader(name) as read:
+                if k:
+                    skip_header(read)
+                while piece := read(chunk):
+                    write(piece)
+
+
+def skip_header(read) -> None:
+    """Read up to the end of the first record: a newline outside quotes."""
+    inside = False
+    while byte := read(1):
+        if byte == b'"':
+            inside = not inside
+        elif byte == b"\n" and not inside:
+            return
 
 
 def _sum_fields() -> list[T.StructField]:
@@ -72,6 +116,9 @@ ROLLUP_SCHEMAS = {
 }
 
 
+PROFILE_SCHEMA = T.StructType([T.StructField("specialties", T.LongType()), T.StructField("largest", T.LongType())])
+
+
 def write_version(star: Star, root: str, with_rollups: bool = True) -> str:
     """Write every table of a load under a new version folder; nothing is published."""
     spark, version = star.providers.sparkSession, uuid.uuid4().hex
@@ -89,16 +136,28 @@ def write_version(star: Star, root: str, with_rollups: bool = True) -> str:
 
 
 def write_rollups(star: Star, root: str, version: str) -> str:
-    """Write the roll-ups of a version's tables beside them."""
-    for name, df in (("by_npi", roll_up(star.utilization, "npi")), ("by_code", roll_up(star.utilization, "hcpcs_cd")),
-                     ("by_specialty_code", specialty_codes(star.utilization, star.providers))):
+    """Write the roll-ups of a version's tables beside them; the distinct pairs are found once for all three."""
+    pairs = reliable(fact_pairs(star.utilization))
+    for name, df in (("by_npi", roll_up(star.utilization, "npi", pairs)), ("by_code", roll_up(star.utilization, "hcpcs_cd", pairs)),
+                     ("by_specialty_code", specialty_codes(star.utilization, star.providers, pairs))):
         conform(df, ROLLUP_SCHEMAS[name]).write.parquet(f"{root.rstrip('/')}/versions/{version}/{name}")
+    conform(specialty_profile(star.providers), PROFILE_SCHEMA).write.parquet(f"{root.rstrip('/')}/versions/{version}/_profile")
     return version
 
 
+def write_codes(codes: DataFrame, root: str, version: str) -> None:
+    """Write the code table of an unpublished version anew."""
+    conform(codes, CODES_SCHEMA).write.mode("overwrite").parquet(f"{root.rstrip('/')}/versions/{version}/hcpcs_codes")
+
+
 def publish(spark: SparkSession, root: str, version: str) -> None:
-    """Make a complete version the one that readers see."""
-    spark.createDataFrame([(version, time.time_ns())], MARKERS).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/_published")
+    """Make a complete version the one that readers see, whatever was published meanwhile."""
+    while True:
+        try:
+            versions.publish(spark, root, version, versions.published(spark, root))
+            return
+        except versions.PublishConflict:
+            continue
 
 
 def write_star(star: Star, root: str, with_rollups: bool = True) -> None:
@@ -108,12 +167,8 @@ def write_star(star: Star, root: str, with_rollups: bool = True) -> None:
 
 def published(spark: SparkSession, root: str) -> str | None:
     """The newest published version, or None before the first."""
-    try:
-        return spark.read.schema(MARKERS).parquet(f"{root.rstrip('/')}/_published").agg(F.max_by("version", "published_ns")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    at = versions.published(spark, root)
+    return at.version if at else None
 
 
 def read_star(spark: SparkSession, root: str, with_rollups: bool = True, version: str | None = None) -> Star:
@@ -131,8 +186,9 @@ def read_star(spark: SparkSession, root: str, with_rollups: bool = True, version
     if with_rollups:
         try:
             star.by_npi, star.by_code, star.by_specialty_code = (table(n, s) for n, s in ROLLUP_SCHEMAS.items())
+            star.profile = table("_profile", PROFILE_SCHEMA)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise  # a version written without roll-ups computes them
-            star.by_npi = star.by_code = star.by_specialty_code = None
+            star.by_npi = star.by_code = star.by_specialty_code = star.profile = None
     return star

@@ -1,0 +1,109 @@
+"""Publication log: conflicts, dead claims, leases, removal of old versions."""
+
+import os
+import threading
+
+import pytest
+
+from claimlens import __main__ as cli
+from claimlens.jobs import load_job
+from claimlens.sources import loaders, sinks, versions
+from tests.test_sources import _line, _stg, _write
+
+
+def _star(spark, code="A1"):
+    return loaders.load_star(_stg(spark, [_line(HCPCS_Cd=code)]), stage=False)
+
+
+def test_numbers_order_versions_not_clocks(spark, scratch, monkeypatch):
+    root = os.path.join(scratch, "star")
+    assert versions.published(spark, root) is None
+    monkeypatch.setattr(versions.time, "time", lambda: 1e9)
+    sinks.write_star(_star(spark, "A1"), root, with_rollups=False)
+    monkeypatch.setattr(versions.time, "time", lambda: 1e8)  # the next load's clock is behind
+    sinks.write_star(_star(spark, "B2"), root, with_rollups=False)
+    assert versions.published(spark, root).number == 2
+    assert [r.hcpcs_cd for r in sinks.read_star(spark, root).codes.collect()] == ["B2"]
+
+
+def test_one_of_two_publishers_gets_the_number(spark, scratch):
+    root = os.path.join(scratch, "star")
+    got = []
+
+    def go(name):
+        try:
+            got.append(versions.publish(spark, root, name, None))
+        except versions.PublishConflict:
+            got.append(None)
+
+    threads = [threading.Thread(target=go, args=(f"v{i}",)) for i in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    won = [g for g in got if g]
+    assert len(got) == 8 and len(won) == 1 and versions.published(spark, root) == won[0]
+
+
+def test_two_interleaved_loads_keep_both_sets_of_codes(spark, scratch, monkeypatch):
+    root = os.path.join(scratch, "star")
+    for name, lines in (("base", [_line(HCPCS_Cd="A1", HCPCS_Desc="old")]), ("x", [_line(HCPCS_Cd="A1", HCPCS_Desc="x"), _line(HCPCS_Cd="X1")]),
+                        ("y", [_line(HCPCS_Cd="Y1", Rndrng_NPI="2"), _line(HCPCS_Cd="X1", HCPCS_Desc="y", Rndrng_NPI="2")])):
+        _write(os.path.join(scratch, name), lines)
+    load_job(spark, os.path.join(scratch, "base"), root)
+    real, done = versions.publish, []
+
+    def later(spark_, root_, version, after, **kw):
+        if not done:  # all of another load happens between this load's reading and its publishing
+            done.append(1)
+            load_job(spark, os.path.join(scratch, "x"), root)
+        return real(spark_, root_, version, after, **kw)
+
+    monkeypatch.setattr(versions, "publish", later)
+    load_job(spark, os.path.join(scratch, "y"), root)
+    star = sinks.read_star(spark, root)
+    assert {r.hcpcs_cd: r.hcpcs_desc for r in star.codes.collect()} == {"A1": "old", "X1": "Office visit", "Y1": "Office visit"}
+    assert [r.npi for r in star.providers.collect()] == [2] and versions.published(spark, root).number == 3
+
+
+def test_a_dead_claim_is_reported_and_released(spark, scratch):
+    root = os.path.join(scratch, "star")
+    first = versions.publish(spark, root, "one", None)
+    assert versions.Folder(spark, root).create(f"{versions.LOG}/{2:012d}", "")  # a load died between claim and content
+    assert versions.published(spark, root) == first
+    with pytest.raises(versions.UnfilledClaim):
+        versions.publish(spark, root, "two", first, wait=0.1)
+    assert not versions.release_claim(spark, root, 1) and versions.release_claim(spark, root, 2)
+    assert versions.publish(spark, root, "two", first).number == 2
+
+
+def test_removal_waits_for_readers(spark, scratch, monkeypatch):
+    root = os.path.join(scratch, "star")
+    for code in ("A1", "B2", "C3"):
+        sinks.write_star(_star(spark, code), root, with_rollups=False)
+        if code == "A1":
+            reading = versions.lease(spark, root)
+            at = reading.__enter__()
+            star = sinks.read_star(spark, root, version=at.version)
+    unpublished = sinks.write_version(_star(spark, "D4"), root, with_rollups=False)
+    ids = [v for _, v in versions._claims(versions.Folder(spark, root))]
+    assert versions.remove_versions(spark, root, keep=1) == [ids[1]]              # leased, newest and unpublished ones stay
+    assert [r.hcpcs_cd for r in star.codes.collect()] == ["A1"]                   # the reader finishes
+    reading.__exit__(None, None, None)
+    assert versions.remove_versions(spark, root, keep=1) == [ids[0]]
+    assert versions.remove_versions(spark, root, keep=1, unpublished_after=-1) == [unpublished]
+    assert [r.hcpcs_cd for r in sinks.read_star(spark, root).codes.collect()] == ["C3"]
+    with pytest.raises(ValueError):
+        versions.remove_versions(spark, root, keep=0)
+
+
+def test_an_expired_lease_holds_nothing(spark, scratch, capsys):
+    root = os.path.join(scratch, "star")
+    for code in ("A1", "B2"):
+        sinks.write_star(_star(spark, code), root, with_rollups=False)
+        if code == "A1":
+            versions.lease(spark, root, seconds=-1).__enter__()
+    old = versions._claims(versions.Folder(spark, root))[0][1]
+    cli.main(["clean", "--star", root, "--keep", "1"])
+    assert old in capsys.readouterr().out
+    assert versions.Folder(spark, root).names(versions.LEASES) == []
