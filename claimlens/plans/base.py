@@ -33,23 +33,38 @@ def measures(util: DataFrame) -> DataFrame:
     )
 
 
-def roll_up(util: DataFrame, key: str) -> DataFrame:
+def fact_pairs(util: DataFrame) -> DataFrame:
+    """The distinct (npi, hcpcs_cd): every distinct count of the roll-ups is a row count over them."""
+    return util.select("npi", "hcpcs_cd").distinct()
+
+
+def roll_up(util: DataFrame, key: str, pairs: DataFrame | None = None) -> DataFrame:
     """Per npi or hcpcs_cd: exact sums, and ``n_other`` distinct values of the other key.
 
-    Spark aggregates by (key, other) first, so a key on a third of all facts
-    is spread by the other key before it is gathered.
+    The sums are plain partial aggregates: a key on a third of all facts costs a
+    row per task. The distinct count rides on the two columns of ``pairs``
+    (spread by the other key), not on the wide sums.
     """
     other = "hcpcs_cd" if key == "npi" else "npi"
-    return measures(util).groupBy(key).agg(*[F.sum(c).alias(c) for c in SUM_COLS], F.count_distinct(other).alias("n_other"))
+    sums = measures(util).groupBy(key).agg(*[F.sum(c).alias(c) for c in SUM_COLS])
+    counts = (fact_pairs(util) if pairs is None else pairs).groupBy(F.col(key).alias("_k")).agg(F.count(other).alias("n_other"))
+    joined = sums.join(counts, sums[key].eqNullSafe(counts["_k"]), "left")
+    return joined.select(key, *SUM_COLS, F.coalesce("n_other", F.lit(0)).alias("n_other"))
 
 
-def specialty_codes(util: DataFrame, providers: DataFrame) -> DataFrame:
+def specialty_codes(util: DataFrame, providers: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Distinct (specialty, hcpcs_cd); pairs are reduced before they meet the providers."""
-    pairs = util.select("npi", "hcpcs_cd").distinct()
+    pairs = fact_pairs(util) if pairs is None else pairs
     return pairs.join(providers.select("npi", "provider_type"), "npi") \
         .select(F.col("provider_type").alias("specialty"), "hcpcs_cd").distinct()
 
 
+def specialty_profile(providers: DataFrame) -> DataFrame:
+    """One row: number of specialties, and providers of the largest."""
+    per = providers.groupBy("provider_type").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("specialties"), F.max("n").alias("largest"))
+
+
 @dataclass
 class Star:
     """The three star-schema tables, with or without stored roll-ups."""
@@ -60,6 +75,8 @@ class Star:
     by_npi: DataFrame | None = None
     by_code: DataFrame | None = None
     by_specialty_code: DataFrame | None = None
+    #: one row (specialties, largest), measured when the roll-ups were written
+    profile: DataFrame | None = None
     _profile: dict = field(default_factory=dict, repr=False, compare=False)
 
     def rollup(self, key: str) -> DataFrame:
@@ -78,11 +95,11 @@ class Star:
         return df if self.by_npi is not None else reliable(df)
 
     def specialty_profile(self) -> tuple[int, int]:
-        """(specialties, providers of the largest specialty), measured once on
-        the providers dimension. Any per-specialty group of a query (providers
-        with facts, providers above a volume floor) is at most this large."""
+        """(specialties, providers of the largest specialty): as stored with the
+        roll-ups, else measured once on the providers dimension. Any
+        per-specialty group of a query (providers with facts, providers above a
+        volume floor) is at most this large."""
         if "specialty" not in self._profile:
-            per = self.providers.groupBy("provider_type").agg(F.count(F.lit(1)).alias("n"))
-            r = per.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m")).first()
-            self._profile["specialty"] = (int(r["k"] or 0), int(r["m"] or 0))
+            r = (specialty_profile(self.providers) if self.profile is None else self.profile).first()
+            self._profile["specialty"] = (int(r["specialties"] or 0), int(r["largest"] or 0))
         return self._profile["specialty"]

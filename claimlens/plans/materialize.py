@@ -1,11 +1,9 @@
-"""Reliable materialisation, group-size profiles and size-checked broadcasts.
+"""Reliable materialisation and size-checked broadcasts.
 
 * :func:`reliable` writes a reused intermediate as parquet into the folder the
   cluster names in ``spark.checkpoint.dir`` and reads it back: one job, lineage
   cut (a lost executor does not recompute the upstream aggregate), and unlike
   an RDD checkpoint the table keeps column pruning and file statistics.
-* :func:`key_profile` measures, in one small job, how many keys a table has and
-  how many rows its largest key holds.
 * :func:`attach` joins a table of one row per key to rows whose keys may be
   hot: broadcast within a measured bound, salted beyond it, so the rows of one
   key never meet in one task.
@@ -38,16 +36,6 @@ def reliable(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def key_profile(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(number of keys, rows of the largest key) in one aggregate job."""
-    if not keys:
-        n = df.count()
-        return (1 if n else 0), n
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    r = per_key.agg(F.count(F.lit(1)).alias("k"), F.max("_rows").alias("m")).first()
-    return int(r["k"] or 0), int(r["m"] or 0)
-
-
 def broadcast_if(df: DataFrame, rows: int, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint when ``rows`` (a measured bound) is within the limit."""
     return F.broadcast(df) if rows <= max_rows else df

@@ -14,7 +14,7 @@ here compute the same numbers without such a stage:
    percent of a value's cents as distinct values.
 3. Number distinct values inside each ``(key, slice)`` with a small window.
 4. Add the row counts / sums of all earlier slices of the same key from a
-   table of ``keys x slices`` rows (size-checked broadcast).
+   table of one row per key and slice that occurs.
 
 ``RANK()`` of a value is 1 + rows strictly before it: it depends only on the
 value, so the results are exact.
@@ -27,11 +27,11 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.plans.materialize import attach, join_null_safe, key_profile
+from claimlens.plans.materialize import join_null_safe
 
 #: Slices for each factor of e in the value.
 DEFAULT_BUCKETS = 32
-#: Factors of e between the smallest and largest decimals, both signs: bounds the slices of a key.
+#: Shifts the logarithm of the smallest decimal above zero: values of one sign have slices of one sign.
 _FOLDS = 2 * 120
 
 
@@ -42,8 +42,7 @@ def value_slice(v, buckets: int):
 
 
 def value_positions(df: DataFrame, part: list[str], value: str, *, descending: bool = True,
-                    nulls_first: bool = True, buckets: int = DEFAULT_BUCKETS,
-                    n_keys: int | None = None) -> DataFrame:
+                    nulls_first: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """One row per distinct ``(part, value)`` with its position in the order.
 
     Columns: ``part..., value, _n`` (rows with this value), ``_rank``
@@ -51,13 +50,9 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
     (non-NULL rows up to and including ties), ``_run_sum`` (RANGE running
     sum of ``value``; NULL while only NULLs are in the frame) and ``_tot_k``
     (non-NULL rows of the partition). ``part`` may be empty (whole table).
-    ``n_keys`` (number of distinct ``part`` values) sizes the broadcasts of the
-    per-key tables; it is measured when not given.
     """
     v = F.col(value)
     keys = list(part)
-    if n_keys is None:
-        n_keys = key_profile(df, keys)[0]
     d = (df.groupBy(*keys, value)
          .agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"))
          .withColumn("_k", F.when(v.isNull(), F.lit(0)).otherwise(F.col("_n"))))
@@ -85,7 +80,8 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
         F.sum("_bs").over(before).alias("_os"),
         F.sum("_bk").over(whole).alias("_tot_k"),
     )
-    d = attach(d, offsets, keys + ["_slice"], n_keys * (_FOLDS // 8 * buckets), [value])
+    # the window left the distinct values dealt by (key, slice), and no slice is hot: a plain join moves the offsets only
+    d = join_null_safe(d, offsets, keys + ["_slice"])
 
     cum_k = F.col("_ok") + F.col("_lk")
     return d.select(
@@ -101,18 +97,17 @@ def value_positions(df: DataFrame, part: list[str], value: str, *, descending: b
 
 
 def rank_within(df: DataFrame, part: list[str], value: str, out: str, *, descending: bool = True,
-                nulls_first: bool = True, buckets: int = DEFAULT_BUCKETS,
-                n_keys: int | None = None) -> DataFrame:
+                nulls_first: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Append ``RANK() OVER (PARTITION BY part ORDER BY value ...)`` as ``out``
     using the sliced form (no task ever holds a whole key)."""
     pos = value_positions(df.select(*part, value), part, value, descending=descending,
-                          nulls_first=nulls_first, buckets=buckets, n_keys=n_keys)
+                          nulls_first=nulls_first, buckets=buckets)
     pos = pos.select(*part, value, F.col("_rank").alias(out))
     return join_null_safe(df, pos, list(part) + [value], "inner")
 
 
 def exact_percentiles(df: DataFrame, part: list[str], value: str, ps: dict[str, str], *,
-                      buckets: int = DEFAULT_BUCKETS, n_keys: int | None = None) -> DataFrame:
+                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` per ``part``, exactly.
 
     ``ps`` maps output column -> p as a decimal string ("0.5"). NULL values are
@@ -122,7 +117,7 @@ def exact_percentiles(df: DataFrame, part: list[str], value: str, ps: dict[str,
     """
     v = F.col(value)
     pos = value_positions(df.where(v.isNotNull()).select(*part, value), part, value,
-                          descending=False, nulls_first=False, buckets=buckets, n_keys=n_keys)
+                          descending=False, nulls_first=False, buckets=buckets)
     first_idx = F.col("_rank") - F.lit(1)  # 0-based index of the first row with this value
     aggs, finals = [], []
     for name, p in ps.items():
@@ -143,6 +138,61 @@ def exact_percentiles(df: DataFrame, part: list[str], value: str, ps: dict[str,
     return pos.groupBy(*keys).agg(*aggs).select(*keys, *finals)
 
 
+def distribution(df: DataFrame, key: str, value: str, ps: dict[str, str], scale: int = 2, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Count, sums, extremes and exact percentiles of ``value`` per ``key`` from one histogram of it.
+
+    The rows are shuffled once, to (key, value, count). Everything else reads
+    that histogram or its slice totals: all sums come from the slices, an
+    array of slice counts a key says in which slice each percentile's
+    neighbours lie, and a window looks only at those slices. A NULL key is a key.
+
+    Columns: ``key``, ``_rows`` (NULL values too), ``_cnt``, ``_sum``, ``_min``, ``_max``, ``_sd_n``, ``_sd_s1``,
+    ``_sd_s2`` (the sums of :func:`claimlens.functions.exprs.stddev_parts`) and one per name in ``ps``.
+    """
+    v = F.col(value)
+    x = (v * F.lit(10 ** scale)).cast("decimal(20,0)")
+    hist = df.groupBy(F.col(key).alias("_key"), v.alias(value)).agg(F.count(F.lit(1)).alias("_n"))
+    hist = hist.withColumn("_slice", F.when(v.isNotNull(), value_slice(v, buckets)))
+    n = F.col("_n").cast("decimal(18,0)")
+    known = F.when(v.isNotNull(), F.col("_n"))
+    slices = hist.groupBy("_key", "_slice").agg(
+        F.sum("_n").alias("_rows"), F.sum(known).alias("_cnt"), F.sum(v * n).alias("_sum"), F.min(v).alias("_min"), F.max(v).alias("_max"),
+        F.sum((x * n).cast("decimal(38,0)")).alias("_sd_s1"), F.sum(((x * x).cast("decimal(38,0)") * n).cast("decimal(38,0)")).alias("_sd_s2"))
+    counts = F.collect_list(F.when(F.col("_slice").isNotNull(), F.struct("_slice", "_cnt")))  # the scale bounds a key's slices
+    per_key = slices.groupBy("_key").agg(
+        F.sum("_rows").alias("_rows"), F.coalesce(F.sum("_cnt"), F.lit(0)).alias("_cnt"), F.sum("_sum").alias("_sum"), F.min("_min").alias("_min"),
+        F.max("_max").alias("_max"), F.sum("_sd_s1").alias("_sd_s1"), F.sum("_sd_s2").alias("_sd_s2"), F.array_sort(counts).alias("_slices")) \
+        .withColumn("_sd_n", F.col("_cnt"))
+
+    def neighbours(name: str, p: str):
+        at = (F.col("_cnt") - F.lit(1)).cast("decimal(20,0)") * F.lit(Decimal(p))
+        return [F.struct(F.lit(f"{side}{name}").alias("tag"), end.cast("bigint").alias("pos")) for side, end in (("l", F.floor(at)), ("h", F.ceil(at)))]
+
+    def located(t):
+        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("slice"), F.lit(None).cast("bigint").alias("inside"))
+        found = F.aggregate("_slices", start, lambda a, s: F.struct(
+            (a["seen"] + s["_cnt"]).alias("seen"), F.coalesce(a["slice"], F.when(a["seen"] + s["_cnt"] > t["pos"], s["_slice"])).alias("slice"),
+            F.coalesce(a["inside"], F.when(a["seen"] + s["_cnt"] > t["pos"], t["pos"] - a["seen"])).alias("inside")))
+        return F.struct(t["tag"].alias("tag"), found["slice"].alias("slice"), found["inside"].alias("inside"))
+
+    wanted = F.array(*[t for name, p in ps.items() for t in neighbours(name, p)])
+    targets = per_key.where("_cnt > 0").select(F.col("_key").alias("_tkey"), F.explode(F.transform(wanted, located)).alias("t")) \
+        .groupBy("_tkey", F.col("t.slice").alias("_tslice")).agg(F.collect_list("t").alias("_targets"))
+    near = hist.join(targets, F.col("_key").eqNullSafe(F.col("_tkey")) & (F.col("_slice") == F.col("_tslice")))
+    w = Window.partitionBy("_key", "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("_upto", F.sum("_n").over(w))
+    here = F.filter("_targets", lambda t: (t["inside"] >= F.col("_upto") - F.col("_n")) & (t["inside"] < F.col("_upto")))
+    picked = near.select("_key", value, F.explode(here).alias("t"))
+    picked = picked.groupBy(F.col("_key").alias("_pkey")).agg(*[F.max(F.when(F.col("t.tag") == F.lit(f"{side}{name}"), v)).alias(f"_{side}{name}")
+                                                             for name in ps for side in "lh"])
+    both = per_key.join(picked, F.col("_key").eqNullSafe(F.col("_pkey")), "left")
+    out = []
+    for name, p in ps.items():
+        at = (F.col("_cnt") - F.lit(1)).cast("decimal(20,0)") * F.lit(Decimal(p))
+        out.append((F.col(f"_l{name}") + (F.col(f"_h{name}") - F.col(f"_l{name}")) * (at - F.floor(at))).alias(name))
+    return both.select(F.col("_key").alias(key), "_rows", "_cnt", "_sum", "_min", "_max", "_sd_n", "_sd_s1", "_sd_s2", *out)
+
+
 def top_k_ranked(df: DataFrame, value: str, tie_break: list[str], k: int) -> DataFrame:
     """The first ``k`` rows by ``value DESC NULLS FIRST`` (then ``tie_break``)
     with exact ``_rank``, RANGE ``_run_sum`` and ``_grand`` (SUM OVER ()) of

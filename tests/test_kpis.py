@@ -88,9 +88,10 @@ def test_stored_rollups_give_identical_results(edge_star, rolled, name):
 @pytest.mark.parametrize("name", sorted(NAIVE))
 def test_salted_joins_give_identical_results(edge_star, monkeypatch, name):
     """Beyond the broadcast bound specialty tables are attached by a salted join."""
-    want = SHAPED[name](edge_star).collect()
+    want = SHAPED[name](edge_star)
+    rows = sorted(want.collect(), key=str)  # not every query has an order
     monkeypatch.setattr("claimlens.plans.materialize.DEFAULT_BROADCAST_ROWS", 0)
-    assert SHAPED[name](edge_star).collect() == want
+    assert sorted(SHAPED[name](edge_star).collect(), key=str) == rows
 
 
 def test_plans_gather_no_group_in_one_task(rolled):

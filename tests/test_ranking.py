@@ -128,3 +128,28 @@ def test_hot_key_and_hot_value_match_window(spark):
     got_p = exact_percentiles(df, ["k"], "v", {"m": "0.5"}, buckets=16).select(
         "k", F.round(F.col("m").cast("decimal(24,6)"), 6).alias("m"))
     assert_same(got_p, exp_p)
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 32])
+def test_distribution_equals_percentile_cont_and_sums(spark, buckets):
+    from claimlens.plans.ranking import distribution
+    r = random.Random(buckets)
+    rows = [(k, None if r.random() < 0.1 else D(r.choice([r.randrange(-500, 500), r.randrange(0, 10**7), 0, 700])) / 100)
+            for k in ("a", "b", None) for _ in range(r.randrange(150, 300))]
+    rows += [("one", D("3.10")), ("none", None), ("hot", D("1.00"))] + [("hot", D("5.00"))] * 400
+    df = spark.createDataFrame(rows, "k string, v decimal(12,2)").repartition(4)
+    got = {x["k"]: x for x in distribution(df, "k", "v", {"m": "0.5", "q1": "0.25", "q3": "0.75"}, buckets=buckets).collect()}
+    assert set(got) == {k for k, _ in rows}
+    for k, x in got.items():
+        mine = [v for j, v in rows if j == k]
+        v = sorted(y for y in mine if y is not None)
+        assert (x["_rows"], x["_cnt"], x["_sd_n"]) == (len(mine), len(v), len(v))
+        if not v:
+            assert (x["_sum"], x["_min"], x["m"]) == (None, None, None)
+            continue
+        assert (x["_sum"], x["_min"], x["_max"]) == (sum(v), v[0], v[-1])
+        assert (int(x["_sd_s1"]), int(x["_sd_s2"])) == (sum(int(y * 100) for y in v), sum(int(y * 100) ** 2 for y in v))
+        for name, p in (("m", D("0.5")), ("q1", D("0.25")), ("q3", D("0.75"))):
+            at = (len(v) - 1) * p
+            lo, hi = v[int(at)], v[min(int(at) + 1, len(v) - 1)]
+            assert x[name] == lo + (hi - lo) * (at % 1), (k, name)
