@@ -143,3 +143,118 @@ def test_batches_without_a_line_of_the_state(spark, scratch):
     assert (star.providers.count(), star.codes.count(), star.utilization.count()) == (0, 0, 0)
     load_batch(_stg(spark, [_line()]), 1, target)
     assert read_loaded(spark, target).utilization.count() == 1
+
+
+def _lines(n, **over):
+    return [_line(Rndrng_NPI=str(1 + i % 7), HCPCS_Cd=f"C{i % 5}", Tot_Srvcs=str(10 + i), Rndrng_Prvdr_Type=f"S{i % 7 % 3}", **over) for i in range(n)]
+
+
+def test_rollups_are_sums_over_batches(spark, scratch):
+    from claimlens.operators import summaries
+    from claimlens.streaming import ingest
+    target = os.path.join(scratch, "star")
+    rows = _lines(40) + [_line(Rndrng_NPI="50", HCPCS_Cd="C1", Tot_Srvcs=""), _line(Rndrng_NPI="1", HCPCS_Cd="NEW")]
+    once = loaders.load_star(_stg(spark, rows), stage=False)
+    for b, (lo, hi) in enumerate([(0, 9), (9, 10), (10, 30), (30, 42)]):
+        assert load_batch(_stg(spark, rows[lo:hi]), b, target)
+        if b == 2:
+            assert ingest.compact(spark, target) == 2
+    for _ in range(2):
+        star = read_loaded(spark, target)
+        assert star.by_npi is not None
+        for name, want in ingest.rollup_tables(once).items():
+            assert_same(ingest.rollup_tables(star)[name], want)
+        for view in summaries.VIEWS.values():
+            assert_same(view(star), view(once))
+        assert_same(kpis.provider_efficiency(star), kpis.provider_efficiency(once))
+        ingest.compact(spark, target)
+    # reading the roll-ups reads no fact, and neither does a batch beyond its own
+    for df in (star.by_npi, star.by_code, star.by_specialty_code):
+        assert not [f for f in df.inputFiles() if f"/{ingest.FACTS}/" in f]
+    mine = _stg(spark, rows[:3])
+    shares = ingest.batch_rollups(loaders.load_utilization(mine), ingest._current(spark, target, ingest.PAIRS, before=4))
+    assert not [f for df in shares for f in df.inputFiles() if f"/{ingest.FACTS}/" in f]
+
+
+def test_a_retried_batch_counts_its_pairs_once(spark, scratch, monkeypatch):
+    from claimlens.streaming import ingest
+    target = os.path.join(scratch, "star")
+    assert load_batch(_stg(spark, _lines(6)), 0, target)
+    real = ingest._commit
+    monkeypatch.setattr(ingest, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    try:
+        load_batch(_stg(spark, _lines(12)), 1, target)  # all tables are written, the commit is not
+    except OSError:
+        pass
+    monkeypatch.setattr(ingest, "_commit", real)
+    assert read_loaded(spark, target).utilization.count() == 6
+    assert load_batch(_stg(spark, _lines(12)), 1, target)
+    once = loaders.load_star(_stg(spark, _lines(6) + _lines(12)), stage=False)
+    for name, want in ingest.rollup_tables(once).items():
+        assert_same(ingest.rollup_tables(read_loaded(spark, target))[name], want)
+
+
+def test_violating_batches_are_quarantined(spark, scratch):
+    from claimlens.streaming import ingest
+    target = os.path.join(scratch, "star")
+    assert load_batch(_stg(spark, [_line(Rndrng_NPI="1")]), 0, target)
+    bad = {
+        "unique.npi": [_line(Rndrng_NPI="01")],                                # the number of another batch's text
+        "not_null.hcpcs_cd": [_line(Rndrng_NPI="2", HCPCS_Cd=None)],
+        "length.zip5": [_line(Rndrng_NPI="2", Rndrng_Prvdr_Zip5="60601-1234")],
+        "type.Tot_Srvcs": [_line(Rndrng_NPI="2", Tot_Srvcs="many")],
+        "type.state_fips": [_line(Rndrng_NPI="2", Rndrng_Prvdr_State_FIPS="")],
+    }
+    for b, rows in enumerate(bad.values(), 1):
+        assert not load_batch(_stg(spark, rows), b, target)
+    assert not load_batch(_stg(spark, [_line(Rndrng_NPI="3"), _line(Rndrng_NPI="003")]), 6, target)
+    assert load_batch(_stg(spark, [_line(Rndrng_NPI="4"), _line(Rndrng_NPI="5", Rndrng_Prvdr_State_Abrvtn="WI", HCPCS_Cd=None)]), 7, target)
+    star = read_loaded(spark, target)
+    assert sorted(r.npi for r in star.providers.collect()) == [1, 4]
+    assert sorted(r.npi for r in star.by_npi.collect()) == [1, 4] and star.utilization.count() == 2
+    got = {(r.load_batch, r.reason) for r in ingest.quarantined(spark, target).collect()}
+    assert got == {*((b, name) for b, name in enumerate(bad, 1)), (6, "unique.npi")}
+    assert ingest.compact(spark, target) == 7 and read_loaded(spark, target).providers.count() == 2
+
+
+def test_bad_files_are_quarantined_and_a_restart_goes_on(spark, scratch):
+    from claimlens.streaming import ingest
+    src, target = os.path.join(scratch, "incoming"), os.path.join(scratch, "star")
+    os.makedirs(src)
+
+    def run():
+        start_ingest(spark, src, target, max_files_per_trigger=1).awaitTermination()
+
+    _write(os.path.join(src, "a.csv"), [_line(Rndrng_NPI="1", HCPCS_Desc="two\nlines")])
+    run()
+    _write(os.path.join(src, "b.csv"), [_line(Rndrng_NPI="2")], raw_lines=["1,2,3"])            # a short line
+    run()
+    with open(os.path.join(src, "c.csv"), "wb") as fh:
+        fh.write(b"header\nSM\xffITH\n")                                                        # not UTF-8
+    run()
+    _write(os.path.join(src, "d.csv"), [_line(Rndrng_NPI="01")])                                # another text of NPI 1
+    run()
+    _write(os.path.join(src, "e.csv"), [_line(Rndrng_NPI="2")])
+    run()
+    run()                                                                                       # nothing new
+    star = read_loaded(spark, target)
+    assert sorted(r.npi for r in star.utilization.collect()) == [1, 2]
+    assert {r.hcpcs_desc for r in star.codes.collect()} == {"Office visit"}  # the smallest over the batches
+    got = {(os.path.basename(r.file), r.reason.split(":")[0]) for r in ingest.quarantined(spark, target).collect()}
+    assert got == {("b.csv", "malformed"), ("c.csv", "unreadable"), ("d.csv", "unique.npi")}
+
+
+def test_a_batch_cut_while_it_is_quarantined(spark, scratch, monkeypatch):
+    from claimlens.streaming import ingest
+    target = os.path.join(scratch, "star")
+    assert load_batch(_stg(spark, [_line(Rndrng_NPI="1")]), 0, target)
+    real = ingest._commit
+    monkeypatch.setattr(ingest, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    try:
+        load_batch(_stg(spark, [_line(Rndrng_NPI="01")]), 1, target)
+    except OSError:
+        pass
+    monkeypatch.setattr(ingest, "_commit", real)
+    assert not load_batch(_stg(spark, [_line(Rndrng_NPI="01")]), 1, target)                     # the retry ends the same way
+    assert ingest.quarantined(spark, target).count() == 1
+    assert read_loaded(spark, target).providers.count() == 1
