@@ -2,14 +2,17 @@
 
 Base matches (email, ip, card, phone) are the seed entities. Every seed, and
 every other identifier-like string (five digits or more, digit groups joined by
-single blanks, dots, dashes or brackets included, or an ``@``), stands
-in lexical patterns: the two words before it, and the word before with the word
-after. Patterns and instances form a graph; Spark scores it in ``ROUNDS``
-rounds: a pattern's score for a kind is the mean score of its distinct
-instances, shrunk by one, an unknown instance's score is the mean of its
-patterns. Patterns with ``MIN_SEEDS`` distinct seeds and a score of
-``MIN_SCORE`` are trusted; an identifier of fitting shape in a trusted pattern
-becomes a span of the pattern's kind. Base spans stay as they are.
+single blanks, dots, dashes or brackets included, or an ``@``), stands in
+lexical patterns: the word before, the word after, both, the two words before,
+the second word before with the first one skipped, and its own shape (lengths of
+its digit runs and its signs). Patterns and instances form a graph, which Spark
+scores: a pattern's score for a kind is the mean score of its distinct
+instances, shrunk by one; an entity of the kind scores 1, of another kind 0, an
+unknown instance the mean of its patterns (``ROUNDS`` times back and forth).
+Patterns with ``MIN_SEEDS`` distinct entities and a score of ``MIN_SCORE`` are
+trusted. Unknown identifiers of fitting form in a trusted pattern become
+entities of its kind; they seed the next round, until a round finds none. All
+places of a found entity become spans. Base spans stay as they are.
 
 Texts are read once. What is found is written to the shared folder (it is small
 beside the text); edges are made distinct before any join, so a pattern or an
@@ -18,11 +21,15 @@ instance that fills a third of all rows is pre-aggregated.
 Defined results: null or empty text has no spans; a base match that fails its
 check is dropped and not retried; repeated rows are searched row by row, and
 equal instances count once in a pattern; ties between kinds go to the first in
-``KINDS``; without seeds nothing is added. Extra columns are ignored.
+``KINDS``; without seeds nothing is added. A run of joined digit groups with
+more digits than any kind has stands for all its parts that fit; of overlapping
+found spans the longest stays. Instances are compared by a 128-bit digest of
+the whole string. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -34,7 +41,7 @@ from claimlens.llm.scratch import written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, MIN_SCORE = 3, 5, 0.8
-MIN_DIGITS, CONTEXT_CHARS, MAX_INSTANCE_CHARS = 5, 80, 200
+MIN_DIGITS, CONTEXT_CHARS = 5, 80
 MAX_JOINED_DIGITS = 19  # more than any kind has
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -48,6 +55,7 @@ _GROUP = r"(?:\([0-9]++\)|[0-9]++)"
 _JOINED = re.compile(rf"(?<![\w@])\+?{_GROUP}(?:[ \u00a0.-]?{_GROUP})+(?![\w@]|[:,.-]\w)")
 _DIGIT_RUN = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\w+")
+_ONE_GROUP, _DOTTED, _RUN = re.compile(_GROUP), re.compile(r"[0-9]+\.[0-9]+\.[0-9]+"), re.compile(r"[0-9]+|[^\W\d_]+")
 
 
 def emails(t: str) -> list[tuple[int, int]]:
@@ -110,7 +118,7 @@ def other_identifiers(t: str, taken: list[tuple[int, int]]) -> list[tuple[int, i
             k += 1
         if k < len(taken) and taken[k][0] < end:
             continue
-        if len(s) <= MAX_INSTANCE_CHARS and (sum(c.isdigit() for c in s) >= MIN_DIGITS or "@" in s[1:-1]):
+        if sum(c.isdigit() for c in s) >= MIN_DIGITS or "@" in s[1:-1]:
             out.append((start, end))
     return sorted(set(out))
 
@@ -123,34 +131,62 @@ def _joined_numbers(t: str, taken: list[tuple[int, int]]) -> list[tuple[int, int
             k += 1
         if k < len(taken) and taken[k][0] < end:
             continue
-        if end - start <= MAX_INSTANCE_CHARS and MIN_DIGITS <= sum(c.isdigit() for c in m.group()) <= MAX_JOINED_DIGITS:
+        digits = sum(c.isdigit() for c in m.group())
+        if MIN_DIGITS <= digits <= MAX_JOINED_DIGITS:
             out.append((start, end))
+        elif digits > MAX_JOINED_DIGITS:  # several numbers in a row: every run of its groups that fits
+            groups = [(g.start(), g.end(), sum(c.isdigit() for c in g.group())) for g in _ONE_GROUP.finditer(t, start, end)]
+            for i, (a, _, _) in enumerate(groups):
+                n = 0
+                for _, z, d in groups[i:]:
+                    n += d
+                    if n > MAX_JOINED_DIGITS:
+                        break
+                    if n >= MIN_DIGITS:
+                        out.append((a, z))
     return out
 
 
+def shape(s: str) -> str:
+    """Lengths of digit runs, runs of letters as one, and all signs."""
+    return _RUN.sub(lambda m: str(len(m.group())) if m.group()[0].isdigit() else "a", s)
+
+
 def patterns(t: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a place: two words before; word before and word after."""
+    """The lexical patterns of a place."""
     before = _WORD.findall(t[max(0, start - CONTEXT_CHARS):start].lower())[-2:]
     after = _WORD.findall(t[end:end + CONTEXT_CHARS].lower())[:1]
-    out = []
+    out = ["#" + shape(t[start:end])]
+    if len(out[0]) > CONTEXT_CHARS:
+        out = []
     if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _")
+        out += [f"{before[0]} {before[1]} _", f"{before[0]} * _"]
+    if before:
+        out.append(f"{before[-1]} _")
+    if after:
+        out.append(f"_ {after[0]}")
     if before and after:
         out.append(f"{before[-1]} _ {after[0]}")
     return out
 
 
+def fitting(s: str) -> list[str]:
+    """Kinds whose form a string can have."""
+    digits = sum(c.isdigit() for c in s)
+    return [k for k, ok in (("email", "@" in s), ("ip", bool(_DOTTED.search(s))), ("card", 12 <= digits <= 19), ("phone", 6 <= digits <= 15)) if ok]
+
+
 def _find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    spot = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()),
-                      ("patterns", pa.list_(pa.string()))])
+    spot = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.binary()),
+                      ("fits", pa.list_(pa.string())), ("patterns", pa.list_(pa.string()))])
     for batch in it:
         found = []
         for x in batch.column(2):
             t = x.as_py() or ""
             base = base_spans(t)
             other = [(None, a, z) for a, z in other_identifiers(t, [(a, z) for _, a, z in base])]
-            found.append([{"kind": k, "start": a, "end": z, "instance": t[a:z][:MAX_INSTANCE_CHARS], "patterns": patterns(t, a, z)}
-                          for k, a, z in base + other])
+            found.append([{"kind": k, "start": a, "end": z, "instance": hashlib.blake2b(t[a:z].encode(), digest_size=16).digest(),
+                           "fits": fitting(t[a:z]), "patterns": patterns(t, a, z)} for k, a, z in base + other])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(spot))], ["row", "key", "found"])
 
 
@@ -159,57 +195,89 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("key"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(_find, f"row bigint, key {kind}, found array<struct<kind:string,start:bigint,end:bigint,"
-                                  "instance:string,patterns:array<string>>>")
+                                  "instance:binary,fits:array<string>,patterns:array<string>>>")
 
 
-def score_patterns(found: DataFrame) -> DataFrame:
-    """(pattern, kind, score, seeds) of the patterns that hold seeds."""
-    edges = written(found.select(F.explode("found").alias("f")).select(
-        F.col("f.kind").alias("kind"), F.xxhash64("f.instance").alias("instance"), F.explode("f.patterns").alias("pattern")).distinct(), "edges")
-    seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("seed_sum"), F.count("*").alias("seeds"))
+def score_patterns(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(pattern, kind, score, seeds) of the patterns that hold entities.
+
+    ``edges``: distinct (instance, pattern); ``entities``: (instance, kind).
+    """
+    seeds = edges.join(entities, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
     everything = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    unknown = edges.where("kind is null").select("instance", "pattern")
+    base = written(seeds.join(everything, "pattern"), "base")
+    # only patterns that hold an entity can score; an instance's other patterns count as 0
+    unknown = written(edges.join(entities, "instance", "left_anti"), "unknown")
     degree = unknown.groupBy("instance").agg(F.count("*").alias("degree"))
-    base = seeds.join(everything, "pattern")
-    scores = base.withColumn("score", F.col("seed_sum") / (F.col("n") + 1))
+    beside = written(unknown.join(base.select("pattern").distinct(), "pattern", "left_semi").join(degree, "instance"), "beside")
+    scores = base.withColumn("score", F.col("seeds") / (F.col("n") + 1))
     for _ in range(ROUNDS):
-        # what unknown instances add, from the scores of all their patterns
-        scores = written(scores.select("pattern", "kind", "score", "seeds", "n", "seed_sum"), "scores")
-        guess = unknown.join(scores.select("pattern", "kind", "score"), "pattern").groupBy("instance", "kind") \
-            .agg(F.sum("score").alias("s")).join(degree, "instance").select("instance", "kind", (F.col("s") / F.col("degree")).alias("s"))
-        added = unknown.join(guess, "instance").groupBy("pattern", "kind").agg(F.sum("s").alias("added"))
-        scores = base.join(added, ["pattern", "kind"], "left") \
-            .withColumn("score", (F.col("seed_sum") + F.coalesce("added", F.lit(0.0))) / (F.col("n") + 1))
-    return written(scores.select("pattern", "kind", "score", "seeds"), "scores")
-
-
-def _fits(kind, text):
-    digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
-    return F.when(kind == "email", text.contains("@")).when(kind == "ip", text.rlike(r"[0-9]+\.[0-9]+\.[0-9]+")) \
-        .when(kind == "card", digits.between(12, 19)).otherwise(digits.between(6, 15))
+        guess = beside.join(scores.select("pattern", "kind", "score"), "pattern").groupBy("instance", "kind") \
+            .agg((F.sum("score") / F.first("degree")).alias("s"))
+        added = beside.select("instance", "pattern").join(guess, "instance").groupBy("pattern", "kind").agg(F.sum("s").alias("added"))
+        scores = written(base.join(added, ["pattern", "kind"], "left")
+                         .withColumn("score", (F.col("seeds") + F.coalesce("added", F.lit(0.0))) / (F.col("n") + 1)), "scores")
+    return scores.select("pattern", "kind", "score", "seeds")
+
+
+def bootstrap(found: DataFrame) -> DataFrame:
+    """(instance, kind, support) of the entities found beyond the seeds: one kind each, and the trusted patterns they were found in."""
+    spots = found.select(F.explode("found").alias("f")).select("f.kind", "f.instance", "f.fits", "f.patterns")
+    edges = written(spots.select("instance", F.explode("patterns").alias("pattern")).distinct(), "edges")
+    forms = written(spots.where("kind is null").select("instance", F.explode("fits").alias("kind")).distinct(), "forms")
+    seeds = written(spots.where("kind is not null").select("instance", "kind").distinct(), "seeds")
+    found_so_far, entities = None, seeds
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    while True:
+        trusted = score_patterns(edges, entities).where((F.col("seeds") >= MIN_SEEDS) & (F.col("score") >= MIN_SCORE))
+        in_trusted = edges.join(trusted, "pattern").groupBy("instance", "kind").agg(F.count("*").alias("support"), F.max("score").alias("score"))
+        new = in_trusted.join(forms, ["instance", "kind"]).join(entities, "instance", "left_anti") \
+            .groupBy("instance").agg(F.max(F.struct("support", "score", (-order).alias("o"), "kind")).alias("best")) \
+            .select("instance", F.col("best.kind").alias("kind"), F.col("best.support").alias("support"))
+        new = written(new, "entities")
+        if new.isEmpty():
+            return new if found_so_far is None else found_so_far
+        found_so_far = new if found_so_far is None else written(found_so_far.union(new), "entities")
+        entities = written(entities.union(new.select("instance", "kind")), "entities")
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: id, base and added spans (kind, start, end)."""
     found = written(find(docs, id_col, text_col), "pii")
-    trusted = score_patterns(found).where((F.col("seeds") >= MIN_SEEDS) & (F.col("score") >= MIN_SCORE))
     spots = found.select("row", F.explode("found").alias("f")).where("f.kind is null") \
-        .select("row", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.instance").alias("text"), F.explode("f.patterns").alias("pattern"))
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    added = spots.join(trusted, "pattern").where(_fits(F.col("kind"), F.col("text"))) \
-        .groupBy("row", "start", "end").agg(F.max(F.struct("score", (-order).alias("o"), "kind")).alias("best")) \
-        .groupBy("row").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
-    # of spans that overlap (a joined number and a word of it) the longest stays
-    length = lambda s: s["end"] - s["start"]
-    beats = lambda o, s: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (
-        (length(o) > length(s)) | (length(o) == length(s)) & (o["start"] < s["start"]))
-    added = added.withColumn("added", F.filter("added", lambda s: ~F.exists("added", lambda o: beats(o, s))))
+        .select("row", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.instance").alias("instance"))
+    added = spots.join(bootstrap(found), "instance").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "support")).alias("added"))
+    # of spans that overlap (a joined number, a word of it) the one in more trusted patterns stays, then the longest
+    order = lambda x: F.struct(x["support"], x["end"] - x["start"], -x["start"])
+    beats = lambda o, x: (o["start"] < x["end"]) & (x["start"] < o["end"]) & (order(o) > order(x))
+    kept = F.filter("added", lambda x: ~F.exists("added", lambda o: beats(o, x)))
+    added = added.select("row", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("added"))
     spans = F.transform(F.filter("found", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     return found.join(added, "row", "left").select(
         F.col("key").alias(id_col), spans.alias("base"),
         F.coalesce("added", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")).alias("added"))
 
 
+def rediscovery(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """How well the method finds base entities that it is not told: a hashed third of them is no seed.
+
+    One row per kind: hidden entities, those found again with their kind, and
+    all entities found under that kind.
+    """
+    found = written(find(docs, id_col, text_col), "pii")
+    hidden = lambda f: f["kind"].isNotNull() & (F.pmod(F.xxhash64(f["instance"]), F.lit(3)) == 0)
+    told = found.select("row", "key", F.transform("found", lambda f: F.struct(
+        F.when(~hidden(f), f["kind"]).alias("kind"), f["start"].alias("start"), f["end"].alias("end"), f["instance"].alias("instance"),
+        f["fits"].alias("fits"), f["patterns"].alias("patterns"))).alias("found"))
+    truth = found.select(F.explode(F.filter("found", hidden)).alias("f")).select(F.col("f.instance").alias("instance"), F.col("f.kind").alias("kind")).distinct()
+    got = bootstrap(told).select("instance", F.col("kind").alias("as"))
+    both = truth.join(got, "instance", "full")
+    kinds = both.select(F.explode(F.array_distinct(F.array("kind", "as"))).alias("name"), "kind", "as").where("name is not null")
+    return kinds.groupBy(F.col("name").alias("kind")).agg(F.count_if(F.col("kind") == F.col("name")).alias("hidden"),
+                                                          F.count_if((F.col("kind") == F.col("as")) & (F.col("as") == F.col("name"))).alias("found_again"),
+                                                          F.count_if(F.col("as") == F.col("name")).alias("found"))
+
+
 def joined(spans):
     """kind:start:end by kind as listed, then start, comma-joined."""
     rank = F.array(*map(F.lit, KINDS))

@@ -129,6 +129,69 @@ def test_trusted_patterns_find_grouped_numbers(spark):
         assert [(s["kind"], t[s["start"]:s["end"]]) for s in got[d].added] == [(kind, number)]
 
 
+def test_a_found_identifier_makes_new_patterns(spark):
+    """Seed -> pattern -> identifier -> pattern -> identifier: two hops, no base match near the last one."""
+    rows = [(100 + i, f"please call agent on +1 (212) 555-{1000 + i} for help") for i in range(60)]
+    rows += [(20 + i, f"please call agent on 0171-55577{i:02d} for help") for i in range(9)]       # found beside seeds
+    rows += [(40 + i, f"reach the desk under 0171-55577{i:02d} until noon") for i in range(9)]      # the same ones elsewhere
+    rows += [(60, "reach the desk under 030-9988776 until noon"), (61, "invoice sum 030-11223344 was paid")]
+    got = {r.doc_id: r for r in pii.extract(make(spark, rows)).collect()}
+    assert [(s["kind"], rows[-2][1][s["start"]:s["end"]]) for s in got[60].added] == [("phone", "030-9988776")]
+    assert not got[61].added and all(len(got[40 + i].added) == 1 for i in range(9))
+
+
+def brute_scores(edges, entities):
+    of_kind = {}
+    for i, k in entities:
+        of_kind.setdefault(i, set()).add(k)
+    patterns, instances = {}, {}
+    for i, p in edges:
+        patterns.setdefault(p, set()).add(i)
+        instances.setdefault(i, set()).add(p)
+    kinds = {(p, k) for p, members in patterns.items() for i in members for k in of_kind.get(i, ())}
+    seeds = {(p, k): sum(k in of_kind.get(i, ()) for i in patterns[p]) for p, k in kinds}
+    score = {pk: seeds[pk] / (len(patterns[pk[0]]) + 1) for pk in kinds}
+    for _ in range(pii.ROUNDS):
+        guess = {(i, k): sum(score.get((p, k), 0) for p in instances[i]) / len(instances[i]) for i in instances if i not in of_kind for k in RX}
+        score = {(p, k): (seeds[p, k] + sum(guess.get((i, k), 0) for i in patterns[p])) / (len(patterns[p]) + 1) for p, k in kinds}
+    return score, seeds
+
+
+def test_pattern_scores_equal_brute_force(spark):
+    r = random.Random(6)
+    edges = sorted({(f"i{r.randrange(40)}", f"p{r.randrange(12)}") for _ in range(150)})
+    entities = sorted({(f"i{i}", r.choice(list(RX))) for i in r.sample(range(40), 18)} | {("i1", "ip"), ("i1", "phone")})
+    got = pii.score_patterns(spark.createDataFrame(edges, "instance string, pattern string"), spark.createDataFrame(entities, "instance string, kind string"))
+    score, seeds = brute_scores(edges, entities)
+    rows = {(x["pattern"], x["kind"]): x for x in got.collect()}
+    assert set(rows) == set(score)
+    for k, x in rows.items():
+        assert x["seeds"] == seeds[k] and abs(x["score"] - score[k]) < 1e-9
+
+
+def test_numbers_in_a_row_and_long_instances(spark):
+    t = "call 212 555 1000 212 555 1001 now"
+    spans = [t[a:z] for a, z in pii.other_identifiers(t, [])]
+    assert {"212 555 1000", "212 555 1001"} <= set(spans) and all(sum(c.isdigit() for c in s) <= 19 for s in spans)
+    long = "7" * 250
+    assert [(a, z) for a, z in pii.other_identifiers(f"id {long} end", [])] == [(3, 253)]
+    x, y = "a" * 300 + "1@here", "a" * 300 + "2@here"  # differ behind their first 200 characters
+    found = pii.find(make(spark, [(1, f"to {x} from {y}")])).first()["found"]
+    assert len({bytes(f["instance"]) for f in found}) == 2
+    rows = [(100 + i, f"please call agent on +1 (212) 555-{1000 + i} for help") for i in range(200)]
+    rows += [(400 + i, f"ring 310 555 {2000 + i} or wait, call agent on 310 555 {2000 + i} for it") for i in range(30)]
+    rows += [(50, "please call agent on 212 555 1000 212 555 1001 for help")]
+    got = {r.doc_id: r for r in pii.extract(make(spark, rows)).collect()}
+    assert {rows[-1][1][s["start"]:s["end"]] for s in got[50].added} == {"212 555 1000", "212 555 1001"}
+
+
+def test_rediscovery_of_hidden_entities(spark):
+    rows = [(i, f"please call agent on +1 (212) 555-{1000 + i} for help today") for i in range(40)]
+    got = {r["kind"]: r for r in pii.rediscovery(make(spark, rows)).collect()}
+    assert set(got) == {"phone"} and got["phone"]["hidden"] > 5
+    assert got["phone"]["found_again"] == got["phone"]["found"] == got["phone"]["hidden"]
+
+
 # -- fingerprints --
 
 
