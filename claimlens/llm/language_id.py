@@ -5,15 +5,14 @@ A text is lower-cased (ASCII), everything but letters becomes a blank, and its
 rows of an embedding table; the mean embedding goes through a linear softmax.
 Table and softmax are trained by stochastic gradient descent in numpy on a
 bounded, content-hashed sample of at most about ``PER_LANGUAGE`` documents of
-each language (whole texts and short spans of them, so that short texts are
+each language and ``MAX_SAMPLE`` in all, at least about one of each (whole texts and short spans of them, so that short texts are
 calibrated too). A fifth of the sample fits the temperature and the rejection
 threshold. Scoring is one pass over all whole texts: mean and softmax are
 linear, so each bucket's contribution to the logits is one small row.
 
 Defined results: null text, or text without any letter, is ``und`` with score
 0 and rejected; with no labelled rows everything is ``und``; ties go to the
-first language in sorted order; labels beyond ``MAX_LANGUAGES`` (the rarest)
-are not learned; repeated rows are answered row by row; a null id counts as
+first language in sorted order; every label is learned, however many; repeated rows are answered row by row; a null id counts as
 held out. Extra columns are ignored (``predict``) or kept (``keep_known``).
 """
 
@@ -32,8 +31,8 @@ from claimlens.llm import textblocks as tb
 BITS, DIM, SIZES = 18, 16, (2, 3, 4)
 #: Many more buckets than subwords of the learned languages, so that unknown subwords seldom fall on known ones.
 BUCKETS = 1 << BITS
-#: Bound of the training sample, and of the labels learned.
-PER_LANGUAGE, MAX_LANGUAGES = 300, 200
+#: Bounds of the training sample: documents of a language, and of all of them.
+PER_LANGUAGE, MAX_SAMPLE = 300, 60_000
 SPANS = (1, 2, 4, 8, 20, 60)  # words of the short training spans
 EPOCHS, RATE = 6, 0.5
 #: A row of the table moves only when its subword occurs, so its step is this much longer.
@@ -158,12 +157,13 @@ def train(langs: list[str], bags: list[tuple[np.ndarray, np.ndarray]], y: np.nda
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Train on the rows given (the caller leaves held-out rows out)."""
     rows = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    counts = rows.groupBy(rows[lang_col].alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy(rows[lang_col].alias("lang")).count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not counts:
         return Model([], np.zeros((BUCKETS + 1, 1), np.float32), 0.0)
     # a row is in the sample if its hash falls under its language's share
+    per_language = max(1.0, min(PER_LANGUAGE, MAX_SAMPLE / len(counts)))
     key = F.xxhash64(rows[id_col].cast("string"), F.lit(17))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
     picked = rows.where(F.pmod(key, F.lit(1_000_003)) < share[rows[lang_col]] * 1_000_003)
     got = picked.select(F.shiftrightunsigned(key, 1).alias("seed"), rows[lang_col].alias("lang"), rows[text_col].alias("text")) \
         .mapInArrow(_sample_bags, "seed bigint, lang string, words bigint, bucket array<int>, share array<float>") \

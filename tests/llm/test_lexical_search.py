@@ -1,0 +1,124 @@
+"""Operator 12 against SQL and brute force; blocks are really skipped, and only where exact bounds allow."""
+
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from claimlens.llm import lexical_search as ls
+from tests.llm.conftest import ODD, SF, make, same
+
+_TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(docs, items, k=10):
+    """[(doc_id, text)], [(item_id, text)] -> {(item_id, rank): (doc_id, score)} by plain counting."""
+    bags = [(d, _TERM.findall((t or "").translate(_LOWER))) for d, t in docs]
+    bags = [(d, b) for d, b in bags if b]
+    n_docs, length = len(bags), sum(len(b) for _, b in bags)
+    df = {}
+    for _, b in bags:
+        for t in set(b):
+            df[t] = df.get(t, 0) + 1
+    out = {}
+    for item, text in items:
+        found = []
+        for d, b in bags:
+            s = 0
+            for t in set(_TERM.findall((text or "").translate(_LOWER))) & set(b):
+                w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                tf = b.count(t)
+                s += w * ((10**9 * tf) // (1000 * tf + 8 * (10 + (90 * len(b) * n_docs) // length)))
+            if s > 0:
+                found.append((-s, d is None, d))
+        for r, (s, _, d) in enumerate(sorted(found, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1):
+            out[item, r] = (d, -s)
+    return out
+
+
+def got(df):
+    rows = df.collect()
+    out = {(r["item_id"], r["rank"]): (r["doc_id"], r["score"]) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def test_query_equals_sql(spark, duck):
+    same(ls.query(spark, SF), duck, ls.ORACLE)
+
+
+def _corpus(seed, n):
+    r = random.Random(seed)
+    common = [f"c{i}" for i in range(30)]
+    docs = []
+    for i in range(n):
+        topic = [f"t{i % 7}x{j}" for j in range(40)]
+        words = r.choices(common, k=r.randrange(1, 60)) + r.choices(topic, k=r.randrange(0, 25))
+        docs.append((i, " ".join(words)))
+    docs += [(n + i, docs[3][1]) for i in range(40)]  # a group of copies: ties beyond the k-th place
+    items = [(i, " ".join(r.choices(common, k=4) + [f"t{i % 7}x{j}" for j in r.sample(range(40), 6)])) for i in range(12)]
+    items += [(90, docs[3][1]), (91, "Nothing of THIS"), (92, None), (93, "c1"), (94, "C1 c1;c2 T3x4")]
+    return docs, items
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_equals_brute_force(spark, seed, monkeypatch):
+    docs, items = _corpus(seed, 400)
+    a, b = make(spark, docs).repartition(3), make(spark, items, "item_id int, text string")
+    want = brute(docs, items)
+    assert got(ls.search(a, b)) == want
+    assert got(ls.search(a, b, max_terms=30)) == want          # several blocks of queries
+    assert got(ls.search(a, b, k=3)) == brute(docs, items, 3)
+
+
+def test_blocks_are_skipped_and_nothing_is_lost(monkeypatch):
+    docs, items = _corpus(5, 1500)
+    queries = ls.Queries([(i, sorted(set(ls.terms_of((t or "").encode())))) for i, t in items])
+    n = np.array([len(ls.terms_of(t.encode())) for _, t in docs])
+    parts = [], [], []
+    for _, t in docs:
+        words = [queries.vocab[w] for w in ls.terms_of(t.encode()) if w in queries.vocab]
+        u, c = np.unique(np.array(words, np.int64), return_counts=True)
+        for p, v in zip(parts, ([len(u)], u, c)):
+            p.append(v)
+    sizes, terms, tfs = (np.concatenate(p) for p in parts)
+    df = np.bincount(terms, minlength=len(queries.vocab))
+    queries.weights = np.array([ls.weight(len(docs), d) for d in df])
+    monkeypatch.setattr(ls, "BLOCK_DOCS", 16)
+    chunk = ls.Chunk(np.arange(len(docs)), np.zeros(len(docs), bool), n, sizes.astype(int), terms, tfs, queries.weights, len(docs), int(n.sum()))
+    want = brute(docs, items)
+    for item, t in zip(queries.items, queries.terms):
+        best = ls.Best(10)
+        chunk.search(t, best)
+        mine = {(item, r): (int(d), int(s)) for r, (d, s) in enumerate(zip(best.ids, best.score), 1)}
+        assert mine == {k: v for k, v in want.items() if k[0] == item}
+    assert chunk.skipped > 100 and chunk.scored > 0
+    for t, b in chunk.blocks.items():
+        assert sorted(b.docs.tolist()) == chunk.list_docs[chunk.list_off[t]:chunk.list_off[t + 1]].tolist()  # a list's blocks are its documents
+        for i in range(len(b.start)):  # summaries are coordinatewise maxima
+            summary = dict(zip(b.term[b.start[i]:][:len(b.peak[b.start[i]:]) if i + 1 == len(b.start) else b.start[i + 1] - b.start[i]], b.peak[b.start[i]:]))
+            for d in b.docs[b.cut[i]:b.cut[i + 1]]:
+                for e in range(chunk.off[d], chunk.off[d + 1]):
+                    assert summary[chunk.term[e]] >= chunk.impact[e]
+            assert b.cut[i + 1] - b.cut[i] <= 16
+
+
+def test_odd_rows_empty_tables_and_clashing_columns(spark):
+    docs = make(spark, ODD).selectExpr("*", "'x' as n", "1 as terms", "2 as q", "3 as score", "4 as rank", "5 as row", "6 as item")
+    items = make(spark, [(1, "word one"), (2, "id XX漢字 é漢字"), (3, None), (4, ""), (5, "null id"), (1, "null")], "item_id int, text string").selectExpr("*", "'y' as row", "1 as terms")
+    want = brute(ODD, [(1, "word one"), (2, "id XX漢字 é漢字"), (5, "null id"), (1, "null")][:3])
+    rows = [r for r in ls.search(docs, items).collect() if r["item_id"] != 1 or r["doc_id"] is not None]
+    assert {(r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in rows} == {(i, r, d, s) for (i, r), (d, s) in want.items()}
+    assert ls.search(docs.limit(0), items).count() == 0 and ls.search(docs, items.limit(0)).count() == 0
+    assert ls.search(docs.where("doc_id < 4"), items).count() == 0
+
+
+def test_a_long_text_and_ties_beyond_the_last_place(spark):
+    docs = [(i, "same words here") for i in range(100, 0, -1)] + [(0, "other " * 50_000)]
+    rows = got(ls.search(make(spark, docs).repartition(8), make(spark, [(1, "same"), (2, "other here")], "item_id int, text string")))
+    assert [rows[1, r][0] for r in range(1, 11)] == list(range(1, 11))
+    assert rows == brute(docs, [(1, "same"), (2, "other here")])
+
