@@ -4,6 +4,16 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs. All stages but the last
 return the columns of ``documents``; what a stage drops or rewrites is gone for
 the stages after it.
+
+The language model of the first stage learns from all labelled rows it is given,
+also those that the query of operator 9 holds out: nothing is measured here.
+
+Defined results: a text that is null or has no letter has no known language and
+goes in the first stage; after it, a null or empty text would stay and have no
+tokens; rows with a null id stay, each; rows that repeat an id are judged by
+their texts, equal ones once; without labelled languages nothing is known and
+nothing stays; an empty table gives no rows; an empty benchmark removes none.
+Extra columns are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
