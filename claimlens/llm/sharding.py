@@ -89,14 +89,18 @@ def assign(rows: DataFrame, tree: Tree, key: str = "doc_id", out: str = "shard")
 def slots(rows: DataFrame, shard: str, order: list[str], out: str = "slot") -> DataFrame:
     """Rows of a written table numbered from 0 in each shard."""
     groups = max(1, -(-rows.count() // GROUP_ROWS))
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)))
-    sizes = dealt.groupBy(shard, "_group").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select(F.col(shard).alias("_shard"), F.col("_group").alias("_g"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy(shard, "_group").orderBy(*order))
-    numbered = dealt.withColumn("_k", within)
-    return numbered.join(first, (numbered[shard] == first["_shard"]) & (numbered["_group"] == first["_g"])) \
-        .withColumn(out, (F.col("_first") + F.col("_k") - 1).cast("bigint")).drop("_group", "_k", "_shard", "_g", "_first")
+    names, mark = ("group", "n", "shard", "g", "first", "k"), "_"
+    while any(mark + n in rows.columns for n in names):
+        mark += "_"  # no column of the caller is taken
+    group, n, its_shard, g, ahead, k = (mark + x for x in names)
+    dealt = rows.withColumn(group, F.pmod(F.xxhash64(*order), F.lit(groups)))
+    sizes = dealt.groupBy(shard, group).agg(F.count("*").alias(n))
+    before = Window.partitionBy(shard).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(F.col(shard).alias(its_shard), F.col(group).alias(g), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
+    within = F.row_number().over(Window.partitionBy(shard, group).orderBy(*order))
+    numbered = dealt.withColumn(k, within)
+    return numbered.join(first, (numbered[shard] == first[its_shard]) & (numbered[group] == first[g])) \
+        .withColumn(out, (F.col(ahead) + F.col(k) - 1).cast("bigint")).drop(group, k, its_shard, g, ahead)
 
 
 def write_shards(rows: DataFrame, tree: Tree, path: str, key: str = "doc_id") -> None:
