@@ -226,19 +226,19 @@ def bootstrap(found: DataFrame) -> DataFrame:
     edges = written(spots.select("instance", F.explode("patterns").alias("pattern")).distinct(), "edges")
     forms = written(spots.where("kind is null").select("instance", F.explode("fits").alias("kind")).distinct(), "forms")
     seeds = written(spots.where("kind is not null").select("instance", "kind").distinct(), "seeds")
-    found_so_far, entities = None, seeds
+    added, entities = None, seeds
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     while True:
         trusted = score_patterns(edges, entities).where((F.col("seeds") >= MIN_SEEDS) & (F.col("score") >= MIN_SCORE))
-        in_trusted = edges.join(trusted, "pattern").groupBy("instance", "kind").agg(F.count("*").alias("support"), F.max("score").alias("score"))
-        new = in_trusted.join(forms, ["instance", "kind"]).join(entities, "instance", "left_anti") \
-            .groupBy("instance").agg(F.max(F.struct("support", "score", (-order).alias("o"), "kind")).alias("best")) \
-            .select("instance", F.col("best.kind").alias("kind"), F.col("best.support").alias("support"))
+        held = edges.join(trusted, "pattern").groupBy("instance", "kind").agg(F.count("*").alias("support"), F.max("score").alias("score"))
+        new = held.join(forms, ["instance", "kind"]).join(entities, "instance", "left_anti") \
+            .groupBy("instance").agg(F.max(F.struct("support", "score", (-order).alias("o"), "kind")).alias("best")).select("instance", F.col("best.kind").alias("kind"))
         new = written(new, "entities")
-        if new.isEmpty():
-            return new if found_so_far is None else found_so_far
-        found_so_far = new if found_so_far is None else written(found_so_far.union(new), "entities")
-        entities = written(entities.union(new.select("instance", "kind")), "entities")
+        if new.isEmpty():  # support by the patterns trusted at last, also those that came after the entity
+            return new.withColumn("support", F.lit(0)) if added is None else written(
+                added.join(held, ["instance", "kind"], "left").select("instance", "kind", F.coalesce("support", F.lit(0)).alias("support")), "entities")
+        added = new if added is None else written(added.union(new), "entities")
+        entities = written(entities.union(new), "entities")
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,9 +248,12 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select("row", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.instance").alias("instance"))
     added = spots.join(bootstrap(found), "instance").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "support")).alias("added"))
     # of spans that overlap (a joined number, a word of it) the one in more trusted patterns stays, then the longest
-    order = lambda x: F.struct(x["support"], x["end"] - x["start"], -x["start"])
-    beats = lambda o, x: (o["start"] < x["end"]) & (x["start"] < o["end"]) & (order(o) > order(x))
-    kept = F.filter("added", lambda x: ~F.exists("added", lambda o: beats(o, x)))
+    ranked = F.reverse(F.array_sort(F.transform("added", lambda x: F.struct(
+        x["support"].cast("bigint").alias("support"), (x["end"] - x["start"]).alias("length"), (-x["start"]).alias("before"), x["kind"].alias("kind"),
+        x["start"].alias("start"), x["end"].alias("end")))))
+    none = F.array().cast("array<struct<support:bigint,length:bigint,before:bigint,kind:string,start:bigint,end:bigint>>")
+    kept = F.aggregate(ranked, none, lambda got, x: F.when(
+        F.exists(got, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"])), got).otherwise(F.concat(got, F.array(x))))
     added = added.select("row", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("added"))
     spans = F.transform(F.filter("found", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     return found.join(added, "row", "left").select(
