@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from claimlens.llm import textblocks as tb
 from claimlens.llm.graph import components
-from claimlens.llm.scratch import written
+from claimlens.llm.scratch import IdTable, written
 
 SHINGLE, NUM, DEN = 5, 4, 5  # words; similarity NUM / DEN
 #: Bits of the fixed tables (8 MB); shingles counted together; classes remembered by a task.
@@ -448,14 +448,44 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_link
         F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"), *more)
 
 
+def _with_class(at: int):
+    """Document rows with the class of their text (null without shingles) as one more column."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            c = []
+            for b in tb.blocks(batch.column(at)):
+                c += [class_id(s) if len(s) else None for _, s in shingle_sets(b)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c, pa.int64())], [*batch.schema.names, "c"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the smallest id of each component; rows with a null id stay."""
-    kept = written(join(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")), "kept")
-    ids = kept.distinct()
-    out = docs.join(ids, docs[id_col] == ids["_kept"], "left_semi")
-    if kept.count() > ids.count():  # rows that repeat an id: one of each stays
-        out = out.dropDuplicates([id_col])
-    return out.union(docs.where(docs[id_col].isNull()))
+    """One document of each component, its smallest id's; rows with a null id, and rows without shingles, stay.
+
+    Which rows go is decided by (id, class), so unlike texts of one id are
+    judged each. Only the texts of ids that lose a row are shuffled (and the few
+    others whose bit in a table of those ids is set); all others pass by.
+    """
+    of_row, links, _ = classes_and_links(docs, id_col, text_col)
+    rows = of_row.where("c is not null and key is not null").groupBy("key", "c").agg(F.count("*").alias("w"))
+    rows = rows.join(components(links).withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rows = written(rows, "rows")
+    best = rows.groupBy("root").agg(F.min(F.struct("key", "c")).alias("best"))
+    judged = written(rows.join(best, "root").select("key", "c", "w", (F.struct("key", "c") == F.col("best")).alias("stays")), "judged")
+    touched = judged.where("not stays or w > 1").select("key").distinct()
+    table = IdTable(touched, "key")
+    key = docs[id_col].cast("bigint")
+    aside = docs.where(key.isNotNull() & table.may_hold(key))
+    names = [f"_{i}" for i in range(len(docs.columns))]  # whatever the columns are called, c is the class
+    at, key_at = docs.columns.index(text_col), names[docs.columns.index(id_col)]
+    marked = aside.toDF(*names)
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+    marked = marked.mapInArrow(_with_class(at), schema + ", c bigint")
+    stays = judged.where("stays").select(F.col("key").alias("k"), F.col("c").alias("kc"))
+    one = marked.join(stays, (marked[key_at].cast("bigint") == stays["k"]) & (marked["c"] == stays["kc"]), "left_semi").dropDuplicates([key_at, "c"])
+    back = marked.where("c is null").unionByName(one).drop("c").toDF(*docs.columns)
+    return docs.where(key.isNull() | ~table.may_hold(key)).union(back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.llm.scratch import written
+from claimlens.llm.scratch import IdTable, written
 
 CONTEXT = 60
 #: Bound of the labelled findings that train the forest, and its size.
@@ -151,17 +151,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """The documents with their secrets replaced; a document without one is unchanged."""
     judged = scan(docs, id_col, text_col, path_col)
-    secrets = judged.where("secret").select(F.col(id_col).alias("_key"), "candidate").distinct() \
-        .groupBy("_key").agg(F.array_sort(F.collect_list("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))
-    joined = docs.join(secrets, docs[id_col].eqNullSafe(secrets["_key"]), "left")
+    secrets = written(judged.where("secret").select(F.col(id_col).alias("k"), "candidate").distinct().groupBy("k").agg(
+        F.array_sort(F.collect_list("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("secrets")), "secrets")
+    # only documents with a secret are joined; the others pass by, unshuffled
+    table = IdTable(secrets, "k")
+    hit = table.may_hold(docs[id_col])
+    names = [f"_{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    at, text = names[docs.columns.index(id_col)], F.col(names[docs.columns.index(text_col)])
+    few = docs.where(hit).toDF(*names)
+    joined = few.join(secrets, few[at].eqNullSafe(secrets["k"]), "left")
     # whole strings only: a short secret may be a part of other words
     whole = lambda s: F.concat(
         F.when(s.rlike(r"^[A-Za-z0-9+/_\-]"), r"(?<![A-Za-z0-9+/_\-])").otherwise(""), F.lit(r"\Q"),
         F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"),
         F.when(s.rlike(r"[A-Za-z0-9+/_\-]$"), r"(?![A-Za-z0-9+/_\-])").otherwise(""))
-    clean = F.when(F.col("_secrets").isNull(), F.col(text_col)).otherwise(
-        F.aggregate("_secrets", F.col(text_col), lambda t, s: F.regexp_replace(t, whole(s), F.lit(REDACTED))))
-    return joined.withColumn(text_col, clean).drop("_key", "_secrets").select(*docs.columns)
+    clean = F.when(F.col("secrets").isNull(), text).otherwise(
+        F.aggregate("secrets", text, lambda t, s: F.regexp_replace(t, whole(s), F.lit(REDACTED))))
+    redacted = joined.select(*[clean.alias(n) if docs.columns[i] == text_col else F.col(n) for i, n in enumerate(names)])
+    return docs.where(~hit).union(redacted.toDF(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

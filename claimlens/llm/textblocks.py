@@ -19,9 +19,7 @@ BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_BASE = int(_rng.integers(2**40, 2**62)) | 1
-_BASE_INV = pow(_BASE, -1, 2**64)
+_LANE = _U(int(_rng.integers(2**40, 2**62)) | 1)
 _GRAM = [_U(int(x) | 1) for x in _rng.integers(2**40, 2**62, 64)]
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -33,24 +31,6 @@ ALNUM = np.zeros(256, bool)         # words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of l
 ALNUM[48:58] = ALNUM[97:123] = True
 ALNUM[128:] = True
 
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse for i < n (wrapping arithmetic)."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POW:
-        _POW.clear()
-        out = []
-        for b in (_BASE, _BASE_INV):
-            p = np.full(size, b, _U)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=_U))
-        _POW[size] = (out[0], out[1])
-    f, g = _POW[size]
-    return f[:n], g[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> _U(30))
@@ -124,11 +104,26 @@ def words(b: Block, kind: np.ndarray) -> Words:
     last = b.off[1:][b.off[1:] > 0] - 1
     ends[last] = inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    f, g = _powers(n + 1)
-    acc = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE[low] * f[:n], dtype=_U, out=acc[1:])
-    h = mix((acc[end] - acc[start]) * g[start] + (end - start).astype(_U) * _GRAM[63])
-    return Words(start, end, h, np.searchsorted(start, b.off, "left"))
+    return Words(start, end, _hashes(low, start, end), np.searchsorted(start, b.off, "left"))
+
+
+def _hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans: every 8-byte lane is mixed with its place before the lanes of a span are added up."""
+    if not len(start):
+        return np.zeros(0, _U)
+    padded = np.zeros(len(low) + 8, np.uint8)
+    padded[:len(low)] = low
+    windows = np.ndarray(len(low), np.dtype("<u8"), buffer=padded, strides=(1,))  # 8 bytes from every byte on
+    length = end - start
+    lanes = (length + 7) >> 3
+    k = spread(lanes)
+    rest = np.repeat(length, lanes) - 8 * k  # bytes of the span from this lane on
+    lane = windows[np.repeat(start, lanes) + 8 * k]
+    short = rest < 8
+    lane[short] &= (_U(1) << (rest[short].astype(_U) * _U(8))) - _U(1)
+    lane = mix(mix(lane + _U(1)) + _LANE * (k + 1).astype(_U))
+    total = np.add.reduceat(lane, np.cumsum(lanes) - lanes)
+    return mix(total + length.astype(_U) * _GRAM[63])
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
