@@ -31,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.llm.scratch import worker_cache
+
 MAX_RANKS_BYTES = 64 << 20
 #: Entries that a worker's caches hold; text characters encoded together.
-CACHE_PIECES, CACHE_PAIRS, PORTION_CHARS = 300_000, 400_000, 2 << 20
+CACHE_PIECES, CACHE_PAIRS, PORTION_CHARS = 200_000, 400_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -189,6 +191,7 @@ class PrefixTable:
 
 
 _ENCODERS: dict[int, Encoder] = {}
+worker_cache(_ENCODERS)
 
 
 def _encoder(model) -> Encoder:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm import textblocks as tb
+from claimlens.llm.scratch import drop_worker_caches
 
 BITS, DIM, SIZES = 18, 16, (2, 3, 4)
 #: Many more buckets than subwords of the learned languages, so that unknown subwords seldom fall on known ones.
@@ -248,6 +249,7 @@ def keep_known(docs: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         model = shared.value
         for batch in it:
             keep = [np.zeros(0, bool)]
