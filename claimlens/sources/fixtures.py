@@ -106,11 +106,15 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fact_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_linestatus")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return li, read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+
+
+def _fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, orders = _fact_sides(spark, sf_dir)
     # orders grows with the data: a shuffle (sort-merge) join, AQE may re-plan.
     return li.join(orders, li.l_orderkey == orders.o_orderkey)
 
@@ -168,12 +172,13 @@ def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     with two description variants, so that the load's one-row-per-key pick is
     exercised. Missing values are '' as in the CSV.
     """
-    facts = _fact_rows(spark, sf_dir)
+    li, orders = _fact_sides(spark, sf_dir)
     cg = _customer_geo(spark, sf_dir)
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    rows = (facts
-            .join(cg, facts.o_custkey == cg.c_custkey)
-            .join(part, facts.l_partkey == part.p_partkey))
+    # the provider's wide columns join the orders, so that they are shuffled once an order, not once a line;
+    # a line crosses the shuffles with its own columns and its code's
+    rows = (li.join(part, li.l_partkey == part.p_partkey)
+            .join(orders.join(cg, orders.o_custkey == cg.c_custkey), li.l_orderkey == orders.o_orderkey))
     fc = _fact_columns()
     pc = _provider_columns("c_custkey", raw_blank=True)
     k = F.col("c_custkey")

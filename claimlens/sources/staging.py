@@ -99,11 +99,15 @@ def read_staging(spark: SparkSession, path: str | list[str], multi_line: bool |
     return checked(read_raw(spark, path, multi_line))
 
 
-def write_staging(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a staging frame as the extract CSV (quoted "" stays apart from NULL)."""
+def write_staging(df: DataFrame, path: str, mode: str = "overwrite", lines_per_file: int = 0, compression: str = "none") -> None:
+    """Write a staging frame as the extract CSV (quoted "" stays apart from NULL).
+
+    ``lines_per_file`` bounds a file's lines whatever the partitions; a compressed
+    file is read unsplit, so a compressed extract needs that bound.
+    """
     from claimlens.sources.sinks import CSV_WRITE
 
-    df.write.mode(mode).options(**CSV_WRITE).csv(path)
+    df.write.mode(mode).options(**CSV_WRITE, maxRecordsPerFile=str(lines_per_file), compression=compression).csv(path)
 
 
 def staging_row_count(stg: DataFrame) -> DataFrame:

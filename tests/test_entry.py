@@ -78,3 +78,23 @@ def test_query_matches_oracle_sf0001(spark, duck, name):
     assert sorted(sdf.columns) == sorted(ocols)
     assert len(srows) == len(orows)
     assert _canon(sdf.columns, srows) == _canon(ocols, orows)
+
+
+def test_extract_of_a_large_table_is_cut_in_files_without_a_shuffle_of_its_lines(spark, monkeypatch):
+    import gzip
+    import pathlib
+
+    from claimlens.sources import fixtures, staging
+    from tests.conftest import assert_same
+
+    monkeypatch.setattr(entry, "EXTRACT_LINES", 300)  # 6,000 lines: a large table
+    shuffled = []
+    write = staging.write_staging
+    monkeypatch.setattr(staging, "write_staging", lambda df, *a, **k: (shuffled.append("RoundRobin" in df._jdf.queryExecution().toString()), write(df, *a, **k)))
+    path = entry._extract(spark, SF001)
+    files = sorted(pathlib.Path(path.removeprefix("file:")).glob("part-*"))
+    lines = [len(gzip.open(f).read().splitlines()) - 1 for f in files]
+    assert shuffled == [False] and len(files) >= 20 and max(lines) <= 300
+    want = fixtures.staging(spark, SF001)
+    assert sum(lines) == want.count()
+    assert_same(staging.read_staging(spark, path), want)
