@@ -98,3 +98,19 @@ def test_extract_of_a_large_table_is_cut_in_files_without_a_shuffle_of_its_lines
     want = fixtures.staging(spark, SF001)
     assert sum(lines) == want.count()
     assert_same(staging.read_staging(spark, path), want)
+
+
+def test_stream_loads_a_large_extract_in_as_many_batches_as_a_small_one(spark, monkeypatch):
+    from claimlens.streaming import ingest
+    from tests.conftest import assert_same
+
+    seen = []
+    load = ingest.load_batch
+    monkeypatch.setattr(ingest, "load_batch", lambda *a, **k: (seen.append(a[1]), load(*a, **k))[1])
+    small = entry.queries()["ingest_stream_utilization"](spark, SF001)
+    assert len(seen) == 4
+    seen.clear()
+    monkeypatch.setattr(entry, "EXTRACT_LINES", 200)  # 30 files or more
+    large = entry.queries()["ingest_stream_utilization"](spark, SF001)
+    assert len(seen) == 4
+    assert_same(large, small)
