@@ -145,3 +145,24 @@ def test_odd_rows_empty_tables_and_clashing_columns(spark):
 def test_the_split_is_by_id(spark):
     ids = spark.range(50).select(F.col("id"), lm.remainder(F.col("id")).alias("r")).collect()
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % 7 for r in ids)
+
+
+def test_class_bigrams_count_every_neighbour(spark, monkeypatch):
+    """Words outside the core, and outside the table that all tasks get, next to each other too."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["the", "of", f"w{r.randrange(60)}", f"w{r.randrange(60)}"]) for _ in range(r.randrange(1, 30)))) for i in range(200)]
+    monkeypatch.setattr(lm, "SHARED", 40)
+    model = lm.fit(make(spark, rows).repartition(3), n_classes=4, core=20)
+    of = {bytes(x["word"]): (x["n"], x["cls"]) for x in model.words.collect()}
+    few = {w for w, (n, _) in of.items() if n * 40 < model.total}
+    pairs = Counter()
+    for _, t in rows:
+        toks = [b"", *lm.tokens(t.encode())]
+        pairs.update(zip(toks, toks[1:]))
+    assert sum(n for (a, b), n in pairs.items() if a in few and b in few) > 100
+    m, totals = np.zeros((4, 4)), np.zeros(4)
+    for (a, b), n in pairs.items():
+        m[of[a][1], of[b][1]] += n
+    for n, c in of.values():
+        totals[c] += n
+    assert np.allclose(model.steps, lm.transitions(m, totals, sum(n == 1 for n, _ in of.values()), model.total, model.size))
