@@ -12,25 +12,28 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Measure columns carried by every fact-like frame.
 SUM_COLS = ["srv", "benes", "pay", "alw", "sub", "std"]
 
 
+def measure_columns() -> dict[str, Column]:
+    s = F.col("tot_srvcs")
+    return {
+        "srv": s,
+        "benes": F.col("tot_benes"),
+        "pay": F.col("avg_medicare_payment") * s,
+        "alw": F.col("avg_medicare_allowed") * s,
+        "sub": F.col("avg_submitted_charge") * s,
+        "std": F.col("avg_medicare_standardized") * s,
+    }
+
+
 def measures(util: DataFrame) -> DataFrame:
     """Project facts to keys + additive measures (money totals = avg x services)."""
-    s = F.col("tot_srvcs")
-    return util.select(
-        "npi", "hcpcs_cd",
-        s.alias("srv"),
-        F.col("tot_benes").alias("benes"),
-        (F.col("avg_medicare_payment") * s).alias("pay"),
-        (F.col("avg_medicare_allowed") * s).alias("alw"),
-        (F.col("avg_submitted_charge") * s).alias("sub"),
-        (F.col("avg_medicare_standardized") * s).alias("std"),
-    )
+    return util.select("npi", "hcpcs_cd", *[c.alias(n) for n, c in measure_columns().items()])
 
 
 def fact_pairs(util: DataFrame) -> DataFrame:
@@ -52,6 +55,15 @@ def roll_up(util: DataFrame, key: str, pairs: DataFrame | None = None) -> DataFr
     return joined.select(key, *SUM_COLS, F.coalesce("n_other", F.lit(0)).alias("n_other"))
 
 
+def roll_up_marked(util: DataFrame, key: str, first: str) -> DataFrame:
+    """:func:`roll_up` of facts whose boolean column ``first`` is true on one row of each distinct pair:
+    sums and the count in one aggregate, without the pairs and without a join."""
+    other = "hcpcs_cd" if key == "npi" else "npi"
+    n_other = F.count(F.when(F.col(first) & F.col(other).isNotNull(), 1)).alias("n_other")
+    marked = util.select(key, *[c.alias(n) for n, c in measure_columns().items()], first, other)
+    return marked.groupBy(key).agg(*[F.sum(c).alias(c) for c in SUM_COLS], n_other)
+
+
 def specialty_codes(util: DataFrame, providers: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Distinct (specialty, hcpcs_cd); pairs are reduced before they meet the providers."""
     pairs = fact_pairs(util) if pairs is None else pairs

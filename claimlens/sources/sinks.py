@@ -7,7 +7,9 @@ that a reader sees, and no table of an older load is ever mixed in.
 
 * ``utilization`` is range-partitioned and sorted by ``(npi, hcpcs_cd)``, so
   parquet row-group statistics prune ``npi`` ranges and a hot provider is
-  spread over several files; Spark sizes the partitions;
+  spread over several files; Spark sizes the partitions. With roll-ups a column
+  more, ``_first``, marks one row of each distinct (npi, hcpcs_cd): the roll-ups
+  count pairs by it. Readers name their columns and do not see it;
 * the roll-ups (per npi, per code, specialty x code) are written beside it.
 """
 
@@ -17,11 +19,11 @@ import json
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.plans.base import SUM_COLS, Star, fact_pairs, roll_up, specialty_codes, specialty_profile
+from claimlens.plans.base import SUM_COLS, Star, fact_pairs, roll_up, roll_up_marked, specialty_codes, specialty_profile
 from claimlens.plans.materialize import reliable
 from claimlens.schema import CODES_SCHEMA, PROVIDERS_SCHEMA, UTILIZATION_SCHEMA
 from claimlens.sources import versions
@@ -38,6 +40,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 MANIFEST = "_manifest.json"
+#: Column of written facts: true on one row of each distinct (npi, hcpcs_cd).
+FIRST = "_first"
 
 
 def export_summary(df: DataFrame, path: str, fmt: str = "csv", order_by: list[Column] | None = None,
@@ -128,23 +132,36 @@ def write_version(star: Star, root: str, with_rollups: bool = True) -> str:
     # range partitions on (npi, code): files hold disjoint npi ranges (tight
     # row-group statistics) and a provider on a third of all rows is split
     # across files by code; no count is named, so AQE sizes the files
-    (conform(star.utilization, UTILIZATION_SCHEMA).repartitionByRange("npi", "hcpcs_cd").sortWithinPartitions("npi", "hcpcs_cd")
-        .write.parquet(f"{at}/utilization"))
+    facts = conform(star.utilization, UTILIZATION_SCHEMA).repartitionByRange("npi", "hcpcs_cd").sortWithinPartitions("npi", "hcpcs_cd")
     if with_rollups:
-        write_rollups(read_star(spark, root, version=version), root, version)
+        # a pair's rows are side by side in one range partition, so the window adds neither a shuffle nor a sort
+        pair = Window.partitionBy("npi", "hcpcs_cd").orderBy("npi", "hcpcs_cd")
+        facts = facts.withColumn(FIRST, F.row_number().over(pair) == 1)
+    facts.write.parquet(f"{at}/utilization")
+    if with_rollups:
+        star = read_star(spark, root, version=version)
+        marked = spark.read.schema(T.StructType([*UTILIZATION_SCHEMA.fields, T.StructField(FIRST, T.BooleanType())])).parquet(f"{at}/utilization")
+        pairs = marked.where(FIRST).select("npi", "hcpcs_cd")
+        _write_rollups(roll_up_marked(marked, "npi", FIRST), roll_up_marked(marked, "hcpcs_cd", FIRST),
+                       specialty_codes(marked, star.providers, pairs), star.providers, root, version)
     return version
 
 
 def write_rollups(star: Star, root: str, version: str) -> str:
     """Write the roll-ups of a version's tables beside them; the distinct pairs are found once for all three."""
     pairs = reliable(fact_pairs(star.utilization))
-    for name, df in (("by_npi", roll_up(star.utilization, "npi", pairs)), ("by_code", roll_up(star.utilization, "hcpcs_cd", pairs)),
-                     ("by_specialty_code", specialty_codes(star.utilization, star.providers, pairs))):
-        conform(df, ROLLUP_SCHEMAS[name]).write.parquet(f"{root.rstrip('/')}/versions/{version}/{name}")
-    conform(specialty_profile(star.providers), PROFILE_SCHEMA).write.parquet(f"{root.rstrip('/')}/versions/{version}/_profile")
+    _write_rollups(roll_up(star.utilization, "npi", pairs), roll_up(star.utilization, "hcpcs_cd", pairs),
+                   specialty_codes(star.utilization, star.providers, pairs), star.providers, root, version)
     return version
 
 
+def _write_rollups(by_npi: DataFrame, by_code: DataFrame, by_specialty_code: DataFrame, providers: DataFrame, root: str, version: str) -> None:
+    at = f"{root.rstrip('/')}/versions/{version}"
+    for name, df in (("by_npi", by_npi), ("by_code", by_code), ("by_specialty_code", by_specialty_code)):
+        conform(df, ROLLUP_SCHEMAS[name]).write.parquet(f"{at}/{name}")
+    conform(specialty_profile(providers), PROFILE_SCHEMA).write.parquet(f"{at}/_profile")
+
+
 def write_codes(codes: DataFrame, root: str, version: str) -> None:
     """Write the code table of an unpublished version anew."""
     conform(codes, CODES_SCHEMA).write.mode("overwrite").parquet(f"{root.rstrip('/')}/versions/{version}/hcpcs_codes")
