@@ -61,6 +61,21 @@ def merge_by_rank(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def last_merge(data: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
+    """The two tokens whose merge ends the plain BPE of a token's bytes; None if it does not end in this token."""
+    parts = [data[i:i + 1] for i in range(len(data))]
+    while len(parts) > 2:
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            r = ranks.get(parts[i] + parts[i + 1])
+            if r is not None and (best is None or r < best):
+                best, at = r, i
+        if best is None:
+            return None
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return (ranks[parts[0]], ranks[parts[1]])
+
+
 #: Letters, digits and white space below U+0100, fixed by Unicode.
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \x85\xa0"
 
@@ -88,6 +103,11 @@ class Encoder:
         for token, r in ranks.items():
             self.bytes_of[r] = token
         self.longest = max(map(len, ranks))
+        self.reach: dict[bytes, int] = {}  # by its last three bytes: length of the longest such token
+        for token in ranks:
+            if len(token) > self.reach.get(token[-3:], 2):
+                self.reach[token[-3:]] = len(token)
+        self.splits: dict[int, tuple[int, int] | None] = {}
         self.pattern, self.narrow = _splitters(pattern)
         self.pairs: dict[int, bool] = {}  # by left * 2**24 + right: smaller than a tuple
         self.pieces: dict[str, bytes] = {}
@@ -96,22 +116,56 @@ class Encoder:
         """Whether ``right`` can follow ``left`` (or, with left -1, can begin a piece)."""
         got = self.pairs.get((left << 24) + right)
         if got is None:
-            before = self.bytes_of[left] if left >= 0 else b""
-            got = merge_by_rank(before + self.bytes_of[right], self.ranks) == ([left] if left >= 0 else []) + [right]
+            got = self._fits(left, right)
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             self.pairs[(left << 24) + right] = got
         return got
 
+    def _split(self, token: int) -> tuple[int, int] | None:
+        """The tokens that ``token`` is merged from last: itself twice for a byte, None if merges in rising order do not make it."""
+        if token not in self.splits:
+            data = self.bytes_of[token]
+            got = last_merge(data, self.ranks) if len(data) > 1 else (token, token)
+            for part in got or ():
+                if len(self.bytes_of[part]) > 1 and (part > token or self._split(part) is None):
+                    got = None
+            self.splits[token] = got
+        return self.splits[token]
+
+    def _fits(self, left: int, right: int) -> bool:
+        """Both are taken apart, the latest merge first: no merge across their border may come before one inside.
+
+        Of equal ranks the leftmost merges first, so right's merges lose against an equal one at the border.
+        Tokens that are not made by merges in rising order are merged from bytes."""
+        if self._split(right) is None or left >= 0 and self._split(left) is None:
+            before = self.bytes_of[left] if left >= 0 else b""
+            return merge_by_rank(before + self.bytes_of[right], self.ranks) == ([left] if left >= 0 else []) + [right]
+        if left < 0:
+            return True
+        limit, bytes_of, rank = 1 << 32, self.bytes_of, self.ranks.get
+        while True:
+            across = rank(bytes_of[left] + bytes_of[right])
+            if across is not None and across < limit:
+                return False
+            a, b = (-1 if len(bytes_of[t]) == 1 else t for t in (left, right))
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                limit, left = left, self._split(left)[1]
+            else:
+                limit, right = right + 1, self._split(right)[0]
+
     def extend(self, data: bytes, last: list[int]) -> None:
         """Add the entries of data's prefixes that ``last`` does not hold yet."""
-        ranks, pairs, longest = self.ranks, self.pairs, self.longest
+        rank, known, reach = self.ranks.get, self.pairs.get, self.reach.get
         for i in range(len(last), len(data) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                t = ranks.get(data[j:i])
+            n = reach(data[i - 3:i], 2) if i > 2 else i
+            for j in range(i - n if i > n else 0, i):
+                t = rank(data[j:i])
                 if t is not None:
                     left = last[j]
-                    ok = pairs.get((left << 24) + t)
+                    ok = known((left << 24) + t)
                     if ok or ok is None and self.fits(left, t):
                         last.append(t)
                         break

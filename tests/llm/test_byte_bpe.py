@@ -75,3 +75,29 @@ def test_query_digests(spark):
     for r in m.query(spark, SF).collect():
         assert r.ids_sha256 == hashlib.sha256(want(texts[r.doc_id])).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_neighbours_are_judged_without_merging_their_bytes(monkeypatch):
+    """op2's time: a pair of tokens is taken apart merge by merge; the answers are those of plain merging."""
+    ranks = m.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    enc, plain = m.Encoder(ranks, P.PATTERN), m.merge_by_rank
+    tokens, rnd = sorted(ranks.values()), random.Random(3)
+    few = [t for t in tokens if len(set(enc.bytes_of[t])) == 1 and len(enc.bytes_of[t]) < 5][:60]  # equal ranks at the border
+    pairs = [(a, b) for a in few for b in few] + [(rnd.choice(tokens), rnd.choice(tokens)) for _ in range(3000)] + [(-1, t) for t in tokens[::50]]
+    want = [plain((enc.bytes_of[a] if a >= 0 else b"") + enc.bytes_of[b], ranks) == ([a] if a >= 0 else []) + [b] for a, b in pairs]
+    monkeypatch.setattr(m, "merge_by_rank", lambda *a: pytest.fail("bytes of a pair were merged anew"))
+    assert [enc.fits(a, b) for a, b in pairs] == want
+    assert True in want and False in want
+    monkeypatch.undo()
+    # ranks in any order, also of tokens that no merge or only a later one makes
+    for k in range(30):
+        some = sorted({bytes(rnd.choices(b"abc", k=rnd.randint(2, 5))) for _ in range(12)})
+        rnd.shuffle(some)
+        odd = m.Encoder({**{bytes([i]): i for i in range(256)}, **{x: 256 + i for i, x in enumerate(some)}}, P.PATTERN)
+        every = [97, 98, 99, *range(256, 256 + len(some))]
+        for a in [-1, *every]:
+            for b in every:
+                alone = [a] if a >= 0 else []
+                assert odd.fits(a, b) == (plain(b"".join(odd.bytes_of[t] for t in [*alone, b]), odd.ranks) == [*alone, b])
+    words = ["", "abcabc" * 30, "zz" * 70, "é中" * 9] + ["".join(rnd.choices("aeth nr", k=20)) for _ in range(50)]
+    assert enc.packed(words) == [b"".join(t.to_bytes(4, "little") for p in enc.split(w) for t in plain(p.encode(), ranks)) for w in words]
