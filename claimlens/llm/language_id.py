@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,20 +169,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     picked = rows.where(F.pmod(key, F.lit(1_000_003)) < share[rows[lang_col]] * 1_000_003)
     got = picked.select(F.shiftrightunsigned(key, 1).alias("seed"), rows[lang_col].alias("lang"), rows[text_col].alias("text")) \
         .mapInArrow(_sample_bags, "seed bigint, lang string, words bigint, bucket array<int>, share array<float>") \
-        .toArrow().combine_chunks()
+        .toArrow()
     if not got.num_rows:
         return Model([], np.zeros((BUCKETS + 1, 1), np.float32), 0.0)
-    got = got.sort_by([("seed", "ascending"), ("lang", "ascending"), ("words", "ascending")]).combine_chunks()
-    names, seed = got["lang"].to_pylist(), got["seed"].to_numpy()
+    # only the small columns are sorted; the bags stay slices of the batches as they came
+    keys = got.select(["seed", "lang", "words"])
+    order = pc.sort_indices(keys, sort_keys=[("seed", "ascending"), ("lang", "ascending"), ("words", "ascending")])
+    keys = keys.take(order)
+    names, seed = keys["lang"].to_pylist(), keys["seed"].to_numpy()
     langs = sorted(set(names))
-    y = np.array([langs.index(x) for x in names])
-    # the bags stay slices of the two flat columns
-    flat = [got[c].chunk(0) for c in ("bucket", "share")]
-    off = flat[0].offsets.to_numpy()
-    bucket, share = (c.values.to_numpy() for c in flat)
-    bags = [(bucket[a:z], share[a:z]) for a, z in zip(off[:-1], off[1:])]
+    place = {x: i for i, x in enumerate(langs)}
+    y = np.array([place[x] for x in names])
+    bags = _slices(got)
+    bags = [bags[i] for i in order.to_numpy()]
     last = np.append(seed[1:] != seed[:-1], True)  # the whole text is the longest part of its row
-    return train(langs, bags, y, (seed // 8) % 5 == 0, last)
+    model = train(langs, bags, y, (seed // 8) % 5 == 0, last)
+    del got, keys, bags
+    pa.default_memory_pool().release_unused()  # the driver lives on: the sample's memory goes back
+    return model
+
+
+def _slices(got: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, shares) of each row, without a copy."""
+    out = []
+    for b in got.to_batches():
+        bucket, share = b.column("bucket"), b.column("share")
+        off, at = bucket.offsets.to_numpy(), share.offsets.to_numpy()
+        bucket, share = bucket.values.to_numpy(), share.values.to_numpy()
+        out += [(bucket[a:z], share[c:e]) for a, z, c, e in zip(off[:-1], off[1:], at[:-1], at[1:])]
+    return out
 
 
 def _has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -184,3 +184,19 @@ def test_secrets_one_kind_and_empty(spark):
 def test_secret_scan_has_no_python_on_its_path(spark):
     plan = secret_scan.query(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_language_sample_is_sliced_where_it_lies():
+    """Pipeline's driver memory: the bags are slices of the batches they came in, whatever their offsets."""
+    import numpy as np
+    import pyarrow as pa
+
+    from claimlens.llm import language_id
+
+    rows = [([3, 1], [0.5, 0.25]), ([], []), ([7], [1.0]), ([2, 2, 9], [0.1, 0.2, 0.7])]
+    whole = pa.table({"bucket": pa.array([b for b, _ in rows], pa.list_(pa.int32())), "share": pa.array([s for _, s in rows], pa.list_(pa.float32()))})
+    parts = pa.Table.from_batches([*whole.slice(0, 2).to_batches(), *whole.slice(2).to_batches()])
+    got = language_id._slices(parts)
+    assert [b.tolist() for b, _ in got] == [b for b, _ in rows]
+    assert all(np.allclose(s, w) for (_, s), (_, w) in zip(got, rows))
+    assert all(not x.flags.owndata for pair in got for x in pair)
