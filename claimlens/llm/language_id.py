@@ -18,6 +18,7 @@ held out. Extra columns are ignored (``predict``) or kept (``keep_known``).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,9 +85,9 @@ def bag(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample_bags(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, lang, text) -> bags of the whole text and of short spans."""
+    """(seed, lang, text) -> bags of the whole text and of short spans, each deflated: steps from bucket to bucket, then shares."""
     for batch in it:
-        rows = {"seed": [], "lang": [], "words": [], "bucket": [], "share": []}
+        rows = {"seed": [], "lang": [], "words": [], "size": [], "bag": []}
         for b in tb.blocks(batch.column(2)):
             for i in range(b.hi - b.lo):
                 low = _LETTER[b.data[b.off[i]:b.off[i + 1]]]
@@ -101,9 +102,10 @@ def _sample_bags(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         parts.append((n, low[begin[at]:begin[at + n]]))
                 for n, part in parts:
                     bucket, share = bag(part)
-                    for k, v in zip(rows, (seed, batch.column(1)[b.lo + i].as_py(), n, bucket.astype(np.int32), share.astype(np.float32))):
+                    packed = zlib.compress(np.diff(bucket, prepend=0).astype(np.int32).tobytes() + share.astype(np.float32).tobytes(), 1)
+                    for k, v in zip(rows, (seed, batch.column(1)[b.lo + i].as_py(), n, len(bucket), packed)):
                         rows[k].append(v)
-        types = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], list(rows))
 
 
@@ -168,11 +170,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
     picked = rows.where(F.pmod(key, F.lit(1_000_003)) < share[rows[lang_col]] * 1_000_003)
     got = picked.select(F.shiftrightunsigned(key, 1).alias("seed"), rows[lang_col].alias("lang"), rows[text_col].alias("text")) \
-        .mapInArrow(_sample_bags, "seed bigint, lang string, words bigint, bucket array<int>, share array<float>") \
+        .mapInArrow(_sample_bags, "seed bigint, lang string, words bigint, size bigint, bag binary") \
         .toArrow()
     if not got.num_rows:
         return Model([], np.zeros((BUCKETS + 1, 1), np.float32), 0.0)
-    # only the small columns are sorted; the bags stay slices of the batches as they came
+    # only the small columns are sorted; the bags stay in the order they came
     keys = got.select(["seed", "lang", "words"])
     order = pc.sort_indices(keys, sort_keys=[("seed", "ascending"), ("lang", "ascending"), ("words", "ascending")])
     keys = keys.take(order)
@@ -180,7 +182,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     langs = sorted(set(names))
     place = {x: i for i, x in enumerate(langs)}
     y = np.array([place[x] for x in names])
-    bags = _slices(got)
+    bags = _slices(_inflated(got))
     bags = [bags[i] for i in order.to_numpy()]
     last = np.append(seed[1:] != seed[:-1], True)  # the whole text is the longest part of its row
     model = train(langs, bags, y, (seed // 8) % 5 == 0, last)
@@ -189,6 +191,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return model
 
 
+def _inflated(got: pa.Table) -> pa.Table:
+    """Lists bucket and share of the deflated bags."""
+    size = got["size"].to_numpy()
+    end = np.cumsum(size)
+    bucket, share = np.empty(size.sum(), np.int32), np.empty(size.sum(), np.float32)
+    for packed, a, z in zip(got["bag"], end - size, end):
+        raw = zlib.decompress(packed.as_py())
+        bucket[a:z] = np.cumsum(np.frombuffer(raw, np.int32, z - a))
+        share[a:z] = np.frombuffer(raw, np.float32, z - a, 4 * (z - a))
+    off = pa.array(np.append(0, end))
+    return pa.table({"bucket": pa.LargeListArray.from_arrays(off, pa.array(bucket)), "share": pa.LargeListArray.from_arrays(off, pa.array(share))})
+
+
 def _slices(got: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, shares) of each row, without a copy."""
     out = []

@@ -32,6 +32,7 @@ Extra columns are ignored (``join``) or kept (``keep_one``).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,8 +147,8 @@ def _class_mark(c: np.ndarray, rep: np.ndarray) -> np.ndarray:
     return tb.mix(c.view(np.uint64) ^ tb.mix(rep.view(np.uint64)))
 
 
-def bit_table(rows: DataFrame) -> np.ndarray:
-    """Bits set at the hashes of the rows (one column: the hash; two: class and its id). 8 MB, whatever the rows."""
+def bit_chunks(rows: DataFrame) -> DataFrame:
+    """(chunk, bits) of the bit table: 4 kB of it each, deflated, as most are nearly empty."""
     two = len(rows.columns) == 2
 
     def slots(it):
@@ -162,14 +163,25 @@ def bit_table(rows: DataFrame) -> np.ndarray:
             for bits in b.column(1):
                 byte = np.zeros(32768, np.uint8)
                 byte[bits.values.to_numpy()] = 1
-                out.append(np.packbits(byte).tobytes())
+                out.append(zlib.compress(np.packbits(byte).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["chunk", "bits"])
 
-    chunks = rows.mapInArrow(slots, "chunk bigint, bit bigint").groupBy("chunk").agg(F.collect_set("bit").alias("bits")) \
-        .mapInArrow(pack, "chunk bigint, bits binary").collect()
+    return rows.mapInArrow(slots, "chunk bigint, bit bigint").groupBy("chunk").agg(F.collect_set("bit").alias("bits")) \
+        .mapInArrow(pack, "chunk bigint, bits binary")
+
+
+def bit_table(rows: DataFrame) -> np.ndarray:
+    """Bits set at the hashes of the rows (one column: the hash; two: class and its id). 8 MB, whatever the rows.
+
+    Its chunks come as deflated Arrow batches: as plain rows they would pass the
+    driver's JVM several times over, 8 MB each, also where few bits are set.
+    """
+    chunks = bit_chunks(rows).toArrow()
     table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-    for r in chunks:
-        table[r["chunk"] * 4096:(r["chunk"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    for chunk, bits in zip(chunks["chunk"].to_pylist(), chunks["bits"]):
+        table[chunk * 4096:(chunk + 1) * 4096] = np.frombuffer(zlib.decompress(bits.as_py()), np.uint8)
+    del chunks
+    pa.default_memory_pool().release_unused()
     return table
 
 

@@ -200,3 +200,23 @@ def test_language_sample_is_sliced_where_it_lies():
     assert [b.tolist() for b, _ in got] == [b for b, _ in rows]
     assert all(np.allclose(s, w) for (_, s), (_, w) in zip(got, rows))
     assert all(not x.flags.owndata for pair in got for x in pair)
+
+
+def test_language_sample_reaches_the_driver_small(docs):
+    """Pipeline's driver memory: bags are deflated in the tasks and the same when they are inflated."""
+    import numpy as np
+    import pyarrow as pa
+
+    from claimlens.llm import language_id
+
+    rows = [r for r in docs.select("lang", "text").limit(50).collect() if r.text]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array([r.lang for r in rows]), pa.array([r.text for r in rows])], ["seed", "lang", "text"])
+    got = pa.Table.from_batches(language_id._sample_bags(iter([batch, batch.slice(0, 0)])))
+    plain = got.drop(["bag"]).nbytes + 8 * sum(got["size"].to_pylist())
+    assert got.nbytes < plain / 2
+    bags = language_id._slices(language_id._inflated(got))
+    firsts = [i for i in range(len(bags)) if i == 0 or got["seed"][i - 1] != got["seed"][i]]  # the whole text comes first
+    assert len(firsts) == len(rows)
+    for i, r in zip(firsts, rows):
+        bucket, share = language_id.bag(language_id._LETTER[np.frombuffer(r.text.encode(), np.uint8)])
+        assert (bags[i][0] == bucket).all() and (bags[i][1] == share.astype(np.float32)).all()

@@ -101,6 +101,17 @@ def test_index_search_is_exact():
         assert set(index.search(s).tolist()) == want
 
 
+def test_bit_table_reaches_the_driver_small(spark):
+    h = np.unique(np.random.default_rng(3).integers(-2**63, 2**63 - 1, 20_000))
+    rows = make(spark, [(int(x),) for x in h], "h bigint")
+    sent = m.bit_chunks(rows).selectExpr("count(*) as n", "sum(length(bits)) as size").first()
+    assert sent["n"] == 1 << (m.TABLE_BITS - 15) and sent["size"] < 500_000  # 8 MB as plain bits
+    want = np.zeros(1 << m.TABLE_BITS, np.uint8)
+    want[m._slot(h)] = 1
+    assert (m.bit_table(rows) == np.packbits(want)).all()
+    assert not m.bit_table(make(spark, [], "h bigint")).any()
+
+
 def test_keep_one(spark):
     rows = [(3, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "", "z"), (None, "a b c d e f", "n"), (1, "a b c d e f", "y"), (4, None, None)]
     got = m.keep_one(make(spark, rows, "doc_id bigint, text string, c string")).collect()
