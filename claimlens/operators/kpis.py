@@ -29,7 +29,7 @@ from claimlens.functions.exprs import (
     text_order,
 )
 from claimlens.plans.base import SUM_COLS, Star
-from claimlens.plans.materialize import attach, reliable
+from claimlens.plans.materialize import attach, join_grown, reliable
 from claimlens.plans.ranking import distribution, rank_within, top_k_ranked
 
 # Default parameters of the reference analysis.
@@ -44,7 +44,7 @@ _PCTS = {"_p50": "0.5", "_p25": "0.25", "_p75": "0.75"}
 def provider_totals(star: Star, attrs: list[str]) -> DataFrame:
     """Per-provider sums (+ distinct code count ``n_other``) joined to ``attrs``."""
     totals = star.rollup("npi")
-    return totals.join(star.providers.select("npi", *attrs), "npi")
+    return join_grown(totals, star.providers.select("npi", *attrs), "npi")
 
 
 def specialty_totals(star: Star) -> DataFrame:

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.plans.materialize import join_grown
+
 # Measure columns carried by every fact-like frame.
 SUM_COLS = ["srv", "benes", "pay", "alw", "sub", "std"]
 
@@ -67,7 +69,7 @@ def roll_up_marked(util: DataFrame, key: str, first: str) -> DataFrame:
 def specialty_codes(util: DataFrame, providers: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Distinct (specialty, hcpcs_cd); pairs are reduced before they meet the providers."""
     pairs = fact_pairs(util) if pairs is None else pairs
-    return pairs.join(providers.select("npi", "provider_type"), "npi") \
+    return join_grown(pairs, providers.select("npi", "provider_type"), "npi", hashed=True) \
         .select(F.col("provider_type").alias("specialty"), "hcpcs_cd").distinct()
 
 

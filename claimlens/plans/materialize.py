@@ -7,6 +7,8 @@
 * :func:`attach` joins a table of one row per key to rows whose keys may be
   hot: broadcast within a measured bound, salted beyond it, so the rows of one
   key never meet in one task.
+* :func:`join_grown` joins two tables that both grow with the data: by a
+  shuffle at any size, never through the driver.
 """
 
 from __future__ import annotations
@@ -41,6 +43,16 @@ def broadcast_if(df: DataFrame, rows: int, max_rows: int = DEFAULT_BROADCAST_ROW
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def join_grown(left: DataFrame, right: DataFrame, key: str, hashed: bool = False) -> DataFrame:
+    """Inner join on ``key`` of two tables that both grow with the data.
+
+    Spark would take a table's size from its compressed files and columns' default widths and broadcast it below
+    10 MB: by that, millions of providers, many times as large in the driver. ``hashed``: each task holds its part
+    of a narrow ``right``, so that a long ``left`` is not sorted.
+    """
+    return left.join(right.hint("shuffle_hash" if hashed else "merge"), key)
+
+
 def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str], prefix: str = "_r_"):
     """Rename ``right``'s keys and build a NULL-safe equality condition.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from claimlens.jobs import load_job
 from claimlens.operators import kpis, summaries
+from claimlens.plans.base import specialty_codes
 from claimlens.sources import loaders, sinks
 from tests.conftest import assert_same
 from tests.test_sources import _line, _stg, _write
@@ -71,3 +72,24 @@ def test_text_order_by_collation(spark):
         assert order(fn(star, collation="UNICODE")) == icu + tail
         assert_same(fn(star), fn(star, collation="UNICODE"))
     assert [c for c in order(summaries.vw_specialty_summary(star).orderBy(F.col("total_payment").desc(), summaries.text_order("specialty", "UNICODE")))] == icu + [None]
+
+
+def _broadcast_scans(df):
+    """The file scans of a plan whose rows pass through the driver to be broadcast."""
+    found, above = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        above = [a for a in above if a < depth]
+        if "BroadcastExchange" in line:
+            above.append(depth)
+        elif "FileScan" in line and above:
+            found.append(line.strip(" :+-*"))
+    return found
+
+
+def test_providers_are_joined_without_a_broadcast(spark, scratch):
+    sinks.write_star(_star(spark, 60), scratch)
+    star = sinks.read_star(spark, scratch)
+    for df, rows in ((summaries.vw_provider_kpi(star), 60), (specialty_codes(star.utilization, star.providers), 60)):
+        assert _broadcast_scans(df) == []  # tables of any number of rows, small as files
+        assert df.count() == rows
