@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from claimlens.functions.exprs import DRUG_LABEL_SUMMARY, code_type, display_name, ratio, text_order
 from claimlens.operators.kpis import provider_totals, specialty_totals
 from claimlens.plans.base import Star
-from claimlens.plans.materialize import join_null_safe
+from claimlens.plans.materialize import join_grown, join_null_safe
 from claimlens.sources import sinks, versions
 
 
@@ -45,7 +45,7 @@ def vw_specialty_summary(star: Star) -> DataFrame:
 
 def vw_procedure_summary(star: Star) -> DataFrame:
     totals = star.rollup("hcpcs_cd")
-    j = totals.join(star.codes, "hcpcs_cd")
+    j = join_grown(totals, star.codes, "hcpcs_cd")
     return j.select(
         "hcpcs_cd", "hcpcs_desc",
         code_type("drug_indicator", DRUG_LABEL_SUMMARY).alias("code_type"),

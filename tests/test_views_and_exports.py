@@ -93,3 +93,10 @@ def test_providers_are_joined_without_a_broadcast(spark, scratch):
     for df, rows in ((summaries.vw_provider_kpi(star), 60), (specialty_codes(star.utilization, star.providers), 60)):
         assert _broadcast_scans(df) == []  # tables of any number of rows, small as files
         assert df.count() == rows
+
+
+def test_codes_are_joined_without_a_broadcast(spark, scratch):
+    sinks.write_star(_star(spark, 60), scratch)
+    df = summaries.vw_procedure_summary(sinks.read_star(spark, scratch))
+    assert _broadcast_scans(df) == []
+    assert df.count() == 60
