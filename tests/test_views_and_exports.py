@@ -100,3 +100,14 @@ def test_codes_are_joined_without_a_broadcast(spark, scratch):
     df = summaries.vw_procedure_summary(sinks.read_star(spark, scratch))
     assert _broadcast_scans(df) == []
     assert df.count() == 60
+
+
+def test_specialty_view_exports_without_a_broadcast_of_providers(spark, scratch):
+    sinks.write_star(_star(spark, 60), os.path.join(scratch, "star"))
+    star = sinks.read_star(spark, os.path.join(scratch, "star"))
+    view = summaries.vw_specialty_summary(star)
+    assert not [scan for scan in _broadcast_scans(view) if "npi" in scan]  # roll-ups of a row a specialty may be
+    path = summaries.export_views(star, os.path.join(scratch, "out"))["vw_specialty_summary"]
+    (part,) = sinks.exported_parts(spark, path)
+    (row,) = csv.DictReader(open(part, encoding="utf-8", newline=""))
+    assert (row["provider_count"], row["distinct_procedures"]) == ("60", "60")
