@@ -14,9 +14,10 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.session import ensure_checkpoint_dir
@@ -53,6 +54,22 @@ def join_grown(left: DataFrame, right: DataFrame, key: str, hashed: bool = False
     return left.join(right.hint("shuffle_hash" if hashed else "merge"), key)
 
 
+@contextmanager
+def small_partitions(spark: SparkSession, most: str = "16m"):
+    """Inside, adaptive execution gathers shuffled rows up to ``most`` a task (less where the session says so), not
+    64 MB: for an aggregate with about a group a row, which would not fit a task's memory and be sorted by spilling."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    size, own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes, spark.conf.get(key, None)
+    if size(spark.conf.get(key)) <= size(most):
+        yield
+        return
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
 def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str], prefix: str = "_r_"):
     """Rename ``right``'s keys and build a NULL-safe equality condition.
 

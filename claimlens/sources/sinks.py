@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.plans.base import SUM_COLS, Star, fact_pairs, roll_up, roll_up_marked, specialty_codes, specialty_profile
-from claimlens.plans.materialize import reliable
+from claimlens.plans.materialize import reliable, small_partitions
 from claimlens.schema import CODES_SCHEMA, PROVIDERS_SCHEMA, UTILIZATION_SCHEMA
 from claimlens.sources import versions
 
@@ -157,8 +157,10 @@ def write_rollups(star: Star, root: str, version: str) -> str:
 
 def _write_rollups(by_npi: DataFrame, by_code: DataFrame, by_specialty_code: DataFrame, providers: DataFrame, root: str, version: str) -> None:
     at = f"{root.rstrip('/')}/versions/{version}"
-    for name, df in (("by_npi", by_npi), ("by_code", by_code), ("by_specialty_code", by_specialty_code)):
+    for name, df in (("by_npi", by_npi), ("by_code", by_code)):
         conform(df, ROLLUP_SCHEMAS[name]).write.parquet(f"{at}/{name}")
+    with small_partitions(providers.sparkSession):  # most pairs are a (specialty, code) of their own
+        conform(by_specialty_code, ROLLUP_SCHEMAS["by_specialty_code"]).write.parquet(f"{at}/by_specialty_code")
     conform(specialty_profile(providers), PROFILE_SCHEMA).write.parquet(f"{at}/_profile")
 
 

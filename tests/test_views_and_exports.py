@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from claimlens.jobs import load_job
 from claimlens.operators import kpis, summaries
 from claimlens.plans.base import specialty_codes
+from claimlens.plans.materialize import small_partitions
 from claimlens.sources import loaders, sinks
 from tests.conftest import assert_same
 from tests.test_sources import _line, _stg, _write
@@ -111,3 +112,26 @@ def test_specialty_view_exports_without_a_broadcast_of_providers(spark, scratch)
     (part,) = sinks.exported_parts(spark, path)
     (row,) = csv.DictReader(open(part, encoding="utf-8", newline=""))
     assert (row["provider_count"], row["distinct_procedures"]) == ("60", "60")
+
+
+def test_sql_specialty_view_without_a_broadcast_of_providers(spark, scratch):
+    sinks.write_star(_star(spark, 60), scratch)
+    df = summaries.PublishedViews(spark, scratch).sql("select * from vw_specialty_summary")
+    assert not [scan for scan in _broadcast_scans(df) if "npi" in scan]
+    (row,) = df.collect()
+    assert (row["provider_count"], row["distinct_procedures"]) == (60, 60)
+
+
+def test_small_partitions_leave_the_session_as_it_was(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    assert spark.conf.get(key, None) is None
+    for own, inside in ((None, "16m"), ("256m", "16m"), ("8m", "8m")):
+        if own:
+            spark.conf.set(key, own)
+        try:
+            with pytest.raises(ZeroDivisionError), small_partitions(spark):
+                assert spark.conf.get(key) == inside
+                1 / 0
+            assert spark.conf.get(key, None) == own
+        finally:
+            spark.conf.unset(key)
