@@ -124,14 +124,13 @@ def test_sql_specialty_view_without_a_broadcast_of_providers(spark, scratch):
 
 def test_small_partitions_leave_the_session_as_it_was(spark):
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    assert spark.conf.get(key, None) is None
-    for own, inside in ((None, "16m"), ("256m", "16m"), ("8m", "8m")):
-        if own:
-            spark.conf.set(key, own)
-        try:
+    before = spark.conf.get(key, None)  # other tests of the session may have set it
+    try:
+        for own, inside in ((None, "16m"), ("256m", "16m"), ("8m", "8m")):
+            spark.conf.set(key, own) if own else spark.conf.unset(key)
             with pytest.raises(ZeroDivisionError), small_partitions(spark):
                 assert spark.conf.get(key) == inside
                 1 / 0
             assert spark.conf.get(key, None) == own
-        finally:
-            spark.conf.unset(key)
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
